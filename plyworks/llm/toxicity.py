@@ -10,7 +10,7 @@ over the whole text and over its most toxic run of a few words; a logistic curve
 not seen, turns both into a score.
 
 The models are fitted on a bounded sample: `sample_docs` documents of either class, those with the smallest hash of
-their id. Counting happens on the driver over that sample alone.
+their id. Counting happens in one task over that sample alone.
 
 Defined results: a null or empty text, or one without words, scores as a text whose words say nothing; labels that
 contradict each other count as toxic; null labels and null ids are not learned from; without labels of both classes
@@ -19,7 +19,9 @@ every score is 0; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -96,33 +98,40 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(a * run + b * mean + c, -30, 30))))
 
 
-def _new_texts(texts: list[list[str]], width: int = 4) -> list[bool]:
-    """False for a text of which most word sequences were in texts before it."""
-    seen: set[int] = set()
-    out = []
-    for found in texts:
-        own = {hash(s) for k in range(max(1, len(found) - width + 1)) if (s := tuple(found[k : k + width]))}
-        out.append(2 * len(own & seen) <= len(own))
-        if out[-1]:
-            seen |= own
-    return out
+def _is_new(ids: np.ndarray, seen: set[int], width: int = 4, one_in: int = 8) -> bool:
+    """False if most word sequences of a text were in texts before it, judged by a hashed eighth of them."""
+    wide = np.lib.stride_tricks.sliding_window_view(ids, min(width, max(len(ids), 1))) if len(ids) else np.zeros((1, 1), np.int64)
+    mixed = np.zeros(len(wide), np.uint64)
+    for k in range(wide.shape[1]):
+        mixed = (mixed ^ wide[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    own = set(mixed[mixed % np.uint64(one_in) == 0].tolist() or mixed[:1].tolist())
+    new = 2 * len(own & seen) <= len(own)
+    if new:
+        seen |= own
+    return new
 
 
 def fit_models(texts: list[str], toxic: list[bool], discount: float = 8.0, hold_every: int = 4) -> ToxicModel:
     """Counts from most texts; the curve from every `hold_every`-th one of either class. Copies are used once."""
-    found = [words(t) for t in texts]
+    number: dict[str, int] = {}
+    sequences: set[int] = set()
     seen = [0, 0]
-    counted, rest = [], []
-    for w, x, new in zip(found, toxic, _new_texts(found)):
-        if new:
-            (rest if seen[x] % hold_every == hold_every - 1 else counted).append((w, int(x)))
+    coded: list[tuple[np.ndarray, int]] = []
+    rest: list[tuple[str, int]] = []
+    for t, x in zip(texts, toxic):
+        ids = np.array([number.setdefault(w, len(number) + 1) for w in words(t)], np.int32)
+        if _is_new(ids, sequences):
+            if seen[x] % hold_every == hold_every - 1:
+                rest.append((t, int(x)))
+            else:
+                coded.append((ids, int(x)))
             seen[x] += 1
-    if {x for _, x in counted} != {0, 1}:
+    del sequences
+    if {x for _, x in coded} != {0, 1}:
         return ToxicModel()
     if {x for _, x in rest} != {0, 1}:
-        rest = counted
-    number: dict[str, int] = {}
-    coded = [(np.array([number.setdefault(w, len(number) + 1) for w in ws], np.int64), x) for ws, x in counted]
+        rest = list(zip(texts, map(int, toxic)))
     n = len(number) + 1
 
     def distinct(x: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +139,7 @@ def fit_models(texts: list[str], toxic: list[bool], discount: float = 8.0, hold_
         rows = [ids for ids, c in coded if c == x and len(ids)]
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        flat = np.concatenate([np.concatenate([[0], ids]) for ids in rows])  # 0: a text begins
+        flat = np.concatenate([np.concatenate([[0], ids]) for ids in rows]).astype(np.int64)  # 0: a text begins
         key = flat[:-1] * n + flat[1:]
         bigrams, place = np.unique(key[flat[1:] > 0], return_inverse=True)
         at = np.full(len(key), -1)
@@ -187,7 +196,7 @@ def fit_models(texts: list[str], toxic: list[bool], discount: float = 8.0, hold_
         np.concatenate([gain[:1], gain[useful], np.array(list(stem_gain.values()))]), np.concatenate([[0.0], after[useful], np.zeros(len(stem_gain))]),
         key[order], pair_gain[both][order], size,
     )
-    x = np.array([[*model.features(" ".join(t)), 1.0] for t, _ in rest])
+    x = np.array([[*model.features(t), 1.0] for t, _ in rest])
     y = np.array([c for _, c in rest], float)
     weight = np.where(y == 1, THRESHOLD / max(y.sum(), 1), (1 - THRESHOLD) / max((1 - y).sum(), 1))  # even odds score THRESHOLD
     scale = np.array([max(np.abs(x[:, 0]).max(), 1e-6), max(np.abs(x[:, 1]).max(), 1e-6), 1.0])
@@ -208,9 +217,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_
     first = Window.partitionBy("__toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = marked.join(there, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= sample_docs).select("doc_id", "__toxic")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * sample_docs rows at most
-    got: pa.Table = rows.toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), got["__toxic"].to_pylist()), key=lambda r: (r[0], r[1] or ""))
-    return fit_models([r[1] or "" for r in rows], [bool(r[2]) for r in rows], **options)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for b in batches for r in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["__toxic"].to_pylist())), key=lambda r: (r[0], r[1] or ""))
+        model = fit_models([r[1] or "" for r in got], [bool(r[2]) for r in got], **options)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The sample is bounded, so one task can take it; only the model comes to the driver.
+    return pickle.loads(rows.select("doc_id", "text", "__toxic").repartition(1).mapInArrow(fit, "model binary").first()["model"])
 
 
 def toxicity_score(model: ToxicModel, text: Column) -> Column:
