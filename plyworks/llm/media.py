@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 WIDTH = 192
 MAX_ROWS = 8191
 #: Bytes of payload that are worked on together.
-SLICE = 1 << 21
+SLICE = 1 << 19
 # The DC code lengths (1 to 8 bits) and categories in order; one AC code, end of block.
 DC_COUNTS, DC_SYMBOLS = (0, 3, 1, 1, 1, 1, 1, 1), (7, 5, 4, 3, 2, 1, 6, 0, 8)
 AC_COUNTS, AC_SYMBOLS = (1,), (0,)

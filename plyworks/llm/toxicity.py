@@ -98,22 +98,24 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(a * run + b * mean + c, -30, 30))))
 
 
-def _is_new(ids: np.ndarray, seen: set[int], width: int = 4, one_in: int = 8) -> bool:
-    """False if most word sequences of a text were in texts before it, judged by a hashed eighth of them."""
+def _is_new(ids: np.ndarray, seen: set[int], width: int = 3, one_in: int = 4, shared: float = 0.3) -> bool:
+    """False if over `shared` of a text's word sequences were in texts before it, judged by a hashed part of them."""
     wide = np.lib.stride_tricks.sliding_window_view(ids, min(width, max(len(ids), 1))) if len(ids) else np.zeros((1, 1), np.int64)
     mixed = np.zeros(len(wide), np.uint64)
     for k in range(wide.shape[1]):
         mixed = (mixed ^ wide[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     own = set(mixed[mixed % np.uint64(one_in) == 0].tolist() or mixed[:1].tolist())
-    new = 2 * len(own & seen) <= len(own)
+    new = len(own & seen) <= shared * len(own)
     if new:
         seen |= own
     return new
 
 
-def fit_models(texts: list[str], toxic: list[bool], discount: float = 8.0, hold_every: int = 4) -> ToxicModel:
-    """Counts from most texts; the curve from every `hold_every`-th one of either class. Copies are used once."""
+def fit_models(texts: list[str], toxic: list[bool], discount: float = 8.0, chance: float = 3.0, hold_every: int = 4) -> ToxicModel:
+    """Discounts are `chance` times the root of an expression's count in both classes, `discount` at least: what chance explains goes to the shared counts.
+
+    Counts from most texts; the curve from every `hold_every`-th one of either class. Copies are used once."""
     number: dict[str, int] = {}
     sequences: set[int] = set()
     seen = [0, 0]
@@ -156,18 +158,22 @@ def fit_models(texts: list[str], toxic: list[bool], discount: float = 8.0, hold_
     follows = np.bincount(pairs % n, minlength=n).astype(float)
     shared = (follows + 1) / (follows.sum() + n)
     total = by_word.sum(axis=1, keepdims=True)
-    freed = np.minimum(by_word, discount).sum(axis=1, keepdims=True) / np.maximum(total, 1)
-    unigram = np.maximum(by_word - discount, 0) / np.maximum(total, 1) + np.maximum(freed, 1e-9) * shared
+    less = lambda counts: np.maximum(discount, chance * np.sqrt(counts.sum(axis=0)))
+    freed = np.minimum(by_word, less(by_word)).sum(axis=1, keepdims=True) / np.maximum(total, 1)
+    unigram = np.maximum(by_word - less(by_word), 0) / np.maximum(total, 1) + np.maximum(freed, 1e-9) * shared
     gain = np.log(unigram[1] / unigram[0])
     gain[0] = np.log(max(freed[1, 0], 1e-9) / max(freed[0, 0], 1e-9))
     context = np.stack([np.bincount(pairs // n, weights=by_pair[x], minlength=n) for x in (0, 1)])
-    spare = np.stack([np.bincount(pairs // n, weights=np.minimum(by_pair[x], discount), minlength=n) for x in (0, 1)])
-    backoff = np.where(context > discount, spare / np.maximum(context, 1), 1.0)  # a rare context backs off wholly
+    spare = np.stack([np.bincount(pairs // n, weights=np.minimum(by_pair[x], less(by_pair)), minlength=n) for x in (0, 1)])
+    known = (context > chance * chance * discount).all(axis=0)  # other contexts back off wholly
+    backoff = np.where(known & (spare > 0), spare / np.maximum(context, 1), 1.0)
     after = np.log(backoff[1] / backoff[0])
-    often = np.flatnonzero((by_pair > discount).any(axis=0))
+    often = np.flatnonzero((by_pair > less(by_pair)).any(axis=0) & known[pairs // n])
     v, w = pairs[often] // n, pairs[often] % n
-    own = [np.where(backoff[x][v] < 1, np.maximum(by_pair[x][often] - discount, 0) / np.maximum(context[x][v], 1), 0) + backoff[x][v] * unigram[x][w] for x in (0, 1)]
-    pair_gain = np.log(own[1] / own[0])
+    own = [np.where(backoff[x][v] < 1, np.maximum(by_pair[x][often] - less(by_pair)[often], 0) / np.maximum(context[x][v], 1), 0) + backoff[x][v] * unigram[x][w] for x in (0, 1)]
+    # A bigram sharpens what its second word says, no more: by itself it may as well be the mark of a copied passage.
+    edge = 1.25 * gain[w]
+    pair_gain = np.clip(np.log(own[1] / own[0]), np.minimum(edge, 0), np.maximum(edge, 0))
     stems: dict[str, list[float]] = {}
     for t, i in number.items():
         for m in STEMS:
@@ -178,12 +184,13 @@ def fit_models(texts: list[str], toxic: list[bool], discount: float = 8.0, hold_
     types = (by_word > 0).sum(axis=1)
     stem_gain = {}
     for t, c in stems.items():
-        if max(c) > discount:
+        d = max(discount, chance * (c[0] + c[1]) ** 0.5)
+        if max(c) > d:
             low = (c[0] + c[1]) / max(types.sum(), 1)
-            own = [max(c[x] - discount, 0) / max(types[x], 1) + max(freed[x, 0], 1e-9) * low for x in (0, 1)]
+            own = [max(c[x] - d, 0) / max(types[x], 1) + max(freed[x, 0], 1e-9) * low for x in (0, 1)]
             stem_gain[t] = np.log(own[1] / own[0])
     # Keep the words that can tell anything, under ids of their own.
-    useful = (by_word > discount).any(axis=0)
+    useful = (by_word > less(by_word)).any(axis=0)
     useful[0] = False
     new = np.zeros(n, np.int64)
     new[useful] = np.arange(1, useful.sum() + 1)
