@@ -386,3 +386,49 @@ def r02_weighted_choice(spark, d):
 @query()
 def r03_seeded_shuffle(spark, d):
     return seq.seeded_buckets(_t(spark, d, "events").select("event_id", "user_id"), 8, 3, "event_id")
+
+
+_GAMES = [
+    (1, 1750, 1723, "1-0", "Normal", 180.0, 2.0, "1. e4 { [%clk 0:02:58] } e5 { [%clk 0:02:57] } 2. Nf3 { [%clk 0:02:55] } Nc6 { [%clk 0:02:50] } 3. Bb5 { [%clk 0:02:51] } 1-0"),
+    (2, 1500, 1620, "0-1", "Time forfeit", 300.0, 0.0, "1. d4 { [%clk 4:58] } d5 { [%clk 4:59] } 2. c4 { [%clk 4:50] } dxc4 { [%clk 4:41] } 0-1"),
+    (3, 1750, 1800, "1/2-1/2", "Normal", 180.0, 2.0, "1. e4 { [%clk 0:02:59] } c5 { [%clk 0:02:58] } 2. Nf3 { [%clk 0:02:57] } d6 { [%clk 0:02:40] } 1/2-1/2"),
+]
+
+
+def _plies(spark):
+    from .plans import records
+
+    games = spark.createDataFrame(_GAMES, "game_id long, white_elo int, black_elo int, result string, termination string, initial_time double, increment double, movetext string")
+    return records, records.plies(games)
+
+
+@query()
+def g01_clock_records(spark, d):
+    records, p = _plies(spark)
+    return records.clock_records(p)
+
+
+@query()
+def g02_winner_records(spark, d):
+    records, p = _plies(spark)
+    return records.winner_records(p)
+
+
+@query()
+def g03_move_histogram(spark, d):
+    records, p = _plies(spark)
+    return records.move_observations(p)
+
+
+@query()
+def g04_common_positions(spark, d):
+    records, p = _plies(spark)
+    return records.common_positions(records.move_observations(p), 1).select("fen", F.to_json("moves").alias("moves"), "total")
+
+
+@query()
+def g05_rated_games(spark, d):
+    from .streaming.ratings import rate_games
+
+    o = _t(spark, d, "orders")
+    return rate_games(o.select(F.col("o_custkey").cast("string").alias("player"), F.col("o_orderkey").alias("game_no"), (1200 + F.col("o_orderkey") % 800).cast("double").alias("opponent_rating"), F.lit(80.0).alias("opponent_rd"), ((F.col("o_orderkey") % 3) / 2.0).alias("score")))
