@@ -162,7 +162,7 @@ def fit_models(texts: list[str], toxic: list[bool], discount: float = 8.0, chanc
     freed = np.minimum(by_word, less(by_word)).sum(axis=1, keepdims=True) / np.maximum(total, 1)
     unigram = np.maximum(by_word - less(by_word), 0) / np.maximum(total, 1) + np.maximum(freed, 1e-9) * shared
     gain = np.log(unigram[1] / unigram[0])
-    gain[0] = np.log(max(freed[1, 0], 1e-9) / max(freed[0, 0], 1e-9))
+    gain[0] = 0.0  # an unknown word says nothing
     context = np.stack([np.bincount(pairs // n, weights=by_pair[x], minlength=n) for x in (0, 1)])
     spare = np.stack([np.bincount(pairs // n, weights=np.minimum(by_pair[x], less(by_pair)), minlength=n) for x in (0, 1)])
     known = (context > chance * chance * discount).all(axis=0)  # other contexts back off wholly
@@ -231,7 +231,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # The sample is bounded, so one task can take it; only the model comes to the driver.
-    return pickle.loads(rows.select("doc_id", "text", "__toxic").repartition(1).mapInArrow(fit, "model binary").first()["model"])
+    fitted = rows.select("doc_id", "text", "__toxic").repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else ToxicModel()
 
 
 def toxicity_score(model: ToxicModel, text: Column) -> Column:
