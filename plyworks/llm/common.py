@@ -64,3 +64,21 @@ def running_start(df: DataFrame, key: str, segment: str, order: list[str], value
         .withColumn(out, (F.col(before) + F.col(inside)).cast("long"))
         .drop(before, inside)
     )
+
+
+#: Tables of strata up to this many rows are broadcast; larger ones are joined by key.
+BROADCAST_STRATA = 10_000
+
+
+def smallest_hashes(df: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
+    """The n rows of each stratum whose key has the smallest hash; null strata are left out.
+
+    Hashes are evenly spread, so a stratum's count tells below which hash its n smallest lie. Rows far above that are
+    dropped where they are read, and only what is left, a little over n rows a stratum, is ordered.
+    """
+    counts = cut(df.filter(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.count(F.lit(1)).alias("__n")))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_STRATA else counts
+    place = F.xxhash64(key) / F.lit(2.0**64) + 0.5
+    near = df.join(counts, stratum).filter(place * F.col("__n") <= 1.25 * n + 256).drop("__n")
+    first = Window.partitionBy(stratum).orderBy(F.xxhash64(key), key)
+    return near.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= n).drop("__rank")

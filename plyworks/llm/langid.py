@@ -18,11 +18,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import may_learn
+from .common import may_learn, smallest_hashes
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -140,9 +140,8 @@ def fit_languages(docs: DataFrame, *, text: str = "text", lang: str = "lang", do
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & may_learn(F.col("doc_id"))).filter(F.col("text").rlike(r"\p{L}"))
     room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     places = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(k)), room).cast("int") + 1, F.lit(WINDOW)).alias(f"w{k}") for k in range(windows_per_doc)]
-    first = Window.partitionBy("lang").orderBy("key", "doc_id")
-    rows = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"), F.length("text").alias("n"), *places)
-    got = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_docs).drop("rank").toPandas()
+    rows = rows.select("doc_id", "lang", F.length("text").alias("n"), *places)
+    got = smallest_hashes(rows, "lang", "doc_id", sample_docs).toPandas()
     if not len(got):
         return None
     got = got.sort_values(["doc_id", "lang", "n", "w0"], kind="stable")
