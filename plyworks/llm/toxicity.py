@@ -28,11 +28,11 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import may_learn
+from .common import may_learn, smallest_hashes
 
 _WORD = re.compile(r"[^\W_]+")
 RUN = 1
@@ -221,8 +221,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_
     marked = labels.filter(F.col(label).isNotNull() & may_learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("__toxic"))
     marked = marked.filter(F.col("__toxic").isin(0, 1))
     there = docs.select(F.col(doc_id).alias("doc_id")).distinct()
-    first = Window.partitionBy("__toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.join(there, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= sample_docs).select("doc_id", "__toxic")
+    chosen = smallest_hashes(marked.join(there, "doc_id", "left_semi"), "__toxic", "doc_id", sample_docs).select("doc_id", "__toxic")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * sample_docs rows at most
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
