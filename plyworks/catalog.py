@@ -14,6 +14,8 @@ from .functions import text as tx
 from .operators import aggregates as agg
 from .operators import filters, joins
 from .operators import sequences as seq
+from .plans import evaluation as ev
+from .plans import serving
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -373,6 +375,73 @@ def x01_tumbling_days(spark, d):
     return _t(spark, d, "events").groupBy("event_type", F.unix_timestamp(w["start"]).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select l_returnflag, quantile_cont(d, 0.5) as median from (select l_returnflag, l_discount::double as d, unnest(range(l_linenumber::bigint)) from lineitem) group by 1")
+def q55_weighted_median(spark, d):
+    return agg.weighted_median(_t(spark, d, "lineitem"), "l_discount", "l_linenumber", "l_returnflag")
+
+
+@query("select event_type, max(value) as maximum, min(value) as minimum, avg(value) as mean, count(value) as n from events group by 1")
+def q56_gap_summary(spark, d):
+    e = _t(spark, d, "events")
+    return e.groupBy("event_type").agg(F.max("value").alias("maximum"), F.min("value").alias("minimum"), F.avg("value").alias("mean"), F.count("value").alias("n"))
+
+
+@query("select event_id // 1000 as window, avg(value) as loss, count(*) as steps from events group by 1")
+def q57_loss_windows(spark, d):
+    return ev.loss_windows(_t(spark, d, "events"), "event_id", "value", 1000)
+
+
+@query("select event_id, avg(round(value * 100)::bigint) over (partition by user_id order by event_id rows between 99 preceding and current row) as mean from events")
+def q58_rolling_mean(spark, d):
+    cents = _t(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))  # whole numbers: sums don't depend on their order
+    return ev.rolling_mean(cents, "user_id", "event_id", "cents", 100, "mean").select("event_id", "mean")
+
+
+@query("select event_id, value from (select *, max(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as m from events) where m is null or value > m")
+def q59_new_maxima(spark, d):
+    return seq.new_maxima(_t(spark, d, "events"), "user_id", ["event_id"], "value").select("event_id", "value")
+
+
+@query("""select o_orderpriority, count(*) as games, count(*) filter (where s = 1) as wins, count(*) filter (where s = 0.5) as draws, count(*) filter (where s = 0) as losses, sum(s) as score, 100 * avg(s) as score_percent, avg(n) as mean_length, stddev_pop(n) as std_length, min(n) as min_length, max(n) as max_length
+from (select o_orderpriority, (o_orderkey % 3) / 2.0 as s, o_custkey % 80 as n from orders) group by 1""")
+def q60_match_summary(spark, d):
+    o = _t(spark, d, "orders").select("o_orderpriority", ((F.col("o_orderkey") % 3) / 2.0).alias("score"), (F.col("o_custkey") % 80).alias("n_moves"))
+    return ev.match_summary(o, "o_orderpriority")
+
+
+@query("select count(*) as n, avg((case when y = p then 1.0 else 0.0 end)) as accuracy, avg(case when (y = 0) = (p = 0) then 1.0 else 0.0 end) as class_0, avg(case when (y = 1) = (p = 1) then 1.0 else 0.0 end) as class_1 from (select quality as y, toxic as p from labels)")
+def q61_class_accuracy(spark, d):
+    both = _t(spark, d, "labels")
+    return ev.class_accuracy(both, "quality", "toxic", [0, 1]).join(both.agg(F.count(F.lit(1)).alias("n")), how="cross")
+
+
+@query("""with x as (select vec_id, label % 3 as y, i, z::double as z, (i <> (label + 1) % 3)::int as m from (select vec_id, label, unnest(embedding[1:3]) as z, generate_subscripts(embedding[1:3], 1) - 1 as i from embeddings)), e as (select *, case when m = 1 then exp(z) else 0 end as e from x), p as (select *, e / sum(e) over (partition by vec_id) as p from e)
+select vec_id, sum((p - (i = y)::int) ** 2) as brier from p group by 1""")
+def q62_masked_brier(spark, d):
+    blocked = (F.col("label") + 1) % 3
+    mask = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (i != blocked).cast("int"))
+    return _t(spark, d, "embeddings").select("vec_id", ev.masked_brier(F.slice("embedding", 1, 3), mask, F.col("label") % 3).alias("brier"))
+
+
+@query("select event_type, count(*) as n, avg((p - y) ** 2) as brier, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) as log_loss from (select event_type, 0.1 + 0.8 * (user_id % 10) / 10.0 as p, (event_id % 3) / 2.0 as y from events) group by 1")
+def q63_band_metrics(spark, d):
+    e = _t(spark, d, "events").select("event_type", (0.1 + 0.8 * (F.col("user_id") % 10) / 10.0).alias("p"), ((F.col("event_id") % 3) / 2.0).alias("result_for_side"))
+    return ev.outcome_metrics(e, "event_type")
+
+
+@query("select o_orderkey, o_custkey from orders o where exists (select 1 from orders x where x.o_custkey = o.o_custkey and x.o_totalprice > 250000)")
+def q64_both_scored(spark, d):
+    o = _t(spark, d, "orders")
+    return ev.both_scored(o.select("o_orderkey", "o_custkey"), o.filter("o_totalprice > 250000"), "o_custkey")
+
+
+@query()
+def r04_drawn_moves(spark, d):
+    per = agg.count_by(_t(spark, d, "events"), "user_id", "event_type")
+    maps = per.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "cnt")))).alias("moves"))
+    return serving.draw_move(maps, "user_id", 11).select("user_id", "move", "probability", "total")
+
+
 @query()
 def r01_seeded_sample(spark, d):
     return seq.seeded_sample(_t(spark, d, "events").select("event_id", "value"), 500, 7, "event_id")
@@ -432,3 +501,26 @@ def g05_rated_games(spark, d):
 
     o = _t(spark, d, "orders")
     return rate_games(o.select(F.col("o_custkey").cast("string").alias("player"), F.col("o_orderkey").alias("game_no"), (1200 + F.col("o_orderkey") % 800).cast("double").alias("opponent_rating"), F.lit(80.0).alias("opponent_rd"), ((F.col("o_orderkey") % 3) / 2.0).alias("score")))
+
+
+@query()
+def g06_user_history(spark, d):
+    from .streaming.ratings import user_history
+
+    o = _t(spark, d, "orders")
+    return user_history(o.select(F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderkey").alias("game_no"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("played_at"), (1200 + F.col("o_orderkey") % 800).cast("double").alias("opponent_rating"), F.lit(50.0).alias("opponent_rd"), ((F.col("o_orderkey") % 3) / 2.0).alias("score")))
+
+
+@query()
+def g07_match_ratings(spark, d):
+    from .streaming.ratings import rate_matches
+
+    o = _t(spark, d, "orders")
+    return rate_matches(o.select(F.col("o_custkey").cast("string").alias("match_id"), F.col("o_orderkey").alias("game_no"), F.lit("a").alias("white"), F.lit("b").alias("black"), ((F.col("o_orderkey") % 3) / 2.0).alias("score")))
+
+
+@query()
+def g08_eval_records(spark, d):
+    records, p = _plies(spark)
+    bands = [(1400, 1700, "low"), (1700, 2000, "high")]
+    return ev.balanced_set(ev.eval_records(p, bands, skip_plies=1, min_plies=4), 3)

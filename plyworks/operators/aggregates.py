@@ -63,6 +63,11 @@ def weighted_statistics(df: DataFrame, value: str, weight: str, *keys: str) -> D
     return sums.select(*keys, "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
 
 
+def weighted_median(df: DataFrame, value: str, weight: str, *keys: str) -> DataFrame:
+    """Median of values that each count `weight` times, interpolated."""
+    return df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.lit(0.5), F.col(weight).cast("long")).alias("median"))
+
+
 def field_statistics(df: DataFrame, fields: list[str], log_fields: tuple[str, ...] = ()) -> DataFrame:
     """One row per field: count, mean and std (of log1p where asked), raw min, max, median."""
     aggs = []
@@ -97,6 +102,32 @@ def equal_probability_bounds(df: DataFrame, value: str, start: float, n: int) ->
     return cuts.select(F.concat(rising, F.array(F.lit(float("inf")))).alias("bounds"))
 
 
+def linear_then_equal_bounds(df: DataFrame, value: str, n: int, threshold: float, width: float) -> list[float]:
+    """Bounds of at most n buckets: even steps up to a threshold, then equal shares of the values above it, the last open.
+
+    Where the first steps of the equal shares are as wide as the even ones, the even part is extended over them and the
+    rest is cut anew. Each pass is one aggregate; only the bounds come to the driver.
+    """
+
+    def bounds(upto: float) -> list[float]:
+        even = [k * width for k in range(round(upto / width) + 1)]
+        tail = df.filter(F.col(value) > upto)
+        rest = n - (len(even) - 1)
+        if rest < 2:
+            return even
+        cuts = equal_probability_bounds(tail, value, even[-1], rest).first()["bounds"]
+        return even + ([x for x in cuts[1:-1]] if tail.limit(1).count() else [])
+
+    found, longest = bounds(threshold), threshold
+    for a, b in zip(found, found[1:]):
+        if b - a > width + 0.01:
+            break
+        longest = max(longest, b)
+    if longest > threshold:
+        found = bounds(longest)
+    return [*found[:n], float("inf")]
+
+
 def second_shares(df: DataFrame, bucket: str, value: str) -> DataFrame:
     """Percentage of each whole second (half to even) within its bucket."""
     n = df.groupBy(bucket, F.rint(value).alias("second")).agg(F.count(F.lit(1)).alias("n"))

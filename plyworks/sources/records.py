@@ -1,59 +1,164 @@
-"""Indexed record files (zstd records, then little-endian end offsets) and JSON-lines tables."""
+"""Indexed record files (zstd records, then little-endian end offsets) and JSON-lines tables.
+
+A file is the unit of work, so large sets are kept in shards (`name@N`), which are read and written side by side.
+"""
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def decode_records(data: bytes, limits: bytes | None = None) -> list[bytes]:
+def decode_records(data: bytes, limits: bytes | None = None, compressed: bool = True) -> list[bytes]:
     """Records of one file. The last 8 bytes name where the offsets start, unless `limits` holds them."""
-    if not data:
-        return []
     if limits is None:
+        if not data:
+            return []
         start = struct.unpack("<q", data[-8:])[0]
         limits = data[start:]
     ends = np.frombuffer(limits, "<i8").tolist()
     unpack = zstandard.ZstdDecompressor()
-    return [unpack.decompressobj().decompress(data[a:b]) if b > a else b"" for a, b in zip([0, *ends], ends)]
+    one = (lambda r: unpack.decompressobj().decompress(r)) if compressed else bytes
+    return [one(data[a:b]) if b > a else b"" for a, b in zip([0, *ends], ends)]
 
 
-def encode_records(records: list[bytes]) -> bytes:
+def encode_records(records: list[bytes], compressed: bool = True) -> bytes:
     """One file of the records: its end offsets follow; an empty list is an empty file. The last offset is where they start."""
     packer, body, ends = zstandard.ZstdCompressor(), bytearray(), []
     for r in records:
-        body += packer.compress(r) if r else b""
+        body += (packer.compress(r) if compressed else r) if r else b""
         ends.append(len(body))
     return bytes(body) + struct.pack(f"<{len(ends)}q", *ends)
 
 
 @F.pandas_udf(T.ArrayType(T.BinaryType()))
-def _records(content: pd.Series) -> pd.Series:
-    return content.map(decode_records)
+def _records(content: pd.Series, limits: pd.Series, compressed: pd.Series) -> pd.Series:
+    return pd.Series([decode_records(c, x, z) for c, x, z in zip(content, limits, compressed)], dtype=object)
+
+
+def shard_names(path: str) -> list[str]:
+    """The files of `name@N`, in order; a path without `@N` is one file."""
+    found = re.findall(r"@(\d+)", path)
+    if len(found) != 1:
+        return [path]
+    return [re.sub(r"@\d+", f"-{k:05d}-of-{int(found[0]):05d}", path) for k in range(int(found[0]))]
+
+
+def read_records(spark: SparkSession, path: str, *, separate_limits: bool = False) -> DataFrame:
+    """source_file, idx (within the file), record. `path` may name shards as `name@N`.
+
+    With `separate_limits` the offsets are read from a file of the same name with `limits.` in front. Files that end in
+    .bag hold plain records, all others compressed ones.
+    """
+    names = shard_names(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    load = lambda paths: spark.read.format("binaryFile").load(paths).select(F.col("path").alias("source_file"), name.alias("__name"), "content")
+    files = load(names)
+    if separate_limits:
+        beside = [re.sub(r"[^/]+$", lambda m: "limits." + m[0], n) for n in names]
+        limits = load(beside).select(F.regexp_replace("__name", r"^limits\.", "").alias("__name"), F.col("content").alias("__limits"))
+        files = files.join(limits, "__name")
+    else:
+        files = files.withColumn("__limits", F.lit(None).cast("binary"))
+    rows = _records("content", "__limits", ~F.col("__name").endswith(".bag"))
+    return files.select("source_file", F.posexplode(rows).alias("idx", "record"))
+
+
+def with_global_index(records: DataFrame, *, out: str = "global_idx") -> DataFrame:
+    """Adds the index over all files, which follow each other by name. One row per file is ordered in a single task."""
+    sizes = records.groupBy("source_file").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("source_file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return records.join(starts, "source_file").withColumn(out, F.col("__start") + F.col("idx")).drop("__start")
+
+
+def concat_records(*parts: DataFrame) -> DataFrame:
+    """One set of several: dataset (from 0), source_file, idx and an index over all of them, data set by data set."""
+    tagged = [with_global_index(p).withColumn("dataset", F.lit(k)) for k, p in enumerate(parts)]
+    rows = tagged[0]
+    for t in tagged[1:]:
+        rows = rows.unionByName(t)
+    sizes = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("dataset").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("dataset", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return rows.join(starts, "dataset").withColumn("global_idx", F.col("__start") + F.col("global_idx")).drop("__start")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, idx (within the file), record. Shards are files, and each is a unit of work."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("source_file"), F.posexplode(_records("content")).alias("idx", "record"))
+def record_at(records: DataFrame, index: int, column: str = "global_idx") -> DataFrame:
+    return records.filter(F.col(column) == index)
 
 
-def pack_shards(df: DataFrame, record: str, order: str, shards: int) -> DataFrame:
+def dump_records(records: DataFrame, start: int, limit: int, *, column: str = "global_idx", as_hex: bool = False) -> DataFrame:
+    """Records from `start` on, `limit` of them, as text or in hexadecimal."""
+    shown = F.hex("record") if as_hex else F.decode("record", "UTF-8")
+    return records.filter((F.col(column) >= start) & (F.col(column) < start + limit)).select(column, shown.alias("record"))
+
+
+def empty_records(records: DataFrame, most: int = 10, *, column: str = "global_idx") -> DataFrame:
+    """Indices of the first empty records."""
+    return records.filter(F.octet_length("record") == 0).select(column).orderBy(column).limit(most)
+
+
+def json_records(df: DataFrame, out: str = "record") -> DataFrame:
+    """Each row as one record of compact JSON, in UTF-8."""
+    return df.withColumn(out, F.encode(F.to_json(F.struct(*df.columns)), "UTF-8"))
+
+
+def parsed_records(records: DataFrame, schema: str) -> DataFrame:
+    """The columns of JSON records; what can't be read is null."""
+    return records.select(*[c for c in records.columns if c != "record"], F.from_json(F.decode("record", "UTF-8"), schema).alias("r")).select("*", "r.*").drop("r")
+
+
+def pack_shards(df: DataFrame, record: str, order: str, shards: int, *, compressed: bool = True) -> DataFrame:
     """shard, content: the bytes of each of `shards` record files, rows dealt by a hash of `order` and kept in its order."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "content": [encode_records([bytes(r) for r in rows.sort_values("order")["record"]])]})
+        content = encode_records([bytes(r) for r in rows.sort_values("order")["record"]], compressed)
+        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "content": [content]})
 
     rows = df.select(F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("order"), F.col(record).alias("record"))
     return rows.groupBy("shard").applyInPandas(one, "shard int, content binary")
 
 
+def write_records(df: DataFrame, record: str, order: str, path: str, shards: int) -> list[str]:
+    """Write `shards` files under `path`, a URI of a store that all executors reach, with `@N` in its name; gives the files' names.
+
+    A task writes under a name of its own and then renames, so one that runs twice leaves one file. A shard is held in
+    memory by its task: choose `shards` by the size of the data. A shard without rows is an empty file.
+    """
+    names = shard_names(f"{path}" if "@" in path else f"{path}@{shards}")
+    if len(names) != shards:
+        raise ValueError("the path names another number of shards")
+    plain = path.endswith(".bag")
+    every = df.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    packed = every.join(pack_shards(df, record, order, shards, compressed=not plain), "shard", "left")
+
+    def store(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for part in parts:
+            for shard, content in zip(part["shard"], part["content"]):
+                target = names[int(shard)]
+                files, place = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+                files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                own = f"{place}.{uuid.uuid4().hex}"
+                with files.open_output_stream(own) as out:
+                    out.write(b"" if content is None else content)
+                files.move(own, place)
+                yield pd.DataFrame({"name": [target]})
+
+    return sorted(r["name"] for r in packed.mapInPandas(store, "name string").collect())
+
+
 def read_moves_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """fen, moves (map), malformed lines dropped; Spark reads .gz itself."""
     return spark.read.schema("fen string, moves map<string,bigint>").option("mode", "DROPMALFORMED").json(path).filter("fen is not null")

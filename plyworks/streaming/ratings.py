@@ -1,7 +1,8 @@
-"""Ratings that depend on the games before: an ordered fold per player, in batch and over a stream."""
+"""Ratings that depend on the games before: an ordered fold per player or match, in batch and over a stream."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.glicko2 import update
+from ..functions.numeric import GROWTH_PER_DAY, LEAST_RATING, LEAST_RD, MOST_RATING, MOST_RD, START_RD
 
 _OUT = "player string, game_no long, rating double, rd double, volatility double"
 _STATE = "rating double, rd double, volatility double, last long"
@@ -41,3 +43,78 @@ def rate_stream(games: DataFrame) -> DataFrame:
             yield out
 
     return games.groupBy("player").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+_USER_OUT = "user_id string, game_no long, rating_before double, rd_before double, rating double, rd double, change double, games_played long, wins long, losses long, draws long"
+_USER_STATE = "rating double, rd double, played long, games long, wins long, losses long, draws long, last long"
+USER_START = (1500.0, START_RD, None, 0, 0, 0, 0)
+_Q = math.log(10) / 400
+
+
+def after_game(rating: float, rd: float, opponent: float, opponent_rd: float, score: float) -> tuple[float, float, float]:
+    """(rating, rd, change) after one game by the single-game update, to one decimal."""
+    g = 1 / math.sqrt(1 + 3 * (_Q * opponent_rd / math.pi) ** 2)
+    e = 1 / (1 + 10 ** (-g * (rating - opponent) / 400))
+    precision = 1 / rd**2 + _Q * _Q * g * g * e * (1 - e)
+    change = _Q / precision * g * (score - e)
+    clamp = lambda x, low, high: round(max(low, min(high, x)), 1)
+    return clamp(rating + change, LEAST_RATING, MOST_RATING), clamp(1 / math.sqrt(precision), LEAST_RD, MOST_RD), round(change, 1)
+
+
+def _user_fold(user, rows: pd.DataFrame, state: tuple):
+    rating, rd, played, games, wins, losses, draws = state
+    out = []
+    for r in rows.sort_values("game_no").itertuples():
+        now = int(r.played_at)
+        days = (now - played) // 86400 if played is not None else 0
+        if days > 0:  # idle time makes a rating less certain
+            rd = min(MOST_RD, round(math.sqrt(rd * rd + GROWTH_PER_DAY * days), 1))
+        before, rd_before = rating, rd
+        rating, rd, change = after_game(rating, rd, r.opponent_rating, r.opponent_rd, r.score)
+        games, wins, losses, draws, played = games + 1, wins + (r.score == 1), losses + (r.score == 0), draws + (r.score == 0.5), now
+        out.append((str(user), int(r.game_no), before, rd_before, rating, rd, change, games, wins, losses, draws))
+    names = [c.split()[0] for c in _USER_OUT.split(", ")]
+    return pd.DataFrame(out, columns=names), (rating, rd, played, games, wins, losses, draws)
+
+
+def user_history(games: DataFrame) -> DataFrame:
+    """The history rows of service users. games: user_id, game_no, played_at (epoch seconds), opponent_rating, opponent_rd, score."""
+    return games.groupBy("user_id").applyInPandas(lambda key, rows: _user_fold(key[0], rows, USER_START)[0], _USER_OUT)
+
+
+def user_history_stream(games: DataFrame) -> DataFrame:
+    """The same over a stream, with a user's rating as state; a game that is delivered again changes nothing."""
+
+    def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(parts)
+        *held, last = state.get if state.exists else (*USER_START, -1)
+        rows = rows[rows["game_no"] > last]
+        if len(rows):
+            out, held = _user_fold(key[0], rows, tuple(held))
+            state.update((*held, int(rows["game_no"].max())))
+            yield out
+
+    return games.groupBy("user_id").applyInPandasWithState(step, _USER_OUT, _USER_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+_MATCH_OUT = "match_id string, game_no long, white string, black string, white_rating double, white_rd double, black_rating double, black_rd double"
+
+
+def rate_matches(games: DataFrame) -> DataFrame:
+    """Ratings after each game of a match, both players updated from what they had before it.
+
+    games: match_id, game_no, white, black, score (of white). A match is one group, as each game needs the last one's
+    ratings; ratings do not pass from match to match.
+    """
+
+    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+        state: dict[str, tuple[float, float, float]] = {}
+        out = []
+        for r in rows.sort_values("game_no").itertuples():
+            w, b = state.get(r.white, START), state.get(r.black, START)
+            state[r.white] = update(*w, [(b[0], b[1], r.score)])
+            state[r.black] = update(*b, [(w[0], w[1], 1 - r.score)])
+            out.append((str(key[0]), int(r.game_no), r.white, r.black, *state[r.white][:2], *state[r.black][:2]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _MATCH_OUT.split(", ")])
+
+    return games.groupBy("match_id").applyInPandas(fold, _MATCH_OUT)
