@@ -27,10 +27,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays; documents without an id all stay."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near copies the smallest doc_id stays; documents without an id all stay.
+
+    Where an id comes with several texts, each text goes or stays by its own group."""
+    groups = simhash.near_duplicates(docs, carry={"tag": F.xxhash64("text")})
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__tag")), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,11 +209,14 @@ def near_links(classes: DataFrame, *, budget: int = 2, max_group: int = 200_000,
         keyed = cut(hot.select("turn", a.alias("pa"), b.alias("pb"), (F.col("depth") + step_bits).alias("depth"), (F.col("diff") + F.col("flipped")).alias("diff"), "value", "rep"))
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 3, budget: int = 2, **options) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links of at most `budget` bits."""
-    prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(F.col(text), width).alias("bits")))
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 3, budget: int = 2, carry: dict[str, Column] | None = None, **options) -> DataFrame:
+    """doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links of at most `budget` bits.
+
+    A row per input row; `carry` names small expressions of it that come along."""
+    carried = [c.alias(name) for name, c in (carry or {}).items()]
+    prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(F.col(text), width).alias("bits"), *carried))
     classes = cut(prints.groupBy("bits").agg(F.min("doc_id").alias("rep")))
     known = classes.filter("rep is not null")
     roots = components(near_links(known, budget=budget, **options))
     merged = classes.join(roots, classes["rep"] == roots["node"], "left").select("bits", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(merged, "bits").select("doc_id", F.col("bits").alias("fingerprint"), "component_id")
+    return prints.join(merged, "bits").select("doc_id", F.col("bits").alias("fingerprint"), "component_id", *(carry or {}))

@@ -440,3 +440,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(abs(got[s] - t) <= 0.1 * t + 200 for s, t in plain_targets(had).items())
     assert sum(r["size"] for r in seen["best-fit packing"].collect()) == sum(got.values())
     assert c.run(spark, str(tmp_path)).count() == seen["best-fit packing"].count()
+
+
+def test_near_copies_of_an_id_with_several_texts(spark):
+    import corpus_pipeline as c
+
+    one, other = "one text of some words that has copies", "another text that nothing else is close to at all"
+    rows = [(3, one), (5, one), (5, other), (8, other), (None, one), (None, None), (9, None), (11, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in c.drop_near_copies(spark, docs, "").collect())
+    assert got == Counter([(3, one), (5, other), (None, one), (None, None), (9, None)])
