@@ -99,6 +99,7 @@ def dropped_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     lines = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(whole).alias("tag"), F.posexplode(F.split(whole, "\n", -1)).alias("pos", "line"))
     keyed = lines.select("doc", "tag", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     hashed = keyed.select("doc", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+    hashed = cut(hashed)  # finding the ranges reads all rows once more: these, not the texts
     order = ["h1", "h2", F.col("doc").desc(), "pos"]
     marks = cut(hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_first_occurrences(min_docs), _MARKS))
     edges = marks.filter("open")
