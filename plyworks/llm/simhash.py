@@ -8,8 +8,8 @@ bits a round, each pair of child nodes becoming a group of its own; the others a
 subtries of a slice at once. A task gives a spanning forest of the links it found, and components join the forests.
 
 Defined results: a text without words (or null) has fingerprint zero, which links like any other; fewer words than a
-shingle give one shingle; rows that repeat an id are told apart by their fingerprints; a null id takes no part in
-"smallest" (a component without any id is null); an empty table gives an empty result; other columns are ignored.
+shingle give one shingle; rows that repeat an id are told apart by their fingerprints, which are the nodes of the graph; a null id links
+like any other but takes no part in "smallest" (a component without any id is null); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     A row per input row; `carry` names small expressions of it that come along."""
     carried = [c.alias(name) for name, c in (carry or {}).items()]
     prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(F.col(text), width).alias("bits"), *carried))
-    classes = cut(prints.groupBy("bits").agg(F.min("doc_id").alias("rep")))
-    known = classes.filter("rep is not null")
-    roots = components(near_links(known, budget=budget, **options))
-    merged = classes.join(roots, classes["rep"] == roots["node"], "left").select("bits", F.coalesce("root", "rep").alias("component_id"))
+    classes = cut(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
+    roots = components(near_links(classes.select("bits", F.col("bits").alias("rep")), budget=budget, **options))
+    rooted = classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    merged = rooted.join(smallest, "root").select("bits", "component_id")
     return prints.join(merged, "bits").select("doc_id", F.col("bits").alias("fingerprint"), "component_id", *(carry or {}))

@@ -164,6 +164,23 @@ def test_simhash_groups(spark, docs, empty):
     assert simhash.near_duplicates(docs).count() == len(ROWS) and simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_nodes_are_fingerprints(spark):
+    """An id with two texts is two nodes, and a text without an id links those on either side of it."""
+    base, flip = plain_print("a first text of several words"), lambda b, *at: b ^ sum(1 << k for k in at)
+    signed = lambda b: b - 2**64 if b >= 2**63 else b
+    other, far = flip(base, *range(20, 50)), flip(base, *range(0, 64, 3))
+    rows = [(3, base), (5, flip(base, 1)), (5, other), (7, far), (None, flip(far, 1, 2)), (8, flip(far, 1, 2, 4, 5)), (None, flip(far, *range(20, 50)))]
+    texts = {f"t{k}": signed(b) for k, (_, b) in enumerate(rows)}
+    df = spark.createDataFrame([(d, f"t{k}") for k, (d, _) in enumerate(rows)], "doc_id long, text string")
+    plain, simhash.fingerprint_column = simhash.fingerprint_column, lambda text, width: F.create_map(*[F.lit(x) for kv in texts.items() for x in kv])[text]
+    try:
+        got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(df).collect()}
+    finally:
+        simhash.fingerprint_column = plain
+    want = [3, 3, 5, 7, 7, 7, None]
+    assert got == {(d, signed(b)): c for (d, b), c in zip(rows, want)}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "u long, v long")
     assert {r.node: r.root for r in graph.components(edges).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
