@@ -106,6 +106,53 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def _bound(text: list[str], counts: Counter) -> int:
+    """Words that an alignment could pair at most."""
+    return sum(min(n, c) for w, c in Counter(text).items() if (n := counts[w]))
+
+
+def _copy(text: list[str], at: list[int], template: list[str], counts: Counter, need: float, reach: int) -> list[tuple[int, int]]:
+    """The alignment of one copy in a part of a text, or nothing; `at` has the places of the part's words in the whole.
+
+    Windows of about one length come first, so that repeated copies, which leave no unique words, are met one by one."""
+    if _bound(text, counts) < need:
+        return []
+    size = len(template)
+    for width, step in ((size + size // 4, max(1, size // 8)), (2 * size + size // 4, max(1, size // 4)), (len(text), len(text))):
+        for a in range(0, max(1, len(text) - width + step), step):
+            part = text[a : a + width]
+            if _bound(part, counts) >= need and (pairs := _run(part, at[a : a + width], template, need, reach)):
+                (i, j), (k, m) = pairs[0], pairs[-1]
+                # Once more where a whole copy would lie, without the words before and after it.
+                first, last = max(0, a + i - j), a + k + size - m
+                again = [(first + x, y) for x, y in patience(text[first:last], template)]
+                if len(again) < len(pairs) or at[again[-1][0]] - at[again[0][0]] >= 2 * size:
+                    again = [(a + x, y) for x, y in pairs]
+                if len(again) >= need:
+                    return again
+    return []
+
+
+def _run(text: list[str], at: list[int], template: list[str], need: float, reach: int) -> list[tuple[int, int]]:
+    """The longest run of aligned pairs within two lengths, without pairs that stand off at its ends; nothing if it is far from `need`."""
+    pairs = patience(text, template)
+    lo, best = 0, (0, 0)
+    for hi in range(len(pairs)):
+        while at[pairs[hi][0]] - at[pairs[lo][0]] >= 2 * len(template):
+            lo += 1
+        best = max(best, (lo, hi + 1), key=lambda r: r[1] - r[0])
+    run = pairs[best[0] : best[1]]
+    if len(run) < need - 2:
+        return []
+    off = lambda p, q: at[q[0]] - at[p[0]] > reach
+    core = run
+    while len(core) > max(2, need - 2) and off(core[0], core[1]):
+        core = core[1:]
+    while len(core) > max(2, need - 2) and off(core[-2], core[-1]):
+        core = core[:-1]
+    return core
+
+
 def _compile(templates: dict[str, str]):
     out = []
     for name, text in templates.items():
@@ -130,21 +177,21 @@ def scan(text: str | None, compiled, min_coverage: float) -> list[tuple[str, flo
         reach = max(4, len(template) // 4)
         places = [i for i, w in enumerate(found) if w in counts]
         cuts = [0, *(k for k in range(1, len(places)) if places[k] - places[k - 1] > reach), len(places)]
-        for a, b in zip(cuts, cuts[1:]):
-            while b - a >= need:
-                # A region that holds several copies has no unique words: it is taken in parts of a few lengths.
-                region = places[a : min(b, a + 4 * len(template))]
-                words_ = [found[i] for i in region]
-                if sum(min(n, c) for w, c in Counter(words_).items() if (n := counts[w])) < need:
-                    pairs = []
-                else:
-                    pairs = patience(words_, template)
-                if len(pairs) >= need and (region[pairs[-1][0]] - region[pairs[0][0]]) < 2 * len(template):
-                    spans = spans or [m.span() for m in _WORD.finditer(low)]
-                    hits.append((name, len(pairs) / len(template), spans[region[pairs[0][0]]][0], spans[region[pairs[-1][0]]][1], len(pairs)))
-                    a += pairs[-1][0] + 1
-                else:
-                    a += max(1, len(region) // 2) if len(region) > len(template) else len(region)
+        stack = list(zip(cuts, cuts[1:]))[::-1]
+        while stack:
+            a, b = stack.pop()
+            if b - a < need:
+                continue
+            # A hit's words lie within two lengths, so parts of four lengths, half a part on each time, hold it whole.
+            end = min(b, a + 4 * len(template))
+            pairs = _copy([found[i] for i in places[a:end]], places[a:end], template, counts, need, reach)
+            if pairs:
+                spans = spans or [m.span() for m in _WORD.finditer(low)]
+                first, last = a + pairs[0][0], a + pairs[-1][0]
+                hits.append((name, len(pairs) / len(template), spans[places[first]][0], spans[places[last]][1], len(pairs)))
+                stack += [(last + 1, b), (a, first)]
+            elif end < b:
+                stack.append((a + 2 * len(template), b))
     return hits
 
 

@@ -210,6 +210,19 @@ def test_patience_is_a_common_subsequence():
     assert len(licenses.patience(words[:20] + ["x"] * 7 + words[20:], words)) == 50
 
 
+def test_notices_after_stray_words():
+    """Words of the template before or after a notice, and copies in a row, hide none of them."""
+    gpl = licenses.TEMPLATES["GPL-3.0-or-later"]
+    size = len(licenses._WORD.findall(gpl))
+    prose = " ".join(w for k in range(30) for w in (["of", "the", "it", "and", "or"][k % 5], f"x{k}", f"y{k}"))
+    long_ = " ".join(f"w{k % 230}" for k in range(260))
+    compiled = licenses._compile({"GPL": gpl, "long": long_})
+    for text, want in ((f"this {prose} {gpl}", 1), (f"{gpl} {prose} details", 1), (f"this {prose} {gpl} {prose} details", 1), (f"{prose} {gpl} {gpl} {gpl}", 3), (f"It {' '.join([long_.replace('w0 ', 'v ', 1)] * 3)}", 3), (prose, 0)):
+        hits = licenses.scan(text, compiled, 0.8)
+        assert len(hits) == want and all(h[1] >= 0.99 for h in hits), (text[:40], hits)
+        assert all(text[h[2] : h[3]] == gpl.rstrip(".") for h in hits if h[0] == "GPL") and all(h[4] == size for h in hits if h[0] == "GPL")
+
+
 # 5 and 6: learned
 
 
