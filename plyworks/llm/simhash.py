@@ -58,6 +58,19 @@ def fingerprint_column(text, width: int = 3):
     return prints(text)
 
 
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct XXH64 values of a text's shingles, sorted; words and shingles as in `fingerprint`."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    spans = (words[i : i + width] for i in range(max(1, len(words) - width + 1))) if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), 42) for x in spans), np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; two empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
 class _Forest:
     """Labels of the rows of a slice; linked rows get the smallest label."""
 
@@ -221,3 +234,36 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     merged = rooted.join(smallest, "root").select("bits", "component_id")
     return prints.join(merged, "bits").select("doc_id", F.col("bits").alias("fingerprint"), "component_id", *(carry or {}))
+
+
+def near_copies(docs: DataFrame, *, width: int, budget: int, least: float, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """doc_id, tag (XXH64 of the text) and kept, the doc_id that stands for the text: a row per id and text; null ids have none.
+
+    Fingerprints within `budget` bits only suggest a group. In each group the text of the smallest doc_id is kept, and every
+    text whose shingles have a Jaccard similarity of `least` to it goes with it; the rest is treated likewise until none is
+    left. So a text goes only for one that is kept and is as similar as that, and no two kept texts of a group are."""
+    tag = F.xxhash64(text)
+    groups = near_duplicates(docs, text=text, doc_id=doc_id, width=width, budget=budget, carry={"tag": tag}, **options)
+    members = cut(groups.filter("doc_id is not null").select("component_id", "tag", "doc_id").distinct())
+    texts = members.groupBy("component_id", "tag").agg(F.min("doc_id").alias("least"))
+    several = texts.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    texts = texts.join(several, "component_id")
+
+    @F.pandas_udf(T.BinaryType())
+    def sets(values: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, width).tobytes() for t in values], dtype=object)
+
+    @F.pandas_udf(T.BooleanType())
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(a, b)], dtype=bool)
+
+    source = docs.select(F.col(doc_id).cast("long").alias("least"), tag.alias("tag"), F.col(text).alias("text"))
+    open_ = cut(texts.join(source, ["least", "tag"]).dropDuplicates(["component_id", "tag"]).select("component_id", "tag", "least", sets("text").alias("set")))
+    settled = open_.select("component_id", "tag", F.col("least").alias("kept")).limit(0)
+    while not open_.isEmpty():
+        lead = open_.groupBy("component_id").agg(F.min(F.struct("least", "tag", "set")).alias("lead"))
+        judged = cut(open_.join(lead, "component_id").select("component_id", "tag", "least", "set", F.col("lead.least").alias("kept"), alike("set", F.col("lead.set")).alias("goes")))
+        settled = settled.unionByName(judged.filter("goes").select("component_id", "tag", "kept"))
+        open_ = judged.filter("not goes").select("component_id", "tag", "least", "set")
+    out = members.join(settled, ["component_id", "tag"], "left")
+    return out.select("doc_id", "tag", F.coalesce("kept", "component_id").alias("kept"))

@@ -480,3 +480,18 @@ def test_near_copies_of_an_id_with_several_texts(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r.doc_id, r.text) for r in c.drop_near_copies(spark, docs, "").collect())
     assert got == Counter([(3, one), (5, other), (None, one), (None, None), (9, None)])
+
+
+def test_near_copies_by_shingles(spark):
+    """Near copies at 0.8 to 0.95 go, a text that is less alike stays, whatever its fingerprint."""
+    import corpus_pipeline as c
+
+    words = [f"word{k}" for k in range(400)]
+    edit = lambda *at: " ".join("other" if k in at else w for k, w in enumerate(words))
+    texts = [edit(), edit(200), edit(100, 300), edit(50, 150, 250), edit(50, 130, 210, 290, 370), edit(*range(20, 400, 6))]
+    like = [simhash.similarity(simhash.shingles(texts[0], 5), simhash.shingles(t, 5)) for t in texts]
+    assert 0.8 <= min(like[:5]) and max(like[1:5]) > 0.95 and like[5] < 0.8
+    rows = [(k + 1, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in c.drop_near_copies(spark, docs, "").collect()) == [1, 6]
+    assert {r.doc_id: r.kept for r in simhash.near_copies(docs, width=5, budget=20, least=0.8).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
