@@ -15,13 +15,14 @@ like any other but takes no part in "smallest" (a component without any id is nu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,25 +30,33 @@ from .common import cut
 from .graph import components
 
 BITS = 64
+NO_ID = -(2**63)
 _LINK = "u long, v long"
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits as a signed integer: a bit is set if it is in over half of the shingles' XXH64 values (seed 42)."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's shingles, repeats included; fewer words than `width` are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII white space and A-Z only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
-    starts, ends = starts[:n], ends[min(width, len(words)) - 1 :]
+    spans = zip(starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist())
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """64 bits as a signed integer: a bit is set if it is in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        spans = zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist())
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return bits_of(shingle_hashes(text, width))
 
 
 def fingerprint_column(text, width: int = 3):
@@ -59,10 +68,8 @@ def fingerprint_column(text, width: int = 3):
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
-    """Distinct XXH64 values of a text's shingles, sorted; words and shingles as in `fingerprint`."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    spans = (words[i : i + width] for i in range(max(1, len(words) - width + 1))) if words else ()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), 42) for x in spans), np.uint64))
+    """Distinct hashes of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -118,8 +125,10 @@ def trie_links(values: np.ndarray, pairs: np.ndarray, depth: np.ndarray, budget:
             forest.link(i[near], j[near])
         more = ~single
         if d >= BITS or not more.any():
-            if more.any():  # equal values
-                forest.link(a0[more], b0[more])
+            for low, high, to in ((a0, a1, a0), (b0, b1, a0)) if more.any() else ():  # equal values
+                many = (high - low)[more]
+                rows = np.arange(many.sum()) + np.repeat(low[more] - (np.cumsum(many) - many), many)
+                forest.link(rows, np.repeat(to[more], many))
             continue
         a0, a1, b0, b1, diff = (x[more] for x in (a0, a1, b0, b1, diff))
         open_ = ~forest.joined(a0, a1, b0, b1)
@@ -188,14 +197,19 @@ def _follow(budget: int, slice_rows: int):
     return stream
 
 
-def near_links(classes: DataFrame, *, budget: int = 2, max_group: int = 200_000, step_bits: int = 6) -> DataFrame:
-    """edges(u, v) that connect all classes (bits long, rep long) within `budget` differing bits, directly or over others."""
-    sizes = [BITS // (budget + 1) + (k < BITS % (budget + 1)) for k in range(budget + 1)]
-    shifts = [sum(sizes[:k]) for k in range(budget + 1)]
-    turns = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(shifts[k]).alias("shift"), F.lit(sizes[k]).alias("depth")) for k in range(budget + 1)])
-    rotated = F.expr("case when shift = 0 then bits else shiftleft(bits, shift) | shiftrightunsigned(bits, 64 - shift) end")
-    keyed = classes.select("bits", "rep", F.inline(turns)).withColumn("value", rotated)
-    keyed = keyed.withColumn("pa", F.expr("shiftrightunsigned(value, 64 - depth)"))
+def near_links(classes: DataFrame, *, budget: int = 2, led: bool = False, max_group: int = 200_000, step_bits: int = 6) -> DataFrame:
+    """edges(u, v) that connect all classes (bits long, rep long) within `budget` differing bits, directly or over others.
+
+    With `led`, only classes of the same `lead` (long) are compared: each lead is the root of a trie of its own."""
+    if led:
+        keyed = classes.select(F.col("lead").alias("turn"), F.lit(0).cast("long").alias("pa"), F.lit(0).alias("depth"), F.col("bits").alias("value"), "rep")
+    else:
+        sizes = [BITS // (budget + 1) + (k < BITS % (budget + 1)) for k in range(budget + 1)]
+        shifts = [sum(sizes[:k]) for k in range(budget + 1)]
+        turns = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(shifts[k]).alias("shift"), F.lit(sizes[k]).alias("depth")) for k in range(budget + 1)])
+        rotated = F.expr("case when shift = 0 then bits else shiftleft(bits, shift) | shiftrightunsigned(bits, 64 - shift) end")
+        keyed = classes.select("bits", "rep", F.inline(turns)).withColumn("value", rotated)
+        keyed = keyed.withColumn("pa", F.expr("shiftrightunsigned(value, 64 - depth)"))
     keyed = keyed.select("turn", "pa", F.col("pa").alias("pb"), "depth", F.lit(0).alias("diff"), "value", "rep")
     group = ["turn", "pa", "pb", "depth"]
     found = None
@@ -222,32 +236,115 @@ def near_links(classes: DataFrame, *, budget: int = 2, max_group: int = 200_000,
         keyed = cut(hot.select("turn", a.alias("pa"), b.alias("pb"), (F.col("depth") + step_bits).alias("depth"), (F.col("diff") + F.col("flipped")).alias("diff"), "value", "rep"))
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 3, budget: int = 2, carry: dict[str, Column] | None = None, **options) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links of at most `budget` bits.
-
-    A row per input row; `carry` names small expressions of it that come along."""
-    carried = [c.alias(name) for name, c in (carry or {}).items()]
-    prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(F.col(text), width).alias("bits"), *carried))
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 3, budget: int = 2, **options) -> DataFrame:
+    """doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links of at most `budget` bits; a row per input row."""
+    prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(F.col(text), width).alias("bits")))
     classes = cut(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(classes.select("bits", F.col("bits").alias("rep")), budget=budget, **options))
     rooted = classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     merged = rooted.join(smallest, "root").select("bits", "component_id")
-    return prints.join(merged, "bits").select("doc_id", F.col("bits").alias("fingerprint"), "component_id", *(carry or {}))
+    return prints.join(merged, "bits").select("doc_id", F.col("bits").alias("fingerprint"), "component_id")
+
+
+@lru_cache
+def _salts(n: int) -> np.ndarray:
+    return np.random.default_rng(11).integers(0, 1 << 32, (2, n), np.uint32) | np.array([[0], [1]], np.uint32)
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of `rows` min-hashes. Two texts of similarity s share one with chance s ** rows."""
+    flip, times = _salts(bands * rows)
+    low, least = hashes.astype(np.uint32), np.full(bands * rows, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 2048):
+        np.minimum(least, ((low[at : at + 2048, None] ^ flip) * times).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(bands, rows))], np.uint64).view(np.int64)
+
+
+def verified_links(sets: list[np.ndarray], label: np.ndarray, least: float, first: int = 8) -> list[tuple[int, int]]:
+    """Links that join all rows whose shingle sets have a Jaccard similarity of `least`; rows of equal label count as joined.
+
+    Some rows are compared with all others; the label that then has most rows is the main one. Of two rows that still
+    have to be joined one at least has another label, so comparing only the rows of other labels leaves nothing out."""
+    n, label = len(sets), label.copy()
+    size = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=1))])
+    holders = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(size)])
+    main, out = None, []
+    first = first if len(np.unique(label)) == n else 0
+    for i in range(n):
+        if i == first:
+            names, rows = np.unique(label, return_counts=True)
+            main = names[rows.argmax()]
+        if i >= first and label[i] == main:
+            continue
+        own = code[start[i] : start[i + 1]]
+        a, many = begin[own], begin[own + 1] - begin[own]
+        both = np.bincount(holders[np.arange(many.sum()) + np.repeat(a - (np.cumsum(many) - many), many)], minlength=n)
+        union = size + size[i] - both
+        near = np.flatnonzero(np.where(union > 0, both / np.maximum(union, 1), 1.0) >= least)
+        before = label[i]
+        for other, at in zip(*np.unique(label[near], return_index=True)):
+            if other != before:
+                out.append((i, int(near[at])))
+                low, high = (main, other) if label[i] == main else (other, label[i])
+                label[label == high] = low
+    return out
+
+
+def _verify(least: float):
+    """Rows sorted by group (key, a, b) with tag, label and set: verified links inside each group."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        return [(rows[i][3], rows[j][3]) for i, j in verified_links(sets, np.array([r[4] for r in rows]), least)]
 
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    found += links(held)
+                    held = []
+                held.append(row)
+            yield _pairs(found)
+        yield _pairs(links(held))
+
+    return stream
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-def near_copies(docs: DataFrame, *, width: int, budget: int, least: float, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """doc_id, tag (XXH64 of the text) and kept, the doc_id that stands for the text: a row per id and text; null ids have none.
 
-    Fingerprints within `budget` bits only suggest a group. In each group the text of the smallest doc_id is kept, and every
-    text whose shingles have a Jaccard similarity of `least` to it goes with it; the rest is treated likewise until none is
-    left. So a text goes only for one that is kept and is as similar as that, and no two kept texts of a group are."""
+def _verified(rows: DataFrame, least: float) -> DataFrame:
+    """Verified links of rows (key, a, b, tag, label, set) inside each (key, a, b)."""
+    group = ["key", "a", "b"]
+    return rows.select(*group, "tag", "label", "set").repartition(*group).sortWithinPartitions(*group).mapInArrow(_verify(least), _LINK)
+
+
+def near_copies(
+    docs: DataFrame, *, width: int = 5, budget: int = 20, least: float = 0.8, bands: int = 20, rows: int = 6, max_texts: int = 2000,
+    text: str = "text", doc_id: str = "doc_id", **options,
+) -> DataFrame:
+    """doc_id, tag (XXH64 of the text) and kept, the smallest doc_id of the group: a row per id and text; null ids have none.
+
+    Texts are linked if their shingles have a Jaccard similarity of `least`; groups are what links connect. Candidates come
+    from tries led by bands of min-hashes: texts meet where a band agrees, and their fingerprints are followed down with
+    `budget` bits. What that connects is a set of candidates, in which links are checked on the shingles themselves: sets
+    of up to `max_texts` texts inside a task, all pairs counting. In larger ones all texts are compared with one leader,
+    and what this leaves apart is checked band by band, in blocks of `max_texts`."""
     tag = F.xxhash64(text)
-    groups = near_duplicates(docs, text=text, doc_id=doc_id, width=width, budget=budget, carry={"tag": tag}, **options)
-    members = cut(groups.filter("doc_id is not null").select("component_id", "tag", "doc_id").distinct())
-    texts = members.groupBy("component_id", "tag").agg(F.min("doc_id").alias("least"))
-    several = texts.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    texts = texts.join(several, "component_id")
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sketch(values: pd.Series) -> pd.Series:
+        hashes = (shingle_hashes(t, width) for t in values)
+        return pd.Series([np.append(np.int64(bits_of(h)), band_keys(h, bands, rows)) for h in hashes], dtype=object)
 
     @F.pandas_udf(T.BinaryType())
     def sets(values: pd.Series) -> pd.Series:
@@ -257,13 +354,34 @@ def near_copies(docs: DataFrame, *, width: int, budget: int, least: float, text:
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(a, b)], dtype=bool)
 
-    source = docs.select(F.col(doc_id).cast("long").alias("least"), tag.alias("tag"), F.col(text).alias("text"))
-    open_ = cut(texts.join(source, ["least", "tag"]).dropDuplicates(["component_id", "tag"]).select("component_id", "tag", "least", sets("text").alias("set")))
-    settled = open_.select("component_id", "tag", F.col("least").alias("kept")).limit(0)
-    while not open_.isEmpty():
-        lead = open_.groupBy("component_id").agg(F.min(F.struct("least", "tag", "set")).alias("lead"))
-        judged = cut(open_.join(lead, "component_id").select("component_id", "tag", "least", "set", F.col("lead.least").alias("kept"), alike("set", F.col("lead.set")).alias("goes")))
-        settled = settled.unionByName(judged.filter("goes").select("component_id", "tag", "kept"))
-        open_ = judged.filter("not goes").select("component_id", "tag", "least", "set")
-    out = members.join(settled, ["component_id", "tag"], "left")
-    return out.select("doc_id", "tag", F.coalesce("kept", "component_id").alias("kept"))
+    prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), tag.alias("tag"), sketch(F.col(text)).alias("sketch")))
+    classes = cut(prints.groupBy("tag").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")))
+    keyed = classes.select("tag", F.element_at("sketch", 1).alias("bits"), F.explode(F.slice("sketch", 2, bands)).alias("lead"))
+    found = components(near_links(keyed.select("lead", "bits", F.col("tag").alias("rep")), budget=budget, led=True, **options))
+    found = cut(found.select(F.col("node").alias("tag"), "root").unionByName(found.select(F.col("root").alias("tag"), "root").distinct()))
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.min("tag").alias("leader"))
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("least"), tag.alias("tag"), F.col(text).alias("text"))
+    wanted = found.join(sizes, "root").join(classes.select("tag", F.coalesce("least", F.lit(NO_ID)).alias("least")), "tag")
+    held = wanted.join(source, ["least", "tag"]).dropDuplicates(["tag"]).select("tag", "root", "texts", "leader", sets("text").alias("set"))
+    held = cut(held)
+    zero = F.lit(0).alias
+    links = _verified(held.filter(F.col("texts") <= max_texts).select(F.col("root").alias("key"), zero("a"), zero("b"), "tag", F.col("tag").alias("label"), "set"), least)
+    large = held.filter(F.col("texts") > max_texts)
+    if not large.isEmpty():
+        lead = large.filter("tag = leader").select("root", F.col("set").alias("with"))
+        judged = cut(large.join(lead, "root").select("tag", "root", "leader", "set", alike("set", "with").alias("joined")))
+        stars = judged.filter("joined and tag <> leader").select(F.col("tag").alias("u"), F.col("leader").alias("v"))
+        label = F.when(F.col("joined"), F.col("leader")).otherwise(F.col("tag"))
+        placed = judged.select("tag", label.alias("label")).join(keyed.select("tag", "lead"), "tag")
+        open_ = placed.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        open_ = open_.filter("low <> high").select("lead", F.ceil(F.col("n") / max_texts).alias("blocks"))
+        placed = placed.join(open_, "lead").withColumn("own", F.pmod(F.xxhash64("tag"), F.col("blocks")))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        placed = placed.select(F.col("lead").alias("key"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "tag", "label")
+        rest = _verified(placed.join(judged.select("tag", "set"), "tag"), least)
+        links = links.unionByName(stars).unionByName(rest)
+    roots = components(links)
+    rooted = classes.join(roots, classes["tag"] == roots["node"], "left").select("tag", "least", F.coalesce("root", "tag").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("kept"))
+    merged = rooted.join(smallest, "root").select("tag", "kept")
+    return prints.filter("doc_id is not null").select("doc_id", "tag").distinct().join(merged, "tag").select("doc_id", "tag", "kept")
