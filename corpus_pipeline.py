@@ -11,8 +11,8 @@ from plyworks.llm import linededup, mixing, packing, simhash, toxicity
 from plyworks.llm.common import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near copies: words a shingle, bits in which fingerprints may differ, and the similarity that the shingles must have.
-NEAR_WIDTH, NEAR_BITS, NEAR_SIMILARITY = 5, 10, 0.8
+#: Near copies: words a shingle, and the similarity that the shingles must have.
+NEAR_WIDTH, NEAR_SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, texts whose five-word shingles have a Jaccard similarity of 0.8, the smallest doc_id stays; documents without an id all stay.
+    """Of texts that links of near copies connect, those whose five-word shingles have a Jaccard similarity of 0.8, the smallest doc_id stays.
 
-    Where an id comes with several texts, each text goes or stays by its own group."""
-    groups = simhash.near_copies(docs, width=NEAR_WIDTH, budget=NEAR_BITS, least=NEAR_SIMILARITY)
+    Where an id comes with several texts, each text goes or stays by its own group. Documents without an id all stay."""
+    groups = simhash.near_copies(docs, width=NEAR_WIDTH, least=NEAR_SIMILARITY)
     gone = groups.filter("doc_id <> kept").select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).distinct()
     return docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__tag")), "left_anti").select(*COLUMNS)
 
