@@ -39,14 +39,23 @@ def may_learn(doc_id: Column) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there, so that a lost executor costs one stage.
 
-    The folder is the one the session names in spark.checkpoint.dir; only a session without one (a test) gets its own.
+    The folder is the one the session names in spark.checkpoint.dir. Only a local session without one (a test) gets its
+    own, as no executor of a cluster could read that.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plyworks-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plyworks-"))
+    return context.getCheckpointDir()
+
+
 def running_start(df: DataFrame, key: str, segment: str, order: list[str], value: Column, out: str) -> DataFrame:
     """`out`: sum of `value` over the rows of the same key that come before, by (segment, order).
 
@@ -70,15 +79,29 @@ def running_start(df: DataFrame, key: str, segment: str, order: list[str], value
 BROADCAST_STRATA = 10_000
 
 
-def smallest_hashes(df: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
-    """The n rows of each stratum whose key has the smallest hash; null strata are left out.
+def smallest_hashes(df: DataFrame, stratum: str, key: str, n: int, total: int | None = None) -> DataFrame:
+    """One row for each of the n keys of each stratum with the smallest hash, or of all its keys if they are fewer.
+
+    n shrinks where the strata are so many that all together would have more than `total` rows.
 
-    Hashes are evenly spread, so a stratum's count tells below which hash its n smallest lie. Rows far above that are
-    dropped where they are read, and only what is left, a little over n rows a stratum, is ordered.
+    Of the rows that share a key the least one is taken; null strata are left out. Hashes are evenly spread, so the rows
+    of a stratum tell below which hash its n smallest should lie; rows above that are dropped where they are read. Where
+    rows share keys, that may leave fewer than n, and the hash is raised until it leaves enough or all.
     """
-    counts = cut(df.filter(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.count(F.lit(1)).alias("__n")))
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_STRATA else counts
+    rest = [c for c in df.columns if c not in (stratum, key)]
     place = F.xxhash64(key) / F.lit(2.0**64) + 0.5
-    near = df.join(counts, stratum).filter(place * F.col("__n") <= 1.25 * n + 256).drop("__n")
+    counts = cut(df.filter(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.count(F.lit(1)).alias("__rows")))
+    strata = counts.count()
+    n = n if total is None else max(1, min(n, total // max(strata, 1)))
+    cuts, small = counts.select(stratum, ((1.25 * n + 256) / F.col("__rows")).alias("__below")), strata <= BROADCAST_STRATA
+    while True:
+        near = df.join(F.broadcast(cuts) if small else cuts, stratum).filter(place <= F.col("__below"))
+        near = cut(near.groupBy(stratum, key).agg(F.min(F.struct(F.xxhash64(*rest), *rest) if rest else F.lit(0)).alias("__row")))
+        had = near.groupBy(stratum).agg(F.count(F.lit(1)).alias("__had"))
+        wider = cuts.join(had, stratum, "left").withColumn("__short", (F.coalesce("__had", F.lit(0)) < n) & (F.col("__below") < 1))
+        if not wider.agg(F.coalesce(F.max("__short"), F.lit(False))).first()[0]:
+            break
+        cuts = cut(wider.select(stratum, F.when(F.col("__short"), F.col("__below") * 8).otherwise(F.col("__below")).alias("__below")))
     first = Window.partitionBy(stratum).orderBy(F.xxhash64(key), key)
-    return near.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= n).drop("__rank")
+    ranked = near.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= n)
+    return ranked.select(stratum, key, *[F.col("__row")[c].alias(c) for c in rest])

@@ -4,20 +4,23 @@ Bytes are embedded, filters of several widths run over a window, the largest res
 over the languages. A text is cut into windows of `WINDOW` bytes (the last one is padded); the text's answer is the
 mean over all its windows, weighted by their length.
 
-Training takes a bounded sample: `sample_docs` documents of each language, those with the smallest hash of their id,
-and of each one `windows_per_doc` excerpts at hashed places.
+Training takes a bounded sample: `sample_docs` documents of each language (`sample_total` over all), those with the
+smallest hash of their id, and of each one `windows_per_doc` excerpts at hashed places. One task trains on that sample.
 
 Defined results: a null text or one without a letter is `und` with score 0; without labelled rows all texts are `und`;
-null languages are not learned; rows that repeat an id are scored one by one; an empty table gives an empty result;
+null languages are not learned; of rows that repeat an id and a language one is learned from, all are scored one by one; an empty table gives an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,20 +137,27 @@ def window_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass")[:WINDOW].ljust(WINDOW, b" "), np.uint8)
 
 
-def fit_languages(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = 800, windows_per_doc: int = 3) -> ByteConvNet | None:
-    """A network from labelled documents that are not held out; None if there are none."""
+def fit_languages(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = 800, sample_total: int = 32_000, windows_per_doc: int = 3) -> ByteConvNet | None:
+    """A network from labelled documents that are not held out; None if there are none.
+
+    At most `sample_docs` documents of each language are used, and fewer where languages are so many that all would be over `sample_total`."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & may_learn(F.col("doc_id"))).filter(F.col("text").rlike(r"\p{L}"))
     room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     places = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(k)), room).cast("int") + 1, F.lit(WINDOW)).alias(f"w{k}") for k in range(windows_per_doc)]
-    rows = rows.select("doc_id", "lang", F.length("text").alias("n"), *places)
-    got = smallest_hashes(rows, "lang", "doc_id", sample_docs).toPandas()
-    if not len(got):
-        return None
-    got = got.sort_values(["doc_id", "lang", "n", "w0"], kind="stable")
-    languages = sorted(got["lang"].unique())
-    excerpts = [(window_of(t), languages.index(x)) for k in range(windows_per_doc) for t, x in zip(got[f"w{k}"], got["lang"])]
-    return ByteConvNet.fresh(languages).fit(np.stack([w for w, _ in excerpts]), np.array([x for _, x in excerpts]))
+    rows = rows.select("doc_id", "lang", *places)
+    sample = smallest_hashes(rows, "lang", "doc_id", sample_docs, sample_total)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(tuple(r.values()) for b in batches for r in b.to_pylist())
+        languages = sorted({r[1] for r in got})
+        excerpts = [(window_of(r[2 + k]), languages.index(r[1])) for k in range(windows_per_doc) for r in got]
+        net = ByteConvNet.fresh(languages).fit(np.stack([w for w, _ in excerpts]), np.array([x for _, x in excerpts])) if got else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    # The sample is bounded, so one task can take it; only the network comes to the driver.
+    fitted = sample.select("doc_id", "lang", *[f"w{k}" for k in range(windows_per_doc)]).repartition(1).mapInArrow(fit, "net binary").first()
+    return pickle.loads(fitted["net"]) if fitted else None
 
 
 def predict_language(net: ByteConvNet | None, text: Column) -> Column:

@@ -39,6 +39,11 @@ class Mix:
         return df.join(F.broadcast(self.sources) if self.small else self.sources, "source_no")
 
 
+def place_of(seed: int, doc_id: Column, text: Column) -> Column:
+    """A row's place in the shuffled order of its source."""
+    return F.xxhash64(F.lit(seed), doc_id, text)
+
+
 def cyclic_weight(ordinal: Column) -> Column:
     """Weights 1, 2, 3, repeating over the sources in order."""
     return (F.pmod(ordinal - 1, F.lit(3)) + 1).cast("double")
@@ -70,7 +75,7 @@ def plan_mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sou
     sized = cut(
         docs.select(
             F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("place"),
+            place_of(seed, F.col(doc_id), F.col(text)).alias("place"),
         )
     )
     size, blocks = F.col("source_size"), F.ceil(F.col("source_size") / block_tokens).cast("long")
@@ -108,27 +113,28 @@ def plan_mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sou
 def document_shares(mix: Mix) -> DataFrame:
     """A row per document: size, source_size, target, `taken` words and `passes`, the times the mix reads its first word."""
     b = mix.block_tokens
-    uses = mix.slots.groupBy("source_no", "block", "tokens").agg(F.count(F.lit(1)).alias("times"))
-    docs = mix.documents.drop("segment", "place")
-    last = F.expr(f"(start + greatest(size, 1) - 1) div {b}")
-    pieces = docs.withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), last)))
-    begin = F.greatest("start", F.col("block") * b)
-    until = F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("tokens"))
-    joined = pieces.join(uses, ["source_no", "block"], "left")
-    words = F.greatest(F.lit(0), until - begin) * F.col("times")
-    reads = F.when(F.col("start").between(F.col("block") * b, F.col("block") * b + F.col("tokens") - 1), F.col("times"))
-    shares = joined.select("doc_id", "source_no", "start", "size", F.coalesce(words, F.lit(0)).alias("words"), F.coalesce(reads, F.lit(0)).alias("reads"))
-    # (source, start, size) tells rows apart: of those without words none takes anything, and equal ones stay apart by their count.
-    alone = shares.groupBy("doc_id", "source_no", "start", "size", F.when(F.col("size") == 0, F.monotonically_increasing_id()).alias("row"))
-    summed = alone.agg(F.sum("words").alias("taken"), F.sum("reads").alias("passes"))
-    return mix.with_sources(summed).select("doc_id", "size", "source_size", "target", "taken", "passes", "source")
-
-
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with each row repeated as often as the mix reads it, which may be not at all; the columns stay."""
+    # A block is read whole or, in the last rounds, up to a length: a few times, as a source is repeated a few times.
+    uses = mix.slots.groupBy("source_no", "block").agg(F.collect_list("tokens").alias("reads"))
+    docs = mix.documents.drop("segment")
+    worded = docs.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))))
+    wordless = docs.filter("size = 0").withColumn("block", F.expr(f"start div {b}"))
+    words = F.expr(f"aggregate(coalesce(reads, array()), 0L, (sum, n) -> sum + greatest(0L, least(start + size, block * {b} + n) - greatest(start, block * {b})))")
+    passes = F.expr(f"size(filter(coalesce(reads, array()), n -> start >= block * {b} and start < block * {b} + n))").cast("long")
+    joined = worded.join(uses, ["source_no", "block"], "left").select("doc_id", "place", "source_no", "start", "size", words.alias("taken"), passes.alias("passes"))
+    # Rows with words have a start of their own; each of the others is in one block, so there is nothing to sum.
+    summed = joined.groupBy("doc_id", "place", "source_no", "start", "size").agg(F.sum("taken").alias("taken"), F.sum("passes").alias("passes"))
+    empty = wordless.join(uses, ["source_no", "block"], "left").select("doc_id", "place", "source_no", "start", "size", F.lit(0).cast("long").alias("taken"), passes.alias("passes"))
+    return mix.with_sources(summed.unionByName(empty)).select("doc_id", "size", "source_size", "target", "taken", "passes", "source", "place")
+
+
+def mix_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = 17, **options) -> DataFrame:
+    """`docs` with each row repeated as often as the mix reads its first word, which may be not at all; the columns stay."""
     names = docs.columns
-    shares = document_shares(plan_mix(docs, **options)).groupBy("doc_id").agg(F.sum("passes").alias("__passes"), F.count(F.lit(1)).alias("__rows"))
-    held = docs.join(shares.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    # Rows that share an id share its reads evenly, rounded up.
+    mix = plan_mix(docs, text=text, doc_id=doc_id, seed=seed, **options)
+    rows = document_shares(mix).groupBy("doc_id", "place", "source").agg(F.sum("passes").alias("__passes"), F.count(F.lit(1)).alias("__rows"))
+    rows = rows.select(F.col("doc_id").alias("__id"), F.col("place").alias("__place"), F.col("source").alias("__source"), "__passes", "__rows")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (place_of(seed, F.col(doc_id), F.col(text)) == F.col("__place")) & F.col(options.get("source", "source")).eqNullSafe(F.col("__source"))
+    # Rows of the same id, text and source share their reads evenly, rounded up.
     times = F.ceil(F.col("__passes") / F.col("__rows")).cast("int")
-    return held.withColumn("__times", times).filter("__times > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
+    held = docs.join(rows, same).withColumn("__times", times).filter("__times > 0")
+    return held.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)

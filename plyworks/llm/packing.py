@@ -1,8 +1,8 @@
 """Best-fit packing into bins of several permitted sizes.
 
-Documents are dealt to shards by a hash of their id; each shard is packed by itself, largest piece first. A piece goes
-into the open bin that it leaves fullest. If none has room, a bin is opened, of the size that costs least per word if
-it is filled as far as the words still to come in the shard can fill it (a bin costs its size and a fixed amount). At
+Documents are dealt to shards by a hash of their id and size; each shard is packed by itself, largest piece first. A piece goes
+into the open bin that it leaves fullest. If none has room, a bin is opened, of the size that costs least per word
+(its size and a fixed amount) if it takes, of the pieces still to come in the shard, time and again the largest that fits. At
 last each bin shrinks to the smallest permitted size that holds its contents. Texts longer than the largest size are
 split into pieces of that size and a rest.
 
@@ -13,38 +13,49 @@ are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import word_count
 
 SIZES = (512, 1024, 2048, 4096)
-_PLACED = "doc_id long, copy int, piece int, size long, shard long, bin int, offset long, bin_size long, bin_used long"
+#: Rows of the same id and size that are dealt together.
+LOT = 1000
+_PLACED = "doc_id long, copy long, piece int, size long, shard long, bin int, offset long, bin_size long, bin_used long"
 
 
 def pack(sizes: list[int], capacities: tuple[int, ...], overhead: float = 32.0) -> tuple[list[int], list[int], list[tuple[int, int]]]:
     """Bin and offset of each piece (given largest first), and (size, words) of each bin. No piece exceeds the largest size."""
     room: list[tuple[int, int]] = []  # (room, bin) of open bins, sorted
     bins: list[list[int]] = []  # (capacity, used)
-    left = sum(sizes)
+    falling, total = [-s for s in sizes], list(accumulate(sizes, initial=0))
     of, offset = [], []
-    for size in sizes:
+
+    def fill(i: int, free: int) -> int:
+        """Words of the pieces from `i` on that fit, each time the largest one that does."""
+        used = 0
+        while (i := bisect_left(falling, used - free, i)) < len(falling):
+            k = bisect_right(total, total[i] + free - used, i) - 1
+            used, i = used + total[k] - total[i], k
+        return used
+
+    for n, size in enumerate(sizes):
         at = bisect_left(room, (size, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
             b = len(bins)
-            cost = lambda c: (c + overhead) / min(c, left)  # noqa: B023, E731
+            cost = lambda c: (c + overhead) / (size + fill(n + 1, c - size))  # noqa: B023, E731
             capacity = min((c for c in capacities if c >= size), key=lambda c: (cost(c), c))
             bins.append([capacity, 0])
             free = capacity
         of.append(b)
         offset.append(bins[b][1])
         bins[b][1] += size
-        left -= size
         if free > size:
             insort(room, (free - size, b))
     return of, offset, [(next(c for c in capacities if c >= used), used) for _, used in bins]
@@ -54,21 +65,25 @@ def pack_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     """A row per piece: doc_id, copy, piece, size, shard, bin, offset in the bin, bin_size and bin_used."""
     capacities = tuple(sorted(capacities))
     most = capacities[-1]
-    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), word_count(F.col(text)).alias("size"))
-    copies = Window.partitionBy("doc_id", "size").orderBy(F.lit(0))
-    sized = sized.withColumn("copy", F.row_number().over(copies) - 1)
     shards = max(1, -(-docs.count() // shard_rows))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards)))
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), word_count(F.col(text)).alias("size")).groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("rows"))
+    # What comes often is dealt in lots, so that no shard gets all of it.
+    lots = sized.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {LOT}"))))
+    lots = lots.select("doc_id", "size", (F.col("lot") * LOT).alias("first"), F.least(F.lit(LOT).cast("long"), F.col("rows") - F.col("lot") * LOT).alias("rows"), F.pmod(F.xxhash64("doc_id", "size", "lot"), F.lit(shards)).alias("shard"))
 
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        pieces = [(min(most, n - k * most), d, c, k, n) for d, c, n in zip(rows["doc_id"], rows["copy"], rows["size"]) for k in range(max(1, -(-n // most)))]
-        pieces.sort(key=lambda p: (-p[0], -1 if pd.isna(p[1]) else p[1], p[2], p[3]))
+    def task(group: pa.Table) -> pa.Table:
+        ids = group["doc_id"].to_pylist()  # Python integers: exact, with nulls
+        shard = group["shard"][0].as_py() if group.num_rows else 0
+        pieces = []
+        for d, n, first, rows in zip(ids, *(group[c].to_pylist() for c in ("size", "first", "rows"))):
+            parts = [min(most, n - k * most) for k in range(max(1, -(-n // most)))]
+            pieces += [(s, d, first + c, k) for c in range(rows) for k, s in enumerate(parts)]
+        pieces.sort(key=lambda p: (-p[0], p[1] is not None, p[1] or 0, p[2], p[3]))
         real = [p for p in pieces if p[0] > 0]
-        of, offset, bins = pack([int(p[0]) for p in real], capacities)
-        out = [(d, c, k, s, b, o, *bins[b]) for (s, d, c, k, _), b, o in zip(real, of, offset)] + [(d, c, k, 0, -1, 0, 0, 0) for s, d, c, k, _ in pieces if s == 0]
-        frame = pd.DataFrame(out, columns=["doc_id", "copy", "piece", "size", "bin", "offset", "bin_size", "bin_used"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        frame["shard"] = int(rows["shard"].iloc[0]) if len(rows) else 0
-        return frame[["doc_id", "copy", "piece", "size", "shard", "bin", "offset", "bin_size", "bin_used"]]
+        of, offset, bins = pack([p[0] for p in real], capacities)
+        out = [(d, c, k, s, shard, b, o, *bins[b]) for (s, d, c, k), b, o in zip(real, of, offset)] + [(d, c, k, 0, shard, -1, 0, 0, 0) for s, d, c, k in pieces if s == 0]
+        names = [x.split()[0] for x in _PLACED.split(", ")]
+        kinds = [pa.int32() if x.endswith(" int") else pa.int64() for x in _PLACED.split(", ")]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, list(zip(*out)) or [[]] * len(names), kinds)})
 
-    return dealt.groupBy("shard").applyInPandas(task, _PLACED)
+    return lots.groupBy("shard").applyInArrow(task, _PLACED)

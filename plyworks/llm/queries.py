@@ -13,7 +13,8 @@ def op1_collision_ann(spark, sf_dir):
 
 
 def op2_unit_dedup(spark, sf_dir):
-    spans = substring.repeated_spans(table(spark, sf_dir, "documents"))
+    # Passages of over 50 words; their first and last units may be cut differently in each text, so half of that is asked for.
+    spans = substring.repeated_spans(table(spark, sf_dir, "documents"), min_words=25)
     return spans.select(F.col("doc").alias("doc_id"), F.col("first").alias("start"), F.col("last").alias("end"), "units", "words", F.col("keeper").alias("kept_in"))
 
 

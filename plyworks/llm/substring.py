@@ -30,6 +30,10 @@ _UNITS = "doc long, tag long, unit int, first int, last int, words int, h1 long,
 NO_ID = -(2**63)
 
 
+def _id(name: str):
+    return F.when(F.col(name) != NO_ID, F.col(name))
+
+
 def units(text: str) -> list[tuple[int, int]]:
     """Spans that cover the text, each ending with a line or a sentence."""
     return [m.span() for m in _UNIT.finditer(text) if m.end() > m.start()]
@@ -65,9 +69,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = 10) -> DataFrame:
-    """A row per span to remove: doc, tag (the text's hash), first and last offset (code points, end exclusive), units, words, keeper."""
+    """A row per span to remove: doc, tag (the text's hash), first and last offset (code points, end exclusive), units, words, keeper.
+
+    `min_words` is the least length of a span, so of a run of repeats; 1 gives every repeated unit."""
     source = docs.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text"))
-    cut_up = source.mapInArrow(_digests, _UNITS)
+    cut_up = cut(source.mapInArrow(_digests, _UNITS))  # texts are cut and hashed once
     place = F.struct("doc", "tag", "unit")
     kept = cut_up.groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).filter("earliest <> latest").drop("latest")
     kept = cut(kept)  # read anew, it joins as a plain shuffle, of which Spark can split what a common unit makes large
@@ -75,7 +81,7 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc", "tag").orderBy("unit"))
     spans = repeats.withColumn("run", run).groupBy("doc", "tag", "run")
     spans = spans.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("units"), F.sum("words").alias("words"), F.min_by("keeper", "unit").alias("keeper"))
-    return spans.filter(F.col("words") >= min_words).drop("run")
+    return spans.filter(F.col("words") >= min_words).drop("run").select(_id("doc").alias("doc"), "tag", "first", "last", "units", "words", _id("keeper").alias("keeper"))
 
 
 @F.pandas_udf(T.StringType())
@@ -92,6 +98,6 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 def remove_spans(docs: DataFrame, spans: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs` without the spans; nothing else of a text changes."""
-    per = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("__spans")).withColumnsRenamed({"doc": "__doc", "tag": "__tag"})
+    per = spans.groupBy(F.coalesce("doc", F.lit(NO_ID)).alias("doc"), "tag").agg(F.collect_list(F.struct("first", "last")).alias("__spans")).withColumnsRenamed({"doc": "__doc", "tag": "__tag"})
     match = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("__doc")) & (F.xxhash64(F.col(text)) == F.col("__tag"))
     return docs.join(per, match, "left").withColumn(text, _without(F.col(text), "__spans")).drop("__doc", "__tag", "__spans")

@@ -1,26 +1,31 @@
 """Toxicity from class-conditional Kneser-Ney bigram models of words.
 
-Two models, of toxic and of ordinary texts, count in continuations, as Kneser-Ney's lower orders do: a word counts as
-often as it follows distinct words, a bigram as often as it follows distinct words. So a text that was copied a
-thousand times, or one that repeats a line, weighs as one. Both models share one lowest order, the continuations of a
-word in either class; absolute discounting hands the mass of rare expressions to it, so only expressions that are
-frequent in one class tell the classes apart. A word too rare for counts of its own takes those of its longest known
-beginning, which count in distinct words, so inflected and compound forms of an expression share what is known. A text is compared by its log-likelihoods per word,
-over the whole text and over its most toxic run of a few words; a logistic curve, fitted on rows that the counts have
-not seen, turns both into a score.
+Two models, of toxic and of ordinary texts. The highest order counts bigrams, the order below counts in how many
+contexts a word comes, and the lowest order is shared: the continuations that both classes have of a word. A bigram's or
+word's count is lowered by an absolute discount, n1 / (n1 + 2 n2) of its order, and what is freed goes to the order
+below. A place counts once for all copies: of equal runs of five words in a class one is counted, so copied texts,
+passages and lines weigh as one. Words that are rarer than `min_count` and a share of the documents become the longest
+beginning that rare words share often enough, or one rare word that both models give the same chance; rarer bigrams are
+left to the lower order. So rare expressions are smoothed by counts they share.
+
+A text's log-likelihoods are compared per word, over the whole text and over its most toxic passage of PASSAGE words,
+as a few words make a long text toxic; a logistic curve, fitted on texts that the counts have not seen, turns both into
+a score.
 
 The models are fitted on a bounded sample: `sample_docs` documents of either class, those with the smallest hash of
-their id. Counting happens in one task over that sample alone.
+their id, one row of each. Counting happens in one task over that sample alone.
 
-Defined results: a null or empty text, or one without words, scores as a text whose words say nothing; labels that
-contradict each other count as toxic; null labels and null ids are not learned from; without labels of both classes
-every score is 0; an empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text, or one without words, scores as a text whose words say nothing; a text shorter
+than a passage is one; very long texts are scored whole; labels that contradict each other count as toxic; null labels
+and null ids are not learned from; of rows that repeat an id, one is learned from and all are scored; without labels of
+both classes every score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -35,11 +40,13 @@ from pyspark.sql import types as T
 from .common import may_learn, smallest_hashes
 
 _WORD = re.compile(r"[^\W_]+")
-RUN = 1
+PASSAGE = 5
 #: Scores from here on mean toxic.
 THRESHOLD = 0.3
-#: Lengths of the beginnings by which rare words are known, longest first.
-STEMS = (8, 7, 6, 5, 4)
+#: Lengths of the beginnings that stand for rare words, longest first.
+BEGINNINGS = (8, 7, 6, 5, 4)
+#: Ids of a text's beginning and of a rare word; words and beginnings follow.
+START, RARE = 0, 1
 
 
 def words(text: str | None) -> list[str]:
@@ -48,166 +55,159 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class ToxicModel:
-    """word, stem: ids from 1 on, of words and of beginnings; gain: log ratio of an id after an unknown word; after: what an id adds for the next word;
-    pair, pair_gain: bigrams (first * size + second, sorted) with a log ratio of their own; curve: weights and bias."""
+    """known: ids of words and (with a trailing blank) of beginnings; gain: log ratio of an id's lower orders; after: log ratio of
+    the mass that an id as context leaves to them; pair, pair_gain: bigrams (first * size + second, sorted) with a ratio of their own."""
 
-    word: dict[str, int] = field(default_factory=dict)
-    stem: dict[str, int] = field(default_factory=dict)
-    gain: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    after: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    known: dict[str, int] = field(default_factory=dict)
+    size: int = 2
+    gain: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    after: np.ndarray = field(default_factory=lambda: np.zeros(2))
     pair: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     pair_gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    size: int = 1
     curve: tuple[float, float, float] | None = None
     memo: dict[str, int] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
 
+    def id_of(self, word: str) -> int:
+        return self.known.get(word) or next((i for n in BEGINNINGS if n <= len(word) and (i := self.known.get(word[:n] + " "))), RARE)
+
+    def ids(self, found: list[str]) -> np.ndarray:
+        ids = np.fromiter(map(self.memo.get, found, repeat(-1)), np.int64, len(found))
+        for k in np.flatnonzero(ids < 0).tolist():
+            ids[k] = self.id_of(found[k])
+            if len(self.memo) < 1_000_000:  # looked up anew beyond that
+                self.memo[found[k]] = int(ids[k])
+        return ids
+
+    def ratios(self, found: list[str]) -> np.ndarray:
+        """Log ratio of both models for each word after the word before it."""
+        ids = np.concatenate([[START], self.ids(found)])
+        ratio = self.gain[ids[1:]] + self.after[ids[:-1]]
+        if len(self.pair):
+            key = ids[:-1] * self.size + ids[1:]
+            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            hit = self.pair[at] == key
+            ratio[hit] = self.pair_gain[at[hit]]
+        return ratio
+
     def features(self, text: str | None) -> tuple[float, float]:
-        """Log ratio per word of the most toxic run of RUN words, and of the whole text."""
+        """Log ratio per word of the most toxic passage, and of the whole text."""
         found = words(text)
         if not found:
             return 0.0, 0.0
-        memo = self.memo or self.memo.update(self.word) or self.memo
-        ids = np.fromiter(map(memo.get, found, repeat(-1)), np.int64, len(found))
-        for k in np.flatnonzero(ids < 0).tolist():
-            w = found[k]
-            ids[k] = next((i for n in STEMS if n <= len(w) and (i := self.stem.get(w[:n]))), 0)
-            if len(memo) < 1_000_000:
-                memo[w] = int(ids[k])
-        ratio = self.gain[ids]
-        if len(ids) > 1:
-            first, second = ids[:-1], ids[1:]
-            ratio[1:] += self.after[first]
-            known = np.flatnonzero((first > 0) & (second > 0) & (first < self.size) & (second < self.size))
-            if len(self.pair) and len(known):
-                key = first[known] * self.size + second[known]
-                at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-                hit = self.pair[at] == key
-                ratio[1 + known[hit]] = self.pair_gain[at[hit]]
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
-        run = (total[RUN:] - total[:-RUN]).max() if len(ratio) > RUN else total[-1]
-        return float(run) / RUN, float(total[-1]) / len(ratio)
+        total = np.concatenate([[0.0], np.cumsum(self.ratios(found))])
+        n = min(PASSAGE, len(found))
+        return float((total[n:] - total[:-n]).max()) / PASSAGE, float(total[-1]) / len(found)
 
     def score(self, text: str | None) -> float:
         if self.curve is None:
             return 0.0
-        run, mean = self.features(text)
+        passage, whole = self.features(text)
         a, b, c = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * run + b * mean + c, -30, 30))))
-
-
-def _is_new(ids: np.ndarray, seen: set[int], width: int = 3, one_in: int = 4, shared: float = 0.3) -> bool:
-    """False if over `shared` of a text's word sequences were in texts before it, judged by a hashed part of them."""
-    wide = np.lib.stride_tricks.sliding_window_view(ids, min(width, max(len(ids), 1))) if len(ids) else np.zeros((1, 1), np.int64)
-    mixed = np.zeros(len(wide), np.uint64)
-    for k in range(wide.shape[1]):
-        mixed = (mixed ^ wide[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return float(1 / (1 + np.exp(-np.clip(a * passage + b * whole + c, -30, 30))))
+
+
+def places(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First and second id of the bigrams of a class; of places with equal words two before to two after, one."""
+    if not any(len(r) for r in rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gap = np.zeros(2, np.int64)
+    flat = np.concatenate([x for r in rows for x in (gap, r)] + [gap])
+    mixed = np.zeros(len(flat) - 4, np.uint64)
+    for k in range(5):
+        mixed = (mixed ^ flat[k : len(flat) - 4 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    own = set(mixed[mixed % np.uint64(one_in) == 0].tolist() or mixed[:1].tolist())
-    new = len(own & seen) <= shared * len(own)
-    if new:
-        seen |= own
-    return new
-
+    at = np.unique(mixed, return_index=True)[1] + 2
+    at = at[flat[at] > 0]
+    return flat[at - 1], flat[at]
+
+
+def discount(counts: np.ndarray) -> float:
+    """Kneser-Ney's estimate from the numbers of expressions that came once and twice."""
+    once, twice = (counts == 1).sum(), (counts == 2).sum()
+    return float(once / (once + 2 * twice)) if once else 0.5
+
+
+def _name_ids(number: dict[str, int], often: np.ndarray, least: float) -> tuple[dict[str, int], np.ndarray, int]:
+    """Ids of words that come `least` times and of beginnings that rarer words share as often; the new id of each old one; how many there are."""
+    new, known, size = np.full(len(often), RARE), {}, 2
+    new[0] = START
+    rare = []
+    for w, i in number.items():
+        if often[i] >= least:
+            known[w] = new[i] = size
+            size += 1
+        else:
+            rare.append((w, i))
+    for n in BEGINNINGS:
+        held = Counter()
+        for w, i in rare:
+            if len(w) >= n:
+                held[w[:n]] += int(often[i])
+        rest = []
+        for w, i in rare:
+            if len(w) >= n and held[w[:n]] >= least:
+                if w[:n] + " " not in known:
+                    known[w[:n] + " "] = size
+                    size += 1
+                new[i] = known[w[:n] + " "]
+            else:
+                rest.append((w, i))
+        rare = rest
+    return known, new, size
 
-def fit_models(texts: list[str], toxic: list[bool], discount: float = 8.0, chance: float = 3.0, hold_every: int = 4) -> ToxicModel:
-    """Discounts are `chance` times the root of an expression's count in both classes, `discount` at least: what chance explains goes to the shared counts.
 
-    Counts from most texts; the curve from every `hold_every`-th one of either class. Copies are used once."""
+def fit_models(texts: list[str], toxic: list[bool], min_count: float = 12, min_share: float = 0.02, hold_every: int = 4) -> ToxicModel:
+    """Counts from most texts; the curve from every `hold_every`-th one of either class."""
     number: dict[str, int] = {}
-    sequences: set[int] = set()
-    seen = [0, 0]
-    coded: list[tuple[np.ndarray, int]] = []
+    coded: list[list[np.ndarray]] = [[], []]
     rest: list[tuple[str, int]] = []
-    for t, x in zip(texts, toxic):
-        ids = np.array([number.setdefault(w, len(number) + 1) for w in words(t)], np.int32)
-        if _is_new(ids, sequences):
-            if seen[x] % hold_every == hold_every - 1:
-                rest.append((t, int(x)))
-            else:
-                coded.append((ids, int(x)))
-            seen[x] += 1
-    del sequences
-    if {x for _, x in coded} != {0, 1}:
+    seen = [0, 0]
+    for t, x in zip(texts, map(int, toxic)):
+        if seen[x] % hold_every == hold_every - 1:
+            rest.append((t, x))
+        else:
+            coded[x].append(np.array([number.setdefault(w, len(number) + 1) for w in words(t)], np.int64))
+        seen[x] += 1
+    if not all(coded):
         return ToxicModel()
     if {x for _, x in rest} != {0, 1}:
         rest = list(zip(texts, map(int, toxic)))
-    n = len(number) + 1
-
-    def distinct(x: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct bigrams of a class, and of each the distinct words before it."""
-        rows = [ids for ids, c in coded if c == x and len(ids)]
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        flat = np.concatenate([np.concatenate([[0], ids]) for ids in rows]).astype(np.int64)  # 0: a text begins
-        key = flat[:-1] * n + flat[1:]
-        bigrams, place = np.unique(key[flat[1:] > 0], return_inverse=True)
-        at = np.full(len(key), -1)
-        at[flat[1:] > 0] = place
-        before = flat[:-2][at[1:] >= 0] * len(bigrams) + at[1:][at[1:] >= 0]
-        return bigrams, np.bincount(np.unique(before) % len(bigrams), minlength=len(bigrams)).astype(float), bigrams % n
-
-    sides = [distinct(0), distinct(1)]
-    by_word = np.stack([np.bincount(w, minlength=n) for _, _, w in sides]).astype(float)
+    least = max(min_count, min_share * min(map(len, coded)))
+    raw = [places(rows) for rows in coded]
+    often = sum(np.bincount(w, minlength=len(number) + 1) for _, w in raw)
+    known, new, m = _name_ids(number, often, least)
+
+    sides = [np.unique(new[v] * m + new[w], return_counts=True) for v, w in raw]
     pairs = np.union1d(sides[0][0], sides[1][0])
-    by_pair = np.zeros((2, len(pairs)))
+    count = np.zeros((2, len(pairs)))
+    for x in (0, 1):
+        count[x][np.searchsorted(pairs, sides[x][0])] = sides[x][1]
+    contexts = np.stack([np.bincount(pairs[c > 0] % m, minlength=m) for c in count]).astype(float)
+    shared = contexts.min(axis=0) + 1
+    shared[START] = 0
+    shared /= shared.sum()
+    word = np.ones((2, m))
     for x in (0, 1):
-        by_pair[x][np.searchsorted(pairs, sides[x][0])] = sides[x][1]
-    follows = np.bincount(pairs % n, minlength=n).astype(float)
-    shared = (follows + 1) / (follows.sum() + n)
-    total = by_word.sum(axis=1, keepdims=True)
-    less = lambda counts: np.maximum(discount, chance * np.sqrt(counts.sum(axis=0)))
-    freed = np.minimum(by_word, less(by_word)).sum(axis=1, keepdims=True) / np.maximum(total, 1)
-    unigram = np.maximum(by_word - less(by_word), 0) / np.maximum(total, 1) + np.maximum(freed, 1e-9) * shared
-    gain = np.log(unigram[1] / unigram[0])
-    gain[0] = 0.0  # an unknown word says nothing
-    context = np.stack([np.bincount(pairs // n, weights=by_pair[x], minlength=n) for x in (0, 1)])
-    spare = np.stack([np.bincount(pairs // n, weights=np.minimum(by_pair[x], less(by_pair)), minlength=n) for x in (0, 1)])
-    known = (context > chance * chance * discount).all(axis=0)  # other contexts back off wholly
-    backoff = np.where(known & (spare > 0), spare / np.maximum(context, 1), 1.0)
-    after = np.log(backoff[1] / backoff[0])
-    often = np.flatnonzero((by_pair > less(by_pair)).any(axis=0) & known[pairs // n])
-    v, w = pairs[often] // n, pairs[often] % n
-    own = [np.where(backoff[x][v] < 1, np.maximum(by_pair[x][often] - less(by_pair)[often], 0) / np.maximum(context[x][v], 1), 0) + backoff[x][v] * unigram[x][w] for x in (0, 1)]
-    # A bigram sharpens what its second word says, no more: by itself it may as well be the mark of a copied passage.
-    edge = 1.25 * gain[w]
-    pair_gain = np.clip(np.log(own[1] / own[0]), np.minimum(edge, 0), np.maximum(edge, 0))
-    stems: dict[str, list[float]] = {}
-    for t, i in number.items():
-        for m in STEMS:
-            if m <= len(t):
-                c = stems.setdefault(t[:m], [0.0, 0.0])
-                c[0] += by_word[0, i] > 0
-                c[1] += by_word[1, i] > 0
-    types = (by_word > 0).sum(axis=1)
-    stem_gain = {}
-    for t, c in stems.items():
-        d = max(discount, chance * (c[0] + c[1]) ** 0.5)
-        if max(c) > d:
-            low = (c[0] + c[1]) / max(types.sum(), 1)
-            own = [max(c[x] - d, 0) / max(types[x], 1) + max(freed[x, 0], 1e-9) * low for x in (0, 1)]
-            stem_gain[t] = np.log(own[1] / own[0])
-    # Keep the words that can tell anything, under ids of their own.
-    useful = (by_word > less(by_word)).any(axis=0)
-    useful[0] = False
-    new = np.zeros(n, np.int64)
-    new[useful] = np.arange(1, useful.sum() + 1)
-    size = int(useful.sum()) + 1
-    both = (new[v] > 0) & (new[w] > 0)
-    key = new[v[both]] * size + new[w[both]]
-    order = np.argsort(key)
-    model = ToxicModel(
-        {t: int(new[i]) for t, i in number.items() if new[i]}, {t: size + k for k, t in enumerate(stem_gain)},
-        np.concatenate([gain[:1], gain[useful], np.array(list(stem_gain.values()))]), np.concatenate([[0.0], after[useful], np.zeros(len(stem_gain))]),
-        key[order], pair_gain[both][order], size,
-    )
-    x = np.array([[*model.features(t), 1.0] for t, _ in rest])
+        own = np.maximum(contexts[x] - discount(contexts[x]), 0) / max(contexts[x].sum(), 1)
+        word[x] = own + (1 - own.sum()) * shared
+    word[:, START] = word[:, RARE] = 1.0  # nothing is asked of the one, and both models know as little of the other
+    kept = np.flatnonzero(count.sum(axis=0) >= least)
+    total = np.stack([np.bincount(pairs // m, weights=c, minlength=m) for c in count])
+    kept = kept[pairs[kept] % m != RARE]
+    v, w = pairs[kept] // m, pairs[kept] % m
+    own = np.stack([np.maximum(c[kept] - discount(c), 0) / np.maximum(total[x][v], 1) for x, c in enumerate(count)])
+    freed = np.maximum(1 - np.stack([np.bincount(v, weights=o, minlength=m) for o in own]), 1e-9)
+    both = own + freed[:, v] * word[:, w]
+    model = ToxicModel(known, m, np.log(word[1] / word[0]), np.log(freed[1] / freed[0]), pairs[kept], np.log(both[1] / both[0]))
+
+    z = np.array([[*model.features(t), 1.0] for t, _ in rest])
     y = np.array([c for _, c in rest], float)
     weight = np.where(y == 1, THRESHOLD / max(y.sum(), 1), (1 - THRESHOLD) / max((1 - y).sum(), 1))  # even odds score THRESHOLD
-    scale = np.array([max(np.abs(x[:, 0]).max(), 1e-6), max(np.abs(x[:, 1]).max(), 1e-6), 1.0])
-    z, beta = x / scale, np.zeros(3)
+    scale = np.maximum(np.abs(z).max(axis=0), 1e-6)
+    z, beta = z / scale, np.zeros(3)
     for _ in range(40):  # Newton steps with a little shrinkage
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         grad = z.T @ (weight * (p - y)) + 1e-5 * beta
@@ -217,20 +217,21 @@ def fit_models(texts: list[str], toxic: list[bool], discount: float = 8.0, chanc
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample_docs: int = 4096, **options) -> ToxicModel:
-    """A model from labelled documents that are not held out; at most `sample_docs` of either class are used."""
+    """A model from labelled documents that are not held out; at most `sample_docs` of either class are used, one row of each."""
     marked = labels.filter(F.col(label).isNotNull() & may_learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("__toxic"))
     marked = marked.filter(F.col("__toxic").isin(0, 1))
-    there = docs.select(F.col(doc_id).alias("doc_id")).distinct()
-    chosen = smallest_hashes(marked.join(there, "doc_id", "left_semi"), "__toxic", "doc_id", sample_docs).select("doc_id", "__toxic")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * sample_docs rows at most
+    there = docs.select(F.col(doc_id).alias("doc_id"))
+    chosen = smallest_hashes(marked.join(there, "doc_id", "left_semi"), "__toxic", "doc_id", sample_docs)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * sample_docs ids at most
+    rows = rows.groupBy("doc_id", "__toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((r for b in batches for r in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["__toxic"].to_pylist())), key=lambda r: (r[0], r[1] or ""))
-        model = fit_models([r[1] or "" for r in got], [bool(r[2]) for r in got], **options)
+        got = sorted((r for b in batches for r in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["__toxic"].to_pylist())), key=lambda r: r[0])
+        model = fit_models([r[1] for r in got], [bool(r[2]) for r in got], **options)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # The sample is bounded, so one task can take it; only the model comes to the driver.
-    fitted = rows.select("doc_id", "text", "__toxic").repartition(1).mapInArrow(fit, "model binary").first()
+    fitted = rows.select("doc_id", F.col("row.text").alias("text"), "__toxic").repartition(1).mapInArrow(fit, "model binary").first()
     return pickle.loads(fitted["model"]) if fitted else ToxicModel()
 
 

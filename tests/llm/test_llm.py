@@ -109,6 +109,42 @@ def test_unit_dedup(spark, docs, empty):
     assert substring.repeated_spans(empty).count() == 0
     assert all("".join(t[a:b] for a, b in substring.units(t)) == t for t in [r[1] for r in ROWS if r[1]] + ["a.b c?! d\n\n\ne", "...", "3.14 is\tpi. So"])
     assert {r["doc"] for r in substring.repeated_spans(docs).collect()} <= {1, 2, 3, 7, 8}
+    lost = docs_of(spark, [(None, "Start here. " + passage, "en", "s"), (-(2**62), passage, "en", "s"), (None, "Start here. " + passage, "en", "s")])
+    assert [(r["doc"], r["keeper"]) for r in substring.repeated_spans(lost).collect()] == [(-(2**62), None)]
+    assert sorted(r.text for r in substring.remove_spans(lost, substring.repeated_spans(lost)).collect()) == ["", "Start here. " + passage, "Start here. " + passage]
+
+
+def plain_units(text):
+    """Ends of lines, and of sentences: marks that white space or the text's end follows; white space goes with the unit before."""
+    out, at, i = [], 0, 0
+    while i < len(text):
+        j = i
+        if text[i] == "\n":
+            while j < len(text) and text[j] == "\n":
+                j += 1
+        elif text[i] in ".!?":
+            while j < len(text) and text[j] in ".!?":
+                j += 1
+            if j < len(text) and not text[j].isspace():
+                i = j
+                continue
+            while j < len(text) and text[j].isspace() and text[j] != "\n":
+                j += 1
+            while j < len(text) and text[j] == "\n":
+                j += 1
+        else:
+            i += 1
+            continue
+        out.append((at, j))
+        at = i = j
+    return out + [(at, len(text))] * (at < len(text))
+
+
+def test_units_by_plain_loops():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        t = "".join("ab .!?\n\t"[k] for k in rng.integers(0, 8, rng.integers(0, 40)))
+        assert substring.units(t) == plain_units(t), repr(t)
 
 
 # 3 SimHash
@@ -266,6 +302,92 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.fit_toxicity(empty, lab.limit(0)).score("anything") == 0.0
 
 
+def plain_gap(texts, toxic, asked, least):
+    """Log ratio of each asked (word before, word), counted by plain loops; every word is frequent, so none is rare."""
+    counts, seen = [Counter(), Counter()], [set(), set()]
+    for t, x in zip(texts, toxic):
+        w = ["", "", *t.split(), "", ""]
+        for i in range(2, len(w) - 2):
+            if tuple(w[i - 2 : i + 3]) not in seen[x]:
+                seen[x].add(tuple(w[i - 2 : i + 3]))
+                counts[x][w[i - 1], w[i]] += 1
+    contexts = [Counter(w for _, w in c) for c in counts]
+    names = {w for c in contexts for w in c}
+    off = lambda c: (n1 / (n1 + 2 * n2)) if (n1 := sum(v == 1 for v in c.values())) + (n2 := sum(v == 2 for v in c.values())) and n1 else 0.5
+    shared = {w: min(c[w] for c in contexts) + 1 for w in names}
+    norm = sum(shared.values()) + 1  # the rare word
+
+    def word(x, w):
+        total, d = sum(contexts[x].values()), off(contexts[x])
+        freed = 1 - sum(max(n - d, 0) for n in contexts[x].values()) / total
+        return max(contexts[x][w] - d, 0) / total + freed * shared[w] / norm
+
+    def chance(x, v, w):
+        total, d = sum(n for (a, _), n in counts[x].items() if a == v), off(counts[x])
+        kept = {b: max(counts[x][v, b] - d, 0) / max(total, 1) for b in names if counts[0][v, b] + counts[1][v, b] >= least}
+        return kept.get(w, 0.0) + (1 - sum(kept.values())) * word(x, w)
+
+    return [np.log(chance(1, v, w) / chance(0, v, w)) for v, w in asked]
+
+
+def test_toxicity_by_plain_counts():
+    rng = np.random.default_rng(8)
+    names = [f"w{k}" for k in range(12)]
+    texts = [" ".join(names[int(k * k * 12)] for k in rng.random(40)) for _ in range(40)]
+    toxic = [bool(k % 3 == 0) for k in range(40)]
+    m = toxicity.fit_models(texts, toxic, min_count=3, min_share=0, hold_every=41)
+    asked = [(a, b) for a in ["", *names] for b in names]
+    got = [m.ratios([b])[0] if a == "" else m.ratios([a, b])[1] for a, b in asked]
+    assert len(m.known) == 12 and np.allclose(got, plain_gap(texts, toxic, asked, 3))
+
+
+def test_toxicity_of_ordinary_words_in_a_row():
+    """Words that both classes have alike make a text toxic if their order does."""
+    rng = np.random.default_rng(9)
+    names = [f"word{k}" for k in range(30)]
+    rows, labels = [], []
+    for i in range(500):
+        w = [names[k] for k in rng.integers(0, 30, 40)]
+        for at in (5, 15, 25, 35):
+            w[at : at + 2] = ["drop", "dead"] if i % 4 == 0 else [["drop", "it"], ["not", "dead"]][at // 10 % 2]
+        rows.append(" ".join(w))
+        labels.append(i % 4 == 0)
+    m = toxicity.fit_models(rows[:400], labels[:400])
+    assert abs(m.gain[m.known["drop"]]) < 1 and all((m.score(t) >= 0.3) == x for t, x in zip(rows[400:], labels[400:]))
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark):
+    rows, labels = labelled(200, 2)
+    docs = docs_of(spark, [*rows, *[rows[1]] * 3000])
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, many = (toxicity.fit_toxicity(d, lab, sample_docs=64) for d in (docs_of(spark, rows), docs))
+    assert one.known == many.known and one.curve == many.curve and len(one.pair) == len(many.pair)
+
+
+def test_language_of_one_id_in_many_rows(spark):
+    rows, _ = labelled(60)
+    rows = [(i, t, "en", "s") for i, t, *_ in rows if i % 2] + [(200, "der und nicht schön " * 5, "de", "s")] * 5000
+    net = langid.fit_languages(docs_of(spark, rows), sample_docs=20)
+    assert net.languages == ["de", "en"]
+    many = docs_of(spark, [(i, "some words", f"x{i % 50}", "s") for i in range(400)])
+    assert len(langid.fit_languages(many, sample_docs=5, sample_total=100).languages) == 50
+
+
+def test_convolution_by_plain_loops():
+    rng = np.random.default_rng(3)
+    net = langid.ByteConvNet.fresh(["a", "b", "c"])
+    windows = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    w = net.weights
+    for window, got in zip(windows, net.probabilities(windows)):
+        hidden = []
+        for k in langid.WIDTHS:
+            for f in range(langid.FILTERS):
+                act = [sum(float(w["embed"][window[i + j]] @ w[f"f{k}"][j * langid.DIMS : (j + 1) * langid.DIMS, f]) for j in range(k)) for i in range(langid.WINDOW - k + 1)]
+                hidden.append(max(max(act) + float(w[f"b{k}"][f]), 0.0))
+        z = np.array(hidden) @ w["out"] + w["bias"]
+        assert np.allclose(np.exp(z) / np.exp(z).sum(), got, atol=1e-5)
+
+
 # 7 media
 
 
@@ -349,9 +471,69 @@ def test_mix(spark, docs, empty):
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
+def test_mix_gives_each_row_once(spark):
+    """Rows without words lie in blocks that are read to several lengths; each comes once, and `taken` is what the schedule reads."""
+    rows = [(1, "w " * 100, "en", "a"), (2, "w " * 100, "en", "b"), *[(k, [None, "", " "][k % 3], "en", "b") for k in range(3, 8)]]
+    got = mixing.document_shares(mixing.plan_mix(docs_of(spark, rows))).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 5, 6, 7]
+    rng = np.random.default_rng(6)
+    rows = [(int(i % 190), " ".join(["w"] * int(rng.choice([0, 0, 3, 50, 300]))), "en", ["a", "b", None][int(rng.choice(3, p=[0.6, 0.3, 0.1]))]) for i in range(200)]
+    mix = mixing.plan_mix(docs_of(spark, rows), block_tokens=128)
+    line, read = {r: (r.source_no, r.start, r["size"]) for r in mix.documents.collect()}, Counter()
+    for s in mix.slots.collect():
+        read.update((s.source_no, p) for p in range(s.block * 128, s.block * 128 + s.tokens))
+    want = Counter((r.doc_id, n, sum(read[s, p] for p in range(a, a + n))) for r, (s, a, n) in line.items())
+    assert len(line) == len(want) or sum(want.values()) <= 200
+    got = mixing.document_shares(mix).collect()
+    assert len(got) == 200 and set(want) <= {(r.doc_id, r["size"], r.taken) for r in got}
+    assert sum(r.taken for r in got) == sum(read.values())
+    held = docs_of(spark, rows).withColumnRenamed("doc_id", "key")
+    assert mixing.mix_documents(held, doc_id="key").columns == held.columns
+
+
 # 9 packing
 
 
+def plain_pack(sizes, capacities, overhead=32.0):
+    bins = []  # capacity, pieces
+    for n, size in enumerate(sizes):
+        fits = [b for b in bins if b[0] - sum(b[1]) >= size]
+        if fits:
+            min(fits, key=lambda b: b[0] - sum(b[1]))[1].append(size)
+            continue
+        cost = {}
+        for c in capacities:
+            if c >= size:
+                used = size
+                for x in sizes[n + 1 :]:
+                    used += x if used + x <= c else 0
+                cost[c] = (c + overhead) / used
+        bins.append((min(cost, key=lambda c: (cost[c], c)), [size]))
+    return sorted(sorted(b[1]) for b in bins)
+
+
+def test_packing_by_plain_loops():
+    rng = np.random.default_rng(7)
+    for k in range(60):
+        sizes = sorted((int(x) for x in rng.integers(1, [60, 130, 520][k % 3], 40).clip(1, 512)), reverse=True)
+        of, offset, bins = packing.pack(sizes, (64, 128, 512))
+        got = defaultdict(list)
+        for b, s in zip(of, sizes):
+            got[b].append(s)
+        assert sorted(sorted(x) for x in got.values()) == plain_pack(sizes, (64, 128, 512))
+        assert [u for _, u in bins] == [sum(got[b]) for b in range(len(bins))]
+
+
+def test_packing_keeps_ids_and_repeats(spark):
+    big = 2**53 + 1
+    rows = [(big, "one two", "en", "s"), (None, "one", "en", "s"), (None, "x y z", "en", "s")] + [(5, "same words", "en", "s")] * 2500 + [(None, None, "en", "s")] * 2500
+    got = packing.pack_documents(docs_of(spark, rows), shard_rows=100).collect()
+    assert Counter(r.doc_id for r in got) == Counter({big: 1, None: 2502, 5: 2500})
+    assert len({(r.doc_id, r["size"], r.copy) for r in got}) == len(rows)
+    assert max(Counter(r.shard for r in got).values()) < 4000
+
+
+
 def test_packing(spark, docs, empty):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["w"] * int(n)), "en", "s") for i, n in enumerate(rng.integers(0, 9000, 150))]
@@ -495,3 +677,44 @@ def test_near_copies_by_shingles(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in c.drop_near_copies(spark, docs, "").collect()) == [1, 6]
     assert {r.doc_id: r.kept for r in simhash.near_copies(docs, width=5, budget=20, least=0.8).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
+
+
+@pytest.mark.parametrize("max_texts", [2000, 4])
+def test_near_copies_are_all_linked(spark, max_texts):
+    """Chains and clusters against all pairs, in sets that one task takes and in larger ones."""
+    rng = np.random.default_rng(12)
+    words, rows = [f"v{k}" for k in range(3000)], []
+    for c in range(6):
+        base = [words[k] for k in rng.integers(0, 3000, 150)]
+        for k in range(14):
+            if c % 2:  # each is like the one before it
+                base = [words[int(rng.integers(0, 3000))] if i // 3 == k else w for i, w in enumerate(base)]
+                rows.append(" ".join(base))
+            else:
+                rows.append(" ".join(words[int(rng.integers(0, 3000))] if x < 0.02 else w for x, w in zip(rng.random(150), base)))
+    rows += ["", "", "one two", "One  two", rows[0], rows[20].upper()]
+    sets = [simhash.shingles(t, 5) for t in rows]
+    label, changed = list(range(len(rows))), True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if label[b] > label[a] and simhash.similarity(sets[a], sets[b]) >= 0.8:
+                    label[b], changed = label[a], True
+    order = rng.permutation(len(rows))
+    docs = docs_of(spark, [(int(k), rows[k], "en", "s") for k in order])
+    got = {r.doc_id: r.kept for r in simhash.near_copies(docs, width=5, least=0.8, max_texts=max_texts).collect()}
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < len(rows)
+
+
+def test_pipeline_takes_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column, and columns whose names the stages use."""
+    import corpus_pipeline as c
+
+    odd = [(None, None, None, None, None), (1, "", None, "a", None), (1, "word " * 20, "en", None, 3), (None, "word " * 20, "en", None, 3), (2, " \n\t", "de", "a", 0)]
+    for n, rows in enumerate(([], odd)):
+        docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, tag long, size long, label long, start long")
+        docs.write.parquet(str(tmp_path / f"{n}/documents.parquet"))
+        spark.createDataFrame([(2, None, None), (None, 1, 1)][: len(rows)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / f"{n}/labels.parquet"))
+        got = c.run(spark, str(tmp_path / str(n))).collect()
+        assert (not got) if not rows else {r.doc_id for r in got} <= {None, 1, 2} and got
