@@ -252,13 +252,74 @@ def test_notices_after_stray_words():
     size = len(licenses._WORD.findall(gpl))
     prose = " ".join(w for k in range(30) for w in (["of", "the", "it", "and", "or"][k % 5], f"x{k}", f"y{k}"))
     long_ = " ".join(f"w{k % 230}" for k in range(260))
-    compiled = licenses._compile({"GPL": gpl, "long": long_})
+    compiled = [licenses.Template(n, t, 0.8) for n, t in {"GPL": gpl, "long": long_}.items()]
     for text, want in ((f"this {prose} {gpl}", 1), (f"{gpl} {prose} details", 1), (f"this {prose} {gpl} {prose} details", 1), (f"{prose} {gpl} {gpl} {gpl}", 3), (f"It {' '.join([long_.replace('w0 ', 'v ', 1)] * 3)}", 3), (prose, 0)):
-        hits = licenses.scan(text, compiled, 0.8)
+        hits = licenses.scan(text, compiled)
         assert len(hits) == want and all(h[1] >= 0.99 for h in hits), (text[:40], hits)
         assert all(text[h[2] : h[3]] == gpl.rstrip(".") for h in hits if h[0] == "GPL") and all(h[4] == size for h in hits if h[0] == "GPL")
 
 
+def plain_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_longest_common_subsequences():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = ([str(x) for x in rng.integers(0, 5, rng.integers(0, 30))] for _ in "ab")
+        for f in (licenses._common, licenses._common_late):
+            pairs = f(a, b)
+            assert len(pairs) == plain_common(a, b) and all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_windows_against_all_windows():
+    """The first-ending window with enough words in order, found by trying every window."""
+    rng = np.random.default_rng(3)
+    found = 0
+    for _ in range(150):
+        t = licenses.Template("t", " ".join(str(x) for x in rng.integers(0, 6, 8)), 0.75)
+        text = [str(x) for x in rng.integers(0, 12, 60)]
+        at = [i for i, w in enumerate(text) if w in t.counts]
+        words = [text[i] for i in at]
+        fits = lambda i, j: at[j] - at[i] < 2 * t.size and plain_common(words[i : j + 1], t.words) >= t.need  # noqa: B023, E731
+        want = next(((i, j) for j in range(len(at)) for i in range(j, -1, -1) if fits(i, j)), None)
+        inside = [t.window(words, at, a, b) for a, b in t.regions(words, at)]
+        assert next((w for w in inside if w), None) == want
+        found += want is not None
+    assert 20 < found < 150
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD-2-Clause (full text)"])
+def test_verbatim_copies_among_words_of_the_template(name):
+    import random
+
+    words = licenses._WORD.findall(licenses.TEMPLATES[name].lower())
+    t = [licenses.Template(name, " ".join(words), 0.8)]
+    for seed in range(200):
+        r = random.Random(seed)
+        before, after = (r.choices(words, k=r.randint(0, 120)) for _ in "ab")
+        hits = licenses.scan(" ".join(before + words + after), t)
+        assert len(hits) == 1 and hits[0][4] == len(words), (seed, hits)
+
+
+def test_any_size_of_repeated_words():
+    for n in (180, 300, 3000):
+        words = [f"w{k % 7}" for k in range(n)]
+        t = [licenses.Template("t", " ".join(words), 0.8)]
+        assert [h[4] for h in licenses.scan(" ".join(words), t)] == [n]
+        assert len(licenses.scan(" ".join(["x"] * 50 + words + ["y"] * 2 * n + words), t)) == 2
+
+
+def test_license_rows_with_null_and_repeated_ids(spark):
+    text = "Released under the MIT License."
+    rows = [(None, text, "en", "s"), (3, text, "en", "s"), (3, text, "en", "s"), (3, "x " * 50_000 + text, "en", "s")]
+    assert Counter(h.doc_id for h in licenses.license_hits(docs_of(spark, rows)).collect()) == {None: 1, 3: 3}
+
+
 # 5 and 6: learned
 
 
