@@ -63,6 +63,22 @@ def test_ann_recall_and_order(spark):
     assert hits / 150 >= 0.9
 
 
+def test_ann_recall_on_clusters_and_verified_share():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 48))[rng.integers(0, 60, 4000)] + 0.3 * rng.normal(size=(4000, 48))
+    x[7] = x[0]
+    ids = np.arange(4000)
+    row, col, gap = ann.search_block(ids, x, ids[::100], x[::100], k=10, n_lines=64, threshold=44, growth=1.08)
+    hits = 0
+    for q in range(40):
+        d = np.sqrt(((x - x[q * 100]) ** 2).sum(axis=1))
+        d[q * 100] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & set(col[row == q].tolist()))
+        assert (np.diff(gap[row == q]) >= 0).all() and (row == q).sum() == 10
+    assert hits / 400 >= 0.9 and col[0] == 7 and gap[0] == 0
+    assert np.allclose(ann.directions(48, 48).T @ ann.directions(48, 48), np.eye(48))
+
+
 def test_ann_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     df = vectors(spark, [(0, [1.0, 0.0], 1, "a"), (1, [1.0, 0.0], 1, "a"), (2, [0.0, 2.0], 1, "a"), (3, None, 1, "a"), (4, [nan, 1.0], 1, "a"), (5, [inf, 1.0], 1, "a"), (6, [0.0, 0.0], 1, "a"), (7, [1.0, None], 1, "a"), (None, [1.0, 1.0], 1, "a"), (8, [1.0], 1, "a"), (100, [1.0, 0.0], 1, "a")])
