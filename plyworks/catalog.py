@@ -23,6 +23,8 @@ BANDS = [(0, 50000, "low"), (50000, 150000, "middle"), (150000, 300000, "high")]
 GAPPED = [(10000, 20000, "a"), (40000, 60000, "b"), (100000, 150000, "c")]
 BOUNDS = [0.0, 1.0, 5.0, 20.0, 60.0, 150.0, 300.0, float("inf")]
 CLASS = "case when {0} < 1 then 0 when {0} < 5 then 1 when {0} < 20 then 2 when {0} < 60 then 3 when {0} < 150 then 4 when {0} < 300 then 5 else 6 end"
+#: A number in [0, 1) from a user's key, as `seeded_unit(11, ...)` gives it.
+_UNIT = "('0x' || substr(md5('11:' || user_id), 1, 13))::bigint / 4503599627370496.0"
 
 
 def query(sql: str | None = None):
@@ -167,8 +169,7 @@ def q21_bucket_probs(spark, d):
 
 @query("select event_type, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.95) as p95, quantile_cont(value, 0.99) as p99, avg(value) as mean, case when quantile_cont(value / 20, 0.95) < 5 then 'bullet' when quantile_cont(value / 20, 0.95) < 20 then 'blitz' when quantile_cont(value / 20, 0.95) < 60 then 'rapid' else 'classical' end as speed from events group by 1")
 def q22_percentile_class(spark, d):
-    p = lambda q, x="value": F.percentile(F.expr(x), F.lit(q))
-    return _t(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.avg("value").alias("mean"), agg.speed_class(p(0.95, "value / 20")).alias("speed"))
+    return agg.clock_percentiles(_t(spark, d, "events"), "value", "event_type")
 
 
 @query(f"select cast({CLASS.format('value')} as integer) as bucket, round_even(value, 0) as second, count(*) as n, 100.0 * count(*) / sum(count(*)) over (partition by cast({CLASS.format('value')} as integer)) as percent from events group by 1, 2")
@@ -185,8 +186,7 @@ def q24_bucket_topvalues(spark, d):
 
 @query("select count(distinct user_id) as keys, (select count(*) from (select user_id from events group by 1 having count(*) > 1)) as repeated from events")
 def q25_distinct_dupes(spark, d):
-    per = _t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return agg.key_repeats(_t(spark, d, "events"), "user_id")
 
 
 @query("select avg((r <= 1)::int) as top1, avg((r <= 3)::int) as top3, avg((r <= 5)::int) as top5 from (select event_type, rank() over (partition by user_id order by value desc) as r from events) where event_type = 'purchase'")
@@ -244,8 +244,7 @@ def q33_class_weights(spark, d):
 
 @query("select o_custkey, count(*) as games, count(*) filter (where o_orderstatus = 'F') as wins, count(*) filter (where o_orderstatus = 'O') as losses, 100.0 * count(*) filter (where o_orderstatus = 'F') / count(*) as win_percent from orders group by 1")
 def q34_user_totals(spark, d):
-    wins = F.count_if(F.col("o_orderstatus") == "F")
-    return _t(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("games"), wins.alias("wins"), F.count_if(F.col("o_orderstatus") == "O").alias("losses"), (100.0 * wins / F.count(F.lit(1))).alias("win_percent"))
+    return agg.result_totals(_t(spark, d, "orders"), "o_custkey", F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O")
 
 
 @query("select event_id, string_agg(event_type, ',') over (partition by user_id order by event_id rows between 11 preceding and current row) as h from events")
@@ -311,27 +310,43 @@ def q45_round_robin(spark, d):
     return seq.round_robin(_t(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"], 4)
 
 
-@query("""select * from (values ('4:58', 298.0::double, 0.0::double), ('0:04:57', 297.0, 297.0), ('4:55.5', 295.5, 0.0), ('297.0', 297.0, 0.0), ('293', 293.0, 0.0), ('x', -1.0, 0.0), (' 1:00:01 ', 3601.0, 3601.0)) t(clock, seconds, strict)""")
+@query("""with x as (select event_id, event_id % 7 as f, cast(floor(value) as bigint) as v from events where value is not null)
+select event_id, case f when 2 then v + 0.5 when 5 then -1.0 when 6 then v + 3600.0 else v end::double as seconds, case f when 1 then v when 6 then v + 3600 else 0 end::double as strict from x""")
 def q46_clock_parse(spark, d):
-    c = spark.createDataFrame([("4:58",), ("0:04:57",), ("4:55.5",), ("297.0",), ("293",), ("x",), (" 1:00:01 ",)], "clock string")
-    return c.select("clock", tx.clock_seconds(F.col("clock")).alias("seconds"), tx.strict_clock_seconds(F.col("clock")).alias("strict"))
-
-
-@query("""select * from (values ('a b c d 5 6', 'a b c d', 6, 'a b c d 5 6'), ('p q r s 0 x', 'p q r s', null, 'p q r s 0 x'), ('["e2e4","n w k"]', '["e2e4","n w k"]', null, 'n w k')) t(key, stripped, fullmove, position)""")
+    v, k = F.floor("value"), F.col("event_id") % 7
+    m, s = F.floor(v / 60), v % 60
+    forms = ["%d:%02d", "0:%02d:%02d", "%d:%02d.5"]
+    clock = F.when(k == 3, F.format_string("%d.0", v)).when(k == 4, v.cast("string")).when(k == 5, F.format_string("x%d", v)).otherwise(F.format_string(" 1:%02d:%02d ", m, s))
+    for n, form in enumerate(forms):
+        clock = F.when(k == n, F.format_string(form, m, s)).otherwise(clock)
+    e = _t(spark, d, "events").filter("value is not null")
+    return e.select("event_id", tx.clock_seconds(clock).alias("seconds"), tx.strict_clock_seconds(clock).alias("strict"))
+
+
+@query("""select o_orderkey, case o_orderkey % 3 when 2 then concat('["e2e4","p', o_custkey, ' w - -') else concat('p', o_custkey, ' w KQ e3') end as stripped, case o_orderkey % 3 when 0 then o_orderkey % 90 end::int as fullmove,
+case o_orderkey % 3 when 0 then concat('p', o_custkey, ' w KQ e3 5 ', o_orderkey % 90) when 1 then concat('p', o_custkey, ' w KQ e3 0 x') else concat('p', o_custkey, ' w - - 0 7') end as position from orders""")
 def q47_fen_strip(spark, d):
-    k = spark.createDataFrame([("a b c d 5 6",), ("p q r s 0 x",), ('["e2e4","n w k"]',)], "key string")
-    return k.select("key", tx.strip_counters(F.col("key")).alias("stripped"), tx.fullmove(F.col("key")).alias("fullmove"), tx.position_of_key(F.col("key")).alias("position"))
+    k, piece = F.col("o_orderkey") % 3, F.concat(F.lit("p"), F.col("o_custkey").cast("string"))
+    plain = F.concat(piece, F.lit(" w KQ e3 5 "), (F.col("o_orderkey") % 90).cast("string"))
+    key = F.when(k == 0, plain).when(k == 1, F.concat(piece, F.lit(" w KQ e3 0 x"))).otherwise(tx.position_key(F.array(F.lit("e2e4")), F.concat(piece, F.lit(" w - - 0 7"))))
+    return _t(spark, d, "orders").select("o_orderkey", tx.strip_counters(key).alias("stripped"), tx.fullmove(key).alias("fullmove"), tx.position_of_key(key).alias("position"))
 
 
-@query("""select x.p::integer as place, list_position(['0','1','2','3','4','5','6','7','8','9','a','b','c','d','e','f','g','h','p','n','r','k','q','P','B','N','R','Q','K','w','.'], substr('wrnbqkbnrpppppppp................................PPPPPPPPRNBQKBNRKQkq..0..1..', (x.p + 1)::bigint, 1))::integer - 1 as token from range(77) x(p) union all select 77, 31""")
+@query("""with r as (select p_partkey, p_size, string_agg(list_value('8', '7k', '3p4', 'rnbqkbnr', 'PP6', '1Q5r', '4N2b', 'pppppppp')[((p_partkey // (3 ** i)::bigint) % 8 + 1)::int], '' order by i) as board from part, range(8) t(i) group by all),
+f as (select *, replace(replace(replace(replace(replace(replace(board, '8', '........'), '7', '.......'), '6', '......'), '5', '.....'), '4', '....'), '3', '...') as b from r),
+x as (select p_partkey, case when p_partkey % 2 = 0 then 'w' else 'b' end || replace(replace(b, '2', '..'), '1', '.') || rpad(list_value('', 'K', 'kq', 'KQkq')[(p_size % 4 + 1)::int], 4, '.') || rpad(case when p_size % 3 = 0 then 'e3' else '' end, 2, '.') || rpad((p_partkey % 50)::varchar, 3, '.') || rpad((p_partkey % 300 + 1)::varchar, 3, '.') as t from f)
+select p_partkey, string_agg((instr('0123456789abcdefghpnrkqPBNRQKw.', substr(t, i, 1)) - 1)::varchar, ',' order by i) || ',31' as tokens from x, range(1, 78) c(i) group by 1""")
 def q48_fen_tokens(spark, d):
-    start = spark.createDataFrame([("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1",)], "fen string")
-    return start.select(F.posexplode(tx.fen_tokens(F.col("fen"))).alias("place", "token"))
+    ranks, key, size = F.array(*map(F.lit, ("8", "7k", "3p4", "rnbqkbnr", "PP6", "1Q5r", "4N2b", "pppppppp"))), F.col("p_partkey"), F.col("p_size")
+    board = F.concat_ws("/", *[F.element_at(ranks, (F.floor(key / 3**i) % 8 + 1).cast("int")) for i in range(8)])
+    castling = F.element_at(F.array(*map(F.lit, ("-", "K", "kq", "KQkq"))), (size % 4 + 1).cast("int"))
+    fen = F.concat_ws(" ", board, F.when(key % 2 == 0, "w").otherwise("b"), castling, F.when(size % 3 == 0, "e3").otherwise("-"), (key % 50).cast("string"), (key % 300 + 1).cast("string"))
+    return _t(spark, d, "part").select("p_partkey", F.array_join(tx.fen_tokens(fen), ",").alias("tokens"))
 
 
 @query("select event_type, sum(cast(json_extract(props, '$.k') as bigint))::bigint as k from events group by 1")
 def q49_json_hist(spark, d):
-    return _t(spark, d, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k")).groupBy("event_type").agg(F.sum("k").alias("k"))
+    return agg.json_total(_t(spark, d, "events"), "event_type", "props", "k")
 
 
 @query("select o_orderkey, case o_orderstatus when 'F' then 1 when 'O' then 0 else -1 end as label, case o_orderstatus when 'F' then 1.0::double when 'O' then 0.5 else 0.0 end as white, case o_orderstatus when 'F' then 0.0::double when 'O' then 0.5 else 1.0 end as black from orders")
@@ -358,9 +373,7 @@ select 'only a' as part, count(*) as n from (select k from a except select k fro
 def q53_set_ops(spark, d):
     line = _t(spark, d, "lineitem")
     a, b = (line.filter(c).select(F.col("l_partkey").alias("k")).distinct() for c in ("l_quantity > 48", "l_discount > 0.08"))
-    parts = [("only a", a.subtract(b)), ("only b", b.subtract(a)), ("both", a.intersect(b)), ("all", a.unionAll(b))]
-    rows = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, x in parts]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return joins.set_sizes(a, b, "k")
 
 
 @query("select conv_id, turn, text from conversations where turn < 2")
@@ -370,8 +383,7 @@ def q54_bag_index_slice(spark, d):
 
 @query("select event_type, epoch(time_bucket(interval 1 day, ts))::bigint as day, count(*) as n from events group by 1, 2")
 def x01_tumbling_days(spark, d):
-    w = F.window("ts", "1 day")
-    return _t(spark, d, "events").groupBy("event_type", F.unix_timestamp(w["start"]).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return seq.tumbling(_t(spark, d, "events"), "ts", "1 day", "event_type", out="day")
 
 
 @query("select l_returnflag, quantile_cont(d, 0.5) as median from (select l_returnflag, l_discount::double as d, unnest(range(l_linenumber::bigint)) from lineitem) group by 1")
@@ -381,8 +393,7 @@ def q55_weighted_median(spark, d):
 
 @query("select event_type, max(value) as maximum, min(value) as minimum, avg(value) as mean, count(value) as n from events group by 1")
 def q56_gap_summary(spark, d):
-    e = _t(spark, d, "events")
-    return e.groupBy("event_type").agg(F.max("value").alias("maximum"), F.min("value").alias("minimum"), F.avg("value").alias("mean"), F.count("value").alias("n"))
+    return ev.gap_summary(_t(spark, d, "events"), "event_type", gap="value")
 
 
 @query("select event_id // 1000 as window, avg(value) as loss, count(*) as steps from events group by 1")
@@ -524,64 +535,118 @@ def q73_late_positions(spark, d):
     return filters.late_positions(e, "fen", 90).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""with c as (select user_id, event_type as move, count(*) as n from events group by 1, 2), u as (select *, sum(n) over (partition by user_id order by move) as upto, sum(n) over (partition by user_id) as total from c)
+select user_id, arg_min(move, upto) as move, arg_min(n, upto)::double / any_value(total) as probability, any_value(total)::bigint as total from u where upto > {_UNIT} * total group by 1""")
 def r04_drawn_moves(spark, d):
     per = agg.count_by(_t(spark, d, "events"), "user_id", "event_type")
     maps = per.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "cnt")))).alias("moves"))
     return serving.draw_move(maps, "user_id", 11).select("user_id", "move", "probability", "total")
 
 
-@query()
+@query("select event_id, value from events order by md5('7:' || event_id), event_id limit 500")
 def r01_seeded_sample(spark, d):
     return seq.seeded_sample(_t(spark, d, "events").select("event_id", "value"), 500, 7, "event_id")
 
 
-@query()
+@query(f"""with c as (select user_id, event_type, count(*) as n from events group by 1, 2), u as (select *, sum(n) over (partition by user_id order by event_type) as upto, sum(n) over (partition by user_id) as total from c)
+select user_id, min(event_type) as event_type from u where upto > {_UNIT} * total group by 1""")
 def r02_weighted_choice(spark, d):
     return seq.weighted_choice(agg.count_by(_t(spark, d, "events"), "user_id", "event_type"), "user_id", "event_type", "cnt", 11)
 
 
-@query()
+@query("select event_id, user_id, row_number() over (order by md5('3:' || event_id), event_id) as place from events")
 def r03_seeded_shuffle(spark, d):
-    return seq.seeded_buckets(_t(spark, d, "events").select("event_id", "user_id"), 8, 3, "event_id")
+    return seq.seeded_rank(_t(spark, d, "events").select("event_id", "user_id"), 3, "event_id")
+
+
+def _event_plies(spark, d):
+    """Events as the plies of games, one game a user; positions, clocks, ratings and results follow from the keys."""
+    e = _t(spark, d, "events")
+    e = e.withColumn("ply", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).withColumn("u", F.col("user_id"))
+    fen = lambda name: F.concat(F.lit(name), (F.col("event_id") % 97).cast("string"), F.lit(" w - - 0 "), F.col("ply").cast("string"))
+    result = F.when(F.col("u") % 4 == 0, "1-0").when(F.col("u") % 4 == 1, "0-1").when(F.col("u") % 4 == 2, "1/2-1/2").otherwise("*")
+    return e.select(
+        F.col("user_id").alias("game_id"), "ply", F.when(F.col("ply") % 2 == 1, "w").otherwise("b").alias("side"), F.col("event_type").alias("uci"), fen("p").alias("fen_before"), fen("q").alias("fen_after"),
+        F.when(F.col("event_id") % 11 != 0, F.floor("value").cast("double")).alias("clk"), (1400 + F.col("u") % 6 * 100).cast("int").alias("white_elo"),
+        F.when(F.col("u") % 13 != 0, 1450 + F.col("u") % 5 * 120).cast("int").alias("black_elo"), result.alias("result"), F.when(F.col("u") % 9 == 0, "Abandoned").otherwise("Normal").alias("termination"),
+        F.lit(300.0).alias("initial_time"), F.lit(238.0).alias("increment"),
+    )
 
 
-_GAMES = [
-    (1, 1750, 1723, "1-0", "Normal", 180.0, 2.0, "1. e4 { [%clk 0:02:58] } e5 { [%clk 0:02:57] } 2. Nf3 { [%clk 0:02:55] } Nc6 { [%clk 0:02:50] } 3. Bb5 { [%clk 0:02:51] } 1-0"),
-    (2, 1500, 1620, "0-1", "Time forfeit", 300.0, 0.0, "1. d4 { [%clk 4:58] } d5 { [%clk 4:59] } 2. c4 { [%clk 4:50] } dxc4 { [%clk 4:41] } 0-1"),
-    (3, 1750, 1800, "1/2-1/2", "Normal", 180.0, 2.0, "1. e4 { [%clk 0:02:59] } c5 { [%clk 0:02:58] } 2. Nf3 { [%clk 0:02:57] } d6 { [%clk 0:02:40] } 1/2-1/2"),
-]
+_PLIES = """p as (select user_id as game_id, ply, case when ply % 2 = 1 then 'w' else 'b' end as side, event_type as uci, 'p' || (event_id % 97) || ' w - - 0 ' || ply as fen_before, 'q' || (event_id % 97) || ' w - - 0 ' || ply as fen_after,
+case when event_id % 11 <> 0 then floor(value)::double end as clk, (1400 + user_id % 6 * 100)::int as white_elo, case when user_id % 13 <> 0 then (1450 + user_id % 5 * 120)::int end as black_elo,
+case user_id % 4 when 0 then '1-0' when 1 then '0-1' when 2 then '1/2-1/2' else '*' end as result, case when user_id % 9 = 0 then 'Abandoned' else 'Normal' end as termination, 300.0::double as initial_time, 238.0::double as increment
+from (select *, (row_number() over (partition by user_id order by event_id))::int as ply from events))"""
+_OBSERVED = f"""with {_PLIES}, h as (select *, list(uci) over (partition by game_id order by ply rows between 12 preceding and 1 preceding) as recent from p where white_elo between 0 and 1800 and black_elo between 0 and 1800 and termination in ('Normal', 'Time forfeit')),
+o as (select to_json(list_append(coalesce(recent, []), fen_before))::varchar as pos_key, fen_before, uci as move, printf('%.1f', coalesce(clk, 0)) as clock, case side when 'w' then white_elo else black_elo end as rating from h where ply > 4 and coalesce(clk, 0) >= 20)"""
 
 
-def _plies(spark):
+def _observed(spark, d):
     from .plans import records
 
-    games = spark.createDataFrame(_GAMES, "game_id long, white_elo int, black_elo int, result string, termination string, initial_time double, increment double, movetext string")
-    return records, records.plies(games)
+    return records.move_observations(_event_plies(spark, d), high=1800, min_ply=4, min_clock=20.0)
 
 
-@query()
+@query(f"""with {_PLIES}, h as (select *, list(uci) over (partition by game_id order by ply rows between 11 preceding and current row) as recent, last_value(case when side = 'b' then clk end ignore nulls) over w as black, last_value(case when side = 'w' then clk end ignore nulls) over w as white
+from p where black_elo is not null window w as (partition by game_id order by ply rows between unbounded preceding and 1 preceding)), k as (select *, lag(clk) over (partition by game_id, side order by ply) as before from h where clk is not null)
+select game_id, ply, fen_before as fen, array_to_string(recent, ',') as recent_moves, case side when 'w' then white_elo else black_elo end as rating, coalesce(before, initial_time) as player_clock, coalesce(case side when 'w' then black else white end, initial_time) as opponent_clock, increment,
+greatest(coalesce(before, initial_time) + increment - clk, 0) as thinking_time from k where game_id not in (select game_id from k where clk - before >= 2 * increment)""")
 def g01_clock_records(spark, d):
-    records, p = _plies(spark)
-    return records.clock_records(p)
+    from .plans import records
 
+    return records.clock_records(_event_plies(spark, d)).withColumn("recent_moves", F.array_join("recent_moves", ","))
 
-@query()
+
+@query(f"""with {_PLIES}, h as (select *, list(uci) over (partition by game_id order by ply rows between 11 preceding and current row) as recent, last_value(case when side = 'b' then clk end ignore nulls) over w as black, last_value(case when side = 'w' then clk end ignore nulls) over w as white
+from p where result in ('1-0', '0-1') and (white_elo + black_elo) // 2 between 1500 and 1700 window w as (partition by game_id order by ply rows between unbounded preceding and current row))
+select game_id, ply, fen_after as fen, array_to_string(recent, ',') as recent_moves, case result when '1-0' then 1 else -1 end as winner, white_elo, black_elo, coalesce(white, 300) as white_clock, coalesce(black, 300) as black_clock, increment from h where clk is not null""")
 def g02_winner_records(spark, d):
-    records, p = _plies(spark)
-    return records.winner_records(p)
+    from .plans import records
 
+    return records.winner_records(_event_plies(spark, d), low=1500, high=1700, with_draws=False).withColumn("recent_moves", F.array_join("recent_moves", ","))
 
-@query()
+
+@query(f"{_OBSERVED} select pos_key, move, clock, rating, count(*) as cnt from o group by all")
 def g03_move_histogram(spark, d):
-    records, p = _plies(spark)
-    return records.move_observations(p)
+    return _observed(spark, d)
 
 
-@query()
+@query(f"""{_OBSERVED}, f as (select array_to_string(string_split(fen_before, ' ')[1:4], ' ') as fen, move, count(*) as n from o group by all)
+select fen, '{{' || string_agg('"' || move || '":' || n, ',' order by move) || '}}' as moves, sum(n)::bigint as total from f group by 1 having sum(n) > 15""")
 def g04_common_positions(spark, d):
-    records, p = _plies(spark)
-    return records.common_positions(records.move_observations(p), 1).select("fen", F.to_json("moves").alias("moves"), "total")
+    from .plans import records
+
+    return records.common_positions(_observed(spark, d), 15).select("fen", F.to_json("moves").alias("moves"), "total")
+
+
+@query(f"""with {_PLIES}, h as (select *, count(*) over (partition by game_id) as n, list(uci) over w as history, last_value(case when side = 'w' then clk end ignore nulls) over w as white, last_value(case when side = 'b' then clk end ignore nulls) over w as black,
+case side when 'w' then white_elo else black_elo end as elo_self, case side when 'w' then black_elo else white_elo end as elo_oppo from p window w as (partition by game_id order by ply rows between unbounded preceding and 1 preceding)),
+b as (select *, case when elo_self >= 1400 and elo_self < 1650 then 'low' when elo_self >= 1650 and elo_self < 2000 then 'high' end as elo_band from h where n >= 40 and ply > 10), r as (select *, row_number() over (partition by elo_band order by game_id, ply) as place from b where elo_band is not null)
+select game_id, ply, fen_before as fen, uci as played_move, side, elo_self, elo_oppo, white_elo, black_elo, coalesce(white, 300) as white_clock, coalesce(black, 300) as black_clock, increment, array_to_string(history, ',') as move_history, elo_band,
+case result when '1/2-1/2' then 0.5 when '1-0' then (side = 'w')::int when '0-1' then (side = 'b')::int end::double as result_for_side from r where place <= 400""")
+def g08_eval_records(spark, d):
+    bands = [(1400, 1650, "low"), (1650, 2000, "high")]
+    return ev.balanced_set(ev.eval_records(_event_plies(spark, d), bands, skip_plies=10, min_plies=40), 400).withColumn("move_history", F.array_join("move_history", ","))
+
+
+_OPENINGS = {
+    "1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 4. Ba4 Nf6 5. O-O Be7": "e2e4 e7e5 g1f3 b8c6 f1b5 a7a6 b5a4 g8f6 e1g1 f8e7",
+    "1. d4 d5 2. c4 dxc4 3. e4 b5 4. a4 c6": "d2d4 d7d5 c2c4 d5c4 e2e4 b7b5 a2a4 c7c6",
+    "1. e4 d5 2. e5 f5 3. exf6 Nxf6 4. Bb5+ c6": "e2e4 d7d5 e4e5 f7f5 e5f6 g8f6 f1b5 c7c6",
+}
+
+
+@query(f"""with g as (select c_custkey, list_value({", ".join(f"'{u}'" for u in _OPENINGS.values())})[(c_custkey % 3 + 1)::int] as line from customer), m as (select c_custkey, unnest(string_split(line, ' ')) as uci, generate_subscripts(string_split(line, ' '), 1) as ply from g)
+select c_custkey, ply::int as ply, case when ply % 2 = 1 then 'w' else 'b' end as side, uci, (300 - ply - c_custkey % 60)::double as clk from m""")
+def g09_replayed_games(spark, d):
+    """Games whose texts are put together from customers: an opening, and clocks that follow from the key."""
+    from .plans import records
+
+    line = F.element_at(F.array(*map(F.lit, _OPENINGS)), (F.col("c_custkey") % 3 + 1).cast("int"))
+    clock = lambda n: F.concat(F.lit(" {[%clk "), tx.hms(300 - n - F.col("c_custkey") % 60), F.lit("]} "))
+    sans = F.filter(F.split(line, " "), lambda t: ~t.rlike(r"^\d+\.$"))
+    text = F.array_join(F.transform(sans, lambda t, i: F.concat(t, clock(i + 1))), " ")
+    return records.plies(_t(spark, d, "customer").select(F.col("c_custkey").alias("game_id"), text.alias("movetext"))).select(F.col("game_id").alias("c_custkey"), "ply", "side", "uci", "clk")
 
 
 @query()
@@ -608,8 +673,52 @@ def g07_match_ratings(spark, d):
     return rate_matches(o.select(F.col("o_custkey").cast("string").alias("match_id"), F.col("o_orderkey").alias("game_no"), F.lit("a").alias("white"), F.lit("b").alias("black"), ((F.col("o_orderkey") % 3) / 2.0).alias("score")))
 
 
-@query()
-def g08_eval_records(spark, d):
-    records, p = _plies(spark)
-    bands = [(1400, 1700, "low"), (1700, 2000, "high")]
-    return ev.balanced_set(ev.eval_records(p, bands, skip_plies=1, min_plies=4), 3)
+@query("""select o_orderkey, case when o_totalprice / 50 < 100 or o_totalprice / 50 > 3500 then 'bot_rating: out of range' when o_custkey % 5 = 0 then 'player_color: missing' when o_orderstatus not in ('F', 'O') then 'player_color: not allowed' when o_orderpriority like '%URGENT' then 'result: not allowed' end as reason from orders""")
+def q74_request_reasons(spark, d):
+    status = F.col("o_orderstatus")
+    colour = F.when(F.col("o_custkey") % 5 != 0, F.when(status == "F", "white").when(status == "O", "black").otherwise("green"))
+    o = _t(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 50).alias("bot_rating"), colour.alias("player_color"), F.when(F.col("o_orderpriority").endswith("URGENT"), "won").otherwise("win").alias("result"))
+    return o.select("o_orderkey", filters.request_reason("bot_rating", "player_color", "result").alias("reason"))
+
+
+@query("""with e as (select o_custkey, arg_max(o_totalprice / 50, o_orderkey) as r from orders where o_totalprice / 50 between 100 and 3500 group by 1), u as (select c_custkey, 800.0 + c_custkey % 1800 as rating, 40.0 + c_custkey % 320 as rd from customer where c_custkey % 7 <> 0)
+select coalesce(c_custkey, o_custkey) as user_id, coalesce(r, rating)::double as rating, case when r is null then rd else least(350, coalesce(rd, 350) + 50) end::double as rd from u full join e on c_custkey = o_custkey""")
+def q75_rating_edits(spark, d):
+    users = _t(spark, d, "customer").filter("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("user_id"), (800.0 + F.col("c_custkey") % 1800).alias("rating"), (40.0 + F.col("c_custkey") % 320).alias("rd"))
+    edits = _t(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_totalprice") / 50).alias("new_rating"), F.col("o_orderkey").alias("edited_at"))
+    return serving.edited_ratings(users, edits)
+
+
+@query("""select *, score_percent - expected_percent as beyond_percent from (select o_orderpriority, avg((o_orderkey % 3) / 2.0) * 100 as score_percent, 100 / (1 + pow(10, (avg(o_custkey) - 600) / 400)) as expected_percent from orders group by 1)""")
+def q76_elo_expectation(spark, d):
+    o = _t(spark, d, "orders").select("o_orderpriority", ((F.col("o_orderkey") % 3) / 2.0).alias("score"), F.lit(1).alias("n_moves"), "o_custkey")
+    played = ev.match_summary(o, "o_orderpriority").join(o.groupBy("o_orderpriority").agg(F.lit(600.0).alias("first"), F.avg("o_custkey").alias("second")), "o_orderpriority")
+    return ev.with_expectation(played, "first", "second").select("o_orderpriority", "score_percent", "expected_percent", "beyond_percent")
+
+
+@query("select event_id, (case when event_id % 3 = 0 then 0 when event_id % 3 = 1 then 1 else 2 end)::int as class from events")
+def q77_result_classes(spark, d):
+    result = F.when(F.col("event_id") % 3 == 0, "0-1").when(F.col("event_id") % 3 == 1, "1/2-1/2").otherwise("1-0")
+    return _t(spark, d, "events").select("event_id", tx.result_class(tx.result_label(result)).alias("class"))
+
+
+@query(f"""with n as (select {CLASS.format("value")} as bucket, round_even(value, 0) as second, count(*) as n from events where value is not null group by 1, 2), c as (select *, sum(n) over (partition by bucket order by second) as upto, sum(n) over (partition by bucket) as total from n),
+r as (select event_id, {CLASS.format("value")} as bucket, ('0x' || substr(md5('5:' || event_id), 1, 13))::bigint / 4503599627370496.0 as u from events where value is not null)
+select event_id, min(second)::double as seconds from r join c using (bucket) where upto > u * total group by 1""")
+def q78_drawn_seconds(spark, d):
+    e = _t(spark, d, "events").filter("value is not null").withColumn("bucket", agg.bucket_of(F.col("value"), BOUNDS))
+    per = agg.second_shares(e, "bucket", "value").groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct(F.col("second").cast("string"), F.col("n").cast("double")))).alias("distribution"))
+    return serving.draw_seconds(e.select("event_id", "bucket"), "event_id", "bucket", per, 5).select("event_id", "seconds")
+
+
+@query("""with g as (select user_id, value, event_id from events), t as (select user_id, event_id, row_number() over (partition by user_id order by value desc, event_id) as r, value from g)
+select user_id::varchar as fen, '' as recent_moves, '1100-1500' as rating_pair, printf('%.6f', max(floor(value))) as total_variation_distance, string_agg('m' || r || ':' || printf('%.4f', floor(value)), '; ' order by r) filter (where r <= 2) as top5_lower_rating, '' as top5_higher_rating, case when user_id % 2 = 0 then 'True' else 'False' end as in_lower_common_moves, 'False' as in_higher_common_moves from t group by user_id""")
+def q79_gap_report(spark, d):
+    from .sources import reports
+
+    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    t = _t(spark, d, "events").withColumn("r", F.row_number().over(w)).withColumn("p", F.floor("value").cast("double"))
+    top = F.array_sort(F.collect_list(F.when(F.col("r") <= 2, F.struct("r", F.concat(F.lit("m"), F.col("r").cast("string")).alias("move"), "p"))))
+    per = t.groupBy("user_id").agg(F.max("p").alias("gap"), F.transform(top, lambda x: F.struct(x["move"].alias("move"), x["p"].alias("p"))).alias("low_top"))
+    empty = F.array().cast("array<struct<move:string,p:double>>")
+    return reports.gap_report(per.select(F.col("user_id").cast("string").alias("fen"), F.lit(None).cast("array<string>").alias("history"), F.lit(1100).alias("low"), F.lit(1500).alias("high"), "gap", "low_top", empty.alias("high_top"), (F.col("user_id") % 2 == 0).alias("in_low"), F.lit(None).cast("boolean").alias("in_high")))

@@ -158,8 +158,9 @@ def would_forfeit(think: Column, clock: Column, increment: Column) -> Column:
 
 
 def seeded_unit(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) from a hash of the keys: the same on every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / float(1 << 52)
+    """A number in [0, 1) from a hash of the keys: the same on every run and in any engine."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def uniform_between(u: Column, low: Column, high: Column) -> Column:

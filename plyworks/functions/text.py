@@ -58,6 +58,11 @@ def result_for_side(result: Column, side: Column) -> Column:
     return (F.when(side == "w", label).otherwise(-label) + 1) / 2.0
 
 
+def result_class(label: Column) -> Column:
+    """Class of a result label: 0 black wins, 1 draw, 2 white wins."""
+    return (label + 1).cast("int")
+
+
 def result_word_score(word: Column) -> Column:
     return F.when(word == "win", 1.0).when(word == "loss", 0.0).otherwise(0.5)
 

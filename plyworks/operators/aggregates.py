@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import percentiles, running_total, tiles
 
 def count_by(df: DataFrame, *keys: str, count: str | None = None, out: str = "cnt") -> DataFrame:
     """Observations by key; `count` holds counts that were summed before."""
@@ -65,7 +66,7 @@ def weighted_statistics(df: DataFrame, value: str, weight: str, *keys: str) -> D
 
 def weighted_median(df: DataFrame, value: str, weight: str, *keys: str) -> DataFrame:
     """Median of values that each count `weight` times, interpolated."""
-    return df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.lit(0.5), F.col(weight).cast("long")).alias("median"))
+    return percentiles(df, value, {"median": 0.5}, *keys, weight=weight)
 
 
 def field_statistics(df: DataFrame, fields: list[str], log_fields: tuple[str, ...] = ()) -> DataFrame:
@@ -73,8 +74,15 @@ def field_statistics(df: DataFrame, fields: list[str], log_fields: tuple[str, ..
     aggs = []
     for f in fields:
         x = F.log1p(f) if f in log_fields else F.col(f).cast("double")
-        aggs.append(F.struct(F.lit(f).alias("field"), F.count(f).alias("count"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(F.col(f).cast("double")).alias("min"), F.max(F.col(f).cast("double")).alias("max"), F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias("median")))
-    return df.agg(F.array(*aggs).alias("s")).select(F.inline("s"))
+        aggs.append(F.struct(F.lit(f).alias("field"), F.count(f).alias("count"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(F.col(f).cast("double")).alias("min"), F.max(F.col(f).cast("double")).alias("max")))
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields])))
+    return df.agg(F.array(*aggs).alias("s")).select(F.inline("s")).join(percentiles(values, "value", {"median": 0.5}, "field"), "field", "left")
+
+
+def clock_percentiles(df: DataFrame, value: str, *keys: str, per_speed: float = 20.0) -> DataFrame:
+    """p50, p95, p99 and mean of a value by keys, and the speed class of the 95th percentile over `per_speed`."""
+    found = percentiles(df, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *keys)
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(found, list(keys)).withColumn("speed", speed_class(F.col("p95") / per_speed))
 
 
 def shares(df: DataFrame, key: str, out: str = "share") -> DataFrame:
@@ -96,8 +104,8 @@ def speed_class(p95: Column) -> Column:
 
 def equal_probability_bounds(df: DataFrame, value: str, start: float, n: int) -> DataFrame:
     """Rising whole-number bounds that cut the values from `start` on into n equal parts: one array `bounds`, the last infinite."""
-    points = [i / n for i in range(1, n)]
-    cuts = df.filter(F.col(value) >= start).agg(F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, points)) if points else F.array(F.lit(1.0))).alias("p"))
+    points = {f"p{i}": i / n for i in range(1, n)}
+    cuts = percentiles(df.filter(F.col(value) >= start), value, points or {"p1": 1.0}).select(F.array(*(points or ["p1"])).alias("p"))
     rising = F.aggregate("p", F.array(F.lit(float(start))), lambda acc, x: F.concat(acc, F.array(F.greatest(F.round(x), F.element_at(acc, -1) + 1))))
     return cuts.select(F.concat(rising, F.array(F.lit(float("inf")))).alias("bounds"))
 
@@ -111,18 +119,18 @@ def linear_then_equal_bounds(df: DataFrame, value: str, n: int, threshold: float
 
     def bounds(upto: float) -> list[float]:
         even = [k * width for k in range(round(upto / width) + 1)]
-        tail = df.filter(F.col(value) > upto)
         rest = n - (len(even) - 1)
         if rest < 2:
             return even
-        cuts = equal_probability_bounds(tail, value, even[-1], rest).first()["bounds"]
-        return even + ([x for x in cuts[1:-1]] if tail.limit(1).count() else [])
+        cuts = equal_probability_bounds(df.filter(F.col(value) > upto), value, even[-1], rest).first()
+        return even + (cuts["bounds"][1:-1] if cuts else [])
 
     found, longest = bounds(threshold), threshold
     for a, b in zip(found, found[1:]):
-        if b - a > width + 0.01:
+        if abs(b - a - width) < 0.01:
+            longest = b
+        elif b - a > width:  # narrower steps are passed over
             break
-        longest = max(longest, b)
     if longest > threshold:
         found = bounds(longest)
     return [*found[:n], float("inf")]
@@ -157,18 +165,18 @@ def log_loss(p: Column, y: Column, clip: float = 1e-7) -> Column:
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve with average ranks for ties, null if a class is missing: one row, `auc`.
 
-    Equal scores are counted before they are ordered, so the single ordered pass sees distinct scores only.
+    Equal scores are counted first; of the distinct ones, each range is ordered by itself.
     """
-    per = df.groupBy(score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1 - F.col(label).cast("double")).alias("neg"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    lost = F.coalesce(F.sum("neg").over(below), F.lit(0.0))
-    won = per.select("pos", "neg", (F.col("pos") * (lost + F.col("neg") / 2)).alias("u"))
+    y = F.col(label).cast("double")
+    per = df.groupBy(score).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    lost = running_total(per, [score], F.col("neg"), "lost", "double")
+    won = lost.select("pos", "neg", (F.col("pos") * (F.col("lost") + F.col("neg") / 2)).alias("u"))
     return won.agg(F.sum("u").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 def calibration(df: DataFrame, score: str, target: str, order: list[str], n: int = 10) -> DataFrame:
     """Mean prediction and outcome of n bins of equal size."""
-    bins = df.withColumn("bin", F.ntile(n).over(Window.orderBy(score, *order)))
+    bins = tiles(df, [score, *order], n, "bin")
     return bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("predicted"), F.avg(F.col(target).cast("double")).alias("observed"))
 
 
@@ -188,3 +196,19 @@ def tops_at(df: DataFrame, rank: str, *ks: int) -> DataFrame:
 def phase(position: Column, length: Column) -> Column:
     """early (first fifth), late (last fifth) or middle, of a 0-based position."""
     return F.when(position < 0.2 * length, "early").when(position >= 0.8 * length, "late").otherwise("middle")
+
+
+def key_repeats(df: DataFrame, *key: str) -> DataFrame:
+    """One row: distinct keys, and how many of them come more than once."""
+    return count_by(df, *key).agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("cnt") > 1).alias("repeated"))
+
+
+def result_totals(df: DataFrame, key: str, won: Column, lost: Column) -> DataFrame:
+    """Games, wins, losses and the percentage of wins by key."""
+    wins = F.count_if(won)
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("games"), wins.alias("wins"), F.count_if(lost).alias("losses"), (100.0 * wins / F.count(F.lit(1))).alias("win_percent"))
+
+
+def json_total(df: DataFrame, key: str, json: str, field: str) -> DataFrame:
+    """Sum of a number that JSON objects hold under `field`, by key."""
+    return df.select(key, F.from_json(json, f"{field} bigint")[field].alias(field)).groupBy(key).agg(F.sum(field).alias(field))

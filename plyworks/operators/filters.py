@@ -34,6 +34,19 @@ CLOCK_LIMITS = {"rating": (0, 10000), "player_clock": (0, 3600), "opponent_clock
 WINNER_LIMITS = {"winner": (-1, 1), "white_rating": (100, 4000), "black_rating": (100, 4000), "white_clock": (0, 7200), "black_clock": (0, 7200), "increment": (0, 120)}
 
 
+#: What a request may name.
+RATING_LIMITS, COLOURS, RESULTS = (100, 3500), ("white", "black"), ("win", "loss", "draw")
+
+
+def request_reason(rating: str, colour: str | None = None, result: str | None = None) -> Column:
+    """The first field of a request that breaks its rule, as `field: reason`; null if the request may pass."""
+    out = F.lit(None).cast("string")
+    for name, allowed in ((result, RESULTS), (colour, COLOURS)):
+        if name:
+            out = F.when(F.col(name).isNull(), f"{name}: missing").when(~F.col(name).isin(*allowed), f"{name}: not allowed").otherwise(out)
+    return F.coalesce(range_reason({rating: RATING_LIMITS}), out)
+
+
 def likely_or_all(df: DataFrame, group: str, value: str, least: float) -> DataFrame:
     """Rows of at least `least`; a group in which none has it keeps all."""
     top = df.withColumn("__top", F.max(value).over(Window.partitionBy(group)))

@@ -62,3 +62,12 @@ def last_known_of_other(df: DataFrame, group: str, order: str, side: str, value:
     white = F.last(F.when(F.col(side) == "w", F.col(value)), ignorenulls=True).over(before)
     black = F.last(F.when(F.col(side) == "b", F.col(value)), ignorenulls=True).over(before)
     return df.withColumn(out, F.coalesce(F.when(F.col(side) == "w", black).otherwise(white), F.lit(initial)))
+
+
+def set_sizes(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of keys in `a` only, in `b` only and in both, and of both sets together; the sets hold each key once."""
+    marked = a.select(key, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(b.select(key, F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+    per = marked.groupBy(key).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    in_a, in_b = F.col("__a") > 0, F.col("__b") > 0
+    counts = per.agg(F.count_if(in_a & ~in_b).alias("only a"), F.count_if(in_b & ~in_a).alias("only b"), F.count_if(in_a & in_b).alias("both"), F.coalesce(F.sum(F.col("__a") + F.col("__b")), F.lit(0)).alias("all"))
+    return counts.unpivot([], ["only a", "only b", "both", "all"], "part", "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import seeded_unit
+from .ordered import row_numbers
 
 def history(df: DataFrame, group: str, order: str, value: str, n: int, out: str, *, with_current: bool) -> DataFrame:
     """The last n values before the row, or up to it, oldest first."""
@@ -60,29 +62,44 @@ def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), 100))
 
 
+def seeded_place(seed: int, *keys: str) -> Column:
+    """A place in an order that depends on the seed and the keys alone, the same in any engine: hexadecimal digits."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+
+
 def seeded_order(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     """All rows in an order that depends on the seed alone; equal keys fall anywhere."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    return df.orderBy(seeded_place(seed, *keys), *keys)
+
+
+def seeded_rank(df: DataFrame, seed: int, *keys: str, out: str = "place") -> DataFrame:
+    """Adds the place of each row in the seeded order, from 1."""
+    return row_numbers(df.withColumn("__h", seeded_place(seed, *keys)), ["__h", *keys], out).drop("__h")
 
 
 def seeded_buckets(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """The same without a global sort: n partitions by hash, each in seeded order."""
-    h = F.xxhash64(F.lit(seed), *keys)
+    """The seeded order without a global sort: n partitions by hash, each in order."""
+    h = seeded_place(seed, *keys)
     return df.repartition(n, h).sortWithinPartitions(h)
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """n rows without replacement."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return seeded_order(df, seed, *keys).limit(n)
 
 
 def weighted_choice(df: DataFrame, group: str, item: str, weight: str, seed: int) -> DataFrame:
     """One item per group, with probability in proportion to its weight, by a hash of group and seed."""
     up = Window.partitionBy(group).orderBy(item)
     run = df.withColumn("__upto", F.sum(weight).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum(weight).over(Window.partitionBy(group)))
-    mark = F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(1 << 52)) / float(1 << 52) * F.col("__all")
+    mark = seeded_unit(seed, F.col(group)) * F.col("__all")
     return run.filter(F.col("__upto") > mark).groupBy(group).agg(F.min(item).alias(item))
 
 
 def round_robin(df: DataFrame, order: list, n: int, out: str = "shard") -> DataFrame:
-    return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1) % n)
+    return row_numbers(df, order, out).withColumn(out, ((F.col(out) - 1) % n).cast("int"))
+
+
+def tumbling(df: DataFrame, ts: str, width: str, *keys: str, out: str = "start") -> DataFrame:
+    """Rows by keys and window of time, the window's start in seconds."""
+    return df.groupBy(*keys, F.unix_timestamp(F.window(ts, width)["start"]).alias(out)).agg(F.count(F.lit(1)).alias("n"))

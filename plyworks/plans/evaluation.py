@@ -85,8 +85,8 @@ def distribution_gaps(a: DataFrame, b: DataFrame, key: str, probabilities: str =
     return both.select(key, gap.alias("gap"), "left", "right")
 
 
-def gap_summary(gaps: DataFrame, gap: str = "gap") -> DataFrame:
-    return gaps.agg(F.count(gap).alias("n"), F.max(gap).alias("maximum"), F.min(gap).alias("minimum"), F.avg(gap).alias("mean"))
+def gap_summary(gaps: DataFrame, *keys: str, gap: str = "gap") -> DataFrame:
+    return gaps.groupBy(*keys).agg(F.count(gap).alias("n"), F.max(gap).alias("maximum"), F.min(gap).alias("minimum"), F.avg(gap).alias("mean"))
 
 
 def masked_brier(logits: Column, mask: Column, target: Column) -> Column:
@@ -144,6 +144,12 @@ def match_summary(games: DataFrame, *keys: str, score: str = "score", length: st
     )
 
 
+def with_expectation(summary: DataFrame, first: str, second: str) -> DataFrame:
+    """Adds the percentage that the first player's rating promises against the second's, and what was scored beyond it."""
+    promised = 100.0 * num.elo_expected(F.col(first) - F.col(second))
+    return summary.withColumn("expected_percent", promised).withColumn("beyond_percent", F.col("score_percent") - promised)
+
+
 def ending_shares(games: DataFrame, ending: str = "termination") -> DataFrame:
     """How often games end in each way, with the percentage."""
     return agg.shares(games, ending).withColumn("percent", 100.0 * F.col("share")).drop("share")

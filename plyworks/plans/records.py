@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.board import Position, replay, uci
+from ..functions.board import replay
+from ..functions.registry import game_outcome
 from ..operators import aggregates as agg
 from ..operators import filters, joins
 from ..operators import sequences as seq
@@ -22,12 +23,6 @@ def _replayed(movetext: pd.Series) -> pd.Series:
     return movetext.map(lambda m: [dict(zip(names, p)) for p in replay(m)])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def legal_moves(fen: pd.Series) -> pd.Series:
-    """Legal moves of each position, sorted."""
-    return fen.map(lambda f: sorted(uci(m) for m in Position(f).moves()))
-
-
 def plies(games: DataFrame, game_id: str = "game_id") -> DataFrame:
     """A row per move, with `clk` seconds (null if not annotated) and the game's typed headers."""
     heads = [c for c in (game_id, "white_elo", "black_elo", "result", "termination", "initial_time", "increment") if c in games.columns]
@@ -36,6 +31,21 @@ def plies(games: DataFrame, game_id: str = "game_id") -> DataFrame:
     return moves.withColumn("clk", F.when(clock >= 0, clock))
 
 
+def counted(df: DataFrame, name: str, **kept: Column) -> tuple[DataFrame, Observation]:
+    """`df` and counters that fill while it is used for the first time: all rows, and by name those for which a condition holds."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in kept.items()]), seen
+
+
+def game_endings(p: DataFrame, *, repeats: int = 5) -> DataFrame:
+    """game_id, plies and ending: how the last position ends the game, or repetition if a position came `repeats` times; null if the game goes on."""
+    last = p.groupBy("game_id").agg(F.max("ply").alias("plies"), F.max_by("fen_after", "ply").alias("fen"))
+    seen = p.select("game_id", "fen_after").unionByName(p.filter("ply = 1").select("game_id", F.col("fen_before").alias("fen_after")))
+    often = seen.groupBy("game_id", tx.strip_counters(F.col("fen_after")).alias("at")).agg(F.count(F.lit(1)).alias("n")).groupBy("game_id").agg(F.max("n").alias("n"))
+    ending = F.coalesce(game_outcome("fen"), F.when(F.col("n") >= repeats, "repetition"))
+    return last.join(often, "game_id").select("game_id", "plies", ending.alias("ending"))
+
+
 def move_observations(p: DataFrame, *, low: int = 0, high: int = 10_000, min_ply: int = 0, min_clock: float = 0.0, recent: int = 12) -> DataFrame:
     """Histogram rows by position key: history before the move, move, clock and rating as text, count."""
     p = filters.both_in_band(p, "white_elo", "black_elo", low, high)

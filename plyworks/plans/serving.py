@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..functions import text as tx
-from ..operators import joins
+from ..operators import filters, joins
 from ..operators import sequences as seq
 
 
@@ -23,6 +23,28 @@ def lookup_moves(requests: DataFrame, by_history: DataFrame, by_position: DataFr
     return joins.cascade(keyed, steps, "moves", "strategy").drop("__history", "__position", "__fen")
 
 
+def edited_ratings(ratings: DataFrame, edits: DataFrame) -> DataFrame:
+    """`ratings` (user_id, rating, rd, ...) after the users' own edits (user_id, new_rating, edited_at).
+
+    A user's last edit within the limits counts; the deviation grows with it. Users without a rating begin with the usual one.
+    """
+    good = edits.filter(filters.request_reason("new_rating").isNull()).groupBy("user_id").agg(F.max_by("new_rating", "edited_at").cast("double").alias("__new"))
+    held = ratings.join(good, "user_id", "full")
+    rd = F.coalesce("rd", F.lit(num.START_RD))
+    done = F.col("__new").isNotNull()
+    return held.withColumn("rating", F.coalesce("__new", "rating")).withColumn("rd", F.when(done, num.edited_rd(rd)).otherwise(rd)).drop("__new")
+
+
+def draw_seconds(requests: DataFrame, request_id: str, bucket: str, distributions: DataFrame, seed: int) -> DataFrame:
+    """Adds `seconds`, drawn from the distribution that the request's bucket has: bucket and a map of values (as text) and weights."""
+    items = F.array_sort(F.transform(F.map_entries("distribution"), lambda e: F.struct(e["key"].cast("double").alias("value"), e["value"].alias("weight"))))
+    upto = F.transform(F.col("__i"), lambda e, k: F.struct(F.aggregate(F.slice("__i", 1, k + 1), F.lit(0.0), lambda s, x: s + x["weight"]).alias("upto"), e["value"].alias("value")))
+    held = distributions.select(F.col("bucket").alias("__b"), items.alias("__i")).select("__b", upto.alias("__d"))  # sums once a bucket, not once a request
+    df = requests.join(held, F.col(bucket) == F.col("__b"), "left")
+    mark = num.seeded_unit(seed, F.col(request_id)) * F.element_at("__d", -1)["upto"]
+    return df.withColumn("__mark", mark).withColumn("seconds", F.get(F.filter("__d", lambda e: e["upto"] > F.col("__mark")), 0)["value"]).drop("__b", "__d", "__mark")
+
+
 def draw_move(requests: DataFrame, request_id: str, seed: int, *, counts: str = "moves") -> DataFrame:
     """Adds `move`, drawn in proportion to the counts by a hash of the request's id, its `probability` and the `total`; null without counts."""
     items = F.array_sort(F.map_entries(F.col(counts)))
@@ -39,6 +61,22 @@ def draw_move(requests: DataFrame, request_id: str, seed: int, *, counts: str =
     return df.withColumn("move", F.col("__drawn.move")).withColumn("probability", F.when(F.col("total") > 0, F.col("__drawn.n") / F.col("total"))).drop("__mark", "__drawn")
 
 
+def draw_pair(records: DataFrame, record_id: str, seed: int, *, moves: str = "moves") -> DataFrame:
+    """Adds move, clock and rating, drawn together in proportion to the counts of move -> clock -> rating -> count maps."""
+    of = lambda m, c: F.transform(F.map_entries(c["value"]), lambda r: F.struct(m["key"].alias("move"), c["key"].cast("double").alias("clock"), r["key"].cast("int").alias("rating"), r["value"].cast("long").alias("n")))
+    flat = F.array_sort(F.flatten(F.transform(F.map_entries(moves), lambda m: F.flatten(F.transform(F.map_entries(m["value"]), lambda c: of(m, c))))))
+    total = F.aggregate(flat, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    df = records.withColumn("__all", flat).withColumn("__mark", num.seeded_unit(seed, F.col(record_id)) * total)
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("struct<move:string,clock:double,rating:int,n:bigint>").alias("x"))
+
+    def step(state, x):
+        upto = state["upto"] + x["n"]
+        return F.struct(upto.alias("upto"), F.when(state["x"].isNull() & (upto > F.col("__mark")), x).otherwise(state["x"]).alias("x"))
+
+    df = df.withColumn("__x", F.aggregate("__all", start, step)["x"])
+    return df.select(*records.columns, F.col("__x.move").alias("move"), F.col("__x.clock").alias("clock"), F.col("__x.rating").alias("rating"))
+
+
 def chosen_moves(requests: DataFrame, request_id: str, seed: int) -> DataFrame:
     """The answer per request: a move of the common table, else of the model, else the first legal one; null if the game is over.
 

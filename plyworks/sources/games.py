@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,8 @@ def _games(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim("value") != "").select(F.input_file_name().alias("source_file"), F.concat(F.lit("[Event "), body).alias("pgn"))
 
 
-def lz4_frames(data: bytes) -> bytes:
-    """Contents of concatenated LZ4 frames; checksums are passed over."""
+def lz4_frames(data: bytes, enough: Callable[[bytearray], bool] | None = None) -> bytes:
+    """Contents of concatenated LZ4 frames; checksums are passed over. Decoding stops after a block with which there is `enough`."""
     out, at = bytearray(), 0
     while at + 7 <= len(data):
         magic, flags = struct.unpack_from("<IB", data, at)
@@ -45,6 +46,8 @@ def lz4_frames(data: bytes) -> bytes:
                 out += block
             else:
                 _lz4_block(block, out)
+            if enough and enough(out):
+                return bytes(out)
             at = end + 4 * (flags >> 4 & 1)
         at += 4 + 4 * (flags >> 2 & 1)
     return bytes(out)
@@ -80,16 +83,22 @@ def _lz4_block(block: bytes, out: bytearray) -> None:
             n -= len(part)
 
 
-@F.pandas_udf(T.StringType())
-def _unpack(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: lz4_frames(c).decode("utf-8", "replace"))
+def read_lz4_games(spark: SparkSession, path: str, *, first_games: int | None = None) -> DataFrame:
+    """Games of LZ4-framed files; a file is the unit of work, so many files make many tasks. With `first_games`, a file is decoded only as far as it takes."""
 
+    @F.pandas_udf(T.StringType())
+    def _unpack(content: pd.Series) -> pd.Series:
+        stop = None if first_games is None else lambda out: out.count(b"\n[Event ") >= first_games
+        return content.map(lambda c: lz4_frames(c, stop).decode("utf-8", "replace"))
 
-def read_lz4_games(spark: SparkSession, path: str) -> DataFrame:
-    """Games of LZ4-framed files; a file is the unit of work, so many files make many tasks."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.lz4").load(path)
     parts = files.select(F.col("path").alias("source_file"), F.explode(F.split(F.concat(F.lit("\n"), _unpack("content")), r"\n(?=\[Event )")).alias("pgn"))
-    return parts.filter(F.trim("pgn") != "")
+    games = parts.filter(F.trim("pgn") != "")
+    if first_games is None:
+        return games
+    from ..operators.sequences import first_of_each
+
+    return first_of_each(games.withColumn("__at", F.monotonically_increasing_id()), "source_file", ["__at"], first_games).drop("__at")
 
 
 def with_headers(games: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,6 +164,83 @@ def read_moves_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("fen string, moves map<string,bigint>").option("mode", "DROPMALFORMED").json(path).filter("fen is not null")
 
 
+#: What a bucket file holds, in JSON.
+BUCKETS = (
+    "boundaries array<double>, n_buckets int, scheme string, time_control string, statistics map<string,double>, bucket_probabilities array<double>, "
+    "bucket_widths array<double>, bucket_empirical_distributions array<struct<type:string,distribution:map<string,double>,coverage:double>>"
+)
+
+
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
-    schema = "boundaries array<double>, n_buckets int, scheme string, time_control string, bucket_probabilities array<double>, bucket_widths array<double>"
-    return spark.read.schema(schema).option("multiLine", True).option("allowNonNumericNumbers", True).json(path)
+    """Bucket files, a row each; an open last bound is infinite. `reason` says what is wrong with a file, null if nothing is."""
+    df = spark.read.schema(BUCKETS).option("multiLine", True).option("allowNonNumericNumbers", True).json(path)
+    bounds = F.transform("boundaries", lambda b: F.coalesce(b, F.lit(float("inf"))))
+    return df.withColumn("boundaries", bounds).withColumn("reason", bucket_reason())
+
+
+def bucket_reason() -> Column:
+    """The first rule that a bucket row breaks."""
+    d, n = F.col("bucket_empirical_distributions"), F.col("n_buckets")
+    bad = lambda test: F.exists(d, lambda x: F.coalesce(test(x), F.lit(True)))
+    rules = [
+        (F.col("boundaries").isNull() | n.isNull(), "no boundaries"), (F.size("boundaries") != n + 1, "boundaries don't fit the number of buckets"),
+        (F.exists(F.sequence(F.lit(1), n), lambda i: F.get("boundaries", i) <= F.get("boundaries", i - 1)), "boundaries don't rise"),
+        (d.isNull(), "no distributions"), (F.size(d) != n, "distributions don't fit the number of buckets"), (bad(lambda x: x["type"].isNull()), "a distribution has no type"),
+        (bad(lambda x: ~x["type"].isin("seconds", "frequent_values")), "a distribution's type is unknown"), (bad(lambda x: F.size(x["distribution"]) < 1), "a distribution is empty"),
+    ]
+    out = F.lit(None).cast("string")
+    for rule, reason in reversed(rules):
+        out = F.when(rule, reason).otherwise(out)
+    return out
+
+
+def read_record_ranges(spark: SparkSession, path: str, *, rows_per_task: int = 100_000, wanted: tuple[int, int] | None = None) -> DataFrame:
+    """source_file, idx, record: as `read_records`, but a task reads a range of a file's records, and of the file only these and their offsets.
+
+    For files with their offsets at the end, at a path or URI that all executors reach. `wanted` names the first index and the one
+    after the last, within each file, so a single record can be looked up.
+    """
+    names = spark.createDataFrame([(n,) for n in shard_names(path)], "source_file string").repartition(len(shard_names(path)))
+
+    def sizes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"source_file": part["source_file"], "n": [_offsets(n)[1] for n in part["source_file"]]})
+
+    counted = names.mapInPandas(sizes, "source_file string, n long")
+    low, high = wanted or (0, 1 << 62)
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(rows_per_task).cast("long")))
+    ranges = counted.filter("n > 0").select("source_file", "n", first.alias("first"))
+    ranges = ranges.select("source_file", F.greatest("first", F.lit(low).cast("long")).alias("first"), F.least(F.col("first") + rows_per_task, "n", F.lit(high).cast("long")).alias("last")).filter("first < last")
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, a, b in zip(part["source_file"], part["first"], part["last"]):
+                found = _range(name, int(a), int(b))
+                yield pd.DataFrame({"source_file": name, "idx": range(int(a), int(b)), "record": found})
+
+    return ranges.repartition("source_file", "first").mapInPandas(rows, "source_file string, idx long, record binary")
+
+
+def _open(name: str):
+    from pyarrow import fs
+
+    files, place = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
+    return files.open_input_file(place)
+
+
+def _offsets(name: str) -> tuple[int, int]:
+    """Where a file's offsets start, and how many records it has."""
+    with _open(name) as f:
+        if not f.size():
+            return 0, 0
+        start = struct.unpack("<q", f.read_at(8, f.size() - 8))[0]
+        return start, (f.size() - start) // 8
+
+
+def _range(name: str, a: int, b: int) -> list[bytes]:
+    start, _ = _offsets(name)
+    with _open(name) as f:
+        ends = struct.unpack(f"<{b - a}q", f.read_at(8 * (b - a), start + 8 * a))
+        begin = struct.unpack("<q", f.read_at(8, start + 8 * (a - 1)))[0] if a else 0
+        body = f.read_at(ends[-1] - begin, begin)
+    return decode_records(body, np.array([e - begin for e in ends], "<i8").tobytes(), not name.endswith(".bag"))

@@ -18,6 +18,24 @@ def write_lines(lines: DataFrame, path: str, *, compress: bool = True) -> None:
     lines.select("value").write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
 
 
+def gap_report(gaps: DataFrame) -> DataFrame:
+    """The rows of the CSV report on differences between two ratings' moves, as text.
+
+    gaps: fen, history (array or null), low and high (ratings), gap, low_top and high_top (array<struct<move, p>>), in_low, in_high.
+    """
+    known = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), "True").otherwise("False")
+    return gaps.select(
+        "fen", F.array_join(F.coalesce("history", F.array().cast("array<string>")), ",").alias("recent_moves"), F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string")).alias("rating_pair"),
+        F.format_string("%.6f", "gap").alias("total_variation_distance"), tx.moves_as_csv(F.col("low_top")).alias("top5_lower_rating"), tx.moves_as_csv(F.col("high_top")).alias("top5_higher_rating"),
+        known("in_low").alias("in_lower_common_moves"), known("in_high").alias("in_higher_common_moves"),
+    )
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Rows with a header, one file per partition."""
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
 def grouped_clock_records(records: DataFrame, *, with_history: bool) -> DataFrame:
     """A row per position: its thinking times, clocks and ratings in one order, and their count.
 

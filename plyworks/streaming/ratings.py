@@ -9,25 +9,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.glicko2 import update
+from ..functions.glicko2 import START, shown, update
 from ..functions.numeric import GROWTH_PER_DAY, LEAST_RATING, LEAST_RD, MOST_RATING, MOST_RD, START_RD
 
-_OUT = "player string, game_no long, rating double, rd double, volatility double"
-_STATE = "rating double, rd double, volatility double, last long"
-START = (1500.0, 350.0, 0.06)
+_OUT = "player string, game_no long, rating double, rd double, volatility double, listed long"
+_STATE = "rating double, rd double, volatility double, played long, last long"
 
 
-def _fold(player, rows: pd.DataFrame, state: tuple[float, float, float]):
+def _in_order(df: DataFrame, key: str, fold, start: tuple, schema: str) -> DataFrame:
+    """A fold over each key's games in order of game_no. Rows stream by, so a task holds one batch and one state, however many games a key has."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), start
+        for part in batches:
+            out = []
+            for k, rows in part.groupby(key, sort=False, dropna=False):
+                k = None if pd.isna(k) else k
+                if k != current:
+                    current, state = k, start
+                found, state = fold(k, rows, state)
+                out.append(found)
+            if out:
+                yield pd.concat(out)
+
+    return df.repartition(key).sortWithinPartitions(key, "game_no").mapInPandas(task, schema)
+
+
+def _fold(player, rows: pd.DataFrame, state: tuple[float, float, float, int]):
     out = []
     for r in rows.sort_values("game_no").itertuples():
-        state = update(*state, [(r.opponent_rating, r.opponent_rd, r.score)])
-        out.append((str(player), int(r.game_no), *state))
-    return pd.DataFrame(out, columns=["player", "game_no", "rating", "rd", "volatility"]), state
+        *now, played = state
+        state = (*update(*now, [(r.opponent_rating, r.opponent_rd, r.score)], played=played), played + 1)
+        out.append((None if player is None else str(player), int(r.game_no), *state[:3], shown(state[0])))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")]), state
 
 
 def rate_games(games: DataFrame) -> DataFrame:
-    """games: player, game_no, opponent_rating, opponent_rd, score. A player's games are one group, as each needs the last one's result."""
-    return games.groupBy("player").applyInPandas(lambda key, rows: _fold(key[0], rows, START)[0], _OUT)
+    """games: player, game_no, opponent_rating, opponent_rd, score. Each needs the last one's result, so a player's games are taken in order."""
+    return _in_order(games, "player", _fold, (*START, 0), _OUT)
 
 
 def rate_stream(games: DataFrame) -> DataFrame:
@@ -35,7 +54,7 @@ def rate_stream(games: DataFrame) -> DataFrame:
 
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(parts)
-        *held, last = state.get if state.exists else (*START, -1)
+        *held, last = state.get if state.exists else (*START, 0, -1)
         rows = rows[rows["game_no"] > last]  # a repeated delivery changes nothing
         if len(rows):
             out, held = _fold(key[0], rows, tuple(held))
@@ -79,7 +98,7 @@ def _user_fold(user, rows: pd.DataFrame, state: tuple):
 
 def user_history(games: DataFrame) -> DataFrame:
     """The history rows of service users. games: user_id, game_no, played_at (epoch seconds), opponent_rating, opponent_rd, score."""
-    return games.groupBy("user_id").applyInPandas(lambda key, rows: _user_fold(key[0], rows, USER_START)[0], _USER_OUT)
+    return _in_order(games, "user_id", _user_fold, USER_START, _USER_OUT)
 
 
 def user_history_stream(games: DataFrame) -> DataFrame:
@@ -100,21 +119,20 @@ def user_history_stream(games: DataFrame) -> DataFrame:
 _MATCH_OUT = "match_id string, game_no long, white string, black string, white_rating double, white_rd double, black_rating double, black_rd double"
 
 
+def _match_fold(match, rows: pd.DataFrame, state: dict):
+    state, out = dict(state), []
+    for r in rows.sort_values("game_no").itertuples():
+        w, b = state.get(r.white, (*START, 0)), state.get(r.black, (*START, 0))
+        state[r.white] = (*update(*w[:3], [(b[0], b[1], r.score)], played=w[3]), w[3] + 1)
+        state[r.black] = (*update(*b[:3], [(w[0], w[1], 1 - r.score)], played=b[3]), b[3] + 1)
+        out.append((None if match is None else str(match), int(r.game_no), r.white, r.black, *state[r.white][:2], *state[r.black][:2]))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _MATCH_OUT.split(", ")]), state
+
+
 def rate_matches(games: DataFrame) -> DataFrame:
     """Ratings after each game of a match, both players updated from what they had before it.
 
-    games: match_id, game_no, white, black, score (of white). A match is one group, as each game needs the last one's
-    ratings; ratings do not pass from match to match.
+    games: match_id, game_no, white, black, score (of white). Each game needs the last one's ratings; they do not pass
+    from match to match.
     """
-
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, tuple[float, float, float]] = {}
-        out = []
-        for r in rows.sort_values("game_no").itertuples():
-            w, b = state.get(r.white, START), state.get(r.black, START)
-            state[r.white] = update(*w, [(b[0], b[1], r.score)])
-            state[r.black] = update(*b, [(w[0], w[1], 1 - r.score)])
-            out.append((str(key[0]), int(r.game_no), r.white, r.black, *state[r.white][:2], *state[r.black][:2]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _MATCH_OUT.split(", ")])
-
-    return games.groupBy("match_id").applyInPandas(fold, _MATCH_OUT)
+    return _in_order(games, "match_id", _match_fold, {}, _MATCH_OUT)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plyworks.functions import glicko2, numeric
 from plyworks.functions import text as tx
-from plyworks.functions.board import Position, perft, replay
+from plyworks.functions.board import Position, replay
 from plyworks.plans import records
 from plyworks.sources import games as src
 from plyworks.sources import records as rec
@@ -15,6 +15,10 @@ PGN = '[Event "Club"]\n[Result "1-0"]\n[WhiteElo "1750"]\n[BlackElo "1723"]\n[Ti
 OTHER = PGN.replace("Club", "Open").replace("1750", "?").replace("1-0", "*")
 
 
+def perft(pos, depth):
+    return 1 if depth == 0 else sum(perft(pos.after(m), depth - 1) for m in pos.moves())
+
+
 @pytest.mark.parametrize("fen,depth,nodes", [
     ("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", 3, 8902),
     ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", 2, 2039),
@@ -31,12 +35,28 @@ def test_replay_promotion_castling_passant_and_stop():
     assert replay("1. a4 h5 2. a5 h4 3. a6 h3 4. axb7 hxg2 5. bxa8=Q gxh1=N")[-2][3] == "b7a8q"
     assert replay(None) == [] and replay("*") == []
     assert Position("7k/5Q2/6K1/8/8/8/8/8 b - - 0 1").outcome() == "stalemate"
+    ends = {"8/8/4k3/8/8/3K4/8/8": "insufficient", "8/8/4k3/8/8/3KN3/8/8": "insufficient", "8/8/4k1b1/8/8/3KB3/8/8": None, "8/8/4kb2/8/8/3KB3/8/8": "insufficient", "8/8/4k1n1/8/8/3KN3/8/8": None, "8/8/4k3/8/8/3K3P/8/8": None}
+    assert {f: Position(f + " w - - 0 1").outcome() for f in ends} == ends
+    # a pinned piece is no candidate, and two that may move need a file
+    assert replay("1. e4 e5 2. Nf3 Nc6 3. Nc3 Nf6 4. Nd5 Nd4")[-1][3] == "c6d4" and Position("4k3/8/8/8/4r3/8/4N3/4K1N1 w - - 0 1").find("Nf3") == (6, 21, "")
+    assert Position("4k3/8/8/8/8/8/8/R3K2R w KQ - 0 1").find("Rd1")[0] == 0 and Position("4k3/8/8/8/8/8/8/R4K1R w - - 0 1").find("Rg1")[0] == 7
 
 
 def test_glicko2_worked_example():
     rating, rd, vol = glicko2.update(1500, 200, 0.06, [(1400, 30, 1), (1550, 100, 0), (1700, 300, 0)])
-    assert abs(rating - 1464.05) < 0.1 and abs(rd - 151.52) < 0.01 and abs(vol - 0.05999) < 1e-4
-    assert glicko2.update(1500, 200, 0.06, [])[1] > 200
+    assert abs(rating - 1464.05) < 0.1 and glicko2.shown(rating) == 1464 and abs(rd - 151.52) < 0.01 and abs(vol - 0.05999) < 1e-4
+    assert glicko2.shown(412.0) == 600
+
+
+def test_glicko2_rules_of_the_list():
+    same, rd, vol = glicko2.update(1500, 200, 0.06, [])
+    assert (same, vol) == (1500, 0.06) and rd == pytest.approx((200**2 + (0.06 * 173.7178) ** 2) ** 0.5)
+    assert glicko2.update(1500, 200, 0.06, [], idle=4.0)[1] == pytest.approx((200**2 + 4 * (0.06 * 173.7178) ** 2) ** 0.5)
+    assert glicko2.update(1500, 490, 0.06, [], idle=50.0)[1] > 490  # no limit
+    game = [(1500, 60, 1)]
+    assert glicko2.update(1500, 100, 0.06, game, idle=9.0)[1] > glicko2.update(1500, 100, 0.06, game)[1]
+    assert glicko2.update(1500, 100, 0.06, game, played=28)[2] > 0.05 == glicko2.update(1500, 100, 0.06, game, played=29)[2]
+    assert glicko2.update(1500, 251, 0.06, game, played=40)[2] > 0.05
 
 
 def test_read_games_plain_and_zst(spark, tmp_path):
@@ -57,6 +77,12 @@ def test_lz4_frame(spark, tmp_path):
     stored = b"\x04\x22\x4d\x18\x60\x40\x00" + (len(raw) | 1 << 31).to_bytes(4, "little") + raw + b"\x00" * 4
     (tmp_path / "x.pgn.lz4").write_bytes(stored)
     assert src.read_lz4_games(spark, str(tmp_path)).count() == 1
+    part = lambda raw: (len(raw) | 1 << 31).to_bytes(4, "little") + raw
+    many = b"\x04\x22\x4d\x18\x60\x40\x00" + b"".join(part(PGN.replace("Club", f"No {k}").encode()) for k in range(50)) + b"\x00" * 4
+    (tmp_path / "x.pgn.lz4").write_bytes(many)
+    assert src.read_lz4_games(spark, str(tmp_path)).count() == 50
+    first = src.with_headers(src.read_lz4_games(spark, str(tmp_path), first_games=3)).collect()
+    assert [r.event for r in first] == ["No 0", "No 1", "No 2"] and len(src.lz4_frames(many, lambda out: True)) == len(PGN)
 
 
 def plies(spark):

@@ -1,14 +1,17 @@
 """Evaluation, serving, reports, record shards and ratings on small tables whose answers are worked out by hand."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from plyworks.functions import registry
+from plyworks.functions import text as tx
 from plyworks.operators import aggregates as agg
+from plyworks.operators import filters
 from plyworks.plans import evaluation as ev
-from plyworks.plans import records, serving
+from plyworks.plans import records, serving, training
 from plyworks.sources import games as src
 from plyworks.sources import records as rec
 from plyworks.sources import reports
@@ -89,6 +92,75 @@ def test_weighted_median_and_bounds(spark):
     assert agg.linear_then_equal_bounds(dense, "t", 9, 5.0, 1.0)[:8] == [float(k) for k in range(8)]
 
 
+def ratings_after_edits(spark):
+    held = spark.createDataFrame([("u", 1500.0, 100.0), ("v", 1400.0, 60.0)], "user_id string, rating double, rd double")
+    edits = spark.createDataFrame([("u", 1600.0, 1), ("u", 1700.0, 2), ("v", 99.0, 3), ("w", 900.0, 1)], "user_id string, new_rating double, edited_at long")
+    return {r.user_id: (r.rating, r.rd) for r in serving.edited_ratings(held, edits).collect()}
+
+
+def test_requests_and_counters(spark):
+    rows = [(1500, "white", "win"), (99, "white", "win"), (1500, "green", "win"), (1500, None, "win"), (1500, "black", "lost"), (None, "x", "y")]
+    df = spark.createDataFrame(rows, "bot_rating int, player_color string, result string")
+    got = [r.r for r in df.select(filters.request_reason("bot_rating", "player_color", "result").alias("r")).collect()]
+    assert got == [None, "bot_rating: out of range", "player_color: not allowed", "player_color: missing", "result: not allowed", "bot_rating: missing"]
+    seen_rows, seen = records.counted(df, "requests", white=F.col("player_color") == "white")
+    assert seen_rows.count() == 6 and seen.get == {"rows": 6, "white": 2}
+
+
+def test_game_endings(spark):
+    dance = "1. Nf3 Nf6 2. Ng1 Ng8 " * 4
+    rows = [(1, dance), (2, "1. f3 e5 2. g4 Qh4#"), (3, "1. e4 e5")]
+    p = records.plies(spark.createDataFrame(rows, "game_id long, movetext string"))
+    assert {r.game_id: (r.plies, r.ending) for r in records.game_endings(p).collect()} == {1: (16, "repetition"), 2: (4, "mate"), 3: (2, None)}
+
+
+def test_training_samples(spark):
+    start = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+    clocks = spark.createDataFrame([(start, ["e2e4"], 1600, 9.0, 99.0, 2.0, 3.0)], "fen string, recent_moves array<string>, rating int, player_clock double, opponent_clock double, increment double, thinking_time double")
+    logs = {f: (0.0, 1.0) for f in ("player_clock", "opponent_clock", "increment", "white_clock", "black_clock", "time")}
+    scales = logs | {"rating": (1500.0, 100.0), "white_elo": (1500.0, 100.0), "black_elo": (1500.0, 100.0)}
+    r = training.clock_samples(clocks, scales, [0.0, 1.0, 5.0, 20.0, 60.0, float("inf")]).first()
+    assert len(r.input_ids) == 12 + 78 == sum(r.attention_mask) and len(r.legal_ids) == 20 and r.input_ids[10] == len(tx.move_vocabulary())
+    assert (r.rating, r.bucket_mask, r.target_bucket) == (1.0, [1, 1, 1, 0, 0], 1) and r.clock_features == pytest.approx([math.log(10), math.log(100), math.log(3)])
+    won = clocks.select("fen", "recent_moves", F.lit(-1).alias("winner"), F.lit(1600).alias("white_elo"), F.lit(1400).alias("black_elo"), F.lit(9.0).alias("white_clock"), F.lit(99.0).alias("black_clock"), "increment")
+    w = training.winner_samples(won, scales).first()
+    assert (w.winner, w.winner_raw) == (0, -1) and w.features == pytest.approx([1.0, -1.0, math.log(10), math.log(100), math.log(3)])
+    counts = {"e2e4": {"60.0": {"1500": 6, "1700": 2}}, "d2d4": {"30.0": {"1500": 2}}}
+    many = spark.range(2000).select("id", F.lit(start).alias("fen"), F.array().cast("array<string>").alias("recent_moves"))
+    many = many.crossJoin(spark.createDataFrame([(counts,)], "moves map<string,map<string,map<string,bigint>>>"))
+    got = serving.draw_pair(many, "id", 3).groupBy("move", "clock", "rating").count().collect()
+    share = {(x.move, x.clock, x.rating): x["count"] / 2000 for x in got}
+    assert set(share) == {("e2e4", 60.0, 1500), ("e2e4", 60.0, 1700), ("d2d4", 30.0, 1500)} and abs(share["e2e4", 60.0, 1500] - 0.6) < 0.04
+    m = training.move_samples(many.limit(3), "id", scales, 3).orderBy("id").first()
+    assert m.move_id == tx.move_vocabulary()[m.move] and m.log_time == pytest.approx(math.log(61 if m.move == "e2e4" else 31))
+
+
+def test_bucket_files_and_drawn_seconds(spark, tmp_path):
+    good = {"boundaries": [0, 1, 5, None], "n_buckets": 3, "scheme": "s", "time_control": "180+2", "statistics": {"total_samples": 5}, "bucket_probabilities": [0.2, 0.3, 0.5], "bucket_widths": [1, 4, None],
+            "bucket_empirical_distributions": [{"type": "seconds", "distribution": {"0": 1.0}}, {"type": "seconds", "distribution": {"1": 25.0, "2": 75.0}}, {"type": "frequent_values", "distribution": {"7.5": 3.0}}]}
+    edits = [{}, {"n_buckets": 4}, {"boundaries": [0, 1, 1, None]}, {"bucket_empirical_distributions": good["bucket_empirical_distributions"][:2]}]
+    edits += [{"bucket_empirical_distributions": [*good["bucket_empirical_distributions"][:2], x]} for x in ({"distribution": {"1": 1.0}}, {"type": "odd", "distribution": {"1": 1.0}}, {"type": "seconds", "distribution": {}}, {"type": "seconds"})]
+    reasons = []
+    for n, e in enumerate(edits):
+        (tmp_path / f"{n}.json").write_text(json.dumps(good | e))
+        reasons.append(rec.read_buckets(spark, str(tmp_path / f"{n}.json")).first().reason)
+    assert reasons[0] is None and all(reasons[1:]) and len(set(reasons[1:])) == 6
+    r = rec.read_buckets(spark, str(tmp_path / "0.json"))
+    assert r.first().boundaries[-1] == math.inf
+    per = r.select(F.posexplode("bucket_empirical_distributions").alias("bucket", "d")).select("bucket", "d.distribution")
+    got = serving.draw_seconds(spark.range(3000).withColumn("b", (F.col("id") % 4).cast("int")), "id", "b", per, 2).groupBy("b", "seconds").count().collect()
+    n = {(x.b, x.seconds): x["count"] for x in got}
+    assert set(n) == {(0, 0.0), (1, 1.0), (1, 2.0), (2, 7.5), (3, None)} and abs(n[1, 2.0] / 750 - 0.75) < 0.06
+
+
+def test_csv_report(spark, tmp_path):
+    schema = "fen string, history array<string>, low int, high int, gap double, low_top array<struct<move:string,p:double>>, high_top array<struct<move:string,p:double>>, in_low boolean, in_high boolean"
+    df = spark.createDataFrame([("f w", ["e2e4", "e7e5"], 1100, 1500, 0.25, [("a", 0.5), ("b", 0.25)], [], True, None)], schema)
+    reports.write_csv(reports.gap_report(df).coalesce(1), str(tmp_path / "r"))
+    lines = [x for f in (tmp_path / "r").glob("*.csv") for x in f.read_text().splitlines()]
+    assert lines == ["fen,recent_moves,rating_pair,total_variation_distance,top5_lower_rating,top5_higher_rating,in_lower_common_moves,in_higher_common_moves", 'f w,"e2e4,e7e5",1100-1500,0.250000,a:0.5000; b:0.2500,"",True,False']
+
+
 def test_serving(spark):
     fen = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
     ask = spark.createDataFrame([(1, fen, []), (2, fen, None), (3, "x y z - 0 1", ["e2e4"])], "id long, fen string, history array<string>")
@@ -107,6 +179,7 @@ def test_serving(spark):
     r = serving.evaluated_positions(ev_rows, serving.registry_bands(["1000_1200", "1400_1600"])).first()
     assert (r.model, r.distance, r.evaluation, r.assessment) == ("1400_1600", 0.0, pytest.approx(0.5), "White is better")
     hist = spark.createDataFrame([("u", n, n * 10) for n in range(5)] + [("v", 9, 90)], "user_id string, game_no long, played_at long")
+    assert ratings_after_edits(spark) == {"u": (1700.0, 150.0), "v": (1400.0, 60.0), "w": (900.0, 350.0)}
     page, total = serving.history_page(hist, "u", 1, 2)
     assert [r.game_no for r in page.collect()] == [3, 2] and total.first().total_count == 5
 
@@ -129,6 +202,17 @@ def test_lines_round_trip(spark, tmp_path):
     assert rec.read_moves_jsonl(spark, str(tmp_path / "x")).collect() == moves.collect()
 
 
+@pytest.mark.parametrize("ending", [".bagz", ".bag"])
+def test_record_ranges(spark, tmp_path, ending):
+    df = spark.createDataFrame([(i, f"record {i}".encode() if i % 3 else b"") for i in range(40)], "i long, r binary")
+    path = f"{tmp_path}/set@2{ending}"
+    rec.write_records(df, "r", "i", path, 2)
+    want = sorted((r.source_file.rsplit("/")[-1], r.idx, bytes(r.record)) for r in rec.read_records(spark, path).collect())
+    for n in (1, 7, 1000):
+        assert sorted((r.source_file.rsplit("/")[-1], r.idx, bytes(r.record)) for r in rec.read_record_ranges(spark, path, rows_per_task=n).collect()) == want
+    assert [(r.idx, bytes(r.record)) for r in rec.read_record_ranges(spark, path, rows_per_task=5, wanted=(7, 8)).orderBy("source_file").collect()] == [x[1:] for x in want if x[1] == 7]
+
+
 @pytest.mark.parametrize("ending", [".bagz", ".bag"])
 def test_record_shards(spark, tmp_path, ending):
     df = spark.createDataFrame([(i, f"record {i}".encode() if i else b"") for i in range(20)], "i long, r binary")
@@ -169,6 +253,13 @@ def test_user_ratings_and_stream(spark, tmp_path):
     schema = "user_id string, game_no long, played_at long, opponent_rating double, opponent_rd double, score double"
     df = spark.createDataFrame([("u", 1, 0, 1500.0, 50.0, 1.0), ("u", 2, 86400 * 10, 1600.0, 50.0, 0.0), ("v", 1, 0, 1500.0, 50.0, 0.5)], schema)
     got = {(r.user_id, r.game_no): r for r in ratings.user_history(df).collect()}
+    more = df.unionByName(spark.range(50).select(F.lit("w").alias("user_id"), (100 - F.col("id")).alias("game_no"), F.col("id").alias("played_at"), F.lit(1500.0).alias("opponent_rating"), F.lit(50.0).alias("opponent_rd"), F.lit(1.0).alias("score")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a user's games come in several batches
+    try:
+        long = [r.games_played for r in ratings.user_history(more).filter("user_id = 'w'").orderBy("game_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert long == list(range(1, 51))
     assert got["v", 1].rating == 1500.0 and got["u", 1].rating > 1500 > got["v", 1].rd
     first = got["u", 1]
     assert got["u", 2].rd_before == round(math.sqrt(first.rd**2 + 34.64 * 10), 1) and got["u", 2].games_played == 2 and got["u", 2].losses == 1
