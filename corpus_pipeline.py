@@ -1,4 +1,8 @@
-"""A training corpus from `documents`: five stages, each written as Parquet and read again before the next."""
+"""A training corpus from `documents`: five stages, each written as Parquet and read again before the next.
+
+Every stage takes any table with the columns of `documents` and drops other columns, whatever their names. Rows with nulls in any
+column, empty and very long texts and repeated rows go through all stages as each says; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyworks.llm import linededup, mixing, packing, simhash, toxicity
-from plyworks.llm.common import cut, table
+from plyworks.llm.common import shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies: words a shingle, and the similarity that the shingles must have.
@@ -16,13 +20,15 @@ NEAR_WIDTH, NEAR_SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class-conditional models reject go."""
+    """Documents that the class-conditional models reject go. A null or empty text says nothing and stays; so does everything if the labels lack a class."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.toxicity_score(model, F.col("text")) < 0.3).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them; n_chars follows the text. A document that loses all its lines stays, empty."""
+    """Lines that many documents share stay in one of them; n_chars follows the text. A document that loses all its lines stays, empty, and a null text stays null.
+
+    A null id sorts before every other; rows that repeat an id are one document, each with its own lines."""
     kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
     changed = F.col("__n_dropped") > 0
     return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -38,12 +44,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document comes as often as the schedule reads it."""
+    """Sources at their target weights: a document comes as often as the schedule reads it. A null source is a source; a text without words
+    comes as often as the place where it lies is read."""
     return mixing.mix_documents(docs).select(*COLUMNS)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins of the training sequences: a row per piece of a document."""
+    """The bins of the training sequences: a row per piece of a document. A text without words is a piece of size 0 outside all bins."""
     return packing.pack_documents(docs)
 
 
@@ -54,11 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's table lies in the shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
-    cut(spark.range(1))  # makes sure that there is a folder
-    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
+    """All stages over `documents`. Each stage's table lies in the shared folder; it is removed once the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if last is not None:
+            done = spark._jvm.org.apache.hadoop.fs.Path(last)
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+        last = f"{folder}/{n}"
     return docs
