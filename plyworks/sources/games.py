@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,56 +31,14 @@ def _games(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim("value") != "").select(F.input_file_name().alias("source_file"), F.concat(F.lit("[Event "), body).alias("pgn"))
 
 
-def lz4_frames(data: bytes, enough: Callable[[bytearray], bool] | None = None) -> bytes:
-    """Contents of concatenated LZ4 frames; checksums are passed over. Decoding stops after a block with which there is `enough`."""
-    out, at = bytearray(), 0
-    while at + 7 <= len(data):
-        magic, flags = struct.unpack_from("<IB", data, at)
-        if magic != 0x184D2204:
-            raise ValueError("no LZ4 frame starts here")
-        at += 7 + 8 * (flags >> 3 & 1) + 4 * (flags & 1)
-        while (size := struct.unpack_from("<I", data, at)[0]) != 0:
-            at += 4
-            block, end = data[at : at + (size & 0x7FFFFFFF)], at + (size & 0x7FFFFFFF)
-            if size >> 31:
-                out += block
-            else:
-                _lz4_block(block, out)
-            if enough and enough(out):
-                return bytes(out)
-            at = end + 4 * (flags >> 4 & 1)
-        at += 4 + 4 * (flags >> 2 & 1)
-    return bytes(out)
-
-
-def _lz4_block(block: bytes, out: bytearray) -> None:
-    at = 0
-
-    def length(n: int) -> int:
-        nonlocal at
-        if n == 15:
-            while True:
-                n += block[at]
-                at += 1
-                if block[at - 1] != 255:
-                    break
-        return n
-
-    while at < len(block):
-        token = block[at]
-        at += 1
-        n = length(token >> 4)
-        out += block[at : at + n]
-        at += n
-        if at >= len(block):
+def lz4_frames(data: bytes, enough: Callable[[bytearray], bool] | None = None, step: int = 1 << 20) -> bytes:
+    """Contents of concatenated LZ4 frames. Decoding stops after a step with which there is `enough`."""
+    out, stream = bytearray(), pa.CompressedInputStream(pa.BufferReader(data), "lz4")
+    while part := stream.read(step):
+        out += part
+        if enough and enough(out):
             break
-        back = block[at] | block[at + 1] << 8
-        at += 2
-        n = length(token & 15) + 4
-        for _ in range(-(-n // back)):
-            part = out[len(out) - back : len(out) - back + min(n, back)]
-            out += part
-            n -= len(part)
+    return bytes(out)
 
 
 def read_lz4_games(spark: SparkSession, path: str, *, first_games: int | None = None) -> DataFrame:
@@ -88,7 +46,7 @@ def read_lz4_games(spark: SparkSession, path: str, *, first_games: int | None =
 
     @F.pandas_udf(T.StringType())
     def _unpack(content: pd.Series) -> pd.Series:
-        stop = None if first_games is None else lambda out: out.count(b"\n[Event ") >= first_games
+        stop = None if first_games is None else lambda out: out.count(b"[Event ") > first_games
         return content.map(lambda c: lz4_frames(c, stop).decode("utf-8", "replace"))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.lz4").load(path)
