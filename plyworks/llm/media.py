@@ -6,7 +6,8 @@ not, with or without restarts): it parses the markers and decodes all restart in
 numpy works across documents. AC coefficients are stepped over. Payloads beyond a frame's height go to further frames.
 
 Defined results: null counts as the empty text; the empty text becomes one row of spaces; a text of any length works;
-what isn't a baseline JPEG raises ValueError in `thumbnails` and gives null in `read_media`.
+equal texts get equal media, so ties and repeated rows need no order; an empty table stays empty; other columns are not
+looked at; what isn't a baseline JPEG raises ValueError in `thumbnails` and gives null in `read_media`.
 """
 
 from __future__ import annotations

@@ -500,6 +500,53 @@ def test_reader_takes_ac_codes_and_no_restarts():
     assert media.thumbnails([jpeg])[0][0].tolist() == [[128 + 10, 128 + 4]]
 
 
+def test_thumbnail_hash_by_plain_loops():
+    rng = np.random.default_rng(13)
+    for h, w in ((1, 192), (3, 192), (8, 8), (57, 30), (200, 192)):
+        plane = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        cells = []
+        for i in range(8):
+            for j in range(8):
+                a, b, c, d = i * h // 8, (i + 1) * h // 8, j * w // 8, (j + 1) * w // 8
+                inside = [float(plane[y, x]) for y in range(a, max(b, a + 1)) for x in range(c, max(d, c + 1))]
+                cells.append(sum(inside) / len(inside))
+        mean = sum(cells) / 64
+        close = [abs(x - mean) < 1e-9 for x in cells]
+        want = "".join("1" if x > mean else "0" for x in cells)
+        got = format(media.thumbnail_hash(plane), "064b")
+        assert all(a == b or c for a, b, c in zip(want, got, close))
+
+
+def test_stored_bits_by_plain_loops():
+    """The scan of a stored image, decoded bit by bit."""
+    rng = np.random.default_rng(14)
+    payload = rng.integers(0, 256, 192 * 3).astype(np.uint8).tobytes()
+    jpeg = media.encode([payload])[0]
+    codes = {format(c, f"0{n}b"): s for s, (c, n) in media._codes(media.DC_COUNTS, media.DC_SYMBOLS).items()}
+    scan = jpeg[jpeg.index(b"\xff\xda") + 10 : -2]
+    rows, at = [[]], 0
+    while at < len(scan):
+        if scan[at] == 255 and 0xD0 <= scan[at + 1] <= 0xD7:
+            rows.append([])
+            at += 2
+            continue
+        rows[-1].append(scan[at])
+        at += 2 if scan[at] == 255 else 1
+    out = []
+    for row in rows:
+        bits, value = "".join(format(b, "08b") for b in row), 0
+        for _ in range(192):
+            n = next(n for n in range(1, 17) if bits[:n] in codes)
+            size, bits = codes[bits[:n]], bits[n:]
+            extra, bits = int(bits[:size] or "0", 2), bits[size:]
+            value += extra if size == 0 or extra >> (size - 1) else extra - (1 << size) + 1
+            assert bits[0] == "0"  # end of block
+            bits = bits[1:]
+            out.append(value + 128)
+        assert set(bits) <= {"1"} and len(bits) < 8
+    assert bytes(out) == payload
+
+
 # 8 mixing
 
 
