@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
@@ -54,11 +54,35 @@ class GamePlies:
         yield from replay(movetext)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def history_tokens(moves: pd.Series) -> pd.Series:
+    """Ids of the last twelve moves, filled up in front; for SQL, as `text.history_tokens`."""
+    ids = move_vocabulary()
+    return moves.map(lambda m: None if m is None else [len(ids)] * (12 - len(m[-12:])) + [ids.get(x) for x in m[-12:]])
+
+
+#: Functions that are SQL expressions: name and arguments, type, expression.
+EXPRESSIONS = {
+    "strip_counters(fen string)": ("string", "array_join(slice(split(fen, ' '), 1, 4), ' ')"),
+    "fullmove(fen string)": ("int", "try_cast(get(split(fen, ' '), 5) as int)"),
+    "pipe_key(history array<string>, fen string)": ("string", "concat(fen, '|', array_join(history, ','))"),
+    "result_class(result string)": ("int", "case result when '0-1' then 0 when '1/2-1/2' then 1 when '1-0' then 2 end"),
+}
+
+
+def vocabulary(spark: SparkSession) -> DataFrame:
+    """id, move: all moves; the id after the last one pads a history."""
+    return spark.createDataFrame([(i, m) for m, i in move_vocabulary().items()], "id int, move string")
+
+
 def register(spark: SparkSession) -> None:
-    """fen_tokens, legal_moves, legal_move_ids, game_outcome and san_to_uci as functions, game_plies as a table function."""
-    for name, f in (("legal_moves", legal_moves), ("legal_move_ids", legal_move_ids), ("game_outcome", game_outcome), ("san_to_uci", san_to_uci)):
+    """Functions on positions, moves and histories under their names, game_plies as a table function, the vocabulary as view `moves_vocabulary`."""
+    for name, f in (("legal_moves", legal_moves), ("legal_move_ids", legal_move_ids), ("game_outcome", game_outcome), ("san_to_uci", san_to_uci), ("history_tokens", history_tokens)):
         spark.udf.register(name, f)
     spark.udtf.register("game_plies", GamePlies)
+    for head, (kind, expression) in EXPRESSIONS.items():
+        spark.sql(f"create or replace temporary function {head} returns {kind} return {expression}")
+    vocabulary(spark).createOrReplaceTempView("moves_vocabulary")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def fen_tokens(fen: pd.Series) -> pd.Series:

@@ -246,6 +246,10 @@ def test_sql_functions(spark):
     from plyworks.functions import text as tx
 
     assert spark.range(1).select(tx.fen_tokens(F.lit(start)).alias("t")).first().t == r.t
+    x = spark.sql(f"select strip_counters('{start}') as s, fullmove('{start}') as f, fullmove('x') as g, pipe_key(array('a', 'b'), 'p') as k, result_class('0-1') as c, history_tokens(array('e2e4', 'e7e5')) as h").first()
+    ids = tx.move_vocabulary()
+    assert (x.s, x.f, x.g, x.k, x.c, list(x.h)) == (start[:-4], 1, None, "p|a,b", 0, [1968] * 10 + [ids["e2e4"], ids["e7e5"]])
+    assert spark.sql("select move from moves_vocabulary where id = 0").first().move == "a1b1" and spark.sql(f"select count(*) n from values ('{start}') t(fen) where fullmove(fen) >= 1").first().n == 1
     assert [x.uci for x in spark.sql("select uci from game_plies('1. d4 d5 2. Qd4') order by ply").collect()] == ["d2d4", "d7d5"]
 
 
