@@ -657,7 +657,12 @@ def g05_rated_games(spark, d):
     return rate_games(o.select(F.col("o_custkey").cast("string").alias("player"), F.col("o_orderkey").alias("game_no"), (1200 + F.col("o_orderkey") % 800).cast("double").alias("opponent_rating"), F.lit(80.0).alias("opponent_rd"), ((F.col("o_orderkey") % 3) / 2.0).alias("score")))
 
 
-@query()
+@query("""with recursive g as (select o_custkey::varchar as user_id, o_orderkey as game_no, row_number() over (partition by o_custkey order by o_orderkey) as n, epoch(o_orderdate)::bigint as moment, 1200.0::double + o_orderkey % 800 as opponent, (o_orderkey % 3) / 2.0::double as s, ln(10) / 400 as q, 1 / sqrt(1 + 3 * (ln(10) / 400 * 50 / pi()) ** 2) as f from orders),
+h as (select distinct user_id, 0::bigint as n, null::bigint as game_no, null::bigint as played, null::double as rating_before, null::double as rd_before, 1500.0::double as rating, 350.0::double as rd, null::double as change, 0::bigint as games_played, 0::bigint as wins, 0::bigint as losses, 0::bigint as draws from g
+union all select user_id, n, game_no, moment, rating, rd0, round(least(greatest(rating + gain, 100), 3500), 1), round(least(greatest(1 / sqrt(p), 30), 350), 1), round(gain, 1), games_played + 1, wins + (s = 1)::int, losses + (s = 0)::int, draws + (s = 0.5)::int from
+(select *, q / p * f * (s - e) as gain from (select *, 1 / rd0 ** 2 + q * q * f * f * e * (1 - e) as p from (select g.*, h.rating, games_played, wins, losses, draws, 1 / (1 + 10 ** (-f * (h.rating - opponent) / 400)) as e,
+case when floor((moment - played) / 86400) > 0 then least(350, round(sqrt(h.rd * h.rd + 34.64 * floor((moment - played) / 86400)), 1)) else h.rd end as rd0 from h join g on g.user_id = h.user_id and g.n = h.n + 1))))
+select user_id, game_no, rating_before, rd_before, rating, rd, change, games_played, wins, losses, draws from h where n > 0""")
 def g06_user_history(spark, d):
     from .streaming.ratings import user_history
 
