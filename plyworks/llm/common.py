@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import shared_folder as shared_folder
+from ..operators.ordered import written as cut
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,24 +39,11 @@ def may_learn(doc_id: Column) -> Column:
     return doc_id.isNotNull() & ~held_out(doc_id)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there, so that a lost executor costs one stage.
-
-    The folder is the one the session names in spark.checkpoint.dir. Only a local session without one (a test) gets its
-    own, as no executor of a cluster could read that.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plyworks-"))
-    return context.getCheckpointDir()
+def stored(df: DataFrame) -> DataFrame:
+    """As `cut`, in columns and compressed: for tables that are large and read in parts."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def running_start(df: DataFrame, key: str, segment: str, order: list[str], value: Column, out: str) -> DataFrame:

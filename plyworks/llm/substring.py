@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import stored
 
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?](?![\s])[^\n.!?]*)*(?:[.!?]+[^\S\n]*|\n+|$)\n*")
 _UNITS = "doc long, tag long, unit int, first int, last int, words int, h1 long, h2 long"
@@ -73,10 +73,10 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
     `min_words` is the least length of a span, so of a run of repeats; 1 gives every repeated unit."""
     source = docs.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text"))
-    cut_up = cut(source.mapInArrow(_digests, _UNITS))  # texts are cut and hashed once
+    cut_up = stored(source.mapInArrow(_digests, _UNITS))  # texts are cut and hashed once
     place = F.struct("doc", "tag", "unit")
-    kept = cut_up.groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).filter("earliest <> latest").drop("latest")
-    kept = cut(kept)  # read anew, it joins as a plain shuffle, of which Spark can split what a common unit makes large
+    kept = cut_up.groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("places")).filter("places > 1").drop("places")
+    kept = stored(kept)  # read anew, it joins as a plain shuffle, of which Spark can split what a common unit makes large
     repeats = cut_up.join(kept, ["h1", "h2"]).filter(place != F.col("earliest")).select("doc", "tag", "unit", "first", "last", "words", F.col("earliest.doc").alias("keeper")).distinct()
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc", "tag").orderBy("unit"))
     spans = repeats.withColumn("run", run).groupBy("doc", "tag", "run")
