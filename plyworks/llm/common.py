@@ -46,6 +46,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df` marked to be broadcast if it is counted to have that many rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def running_start(df: DataFrame, key: str, segment: str, order: list[str], value: Column, out: str) -> DataFrame:
     """`out`: sum of `value` over the rows of the same key that come before, by (segment, order).
 

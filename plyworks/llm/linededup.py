@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, ascii_lower, cut
+from .common import WHITE, ascii_lower, cut, if_small
 
 NO_ID = -(2**63)
 _MARKS = "doc long, tag long, pos int, h1 long, h2 long, open boolean"
 
 
-def line_key(line):
-    return F.trim(ascii_lower(line), F.lit(WHITE))
+def stripped(line):
+    return F.trim(line, F.lit(WHITE))
 
 
 def _rows(columns, open_: bool) -> pa.RecordBatch:
@@ -97,34 +97,38 @@ def dropped_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     """(doc, tag, pos) of each line to drop; tag is the text's hash, doc the id (NO_ID for null)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(whole).alias("tag"), F.posexplode(F.split(whole, "\n", -1)).alias("pos", "line"))
-    keyed = lines.select("doc", "tag", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+    keyed = lines.select("doc", "tag", "pos", stripped(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+    keyed = keyed.withColumn("key", ascii_lower(F.col("key")))  # which changes no length
     hashed = keyed.select("doc", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     hashed = cut(hashed)  # finding the ranges reads all rows once more: these, not the texts
     order = ["h1", "h2", F.col("doc").desc(), "pos"]
     marks = cut(hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_first_occurrences(min_docs), _MARKS))
     edges = marks.filter("open")
     facts = edges.groupBy("h1", "h2").agg(F.max("doc").alias("largest"), F.countDistinct("doc").alias("docs")).filter(F.col("docs") >= min_docs)
-    late = edges.join(F.broadcast(facts), ["h1", "h2"]).filter("doc < largest and pos >= 0")
+    late = edges.join(if_small(facts), ["h1", "h2"]).filter("doc < largest and pos >= 0")
     return marks.filter("not open").select("doc", "tag", "pos").unionByName(late.select("doc", "tag", "pos"))
 
 
 @F.pandas_udf(T.BinaryType())
-def _bitmap(n_lines: pd.Series, drops: pd.Series) -> pd.Series:
-    def one(n, gone):
-        keep = np.ones(n, np.uint8)
-        if gone is not None:
-            keep[np.asarray(gone, int)] = 0
+def _bitmap(drops: pd.Series) -> pd.Series:
+    def one(gone):
+        keep = np.ones(-(-(max(gone) + 1) // 8) * 8, np.uint8)  # whole bytes: what fills up the last one stays, too
+        keep[gone] = 0
         return zlib.compress(np.packbits(keep).tobytes())
 
-    return pd.Series([one(n, d) for n, d in zip(n_lines, drops)], dtype=object)
+    return pd.Series([one(d) for d in drops], dtype=object)
 
 
 def keep_bitmaps(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """Per document with lines to drop: doc, tag, n_dropped and the zlib-compressed bitmap of the lines kept, first line first."""
+    """Per document with lines to drop: doc, tag, n_dropped and the zlib-compressed bitmap of the lines kept, first line first.
+
+    A bitmap ends with the last line that goes; all lines after it stay."""
     drops = dropped_lines(docs, text=text, doc_id=doc_id, **options).groupBy("doc", "tag").agg(F.collect_set("pos").alias("drops"))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(whole).alias("tag"), F.size(F.split(whole, "\n", -1)).alias("n_lines")).distinct()
-    return rows.join(drops, ["doc", "tag"]).select("doc", "tag", F.size("drops").cast("long").alias("n_dropped"), _bitmap("n_lines", "drops").alias("keep"))
+    return drops.select("doc", "tag", F.size("drops").cast("long").alias("n_dropped"), _bitmap("drops").alias("keep"))
+
+
+def line_count(text):
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
 @F.pandas_udf(T.StringType())
@@ -132,9 +136,9 @@ def _kept_text(text: pd.Series, keep: pd.Series) -> pd.Series:
     def one(t, bits):
         if bits is None:
             return t
-        lines = t.split("\n")
-        flags = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=len(lines)).tolist()
-        return "\n".join([line for line, f in zip(lines, flags) if f])
+        flags = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8))
+        lines = t.split("\n", len(flags))
+        return "\n".join([line for k, line in enumerate(lines) if k >= len(flags) or flags[k]])
 
     return pd.Series([one(t, b) for t, b in zip(text, keep)], dtype=object)
 
@@ -144,7 +148,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, text: str = "text", do
     whole = F.coalesce(F.col(text), F.lit(""))
     maps = bitmaps.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("n_dropped").alias("__gone"), F.col("keep").alias("__keep"))
     match = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("__doc")) & (F.xxhash64(whole) == F.col("__tag"))
-    joined = docs.join(maps, match, "left").withColumn("__n_lines", F.size(F.split(whole, "\n", -1)).cast("long"))
+    joined = docs.join(maps, match, "left").withColumn("__n_lines", line_count(whole))
     joined = joined.withColumn("__n_dropped", F.coalesce("__gone", F.lit(0)).cast("long"))
     kept = F.when(F.col("__keep").isNull(), F.col(text)).otherwise(_kept_text(F.when(F.col("__keep").isNotNull(), F.col(text)), "__keep"))
     return joined.withColumn(text, kept).drop("__doc", "__tag", "__gone", "__keep")
