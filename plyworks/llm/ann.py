@@ -48,10 +48,10 @@ def search_block(ids, vectors, query_ids, queries, *, k: int, n_lines: int, thre
     """(query row, vector row, distance) of the k nearest found for each query, nearest first."""
     n, dims = vectors.shape
     lines = directions(n_lines, dims)
-    placed = vectors @ lines
-    order = np.argsort(placed, axis=0, kind="stable")
-    sorted_ = np.take_along_axis(placed, order, axis=0)
-    asked, far = queries @ lines, reach(n_lines, threshold, dims)
+    placed = np.ascontiguousarray((vectors @ lines).T)
+    order = np.argsort(placed, axis=1, kind="stable").astype(np.int32)
+    sorted_ = np.take_along_axis(placed, order, axis=1)
+    asked, far = np.ascontiguousarray((queries @ lines).T), reach(n_lines, threshold, dims)
     first = max(float(np.median(np.abs(placed - np.median(placed)))) * 0.25, 1e-12)
     out = []
     step = max(1, cells // n)
@@ -60,17 +60,17 @@ def search_block(ids, vectors, query_ids, queries, *, k: int, n_lines: int, thre
         m = len(queries[q])
         hits, left, right = np.zeros(m * n, np.int16), np.zeros((n_lines, m), np.int64), np.zeros((n_lines, m), np.int64)
         for j in range(n_lines):
-            left[j] = right[j] = np.searchsorted(sorted_[:, j], asked[q, j])
+            left[j] = right[j] = np.searchsorted(sorted_[j], asked[j, q])
         seen, going, half = np.zeros(m * n, bool), np.arange(m), first
         row, col, gap, kth = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(m, np.inf)  # the nearest so far
         while len(going):
             for j in range(n_lines):
-                new_left = np.searchsorted(sorted_[:, j], asked[q, j][going] - half)
-                new_right = np.searchsorted(sorted_[:, j], asked[q, j][going] + half, side="right")
+                centre = asked[j, q][going]
+                new_left, new_right = np.searchsorted(sorted_[j], centre - half), np.searchsorted(sorted_[j], centre + half, side="right")
                 for a, b in ((new_left, left[j][going]), (right[j][going], new_right)):  # only what the wider window adds
                     size = np.maximum(b - a, 0)
                     rank = np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)
-                    hits[np.repeat(going * n, size) + order[rank, j]] += 1  # each vector once a line
+                    hits[np.repeat(going * n, size) + order[j][rank]] += 1  # each vector once a line
                 left[j][going], right[j][going] = np.minimum(new_left, left[j][going]), np.maximum(new_right, right[j][going])
             fresh = np.flatnonzero((hits >= threshold) & ~seen)
             seen[fresh] = True
