@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, if_small
 from .graph import components
 
 BITS = 64
@@ -217,8 +217,8 @@ def near_links(classes: DataFrame, *, budget: int = 2, led: bool = False, max_gr
         large = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > max_group).filter(f"depth + {step_bits} <= {BITS}").drop("rows")
         large = cut(large)
         done = large.isEmpty()
-        # There is one such group per max_group rows at most, so their table is small.
-        small = keyed if done else keyed.join(F.broadcast(large), group, "left_anti")
+        large = if_small(large)  # there is one such group per max_group rows at most
+        small = keyed if done else keyed.join(large, group, "left_anti")
         order = [*group, F.col("value").bitwiseXOR(F.lit(-(2**63)))]  # as unsigned
         part = small.repartition(*group).sortWithinPartitions(*order).select(*group, "diff", "value", "rep").mapInArrow(_follow(budget, 1 << 16), _LINK)
         found = part if found is None else found.unionByName(part)
@@ -226,7 +226,7 @@ def near_links(classes: DataFrame, *, budget: int = 2, led: bool = False, max_gr
             return found
         masks = [0, *(sum(1 << b for b in c) for k in range(1, budget + 1) for c in combinations(range(step_bits), k))]
         flips = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(m.bit_count()).alias("flipped")) for m in masks])
-        hot = keyed.join(F.broadcast(large), group).select("*", F.inline(flips)).filter(F.col("diff") + F.col("flipped") <= budget)
+        hot = keyed.join(large, group).select("*", F.inline(flips)).filter(F.col("diff") + F.col("flipped") <= budget)
         own = F.expr(f"shiftrightunsigned(value, 64 - depth - {step_bits})")
         left = F.expr("shiftrightunsigned(value, 64 - depth)") == F.col("pa")
         with_ = F.shiftleft(F.when(left, F.col("pb")).otherwise(F.col("pa")), step_bits).bitwiseOR((own.bitwiseAND(F.lit((1 << step_bits) - 1))).bitwiseXOR(F.col("mask")))
@@ -338,7 +338,10 @@ def near_copies(
     from tries led by bands of min-hashes: texts meet where a band agrees, and their fingerprints are followed down with
     `budget` bits. What that connects is a set of candidates, in which links are checked on the shingles themselves: sets
     of up to `max_texts` texts inside a task, all pairs counting. In larger ones all texts are compared with one leader,
-    and what this leaves apart is checked band by band, in blocks of `max_texts`."""
+    and what this leaves apart is checked band by band, in blocks of `max_texts`.
+
+    Null and empty texts have no shingles and are alike; very long texts count whole; equal texts are one, with or without
+    ids; an empty table gives an empty result; other columns are ignored."""
     tag = F.xxhash64(text)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))

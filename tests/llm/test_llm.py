@@ -764,8 +764,8 @@ def test_pipeline_stages(spark, tmp_path):
     lines = {(r.doc_id, r.text) for r in seen["line dedup"].collect()}
     from_plain = {x[0]: x[3] for x in plain_lines([(r.doc_id, r.text) for r in seen["toxicity"].collect()])}
     assert {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in lines} == from_plain
-    prints = {i: plain_print(t) for i, t in lines}
-    assert {r.doc_id for r in seen["simhash near-dedup"].collect()} == {i for i, root in plain_components(prints, 2).items() if i == root}
+    sets = {i: simhash.shingles(t, 5) for i, t in lines}
+    assert {r.doc_id for r in seen["simhash near-dedup"].collect()} == {i for i, low in plain_links(sets, 0.8).items() if i == low}
     mixed, had = Counter(r.doc_id for r in seen["mixing sources"].collect()), Counter()
     assert max(mixed.values()) <= 3
     for r in seen["simhash near-dedup"].collect():
@@ -803,6 +803,18 @@ def test_near_copies_by_shingles(spark):
     assert {r.doc_id: r.kept for r in simhash.near_copies(docs, width=5, budget=20, least=0.8).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
 
 
+def plain_links(sets, least):
+    """Of each text the smallest one that links of all pairs lead to."""
+    label, changed = {i: i for i in sets}, True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if label[b] > label[a] and simhash.similarity(sets[a], sets[b]) >= least:
+                    label[b], changed = label[a], True
+    return label
+
+
 @pytest.mark.parametrize("max_texts", [2000, 4])
 def test_near_copies_are_all_linked(spark, max_texts):
     """Chains and clusters against all pairs, in sets that one task takes and in larger ones."""
@@ -817,18 +829,11 @@ def test_near_copies_are_all_linked(spark, max_texts):
             else:
                 rows.append(" ".join(words[int(rng.integers(0, 3000))] if x < 0.02 else w for x, w in zip(rng.random(150), base)))
     rows += ["", "", "one two", "One  two", rows[0], rows[20].upper()]
-    sets = [simhash.shingles(t, 5) for t in rows]
-    label, changed = list(range(len(rows))), True
-    while changed:
-        changed = False
-        for a in range(len(rows)):
-            for b in range(len(rows)):
-                if label[b] > label[a] and simhash.similarity(sets[a], sets[b]) >= 0.8:
-                    label[b], changed = label[a], True
+    label = plain_links({i: simhash.shingles(t, 5) for i, t in enumerate(rows)}, 0.8)
     order = rng.permutation(len(rows))
     docs = docs_of(spark, [(int(k), rows[k], "en", "s") for k in order])
     got = {r.doc_id: r.kept for r in simhash.near_copies(docs, width=5, least=0.8, max_texts=max_texts).collect()}
-    assert got == dict(enumerate(label)) and 1 < len(set(label)) < len(rows)
+    assert got == label and 1 < len(set(label.values())) < len(rows)
 
 
 def test_pipeline_takes_odd_tables(spark, tmp_path):
