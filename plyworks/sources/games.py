@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..operators.sequences import first_of_each
 
 
 def read_games(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -50,13 +51,10 @@ def read_lz4_games(spark: SparkSession, path: str, *, first_games: int | None =
         return content.map(lambda c: lz4_frames(c, stop).decode("utf-8", "replace"))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.lz4").load(path)
-    parts = files.select(F.col("path").alias("source_file"), F.explode(F.split(F.concat(F.lit("\n"), _unpack("content")), r"\n(?=\[Event )")).alias("pgn"))
-    games = parts.filter(F.trim("pgn") != "")
-    if first_games is None:
-        return games
-    from ..operators.sequences import first_of_each
-
-    return first_of_each(games.withColumn("__at", F.monotonically_increasing_id()), "source_file", ["__at"], first_games).drop("__at")
+    parts = files.select(F.col("path").alias("source_file"), F.posexplode(F.split(F.concat(F.lit("\n"), _unpack("content")), r"\n(?=\[Event )")).alias("__at", "pgn")).filter(F.trim("pgn") != "")
+    if first_games is not None:
+        parts = first_of_each(parts, "source_file", ["__at"], first_games)
+    return parts.select("source_file", "pgn")
 
 
 def with_headers(games: DataFrame) -> DataFrame:
