@@ -200,7 +200,8 @@ def _follow(budget: int, slice_rows: int):
 def near_links(classes: DataFrame, *, budget: int = 2, led: bool = False, max_group: int = 200_000, step_bits: int = 6) -> DataFrame:
     """edges(u, v) that connect all classes (bits long, rep long) within `budget` differing bits, directly or over others.
 
-    With `led`, only classes of the same `lead` (long) are compared: each lead is the root of a trie of its own."""
+    With `led`, only classes of the same `lead` (long) are compared: each lead is the root of a trie of its own. The links then are
+    candidates, which the caller checks: a lead that over `max_group` classes have links them all to one, unread."""
     if led:
         keyed = classes.select(F.col("lead").alias("turn"), F.lit(0).cast("long").alias("pa"), F.lit(0).alias("depth"), F.col("bits").alias("value"), "rep")
     else:
@@ -222,6 +223,9 @@ def near_links(classes: DataFrame, *, budget: int = 2, led: bool = False, max_gr
         order = [*group, F.col("value").bitwiseXOR(F.lit(-(2**63)))]  # as unsigned
         part = small.repartition(*group).sortWithinPartitions(*order).select(*group, "diff", "value", "rep").mapInArrow(_follow(budget, 1 << 16), _LINK)
         found = part if found is None else found.unionByName(part)
+        if led and not done:
+            hubs = keyed.join(large, group).groupBy(*group).agg(F.min("rep").alias("v"))
+            found, done = found.unionByName(keyed.join(if_small(hubs), group).select(F.col("rep").alias("u"), "v")), True
         if done:
             return found
         masks = [0, *(sum(1 << b for b in c) for k in range(1, budget + 1) for c in combinations(range(step_bits), k))]
@@ -338,7 +342,7 @@ def near_copies(
     from tries led by bands of min-hashes: texts meet where a band agrees, and their fingerprints are followed down with
     `budget` bits. What that connects is a set of candidates, in which links are checked on the shingles themselves: sets
     of up to `max_texts` texts inside a task, all pairs counting. In larger ones all texts are compared with one leader,
-    and what this leaves apart is checked band by band, in blocks of `max_texts`.
+    and what this leaves apart is checked with all texts of its bands, in blocks of `max_texts`.
 
     Null and empty texts have no shingles and are alike; very long texts count whole; equal texts are one, with or without
     ids; an empty table gives an empty result; other columns are ignored."""
@@ -376,11 +380,17 @@ def near_copies(
         stars = judged.filter("joined and tag <> leader").select(F.col("tag").alias("u"), F.col("leader").alias("v"))
         label = F.when(F.col("joined"), F.col("leader")).otherwise(F.col("tag"))
         placed = judged.select("tag", label.alias("label")).join(keyed.select("tag", "lead"), "tag")
-        open_ = placed.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-        open_ = open_.filter("low <> high").select("lead", F.ceil(F.col("n") / max_texts).alias("blocks"))
-        placed = placed.join(open_, "lead").withColumn("own", F.pmod(F.xxhash64("tag"), F.col("blocks")))
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        placed = placed.select(F.col("lead").alias("key"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "tag", "label")
+        # Of two texts that still have to be joined one at least is not of the band's main label: only these meet all others.
+        labels = placed.groupBy("lead", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("lead")
+        labels = labels.agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).filter("n > main.n")
+        parts = lambda n: F.ceil(n / F.lit(max_texts)).cast("long")
+        placed = placed.join(labels.select("lead", F.col("main.label").alias("main"), parts(F.col("n")).alias("blocks"), parts(F.col("n") - F.col("main.n")).alias("others")), "lead")
+        place, upto = F.xxhash64("tag"), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        among = F.transform(upto("others"), lambda a: pair(a, F.pmod(place, F.col("blocks"))))
+        asks = F.transform(upto("blocks"), lambda b: pair(F.pmod(place, F.col("others")), b))
+        placed = placed.withColumn("at", F.explode(F.when(F.col("label") == F.col("main"), among).otherwise(F.array_union(among, asks))))
+        placed = placed.select(F.col("lead").alias("key"), "at.a", "at.b", "tag", "label")
         rest = _verified(placed.join(judged.select("tag", "set"), "tag"), least)
         links = links.unionByName(stars).unionByName(rest)
     roots = components(links)

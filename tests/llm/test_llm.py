@@ -815,8 +815,8 @@ def plain_links(sets, least):
     return label
 
 
-@pytest.mark.parametrize("max_texts", [2000, 4])
-def test_near_copies_are_all_linked(spark, max_texts):
+@pytest.mark.parametrize("max_texts,max_group", [(2000, 200_000), (4, 200_000), (4, 5)])
+def test_near_copies_are_all_linked(spark, max_texts, max_group):
     """Chains and clusters against all pairs, in sets that one task takes and in larger ones."""
     rng = np.random.default_rng(12)
     words, rows = [f"v{k}" for k in range(3000)], []
@@ -832,7 +832,7 @@ def test_near_copies_are_all_linked(spark, max_texts):
     label = plain_links({i: simhash.shingles(t, 5) for i, t in enumerate(rows)}, 0.8)
     order = rng.permutation(len(rows))
     docs = docs_of(spark, [(int(k), rows[k], "en", "s") for k in order])
-    got = {r.doc_id: r.kept for r in simhash.near_copies(docs, width=5, least=0.8, max_texts=max_texts).collect()}
+    got = {r.doc_id: r.kept for r in simhash.near_copies(docs, width=5, least=0.8, max_texts=max_texts, max_group=max_group).collect()}
     assert got == label and 1 < len(set(label.values())) < len(rows)
 
 
