@@ -115,15 +115,20 @@ def idle_days(last: Column, now: Column) -> Column:
     return F.floor((F.unix_timestamp(now) - F.unix_timestamp(last)) / 86400)
 
 
+def game_step(rating, rd, opponent, opponent_rd, score, sqrt, power):
+    """(change, deviation) of one game, of columns or of numbers, with the functions for them."""
+    g = 1 / sqrt(1 + 3 * _Q * _Q * opponent_rd * opponent_rd / (math.pi * math.pi))
+    e = 1 / (1 + power(10.0, -g * (rating - opponent) / 400.0))
+    precision = 1 / (rd * rd) + _Q * _Q * g * g * e * (1 - e)
+    return _Q / precision * g * (score - e), sqrt(1 / precision)
+
+
 def single_game_update(rating: Column, rd: Column, opponent: Column, opponent_rd: Column, score: Column) -> tuple[Column, Column]:
     """(rating, rd) after one game, clamped, to one decimal."""
-    g = spread_factor(opponent_rd)
-    e = 1 / (1 + F.pow(F.lit(10.0), -g * (rating - opponent) / 400.0))
-    precision = 1 / (rd * rd) + _Q * _Q * g * g * e * (1 - e)
-    new = rating + _Q / precision * g * (score - e)
+    change, new_rd = game_step(rating, rd, opponent, opponent_rd, score, F.sqrt, lambda a, b: F.pow(F.lit(a), b))
     return (
-        F.round(F.least(F.greatest(new, F.lit(LEAST_RATING)), F.lit(MOST_RATING)), 1),
-        F.round(F.least(F.greatest(F.sqrt(1 / precision), F.lit(LEAST_RD)), F.lit(MOST_RD)), 1),
+        F.round(F.least(F.greatest(rating + change, F.lit(LEAST_RATING)), F.lit(MOST_RATING)), 1),
+        F.round(F.least(F.greatest(new_rd, F.lit(LEAST_RD)), F.lit(MOST_RD)), 1),
     )
 
 

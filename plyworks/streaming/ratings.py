@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.glicko2 import START, shown, update
-from ..functions.numeric import GROWTH_PER_DAY, LEAST_RATING, LEAST_RD, MOST_RATING, MOST_RD, START_RD
+from ..functions.numeric import GROWTH_PER_DAY, LEAST_RATING, LEAST_RD, MOST_RATING, MOST_RD, START_RD, game_step
 
 _OUT = "player string, game_no long, rating double, rd double, volatility double, listed long"
 _STATE = "rating double, rd double, volatility double, played long, last long"
@@ -67,17 +67,13 @@ def rate_stream(games: DataFrame) -> DataFrame:
 _USER_OUT = "user_id string, game_no long, rating_before double, rd_before double, rating double, rd double, change double, games_played long, wins long, losses long, draws long"
 _USER_STATE = "rating double, rd double, played long, games long, wins long, losses long, draws long, last long"
 USER_START = (1500.0, START_RD, None, 0, 0, 0, 0)
-_Q = math.log(10) / 400
 
 
 def after_game(rating: float, rd: float, opponent: float, opponent_rd: float, score: float) -> tuple[float, float, float]:
     """(rating, rd, change) after one game by the single-game update, to one decimal."""
-    g = 1 / math.sqrt(1 + 3 * (_Q * opponent_rd / math.pi) ** 2)
-    e = 1 / (1 + 10 ** (-g * (rating - opponent) / 400))
-    precision = 1 / rd**2 + _Q * _Q * g * g * e * (1 - e)
-    change = _Q / precision * g * (score - e)
+    change, new_rd = game_step(rating, rd, opponent, opponent_rd, score, math.sqrt, pow)
     clamp = lambda x, low, high: round(max(low, min(high, x)), 1)
-    return clamp(rating + change, LEAST_RATING, MOST_RATING), clamp(1 / math.sqrt(precision), LEAST_RD, MOST_RD), round(change, 1)
+    return clamp(rating + change, LEAST_RATING, MOST_RATING), clamp(new_rd, LEAST_RD, MOST_RD), round(change, 1)
 
 
 def _user_fold(user, rows: pd.DataFrame, state: tuple):
