@@ -37,10 +37,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that links of near copies connect, those whose five-word shingles have a Jaccard similarity of 0.8, the smallest doc_id stays.
 
-    Where an id comes with several texts, each text goes or stays by its own group. Documents without an id all stay."""
+    Where an id comes with several texts, each text goes or stays by its own group; texts are told apart by two 64-bit hashes. Documents without an id
+    all stay."""
     groups = simhash.near_copies(docs, width=NEAR_WIDTH, least=NEAR_SIMILARITY)
-    gone = groups.filter("doc_id <> kept").select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__tag")), "left_anti").select(*COLUMNS)
+    gone = groups.filter("doc_id <> kept").select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), F.col("tag2").alias("__tag2")).distinct()
+    tag, tag2 = simhash.text_tags("text")
+    return docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (tag == F.col("__tag")) & (tag2 == F.col("__tag2")), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

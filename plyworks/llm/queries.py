@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, linededup, media, mixing, packing, simhash, substring, toxicity
+from . import ann, langid, licenses, linededup, media, minhash, mixing, packing, simhash, substring, toxicity
 from .common import held_out, table
 
 
@@ -68,13 +68,17 @@ def op10_line_bitmaps(spark, sf_dir):
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_bbit_minhash(spark, sf_dir):
+    return minhash.near_sets(table(spark, sf_dir, "documents"), width=2, least=0.8).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_ann, op2_unit_dedup, op3_simhash_trie, op4_license_patience, op5_byte_convnet, op6_kneser_ney, op7_jpeg_media, op8_low_discrepancy_mix, op9_variable_best_fit, op10_line_bitmaps, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_collision_ann, op2_unit_dedup, op3_simhash_trie, op4_license_patience, op5_byte_convnet, op6_kneser_ney, op7_jpeg_media, op8_low_discrepancy_mix, op9_variable_best_fit, op10_line_bitmaps, op11_bbit_minhash, pipeline)}
 
 SQL = {
     "op10_line_bitmaps": r"""
@@ -90,5 +94,26 @@ WITH lines AS (
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op11_bbit_minhash": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT u AS doc_id, u AS low FROM links
+  UNION
+  SELECT l.v, r.low FROM reach r JOIN links l ON l.u = r.doc_id WHERE r.low < l.v
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(m.low, d.doc_id) AS component_id, d.doc_id = coalesce(m.low, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(low) AS low FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id
 """,
 }

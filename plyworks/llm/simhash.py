@@ -15,36 +15,23 @@ like any other but takes no part in "smallest" (a component without any id is nu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, if_small
 from .graph import components
+from .similar import LINK, MAX_BYTES, MAX_TEXTS, band_keys, set_column, shingle_hashes, verified_roots, with_roots
+from .similar import shingles as shingles
+from .similar import similarity as similarity
 
 BITS = 64
 NO_ID = -(2**63)
-_LINK = "u long, v long"
-
-
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """XXH64 (seed 42) of a text's shingles, repeats included; fewer words than `width` are one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII white space and A-Z only
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - width + 1)
-    spans = zip(starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist())
-    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, n)
 
 
 def bits_of(hashes: np.ndarray) -> int:
@@ -67,17 +54,6 @@ def fingerprint_column(text, width: int = 3):
     return prints(text)
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Distinct hashes of a text's shingles, sorted."""
-    return np.unique(shingle_hashes(text, width))
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets; two empty sets are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 class _Forest:
     """Labels of the rows of a slice; linked rows get the smallest label."""
 
@@ -221,7 +197,7 @@ def near_links(classes: DataFrame, *, budget: int = 2, led: bool = False, max_gr
         large = if_small(large)  # there is one such group per max_group rows at most
         small = keyed if done else keyed.join(large, group, "left_anti")
         order = [*group, F.col("value").bitwiseXOR(F.lit(-(2**63)))]  # as unsigned
-        part = small.repartition(*group).sortWithinPartitions(*order).select(*group, "diff", "value", "rep").mapInArrow(_follow(budget, 1 << 16), _LINK)
+        part = small.repartition(*group).sortWithinPartitions(*order).select(*group, "diff", "value", "rep").mapInArrow(_follow(budget, 1 << 16), LINK)
         found = part if found is None else found.unionByName(part)
         if led and not done:
             hubs = keyed.join(large, group).groupBy(*group).agg(F.min("rep").alias("v"))
@@ -251,150 +227,41 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return prints.join(merged, "bits").select("doc_id", F.col("bits").alias("fingerprint"), "component_id")
 
 
-@lru_cache
-def _salts(n: int) -> np.ndarray:
-    return np.random.default_rng(11).integers(0, 1 << 32, (2, n), np.uint32) | np.array([[0], [1]], np.uint32)
-
-
-def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band of `rows` min-hashes. Two texts of similarity s share one with chance s ** rows."""
-    flip, times = _salts(bands * rows)
-    low, least = hashes.astype(np.uint32), np.full(bands * rows, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 2048):
-        np.minimum(least, ((low[at : at + 2048, None] ^ flip) * times).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(bands, rows))], np.uint64).view(np.int64)
-
-
-def verified_links(sets: list[np.ndarray], label: np.ndarray, least: float, first: int = 8) -> list[tuple[int, int]]:
-    """Links that join all rows whose shingle sets have a Jaccard similarity of `least`; rows of equal label count as joined.
-
-    Some rows are compared with all others; the label that then has most rows is the main one. Of two rows that still
-    have to be joined one at least has another label, so comparing only the rows of other labels leaves nothing out."""
-    n, label = len(sets), label.copy()
-    size = np.array([len(s) for s in sets])
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    begin = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=1))])
-    holders = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")]
-    start = np.concatenate([[0], np.cumsum(size)])
-    main, out = None, []
-    first = first if len(np.unique(label)) == n else 0
-    for i in range(n):
-        if i == first:
-            names, rows = np.unique(label, return_counts=True)
-            main = names[rows.argmax()]
-        if i >= first and label[i] == main:
-            continue
-        own = code[start[i] : start[i + 1]]
-        a, many = begin[own], begin[own + 1] - begin[own]
-        both = np.bincount(holders[np.arange(many.sum()) + np.repeat(a - (np.cumsum(many) - many), many)], minlength=n)
-        union = size + size[i] - both
-        near = np.flatnonzero(np.where(union > 0, both / np.maximum(union, 1), 1.0) >= least)
-        before = label[i]
-        for other, at in zip(*np.unique(label[near], return_index=True)):
-            if other != before:
-                out.append((i, int(near[at])))
-                low, high = (main, other) if label[i] == main else (other, label[i])
-                label[label == high] = low
-    return out
-
-
-def _verify(least: float):
-    """Rows sorted by group (key, a, b) with tag, label and set: verified links inside each group."""
-
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
-        return [(rows[i][3], rows[j][3]) for i, j in verified_links(sets, np.array([r[4] for r in rows]), least)]
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:3] != row[:3]:
-                    found += links(held)
-                    held = []
-                held.append(row)
-            yield _pairs(found)
-        yield _pairs(links(held))
-
-    return stream
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-
-def _verified(rows: DataFrame, least: float) -> DataFrame:
-    """Verified links of rows (key, a, b, tag, label, set) inside each (key, a, b)."""
-    group = ["key", "a", "b"]
-    return rows.select(*group, "tag", "label", "set").repartition(*group).sortWithinPartitions(*group).mapInArrow(_verify(least), _LINK)
-
-
 def near_copies(
-    docs: DataFrame, *, width: int = 5, budget: int = 20, least: float = 0.8, bands: int = 20, rows: int = 6, max_texts: int = 2000,
+    docs: DataFrame, *, width: int = 5, budget: int = 20, least: float = 0.8, bands: int = 20, rows: int = 6, max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES,
     text: str = "text", doc_id: str = "doc_id", **options,
 ) -> DataFrame:
-    """doc_id, tag (XXH64 of the text) and kept, the smallest doc_id of the group: a row per id and text; null ids have none.
+    """doc_id, tag, tag2 (two hashes of the text) and kept, the smallest doc_id of the group: a row per id and text; null ids have none.
 
     Texts are linked if their shingles have a Jaccard similarity of `least`; groups are what links connect. Candidates come
     from tries led by bands of min-hashes: texts meet where a band agrees, and their fingerprints are followed down with
-    `budget` bits. What that connects is a set of candidates, in which links are checked on the shingles themselves: sets
-    of up to `max_texts` texts inside a task, all pairs counting. In larger ones all texts are compared with one leader,
-    and what this leaves apart is checked with all texts of its bands, in blocks of `max_texts`.
+    `budget` bits. What that connects is a set of candidates, in which links are checked on the shingles themselves
+    (`similar.verified_roots`), at most `max_texts` texts or `max_bytes` of shingles against each other in a task.
 
-    Null and empty texts have no shingles and are alike; very long texts count whole; equal texts are one, with or without
-    ids; an empty table gives an empty result; other columns are ignored."""
-    tag = F.xxhash64(text)
+    Null and empty texts have no shingles and are alike; very long texts count whole; equal texts (in both hashes) are one,
+    with or without ids; an empty table gives an empty result; other columns are ignored."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sketch(values: pd.Series) -> pd.Series:
         hashes = (shingle_hashes(t, width) for t in values)
         return pd.Series([np.append(np.int64(bits_of(h)), band_keys(h, bands, rows)) for h in hashes], dtype=object)
 
-    @F.pandas_udf(T.BinaryType())
-    def sets(values: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, width).tobytes() for t in values], dtype=object)
-
-    @F.pandas_udf(T.BooleanType())
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(a, b)], dtype=bool)
-
-    prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), tag.alias("tag"), sketch(F.col(text)).alias("sketch")))
-    classes = cut(prints.groupBy("tag").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")))
-    keyed = classes.select("tag", F.element_at("sketch", 1).alias("bits"), F.explode(F.slice("sketch", 2, bands)).alias("lead"))
-    found = components(near_links(keyed.select("lead", "bits", F.col("tag").alias("rep")), budget=budget, led=True, **options))
-    found = cut(found.select(F.col("node").alias("tag"), "root").unionByName(found.select(F.col("root").alias("tag"), "root").distinct()))
-    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.min("tag").alias("leader"))
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("least"), tag.alias("tag"), F.col(text).alias("text"))
-    wanted = found.join(sizes, "root").join(classes.select("tag", F.coalesce("least", F.lit(NO_ID)).alias("least")), "tag")
-    held = wanted.join(source, ["least", "tag"]).dropDuplicates(["tag"]).select("tag", "root", "texts", "leader", sets("text").alias("set"))
-    held = cut(held)
-    zero = F.lit(0).alias
-    links = _verified(held.filter(F.col("texts") <= max_texts).select(F.col("root").alias("key"), zero("a"), zero("b"), "tag", F.col("tag").alias("label"), "set"), least)
-    large = held.filter(F.col("texts") > max_texts)
-    if not large.isEmpty():
-        lead = large.filter("tag = leader").select("root", F.col("set").alias("with"))
-        judged = cut(large.join(lead, "root").select("tag", "root", "leader", "set", alike("set", "with").alias("joined")))
-        stars = judged.filter("joined and tag <> leader").select(F.col("tag").alias("u"), F.col("leader").alias("v"))
-        label = F.when(F.col("joined"), F.col("leader")).otherwise(F.col("tag"))
-        placed = judged.select("tag", label.alias("label")).join(keyed.select("tag", "lead"), "tag")
-        # Of two texts that still have to be joined one at least is not of the band's main label: only these meet all others.
-        labels = placed.groupBy("lead", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("lead")
-        labels = labels.agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).filter("n > main.n")
-        parts = lambda n: F.ceil(n / F.lit(max_texts)).cast("long")
-        placed = placed.join(labels.select("lead", F.col("main.label").alias("main"), parts(F.col("n")).alias("blocks"), parts(F.col("n") - F.col("main.n")).alias("others")), "lead")
-        place, upto = F.xxhash64("tag"), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-        pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-        among = F.transform(upto("others"), lambda a: pair(a, F.pmod(place, F.col("blocks"))))
-        asks = F.transform(upto("blocks"), lambda b: pair(F.pmod(place, F.col("others")), b))
-        placed = placed.withColumn("at", F.explode(F.when(F.col("label") == F.col("main"), among).otherwise(F.array_union(among, asks))))
-        placed = placed.select(F.col("lead").alias("key"), "at.a", "at.b", "tag", "label")
-        rest = _verified(placed.join(judged.select("tag", "set"), "tag"), least)
-        links = links.unionByName(stars).unionByName(rest)
-    roots = components(links)
-    rooted = classes.join(roots, classes["tag"] == roots["node"], "left").select("tag", "least", F.coalesce("root", "tag").alias("root"))
+    tags = ["tag", "tag2"]
+    prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), *text_tags(text), sketch(F.col(text)).alias("sketch")))
+    classes = prints.groupBy(*tags).agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # written, so that a text keeps its number
+    keyed = classes.select("node", F.element_at("sketch", 1).alias("bits"), F.explode(F.slice("sketch", 2, bands)).alias("lead"))
+    found = cut(with_roots(components(near_links(keyed.select("lead", "bits", F.col("node").alias("rep")), budget=budget, led=True, **options))))
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("least"), *text_tags(text), F.col(text).alias("text"))
+    wanted = found.join(classes.select("node", *tags, F.coalesce("least", F.lit(NO_ID)).alias("least")), "node")
+    held = cut(wanted.join(source, ["least", *tags]).dropDuplicates(["node"]).select("node", "root", set_column(F.col("text"), width).alias("set")))
+    roots = verified_roots(held, keyed.select("node", "lead"), least, max_texts=max_texts, max_bytes=max_bytes)
+    rooted = classes.join(roots, "node", "left").select(*tags, "least", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("kept"))
-    merged = rooted.join(smallest, "root").select("tag", "kept")
-    return prints.filter("doc_id is not null").select("doc_id", "tag").distinct().join(merged, "tag").select("doc_id", "tag", "kept")
+    merged = rooted.join(smallest, "root").select(*tags, "kept")
+    return prints.filter("doc_id is not null").select("doc_id", *tags).distinct().join(merged, tags).select("doc_id", *tags, "kept")
+
+
+def text_tags(text: str) -> list:
+    """Two hashes that tell texts apart; null is a text of its own."""
+    return [F.xxhash64(text).alias("tag"), F.xxhash64(F.lit(7), text).alias("tag2")]
