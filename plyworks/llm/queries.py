@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, linededup, media, minhash, mixing, packing, simhash, substring, toxicity
-from .common import held_out, table
+from . import ann, langid, licenses, linededup, media, minhash, mixing, packing, simhash, substring, toxicity, turntrie
+from .common import cut, held_out, table
 
 
 def op1_collision_ann(spark, sf_dir):
@@ -72,13 +72,20 @@ def op11_bbit_minhash(spark, sf_dir):
     return minhash.near_sets(table(spark, sf_dir, "documents"), width=2, least=0.8).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_prefix_trie(spark, sf_dir):
+    turns = turntrie.numbered_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    turns, members = turntrie.grafted(cut(turns), base=conv - conv % 5, head=F.crc32(conv.cast("string").cast("binary")) % 9, most_head=8)
+    return turntrie.prefix_trie(turns, members)
+
+
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_ann, op2_unit_dedup, op3_simhash_trie, op4_license_patience, op5_byte_convnet, op6_kneser_ney, op7_jpeg_media, op8_low_discrepancy_mix, op9_variable_best_fit, op10_line_bitmaps, op11_bbit_minhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_collision_ann, op2_unit_dedup, op3_simhash_trie, op4_license_patience, op5_byte_convnet, op6_kneser_ney, op7_jpeg_media, op8_low_discrepancy_mix, op9_variable_best_fit, op10_line_bitmaps, op11_bbit_minhash, op12_prefix_trie, pipeline)}
 
 SQL = {
     "op10_line_bitmaps": r"""
@@ -115,5 +122,39 @@ links AS (
 )
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(m.low, d.doc_id) AS component_id, d.doc_id = coalesce(m.low, d.doc_id) AS kept
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(low) AS low FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id
+""",
+    "op12_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM own)
+), rebuilt AS (
+  SELECT v.c, 0 AS part, o.pos, o.role, o.text FROM convs v JOIN own o ON o.c = v.base AND o.pos < v.h
+  UNION ALL SELECT v.c, 1, o.pos, o.role, o.text FROM convs v JOIN own o ON o.c = v.c AND o.pos >= v.h
+), numbered AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, strlen(text) AS b, strlen(role) || ':' || role || strlen(text) || ':' || text AS turn FROM rebuilt
+), prefixes AS (
+  SELECT c, d, b, md5(string_agg(turn, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS key FROM numbered
+  UNION ALL SELECT c, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT key, d, min(c) AS conv_id, count(*) AS n, min(b) AS b FROM prefixes GROUP BY key, d
+), ups AS (
+  SELECT n.*, p.key AS up FROM nodes n LEFT JOIN prefixes p ON p.c = n.conv_id AND p.d = n.d - 1
+), children AS (
+  SELECT up, count(*) AS n_children FROM ups GROUP BY up
+), under AS (
+  SELECT p.key AS top, p.d AS top_d, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves, sum((n.n - 1) * n.b) AS saved
+  FROM ups n JOIN prefixes p ON p.c = n.conv_id AND p.d <= n.d LEFT JOIN children k ON k.up = n.key GROUP BY p.key, p.d
+), ends AS (
+  SELECT p.key, p.d, string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) AS ids
+  FROM prefixes p JOIN (SELECT c, max(d) AS d FROM prefixes GROUP BY c) l ON l.c = p.c AND l.d = p.d GROUP BY p.key, p.d
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.n_children, 0) AS n_children,
+  t.n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM ups n LEFT JOIN nodes u ON u.key = n.up AND u.d = n.d - 1 LEFT JOIN children k ON k.up = n.key
+JOIN under t ON t.top = n.key AND t.top_d = n.d LEFT JOIN ends e ON e.key = n.key AND e.d = n.d
 """,
 }
