@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, linededup, media, minhash, mixing, packing, simhash, substring, toxicity, turntrie
+from . import ann, langid, lexical, licenses, linededup, media, minhash, mixing, packing, simhash, substring, toxicity, turntrie
 from .common import cut, held_out, table
 
 
@@ -79,13 +79,17 @@ def op12_prefix_trie(spark, sf_dir):
     return turntrie.prefix_trie(turns, members)
 
 
+def op13_bisected_search(spark, sf_dir):
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_ann, op2_unit_dedup, op3_simhash_trie, op4_license_patience, op5_byte_convnet, op6_kneser_ney, op7_jpeg_media, op8_low_discrepancy_mix, op9_variable_best_fit, op10_line_bitmaps, op11_bbit_minhash, op12_prefix_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_collision_ann, op2_unit_dedup, op3_simhash_trie, op4_license_patience, op5_byte_convnet, op6_kneser_ney, op7_jpeg_media, op8_low_discrepancy_mix, op9_variable_best_fit, op10_line_bitmaps, op11_bbit_minhash, op12_prefix_trie, op13_bisected_search, pipeline)}
 
 SQL = {
     "op10_line_bitmaps": r"""
@@ -156,5 +160,25 @@ SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n
   t.n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM ups n LEFT JOIN nodes u ON u.key = n.up AND u.d = n.d - 1 LEFT JOIN children k ON k.up = n.key
 JOIN under t ON t.top = n.key AND t.top_d = n.d LEFT JOIN ends e ON e.key = n.key AND e.d = n.d
+""",
+    "op13_bisected_search": r"""
+WITH terms AS (
+  SELECT doc_id, row_no, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS row_no FROM documents)
+), counts AS (SELECT row_no, doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM terms GROUP BY ALL),
+lengths AS (SELECT row_no, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY row_no),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS N_docs, CAST(sum(n) AS BIGINT) AS L FROM lengths),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weights AS (
+  SELECT c.term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(N_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM counts c, totals WHERE c.term IN (SELECT term FROM asked) GROUP BY c.term
+), scores AS (
+  SELECT a.item_id, c.row_no, c.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * N_docs) // L)))) AS BIGINT) AS score
+  FROM asked a JOIN weights USING (term) JOIN counts c USING (term) JOIN lengths USING (row_no), totals GROUP BY a.item_id, c.row_no, c.doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """,
 }
