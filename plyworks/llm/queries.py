@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import ann, langid, lexical, licenses, linededup, media, minhash, mixing, packing, simhash, substring, toxicity, turntrie
-from .common import cut, held_out, table
+from .common import held_out, table
 
 
 def op1_collision_ann(spark, sf_dir):
@@ -75,7 +75,7 @@ def op11_bbit_minhash(spark, sf_dir):
 def op12_prefix_trie(spark, sf_dir):
     turns = turntrie.numbered_turns(table(spark, sf_dir, "conversations"))
     conv = F.col("conv")
-    turns, members = turntrie.grafted(cut(turns), base=conv - conv % 5, head=F.crc32(conv.cast("string").cast("binary")) % 9, most_head=8)
+    turns, members = turntrie.grafted(turns, base=conv - conv % 5, head=F.crc32(conv.cast("string").cast("binary")) % 9)
     return turntrie.prefix_trie(turns, members)
 
 

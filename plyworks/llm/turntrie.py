@@ -25,10 +25,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordered import row_numbers
 from .common import cut, if_small, running_start
 
 NO_ENDS = hashlib.sha256(b"").hexdigest()
@@ -36,6 +36,42 @@ NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children
 COLUMNS = [c.split()[0] for c in NODE.split(", ")]
 
 
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted partition: its first and last conversation and how many rows each has."""
+    first, last, n_first, n_last = None, None, 0, 0
+    for batch in batches:
+        conv = np.asarray(batch.column(0))
+        if not len(conv):
+            continue
+        first = conv[0] if first is None else first
+        n_first += int((conv == first).sum())
+        n_last = int((conv == conv[-1]).sum()) + (n_last if last == conv[-1] else 0)
+        last = conv[-1]
+    if first is not None:
+        row = (TaskContext.get().partitionId(), int(first), n_first, int(last), n_last)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=["part", "first", "n_first", "last", "n_last"])
+
+
+def _positions(before: dict[int, int]):
+    """Sorted partitions with the place of each row in its conversation; before: rows of a partition's first conversation in earlier ones."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, had = None, before.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            conv = np.asarray(batch.column(0))
+            if not len(conv):
+                continue
+            starts = np.flatnonzero(np.append(True, conv[1:] != conv[:-1]))
+            many = np.diff(np.append(starts, len(conv)))
+            pos = np.arange(len(conv)) - np.repeat(starts, many)
+            if open_ is None or conv[0] == open_:
+                pos[: many[0]] += had
+            had, open_ = int(pos[-1]) + 1, conv[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pos), *batch.columns[1:]], names=["conv", "pos", "h1", "h2", "bytes"])
+
+    return stream
+
+
 def numbered_turns(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, pos, h1, h2, bytes): a row per turn, pos from 0; bytes are those of the text in UTF-8."""
     role_, text_ = (F.coalesce(F.col(c), F.lit("")) for c in (role, text))
@@ -43,28 +79,36 @@ def numbered_turns(conversations: DataFrame, *, conv_id: str = "conv_id", turn:
         F.col(conv_id).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), role_.alias("role"),
         F.xxhash64(role_, text_).alias("h1"), F.xxhash64(F.lit(7), role_, text_).alias("h2"), F.octet_length(text_).cast("long").alias("bytes"),
     )
-    numbered = row_numbers(rows, ["conv", F.col("turn").asc_nulls_first(), "role", "h1", "h2"])
-    first = numbered.groupBy("conv").agg(F.min("row").alias("first"))
-    return numbered.join(first, "conv").select("conv", (F.col("row") - F.col("first")).alias("pos"), "h1", "h2", "bytes")
-
-
-def grafted(turns: DataFrame, base, head, most_head: int) -> tuple[DataFrame, DataFrame]:
-    """Turns and members (conv, n) of conversations rebuilt from the first `head` turns of conversation `base` and their own turns after the first `head`.
-
-    base, head: columns of `conv`; head is at most `most_head`, and few conversations have one base."""
-    sizes = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
-    plan = sizes.select("conv", "n", base.cast("long").alias("base"), head.cast("long").alias("head"))
-    lent = sizes.select(F.col("conv").alias("base"), F.col("n").alias("n_base"))
-    plan = cut(plan.join(lent, "base", "left").withColumn("taken", F.least("head", F.coalesce("n_base", F.lit(0)))))
-    heads = turns.filter(F.col("pos") < most_head).withColumnRenamed("conv", "base").join(plan.select("conv", "base", "taken"), "base").filter("pos < taken")
-    own = turns.join(plan.select("conv", "head", "taken"), "conv").filter("pos >= head").withColumn("pos", F.col("taken") + F.col("pos") - F.col("head"))
-    columns = ["conv", "pos", "h1", "h2", "bytes"]
-    members = plan.select("conv", (F.col("taken") + F.greatest(F.col("n") - F.col("head"), F.lit(0))).alias("n"))
-    return cut(heads.select(*columns).unionByName(own.select(*columns))), members
-
-
-def members_of(turns: DataFrame) -> DataFrame:
-    return turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
+    order = ["conv", F.col("turn").asc_nulls_first(), "role", "h1", "h2"]
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "h1", "h2", "bytes"))
+    edges = ranged.select("conv").mapInArrow(_edges, "part long, first long, n_first long, last long, n_last long").collect()  # a row a partition
+    before, open_, had = {}, None, 0
+    for e in sorted(edges):
+        before[e.part] = had if e.first == open_ else 0
+        had = e.n_last + (before[e.part] if e.first == e.last else 0)
+        open_ = e.last
+    return ranged.mapInArrow(_positions(before), "conv long, pos long, h1 long, h2 long, bytes long")
+
+
+def with_sizes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns with the number n of their conversation's turns, and members (conv, n)."""
+    members = cut(turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n")))
+    return cut(turns.join(members, "conv")), members
+
+
+def grafted(turns: DataFrame, base, head) -> tuple[DataFrame, DataFrame]:
+    """Turns (with n) and members (conv, n) of conversations rebuilt from the first `head` turns of conversation `base` and their own turns after the first `head`.
+
+    base, head: columns of `conv`; few conversations have one base."""
+    sizes = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).select("conv", "n", base.cast("long").alias("base"), head.cast("long").alias("head"))
+    n_base = F.max(F.when(F.col("conv") == F.col("base"), F.col("n"))).over(Window.partitionBy("base"))
+    plan = sizes.withColumn("taken", F.least("head", F.coalesce(n_base, F.lit(0))))
+    plan = cut(plan.select("conv", "base", "head", "taken", (F.col("taken") + F.greatest(F.col("n") - F.col("head"), F.lit(0))).alias("n")))
+    use = lambda source, first, end, shift: F.struct(source.alias("source"), first.cast("long").alias("first"), end.cast("long").alias("end"), shift.cast("long").alias("shift"))
+    own = use(F.col("conv"), F.col("head"), F.lit(2**62), F.col("taken") - F.col("head"))
+    uses = plan.select("conv", "n", F.inline(F.array(use(F.col("base"), F.lit(0), F.col("taken"), F.lit(0)), own))).filter("end > first")
+    rows = turns.withColumnRenamed("conv", "source").join(uses, "source").filter("pos >= first and pos < end")
+    return cut(rows.select("conv", "n", (F.col("pos") + F.col("shift")).alias("pos"), "h1", "h2", "bytes")), plan.select("conv", "n")
 
 
 def _joined(ids) -> bytes:
@@ -205,77 +249,92 @@ def ends_hashes(endings: DataFrame) -> DataFrame:
 def prefix_trie(turns: DataFrame, members: DataFrame, *, class_rows: int = 512) -> DataFrame:
     """A row per distinct prefix of the conversations, with the columns of NODE.
 
-    turns: (conv, pos from 0, h1, h2, bytes), a written table; members: (conv, n), every conversation and its number of turns."""
-    members = cut(members)
-    root, total = members.agg(F.min("conv"), F.count(F.lit(1))).first()
+    turns: (conv, n, pos from 0, h1, h2, bytes), a written table; members: (conv, n), every conversation and its number of turns."""
+    root, total, n_turns = members.agg(F.min("conv"), F.count(F.lit(1)), F.sum("n")).first()
     spark = turns.sparkSession
     if not total:
         return spark.createDataFrame([], NODE)
-    large = members.select("conv", "n", F.lit(root).alias("cls"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(total).alias("size"))
-    rounds, small, single, endings = [], [], [], []
-    while True:
-        heads = large.groupBy("cls", "depth", "parent", "size").agg(F.count(F.lit(1)).alias("__n")).drop("__n")
-        rows = turns.join(large, "conv").filter("pos >= depth - 1")
-        least, most = (F.struct("h1", "h2") for _ in range(2))
-        shared = rows.groupBy("cls", "pos").agg(F.count(F.lit(1)).alias("n"), F.min(least).alias("a"), F.max(most).alias("b"), F.min("bytes").alias("bytes"))
-        shared = cut(shared.join(heads, "cls").withColumn("same", (F.col("n") == F.col("size")) & (F.col("a") == F.col("b"))).drop("a", "b", "n"))
-        upto = shared.groupBy("cls").agg(F.coalesce(F.min(F.when(~F.col("same"), F.col("pos"))), F.max("pos") + 1).alias("upto"))
-        tops = cut(heads.join(upto, "cls", "left").withColumn("upto", F.coalesce("upto", "depth")))  # a root whose members have no turns
-        known = if_small(tops.select("cls", "upto"))
-        chain = shared.join(known, "cls").filter("pos < upto").select("cls", "depth", "parent", "size", "pos", "bytes")
-        placed = large.select("conv", "n", "cls").join(known, "cls")
-        at = cut(turns.withColumnRenamed("pos", "upto").join(placed, ["conv", "upto"]))
-        endings.append(placed.filter("n = upto").select("cls", F.col("upto").alias("depth"), "conv"))
-        parts = at.groupBy("cls", "h1", "h2").agg(F.min("conv").alias("child"), F.count(F.lit(1)).alias("size"), F.sum(F.col("n") - F.col("upto")).alias("rows"), F.first("upto").alias("upto"))
-        kind = F.when(F.col("size") == 1, "single").when(F.col("rows") <= class_rows, "small").otherwise("large")
-        parts = cut(parts.withColumn("kind", kind))
-        moved = at.drop("upto").join(parts, ["cls", "h1", "h2"])
-        moved = cut(moved.select("conv", "n", F.col("child").alias("cls"), (F.col("upto") + 1).alias("depth"), F.col("cls").alias("parent"), "size", "kind"))
-        rounds.append((tops, chain, parts))
+    long = lambda x: F.lit(x).cast("long")
+    place = lambda c, d: F.struct(c.alias("cls"), d.alias("depth"))
+    tops_of_none = spark.createDataFrame([(root, 0, None, total, 0, [(root, 0)])] if not n_turns else [], "cls long, depth long, parent long, size long, upto long, path array<struct<cls:long,depth:long>>")
+    # `active`: the turns of all classes that are refined, from the last one that each class shares on; path: the classes above, and the class itself.
+    active = turns.select("*", long(root).alias("cls"), long(0).alias("depth"), long(None).alias("parent"), long(total).alias("size"), F.array(place(long(root), long(0))).alias("path"))
+    tops, chains, splits, small, single, endings = [tops_of_none], [], [], [], [], [members.filter("n = 0").select(long(root).alias("cls"), long(0).alias("depth"), "conv")]
+    while n_turns:
+        of_class = [F.first(c).alias(c) for c in ("depth", "parent", "size", "path")]
+        shared = active.groupBy("cls", "pos").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b"), F.min("bytes").alias("bytes"), *of_class)
+        shared = cut(shared.withColumn("same", (F.col("n") == F.col("size")) & (F.col("a") == F.col("b"))).drop("a", "b", "n"))
+        upto = F.coalesce(F.min(F.when(~F.col("same"), F.col("pos"))), F.max("pos") + 1)
+        found = cut(shared.groupBy("cls").agg(upto.alias("upto"), *of_class).select(*tops_of_none.columns))
+        known = if_small(found.select("cls", "upto"))
+        ahead = active.join(known, "cls")
+        at = ahead.filter("pos = upto")
+        parts = at.groupBy("cls", "h1", "h2").agg(F.min("conv").alias("child"), F.count(F.lit(1)).alias("members"), F.sum(F.col("n") - F.col("upto")).alias("rows"), F.first("upto").alias("upto"), F.first("path").alias("path"))
+        parts = cut(parts.withColumn("kind", F.when(F.col("members") == 1, "single").when(F.col("rows") <= class_rows, "small").otherwise("large")))
+        tops.append(found)
+        chains.append(shared.join(known, "cls").filter("pos < upto").select("cls", "depth", "parent", "size", "pos", "bytes"))
+        splits.append(parts.select("cls", "upto", "kind"))
+        endings.append(ahead.filter("n = upto and pos = n - 1").select("cls", F.col("upto").alias("depth"), "conv"))
+        below = F.col("upto") + 1
+        moved = at.select("conv", "cls", "h1", "h2").join(parts, ["cls", "h1", "h2"]).select(
+            "conv", F.col("child").alias("cls"), below.alias("depth"), F.col("cls").alias("parent"), F.col("members").alias("size"),
+            F.when(F.col("kind") == "large", F.concat("path", F.array(place(F.col("child"), below)))).alias("path"), "kind")
+        moved = cut(active.select("conv", "n", "pos", "h1", "h2", "bytes").join(moved, "conv").filter("pos >= depth - 1"))
         small.append(moved.filter("kind = 'small'"))
         single.append(moved.filter("kind = 'single'"))
-        large = moved.filter("kind = 'large'").drop("kind")
-        if large.isEmpty():
+        active = moved.filter("kind = 'large'").drop("kind")
+        if parts.filter("kind = 'large'").isEmpty():
             break
     union = lambda dfs: reduce(DataFrame.unionByName, dfs)
-    inside = turns.join(union(small), "conv").filter("pos >= depth - 1").select("cls", "depth", "parent", "conv", "n", "pos", "h1", "h2", "bytes")
-    inside = inside.repartition("cls").sortWithinPartitions("cls", "conv", "pos").mapInArrow(_refine(), f"{NODE}, top boolean")
-    inside = cut(inside)
-    alone = turns.join(union(single).select("conv", "n", "depth", "parent"), "conv").filter("pos >= depth - 1")
-    last, one = F.col("pos") + 1 == F.col("n"), F.lit(1).cast("long")
-    alone = alone.select(
-        F.col("conv").alias("conv_id"), (F.col("pos") + 1).alias("depth"), F.when(F.col("pos") == F.col("depth") - 1, F.col("parent")).otherwise(F.col("conv")).alias("parent_conv_id"),
-        one.alias("n_convs"), F.when(last, 0).otherwise(1).cast("long").alias("n_children"), one.alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"),
-        F.when(last, F.sha2(F.col("conv").cast("string"), 256)).otherwise(NO_ENDS).alias("ends_sha256"),
-    )
-    shas = cut(ends_hashes(cut(union(endings))))
-    below, out = None, [inside.select(*COLUMNS), alone]
-    for tops, chain, parts in reversed(rounds):
-        known = inside.filter("top").select(F.col("conv_id").alias("child"), "depth", "n_leaves", "saved_tokens")
-        known = known if below is None else known.unionByName(below)
-        sums = parts.withColumn("depth", F.col("upto") + 1).join(known, ["child", "depth"], "left").groupBy("cls").agg(
-            F.count(F.lit(1)).alias("n_children"), F.sum(F.coalesce("n_leaves", F.lit(1))).alias("n_leaves"), F.sum(F.coalesce("saved_tokens", F.lit(0))).alias("saved"))
-        gain = (F.col("size") - 1) * F.col("bytes")
-        gains = chain.groupBy("cls").agg(F.sum(gain).alias("gain"))
-        folded = tops.join(sums, "cls", "left").join(gains, "cls", "left")
-        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-        folded = cut(folded.select("cls", "depth", "size", "upto", zero("n_children").alias("n_children"), F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), (zero("saved") + zero("gain")).alias("saved_tokens")))
-        below = folded.select(F.col("cls").alias("child"), "depth", "n_leaves", "saved_tokens")
-        run = running_start(chain.withColumn("segment", F.floor(F.col("pos") / 4096)), "cls", "segment", ["pos"], gain, "before")
-        run = run.select("cls", (F.col("pos") + 1).alias("at"), "parent", F.col("depth").alias("first"), "before")
-        nodes = run.join(if_small(folded), "cls")
-        nodes = nodes.select("cls", "at", F.when(F.col("at") == F.col("first"), F.col("parent")).otherwise(F.col("cls")).alias("parent"), "size", "upto", "n_children", "n_leaves", (F.col("saved_tokens") - F.col("before")).alias("saved_tokens"))
-        top = folded.filter("depth = 0").select("cls", F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("parent"), "size", "upto", "n_children", "n_leaves", "saved_tokens")
-        nodes = nodes.unionByName(top).join(shas.withColumnRenamed("depth", "at"), ["cls", "at"], "left")
-        out.append(nodes.select(
-            F.col("cls").alias("conv_id"), F.col("at").alias("depth"), F.col("parent").alias("parent_conv_id"), F.col("size").alias("n_convs"),
-            F.when(F.col("at") == F.col("upto"), F.col("n_children")).otherwise(1).cast("long").alias("n_children"), "n_leaves", "saved_tokens",
-            F.coalesce("sha", F.lit(NO_ENDS)).alias("ends_sha256"),
-        ))
+    shas = ends_hashes(union(endings))
+    out = []
+    classes, inner = union(tops), spark.createDataFrame([], "cls long, upto long, leaves long, saved long")
+    kids, chain = spark.createDataFrame([], "cls long, upto long, n_children long, alone long"), spark.createDataFrame([], "cls long, depth long, parent long, size long, pos long, bytes long")
+    if n_turns:
+        inside = union(small).select("cls", "depth", "parent", "conv", "n", "pos", "h1", "h2", "bytes").repartition("cls").sortWithinPartitions("cls", "conv", "pos")
+        inside = cut(inside.mapInArrow(_refine(), f"{NODE}, top boolean"))
+        last, one = F.col("pos") + 1 == F.col("n"), long(1)
+        alone = union(single).select(
+            F.col("conv").alias("conv_id"), (F.col("pos") + 1).alias("depth"), F.when(F.col("pos") == F.col("depth") - 1, F.col("parent")).otherwise(F.col("conv")).alias("parent_conv_id"),
+            one.alias("n_convs"), F.when(last, 0).otherwise(1).cast("long").alias("n_children"), one.alias("n_leaves"), long(0).alias("saved_tokens"),
+            F.when(last, F.sha2(F.col("conv").cast("string"), 256)).otherwise(NO_ENDS).alias("ends_sha256"),
+        )
+        out += [inside.select(*COLUMNS), alone]
+        inner = inside.filter("top").groupBy(F.col("parent_conv_id").alias("cls"), (F.col("depth") - 1).alias("upto")).agg(F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
+        kids = union(splits).groupBy("cls", "upto").agg(F.count(F.lit(1)).alias("n_children"), F.sum((F.col("kind") == "single").cast("long")).alias("alone"))
+        chain = union(chains)
+    # Folding back: what a class has by itself is added to it and to every class on its path.
+    gain = (F.col("size") - 1) * F.col("bytes")
+    zero = lambda c: F.coalesce(c, long(0))
+    own = classes.join(kids, ["cls", "upto"], "left").join(inner, ["cls", "upto"], "left").join(chain.groupBy("cls", "depth").agg(F.sum(gain).alias("gain")), ["cls", "depth"], "left")
+    own = cut(own.select(
+        "cls", "depth", "parent", "size", "upto", "path", zero("n_children").alias("n_children"),
+        F.when(F.col("n_children").isNull(), long(1)).otherwise(zero("alone") + zero("leaves")).alias("leaves"), (zero("saved") + zero("gain")).alias("saved"),
+    ))
+    totals = own.select(F.explode("path").alias("at"), "leaves", "saved").groupBy("at").agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
+    folded = own.drop("path", "leaves", "saved").join(totals.select("at.*", "n_leaves", "saved_tokens"), ["cls", "depth"])
+    run = running_start(chain.select("*", place(F.col("cls"), F.col("depth")).alias("chain"), F.floor(F.col("pos") / 4096).alias("segment")), "chain", "segment", ["pos"], gain, "before")
+    folded = cut(folded)
+    nodes = run.select("cls", "depth", (F.col("pos") + 1).alias("at"), "before").join(if_small(folded), ["cls", "depth"])
+    nodes = nodes.withColumn("parent", F.when(F.col("at") == F.col("depth"), F.col("parent")).otherwise(F.col("cls")))
+    top = folded.filter("depth = 0").select("*", long(0).alias("at"), long(0).alias("before"))
+    nodes = nodes.unionByName(top).join(shas.withColumnRenamed("depth", "at"), ["cls", "at"], "left")
+    out.append(nodes.select(
+        F.col("cls").alias("conv_id"), F.col("at").alias("depth"), F.col("parent").alias("parent_conv_id"), F.col("size").alias("n_convs"),
+        F.when(F.col("at") == F.col("upto"), F.col("n_children")).otherwise(1).cast("long").alias("n_children"), "n_leaves", (F.col("saved_tokens") - F.col("before")).alias("saved_tokens"),
+        F.coalesce("sha", F.lit(NO_ENDS)).alias("ends_sha256"),
+    ))
     return union(out)
 
 
 def conversation_trie(conversations: DataFrame, *, class_rows: int = 512, **columns) -> DataFrame:
     """The prefix trie of conversations as they are."""
-    turns = cut(numbered_turns(conversations, **columns))
-    return prefix_trie(turns, members_of(turns), class_rows=class_rows)
+    return prefix_trie(*with_sizes(numbered_turns(conversations, **columns)), class_rows=class_rows)
+
+
+def node_turns(nodes: DataFrame, conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Nodes of `conversation_trie` with the role and text of their last turn (the root has none)."""
+    role_, text_ = (F.coalesce(F.col(c), F.lit("")) for c in (role, text))
+    said = conversations.select(F.col(conv_id).cast("long").alias("conv"), F.xxhash64(role_, text_).alias("h1"), F.xxhash64(F.lit(7), role_, text_).alias("h2"), role_.alias("role"), text_.alias("text")).dropDuplicates(["conv", "h1", "h2"])
+    turns = numbered_turns(conversations, conv_id=conv_id, turn=turn, role=role, text=text).join(said, ["conv", "h1", "h2"])
+    return nodes.join(turns.select(F.col("conv").alias("conv_id"), (F.col("pos") + 1).alias("depth"), "role", "text"), ["conv_id", "depth"], "left")
