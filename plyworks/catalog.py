@@ -14,6 +14,7 @@ from .functions import text as tx
 from .operators import aggregates as agg
 from .operators import filters, joins
 from .operators import sequences as seq
+from .operators.ordered import Scan, scan
 from .plans import evaluation as ev
 from .plans import serving
 
@@ -729,3 +730,137 @@ def q79_gap_report(spark, d):
     per = t.groupBy("user_id").agg(F.max("p").alias("gap"), F.transform(top, lambda x: F.struct(x["move"].alias("move"), x["p"].alias("p"))).alias("low_top"))
     empty = F.array().cast("array<struct<move:string,p:double>>")
     return reports.gap_report(per.select(F.col("user_id").cast("string").alias("fen"), F.lit(None).cast("array<string>").alias("history"), F.lit(1100).alias("low"), F.lit(1500).alias("high"), "gap", "low_top", empty.alias("high_top"), (F.col("user_id") % 2 == 0).alias("in_low"), F.lit(None).cast("boolean").alias("in_high")))
+
+
+@query("""with b as (select o_orderkey * 10 as lo, o_orderkey * 10 + 3 + o_custkey % 9 as hi, o_orderstatus || o_orderkey as name from orders), p as (select l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber * 2 - 4 as v from lineitem)
+select l_orderkey, l_linenumber, v, case when v < hi then name end as band from p asof left join b on p.v >= b.lo""")
+def q80_interval_join(spark, d):
+    """Points in a table of bands, one an order: no list of bands in the plan, no nested loop."""
+    bands = _t(spark, d, "orders").select((F.col("o_orderkey") * 10).alias("lo"), (F.col("o_orderkey") * 10 + 3 + F.col("o_custkey") % 9).alias("hi"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("band"))
+    points = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber") * 2 - 4).alias("v"))
+    return joins.in_intervals(points, "v", bands, "lo", "hi").select("l_orderkey", "l_linenumber", "v", "band")
+
+
+@query("""with b as (select o_orderkey * 10 as lo, o_orderkey * 10 + 3 + o_custkey % 5 as hi, o_orderkey as name from orders where o_orderkey % 3 = 0), p as (select l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber * 2 as v from lineitem),
+l as (select p.*, b.name as n1, case when v < hi then 0 else v - hi + 1 end as d1 from p asof left join b on p.v >= b.lo), h as (select l.*, b.name as n2, b.lo - v as d2 from l asof left join b on l.v < b.lo)
+select l_orderkey, l_linenumber, case when n2 is null or d1 <= d2 then n1 else n2 end as model, (case when n2 is null or d1 <= d2 then d1 else d2 end)::double as distance from h""")
+def q81_nearest_interval(spark, d):
+    o = _t(spark, d, "orders").filter("o_orderkey % 3 = 0")
+    registry = o.select((F.col("o_orderkey") * 10).alias("low"), (F.col("o_orderkey") * 10 + 3 + F.col("o_custkey") % 5).alias("high"), F.col("o_orderkey").alias("name"))
+    points = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber") * 2).alias("v"))
+    return serving.nearest_registered(points, registry, "v").select("l_orderkey", "l_linenumber", "model", "distance")
+
+
+#: Half of all events are one user's: the group that scans deal out by ranges.
+_HOT = "(select *, case when event_id % 2 = 0 then 0 else user_id end as u from events)"
+
+
+def _hot_events(spark, d):
+    return _t(spark, d, "events").withColumn("u", F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id")))
+
+
+@query(f"""select event_id, sum(floor(value)) over w as total, max(value) over w as maximum, lag(value) over (partition by u order by event_id) as before,
+coalesce(string_agg(event_type, ',') over (partition by u order by event_id rows between 4 preceding and current row), '') as h from {_HOT} window w as (partition by u order by event_id rows between unbounded preceding and current row)""")
+def q82_scan_hot_group(spark, d):
+    """Sums, maxima, the value before and the last five types of a group on half of all rows, no task over a range of it."""
+    value = F.col("value")
+    scans = Scan("total", "sum", F.floor("value").cast("double")), Scan("maximum", "max", value), Scan("before", "rows", value, 1, with_current=False), Scan("h", "rows", F.col("event_type"), 5)
+    found = scan(_hot_events(spark, d), ["u"], ["event_id"], *scans, max_group=1000)
+    return found.select("event_id", "total", "maximum", F.get("before", 0).alias("before"), F.array_join("h", ",").alias("h"))
+
+
+@query(f"""select u, event_id, last_value(case when event_id % 3 = 0 then value end ignore nulls) over w as white_clock, last_value(case when event_id % 3 <> 0 then value end ignore nulls) over w as black_clock
+from {_HOT} window w as (partition by u order by event_id rows between unbounded preceding and current row)""")
+def q83_clocks_at(spark, d):
+    plies = _hot_events(spark, d).select("u", F.col("event_id").alias("ply"), F.when(F.col("event_id") % 3 == 0, "w").otherwise("b").alias("side"), F.col("value").alias("clk"))
+    return serving.clocks_at(plies, "u", max_group=1000).select("u", F.col("ply").alias("event_id"), "white_clock", "black_clock")
+
+
+def _race(seed: int, keys: str, weight: str) -> str:
+    return f"-ln(1 - ('0x' || substr(md5('{seed}:' || {keys}), 1, 13))::bigint / 4503599627370496.0) / {weight}"
+
+
+@query(f"select event_type, user_id from (select event_type, user_id, row_number() over (partition by event_type order by {_race(21, "event_type || ':' || user_id", 'n')}, user_id) as r from (select event_type, user_id, sum(floor(value)) as n from events group by 1, 2) where n > 0) where r = 1")
+def r05_weighted_draw(spark, d):
+    """One user a type, in proportion to the sum of values, drawn by an aggregate."""
+    per = _t(spark, d, "events").groupBy("event_type", "user_id").agg(F.sum(F.floor("value")).cast("double").alias("n"))
+    return seq.weighted_draw(per, "event_type", "user_id", "n", 21)
+
+
+@query(f"select event_type, user_id, r::int as place from (select event_type, user_id, row_number() over (partition by event_type order by {_race(22, "event_type || ':' || user_id", 'n')}, user_id) as r from (select event_type, user_id, count(*) as n from events group by 1, 2)) where r <= 20")
+def r06_weighted_draws(spark, d):
+    return seq.weighted_draws(agg.count_by(_t(spark, d, "events"), "event_type", "user_id"), "event_type", "user_id", "cnt", 20, 22)
+
+
+@query("""with u as (select event_id, ('0x' || substr(md5('31:' || event_id), 1, 13))::bigint / 4503599627370496.0 as u from events)
+select event_id, 10 + u * (30 - 10) as inside, 60 - 12.5 * ln(1 - u) as beyond from u""")
+def q84_bucket_times(spark, d):
+    """A time inside a bucket, and one beyond the last bound."""
+    u = num.seeded_unit(31, F.col("event_id"))
+    return _t(spark, d, "events").select("event_id", num.uniform_between(u, F.lit(10.0), F.lit(30.0)).alias("inside"), num.exponential_tail(u, F.lit(60.0), 12.5).alias("beyond"))
+
+
+_ASKED = "select event_id, user_id, event_type, event_type || (user_id % 7)::varchar as m, 'p' || (event_id % 11)::varchar || ' w - - 0 ' || (event_id % 3)::varchar as fen from events"
+
+
+@query(f"""with r as ({_ASKED}), x as (select *, '[["' || event_type || '","' || m || '"],"' || fen || '"]' as by_history, regexp_replace(fen, ' [0-9]+ [0-9]+$', '') as by_position from r),
+a as (select by_history as key, count(*) as n from x where event_id % 5 = 0 group by 1), b as (select by_position as key, count(*) as n from x where event_id % 11 < 4 and event_id % 2 = 0 group by 1), c as (select fen as key, count(*) as n from x where event_id % 11 < 7 and event_id % 3 = 1 group by 1)
+select event_id, coalesce(a.n, b.n, c.n)::bigint as total, case when a.n is not null then 'history' when b.n is not null then 'position' when c.n is not null then 'full position' else 'not found' end as strategy
+from x left join a on x.by_history = a.key left join b on x.by_position = b.key left join c on x.fen = c.key""")
+def q85_served_moves(spark, d):
+    """Requests of a history and a position, looked up in four tables in one join."""
+    e = _t(spark, d, "events")
+    m = F.concat("event_type", (F.col("user_id") % 7).cast("string"))
+    fen = F.concat(F.lit("p"), (F.col("event_id") % 11).cast("string"), F.lit(" w - - 0 "), (F.col("event_id") % 3).cast("string"))
+    asked = e.select("event_id", fen.alias("fen"), F.array("event_type", m).alias("history"))
+    counts = lambda rows, key: rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).select("key", F.create_map(F.lit("e2e4"), "n").alias("moves"))
+    by_history = counts(asked.filter("event_id % 5 = 0"), F.concat(F.lit("["), F.to_json("history"), F.lit(',"'), F.col("fen"), F.lit('"]')))
+    by_position = counts(asked.filter("event_id % 11 < 4 and event_id % 2 = 0"), tx.strip_counters(F.col("fen")))
+    by_fen = counts(asked.filter("event_id % 11 < 7 and event_id % 3 = 1"), F.col("fen"))
+    found = serving.lookup_moves(asked, by_history, by_position, by_fen, by_fen.filter("false"))
+    return found.select("event_id", F.element_at("moves", "e2e4").alias("total"), "strategy")
+
+
+def _event_files(spark, d, **options) -> str:
+    """Events as JSON records in eight files of the shared folder, in the order of their ids; the file names' pattern."""
+    import uuid
+
+    from .operators.ordered import shared_folder
+    from .sources import record_files, records
+
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}/events@.{'bag' if options.pop('plain', False) else 'bagz'}"
+    record_files.write_files(records.json_records(_t(spark, d, "events").select("event_id", "user_id", "event_type")), path, order=["event_id"], shards=8, **options)
+    return path.replace("@", "@8")
+
+
+@query("select global_idx, event_id, user_id, event_type from (select *, row_number() over (order by event_id) - 1 as global_idx, count(*) over () as n from events) where global_idx >= n // 3 and global_idx < n // 2")
+def q86_record_range(spark, d):
+    """A range of the records of eight files, read by their offsets."""
+    from .sources import record_files, records
+
+    n = _t(spark, d, "events").count()
+    rows = record_files.read_files(spark, _event_files(spark, d), rows_per_task=2000).filter(F.col("global_idx").between(n // 3, n // 2 - 1))
+    return records.parsed_records(rows.select("global_idx", "record"), "event_id long, user_id long, event_type string")
+
+
+@query("select wanted, event_id, event_type from (select *, row_number() over (order by event_id) - 1 as global_idx from events) e join (select distinct user_id * 37 as wanted from events) on wanted = global_idx")
+def q87_record_look_up(spark, d):
+    """Many records by their index over all files: an interval join with the files' index, then reads of what is asked for."""
+    from .sources import record_files, records
+
+    path = _event_files(spark, d, plain=True, limits="separate")
+    wanted = _t(spark, d, "events").select((F.col("user_id") * 37).alias("wanted")).distinct()
+    rows = record_files.look_up(wanted, record_files.file_index(spark, path, limits="separate"), column="wanted", limits="separate")
+    return records.parsed_records(rows.select("wanted", "record"), "event_id long, event_type string")
+
+
+@query("select source, count(*) as n, sum(event_id)::bigint as ids, min(global_idx) as first from (select event_id, row_number() over (order by event_id) - 1 as global_idx, case when row_number() over (order by event_id) >= 0 then 'all' end as source from events) group by 1")
+def q88_merged_records(spark, d):
+    """Eight files joined to three without decoding, and read again."""
+    from .sources import record_files, records
+
+    path = _event_files(spark, d)
+    merged = path.replace("events@8", "merged@3")
+    record_files.merge_files(spark, [path], merged)
+    rows = records.parsed_records(record_files.read_files(spark, merged).select("global_idx", "record"), "event_id long")
+    return rows.groupBy(F.lit("all").alias("source")).agg(F.count("event_id").alias("n"), F.sum("event_id").alias("ids"), F.min("global_idx").alias("first"))

@@ -87,7 +87,7 @@ def clock_percentiles(df: DataFrame, value: str, *keys: str, per_speed: float =
 
 def shares(df: DataFrame, key: str, out: str = "share") -> DataFrame:
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn(out, F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return counts.withColumn(out, F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def bucket_of(value: Column, bounds: list[float]) -> Column:
@@ -154,7 +154,7 @@ def leading_values(df: DataFrame, bucket: str, value: str, most: int = 20, cover
 def class_weights(df: DataFrame, key: str) -> DataFrame:
     """Inverse-frequency weights with mean 1."""
     w = shares(df, key, "p").withColumn("w", 1 / (F.col("p") + 1e-6))
-    return w.select(key, (F.col("w") / F.avg("w").over(Window.partitionBy(F.lit(1)))).alias("weight"))
+    return w.select(key, (F.col("w") / w.agg(F.avg("w")).scalar()).alias("weight"))
 
 
 def log_loss(p: Column, y: Column, clip: float = 1e-7) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import Scan, by_ranges, scan
+
 
 def without_common(df: DataFrame, common: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in `common`."""
@@ -19,17 +21,23 @@ def flag_common(df: DataFrame, common: DataFrame, key: str, flag: str) -> DataFr
 def cascade(df: DataFrame, steps: list[tuple[str, DataFrame, str, str]], out: str, strategy: str) -> DataFrame:
     """The first table that knows a row's key gives `out`, and its name `strategy`.
 
-    steps: (name, table, key column in df, value column); each table has the key under the name `key`, once.
+    steps: (name, table, key column in df, value column); each table has the key under the name `key`, once; values are of one type.
+    A row asks with all its keys at once, in one join with all tables, and keeps what the first of them knows; so rows are
+    dealt by their keys once, however many tables there are. Null values and null keys are not known.
     """
-    names = []
-    for n, (name, table, key, value) in enumerate(steps):
-        found = table.select(F.col("key").alias(f"__k{n}"), F.col(value).alias(f"__v{n}"))
-        df = df.join(found, F.col(key) == F.col(f"__k{n}"), "left")
-        names.append((n, name))
-    pick, why = F.coalesce(*[F.col(f"__v{n}") for n, _ in names]), F.lit("not found")
-    for n, name in reversed(names):
-        why = F.when(F.col(f"__v{n}").isNotNull(), name).otherwise(why)
-    return df.withColumn(out, pick).withColumn(strategy, why).drop(*[c for n, _ in names for c in (f"__k{n}", f"__v{n}")])
+    tables, keys = None, []
+    for n, (_, table, key, value) in enumerate(steps):
+        kind = table.schema["key"].dataType
+        known = table.filter(F.col("key").isNotNull() & F.col(value).isNotNull()).select(F.lit(n).alias("__step"), F.col("key").cast("string").alias("__key"), F.col(value).alias("__value"))
+        tables = known if tables is None else tables.unionByName(known)
+        keys.append(F.col(key).cast(kind).cast("string"))
+    numbered = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(c) for c in df.columns]).alias("__own"), F.array(*keys).alias("__keys"))
+    asked = numbered.select("__row", "__own", F.posexplode("__keys").alias("__step", "__key"))
+    found = asked.join(tables, ["__step", "__key"], "left")
+    hit = F.when(F.col("__value").isNotNull(), F.col("__step"))
+    first = found.groupBy("__row").agg(F.first("__own").alias("__own"), F.min(hit).alias("__hit"), F.min_by("__value", hit).alias(out))
+    why = F.coalesce(F.get(F.array(*[F.lit(name) for name, *_ in steps]), F.col("__hit")), F.lit("not found"))
+    return first.select("__own.*", F.col(out), why.alias(strategy))
 
 
 def in_band(df: DataFrame, value: str, bands: list[tuple[float, float, str]], out: str) -> DataFrame:
@@ -48,6 +56,56 @@ def nearest_band(df: DataFrame, value: str, bands: list[tuple[int, int, str]], o
     return df.withColumn(out, best["name"]).withColumn(distance, best["d"])
 
 
+def _beside(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, *, after: bool) -> DataFrame:
+    """`df` with __low, the band that begins last at or before the value, and with `after` __high, the one that begins first behind it.
+
+    Values and the beginnings of bands are put in one order, dealt by its ranges, and each value takes over the band that came last;
+    a range takes over the last band of earlier ranges, one row each. So neither a value that many rows have nor the bands meet in one task."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    band = F.struct(F.col(low).alias("low"), F.col(high).alias("high"), *[F.col(c) for c in bands.columns if c not in (low, high)])
+    row_type, band_type = df.select(row.alias("x")).schema["x"].dataType, bands.select(band.alias("x")).schema["x"].dataType
+    points = df.select(F.col(value).alias("__at"), F.lit(1).alias("__kind"), F.monotonically_increasing_id().alias("__salt"), row.alias("__row"), F.lit(None).cast(band_type).alias("__band"))
+    begins = bands.filter(F.col(low) < F.col(high)).select(F.col(low).alias("__at"), F.lit(0).alias("__kind"), F.lit(0).cast("long").alias("__salt"), F.lit(None).cast(row_type).alias("__row"), band.alias("__band"))
+    order = ["__at", "__kind", "__salt"]  # the salt lets rows of one value fall in several ranges
+    both = by_ranges(points.unionByName(begins), order)
+    edges = both.filter("__kind = 0").groupBy("__range").agg(F.min_by("__band", "__at").alias("__first"), F.max_by("__band", "__at").alias("__last"))
+    edges = both.select("__range").distinct().join(edges, "__range", "left")  # a row a range
+    ranges, inside = Window.orderBy("__range"), Window.partitionBy("__range").orderBy(*order)
+    behind, ahead = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    carried = edges.select("__range", F.last("__last", ignorenulls=True).over(ranges.rowsBetween(*behind)).alias("__before"), F.first("__first", ignorenulls=True).over(ranges.rowsBetween(*ahead)).alias("__after"))
+    known = both.withColumn("__low", F.last("__band", ignorenulls=True).over(inside.rowsBetween(*behind)))
+    known = known.withColumn("__high", F.first("__band", ignorenulls=True).over(inside.rowsBetween(*ahead))) if after else known
+    known = known.filter("__kind = 1").join(F.broadcast(carried), "__range")
+    beside = [F.coalesce("__low", "__before").alias("__low"), *[F.coalesce("__high", "__after").alias("__high")] * after]
+    return known.select("__row.*", *beside)
+
+
+def in_intervals(df: DataFrame, value: str, bands: DataFrame, low: str, high: str) -> DataFrame:
+    """`df` with the columns of the band [low, high) that holds the value; nulls outside all, and for a null value.
+
+    bands: any number of rows, which don't overlap (of those that do, the one that begins last before the value is asked)."""
+    known = _beside(df.filter(F.col(value).isNotNull()), value, bands, low, high, after=False)
+    held = F.col(value) < F.col("__low.high")
+    names = [c for c in bands.columns if c not in df.columns]
+    inside = known.select(*df.columns, *[F.when(held, F.col("__low")["low" if c == low else "high" if c == high else c]).alias(c) for c in names])
+    kinds = {f.name: f.dataType for f in bands.schema}
+    return inside.unionByName(df.filter(F.col(value).isNull()).select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in names]))
+
+
+def nearest_interval(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, name: str, out: str, distance: str) -> DataFrame:
+    """Adds `out`, the name of the nearest band, and its distance: 0 inside [low, high), low - v below, v - high + 1 above; ties go to the lower band.
+
+    Of bands that don't overlap only the two that begin last before and first behind a value can be nearest. Rows with a null value stay, with nulls."""
+    v, below, above = F.col(value).cast("double"), F.col("__low"), F.col("__high")
+    known = _beside(df.filter(F.col(value).isNotNull()), value, bands.select(low, high, name), low, high, after=True)
+    d_low = F.when(v < below["high"], F.lit(0.0)).otherwise(v - below["high"] + 1)
+    d_high = above["low"] - v
+    lower = below.isNotNull() & (above.isNull() | (d_low <= d_high))
+    found = known.withColumn(out, F.when(lower, below[name]).otherwise(above[name])).withColumn(distance, F.when(lower, d_low).otherwise(d_high).cast("double"))
+    kind = bands.schema[name].dataType
+    return found.drop("__low", "__high").unionByName(df.filter(F.col(value).isNull()).withColumn(out, F.lit(None).cast(kind)).withColumn(distance, F.lit(None).cast("double")))
+
+
 def key_difference(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Keys that are missing on a side or differ: key, left, right and `state`."""
     left, right = a.select(F.col(key).alias("key"), F.col(value).alias("left")), b.select(F.col(key).alias("key"), F.col(value).alias("right"))
@@ -56,12 +114,17 @@ def key_difference(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFram
     return both.withColumn("state", state).filter("state is not null").select("key", "left", "right", "state")
 
 
-def last_known_of_other(df: DataFrame, group: str, order: str, side: str, value: str, initial, out: str) -> DataFrame:
+def last_known_of_other(df: DataFrame, group: str, order: str, side: str, value: str, initial, out: str, **options) -> DataFrame:
     """The other side's last value before this row, or `initial`. side holds 'w' or 'b'."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    white = F.last(F.when(F.col(side) == "w", F.col(value)), ignorenulls=True).over(before)
-    black = F.last(F.when(F.col(side) == "b", F.col(value)), ignorenulls=True).over(before)
-    return df.withColumn(out, F.coalesce(F.when(F.col(side) == "w", black).otherwise(white), F.lit(initial)))
+    last = lambda name, s: Scan(name, "last", F.when(F.col(side) == s, F.col(value)), with_current=False)
+    found = scan(df, [group], [order], last("__white", "w"), last("__black", "b"), **options)
+    return found.withColumn(out, F.coalesce(F.when(F.col(side) == "w", F.col("__black")).otherwise(F.col("__white")), F.lit(initial))).drop("__white", "__black")
+
+
+def clocks_upto(df: DataFrame, group: str, order: str, side: str, clock: str, **options) -> DataFrame:
+    """Adds white_clock and black_clock, the last known clock of either side up to this row."""
+    last = lambda out, s: Scan(out, "last", F.when(F.col(side) == s, F.col(clock)))
+    return scan(df, [group], [order], last("white_clock", "w"), last("black_clock", "b"), **options)
 
 
 def set_sizes(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,16 +26,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _ranged(df: DataFrame, order: list) -> DataFrame:
+def by_ranges(df: DataFrame, order: list) -> DataFrame:
     """Rows dealt by ranges of `order`; __range rises with it. Ranges are drawn by sampling, so they are kept in a written table."""
     return written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
 
 
 def _running(ranged: DataFrame, order: list, value: Column, out: str, kind: str) -> DataFrame:
-    totals = ranged.groupBy("__range").agg(F.sum(value).cast(kind).alias("part"))
-    ranges = F.collect_list(F.struct("__range", "part"))  # one entry a partition
-    before = lambda r: F.aggregate(F.filter("ranges", lambda x: x["__range"] < r["__range"]), F.lit(0).cast(kind), lambda s, x: s + x["part"])
-    starts = totals.agg(ranges.alias("ranges")).select(F.inline(F.transform("ranges", lambda r: F.struct(r["__range"].alias("__range"), before(r).alias("__before")))))
+    totals = ranged.groupBy("__range").agg(F.sum(value).cast(kind).alias("part"))  # a row a partition
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__range", F.coalesce(F.sum("part").over(before), F.lit(0)).cast(kind).alias("__before"))
     inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = F.coalesce(F.sum(value).over(inside), F.lit(0)).cast(kind)
     return ranged.join(F.broadcast(starts), "__range").withColumn(out, F.col("__before") + summed).drop("__range", "__before")
@@ -42,7 +42,7 @@ def _running(ranged: DataFrame, order: list, value: Column, out: str, kind: str)
 
 def running_total(df: DataFrame, order: list, value: Column, out: str, kind: str = "long") -> DataFrame:
     """Adds `out`, the sum of `value` over all rows before this one in `order`, which should be a total order."""
-    return _running(_ranged(df, order), order, value, out, kind)
+    return _running(by_ranges(df, order), order, value, out, kind)
 
 
 def row_numbers(df: DataFrame, order: list, out: str = "row") -> DataFrame:
@@ -52,7 +52,7 @@ def row_numbers(df: DataFrame, order: list, out: str = "row") -> DataFrame:
 
 def tiles(df: DataFrame, order: list, n: int, out: str) -> DataFrame:
     """Adds `out`, from 1 to n: n runs of rows in `order`, as equal as can be, the longer ones first."""
-    ranged = _ranged(df, order)
+    ranged = by_ranges(df, order)
     size, longer = divmod(ranged.count(), n)
     row = F.col(out)
     upto = longer * (size + 1)
@@ -84,3 +84,83 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], *keys: str,
         out.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(name))
     found = both.groupBy(*names).agg(*aggs)
     return found.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], *out)
+
+
+#: Rows of a group that one task may order; larger groups are scanned by ranges.
+MAX_GROUP = 1_000_000
+
+
+@dataclass
+class Scan:
+    """A value over the rows of a group up to a row: `sum`, `max`, `last` (that is not null) or `rows` (of the last n rows, those not null, oldest first)."""
+
+    out: str
+    kind: str
+    value: Column
+    n: int = 0
+    with_current: bool = True
+
+    def over(self, window: Window, with_current: bool) -> Column:
+        end = 0 if with_current else -1
+        upto = window.rowsBetween(Window.unboundedPreceding, end)
+        if self.kind == "sum":
+            return F.sum(self.value).over(upto)
+        if self.kind == "max":
+            return F.max(self.value).over(upto)
+        if self.kind == "last":
+            return F.last(self.value, ignorenulls=True).over(upto)
+        return F.collect_list(F.struct(self.value.alias("v"))).over(window.rowsBetween(end - self.n + 1, end))
+
+    def over_ranges(self, part: Column, window: Window) -> Column:
+        """What ranges up to one make together."""
+        if self.kind == "rows":
+            return self.clipped(F.flatten(F.collect_list(part).over(window)))
+        return {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[self.kind](part).over(window)
+
+    def clipped(self, rows: Column) -> Column:
+        return F.when(F.size(rows) > self.n, F.slice(rows, -self.n, self.n)).otherwise(rows)
+
+    def joined(self, before: Column, own: Column) -> Column:
+        if self.kind == "sum":
+            return F.coalesce(before + own, before, own)
+        if self.kind == "max":
+            return F.greatest(before, own)
+        if self.kind == "last":
+            return F.coalesce(own, before)
+        return F.when(before.isNull(), own).otherwise(self.clipped(F.concat(before, own)))
+
+    def shown(self, found: Column) -> Column:
+        return F.transform(F.filter(found, lambda r: r["v"].isNotNull()), lambda r: r["v"]) if self.kind == "rows" else found
+
+
+def scan(df: DataFrame, group: list[str], order: list, *scans: Scan, max_group: int = MAX_GROUP) -> DataFrame:
+    """Adds what `scans` ask for, over the rows of each group in `order`, which should be a total order inside it.
+
+    Groups are counted first. If none has over `max_group` rows, that is a window by group. Else rows are dealt by ranges of
+    (group, order), each range is scanned by itself, and the first group of a range takes over what earlier ranges have of it:
+    one row a range. So a group that holds a third of all rows is scanned by as many tasks as it has ranges.
+    """
+    if not group:
+        raise ValueError("a scan over all rows is not one by groups; see running_total")
+    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= max_group:
+        window = Window.partitionBy(*group).orderBy(*order)
+        for s in scans:
+            df = df.withColumn(s.out, s.shown(s.over(window, s.with_current)))
+        return df
+    columns = df.columns
+    inside, whole = Window.partitionBy("__range", *group).orderBy(*order), Window.partitionBy("__range").orderBy(*group, *order)
+    local = by_ranges(df, [*group, *order]).withColumn("__first", F.row_number().over(whole) == 1).withColumn("__last", F.lead(F.lit(1)).over(whole).isNull())
+    for k, s in enumerate(scans):
+        local = local.withColumn(f"__own{k}", s.over(inside, s.with_current)).withColumn(f"__part{k}", s.over(inside, True))
+    local = written(local)
+    parts, keys = range(len(scans)), [F.col(g) for g in group]
+    ends = local.filter("__last").select("__range", F.struct(*keys).alias("__end"), *[f"__part{k}" for k in parts])  # a row a range, as all that follows
+    upto = Window.partitionBy("__end").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select("__range", "__end", *[s.over_ranges(F.col(f"__part{k}"), upto).alias(f"__upto{k}") for k, s in enumerate(scans)])
+    ranges = ends.join(local.filter("__first").select("__range", F.struct(*keys).alias("__begin")), "__range")
+    earlier = Window.orderBy("__range")
+    known = ranges.select("__range", "__begin", F.lag("__end").over(earlier).alias("__end"), *[F.lag(f"__upto{k}").over(earlier).alias(f"__before{k}") for k in parts])
+    known = known.filter(F.col("__begin").eqNullSafe(F.col("__end"))).drop("__end")
+    both = local.join(F.broadcast(known.withColumnRenamed("__range", "__at")), (F.col("__range") == F.col("__at")) & F.struct(*keys).eqNullSafe(F.col("__begin")), "left")
+    return both.select(*columns, *[s.shown(s.joined(F.col(f"__before{k}"), F.col(f"__own{k}"))).alias(s.out) for k, s in enumerate(scans)])

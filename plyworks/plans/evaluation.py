@@ -114,9 +114,9 @@ def loss_windows(df: DataFrame, step: str, loss: str, size: int) -> DataFrame:
     return df.groupBy(window.alias("window")).agg(F.avg(loss).alias("loss"), F.count(F.lit(1)).alias("steps"))
 
 
-def rolling_mean(df: DataFrame, run: str, step: str, value: str, n: int, out: str) -> DataFrame:
+def rolling_mean(df: DataFrame, run: str, step: str, value: str, n: int, out: str, **options) -> DataFrame:
     """Mean of the last n values of a run, this one included."""
-    return df.withColumn(out, F.avg(value).over(Window.partitionBy(run).orderBy(step).rowsBetween(-(n - 1), 0)))
+    return seq.rolling_mean(df, run, [step], value, n, out, **options)
 
 
 def move_quality(df: DataFrame, *keys: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from ..functions.registry import game_outcome
 from ..operators import aggregates as agg
 from ..operators import filters, joins
 from ..operators import sequences as seq
+from ..operators.ordered import Scan, scan
 
 _PLY = T.StructType([T.StructField("ply", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("side", "san", "uci", "fen_before", "fen_after", "comment")]])
 
@@ -63,8 +64,7 @@ def clock_records(p: DataFrame) -> DataFrame:
     p = seq.history(p, "game_id", "ply", "uci", 12, "recent_moves", with_current=True)
     p = joins.last_known_of_other(p.withColumn("known", F.col("clk")), "game_id", "ply", "side", "known", None, "opponent_clock")
     p = p.filter("clk is not null").withColumn("opponent_clock", F.coalesce("opponent_clock", "initial_time"))
-    before = F.lag("clk").over(Window.partitionBy("game_id", "side").orderBy("ply"))
-    p = p.withColumn("before", before)
+    p = scan(p, ["game_id", "side"], ["ply"], Scan("before", "last", F.col("clk"), with_current=False))  # rows without a clock are gone
     p = seq.drop_groups_with(p, "game_id", seq.clock_jump(F.col("clk"), F.col("before"), F.col("increment")))
     own = F.coalesce("before", "initial_time")
     rating = F.when(F.col("side") == "w", F.col("white_elo")).otherwise(F.col("black_elo"))
@@ -77,9 +77,8 @@ def winner_records(p: DataFrame, *, low: int = 0, high: int = 10_000, with_draws
     p = filters.average_in_band(p, "white_elo", "black_elo", low, high)
     p = p if with_draws else p.filter("winner <> 0")
     p = seq.history(p, "game_id", "ply", "uci", 12, "recent_moves", with_current=True)
-    upto = Window.partitionBy("game_id").orderBy("ply").rowsBetween(Window.unboundedPreceding, 0)
-    side = lambda s: F.coalesce(F.last(F.when(F.col("side") == s, F.col("clk")), ignorenulls=True).over(upto), F.col("initial_time"))
-    p = p.withColumn("white_clock", side("w")).withColumn("black_clock", side("b")).filter("clk is not null")
+    p = joins.clocks_upto(p, "game_id", "ply", "side", "clk").filter("clk is not null")
+    p = p.withColumn("white_clock", F.coalesce("white_clock", "initial_time")).withColumn("black_clock", F.coalesce("black_clock", "initial_time"))
     return p.select("game_id", "ply", F.col("fen_after").alias("fen"), "recent_moves", "winner", "white_elo", "black_elo", "white_clock", "black_clock", "increment")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as num
@@ -98,6 +98,17 @@ def nearest_model(requests: DataFrame, bands: list[tuple[int, int, str]], rating
     return joins.nearest_band(requests, rating, bands, "model", "distance")
 
 
+def nearest_registered(requests: DataFrame, registry: DataFrame, rating: str = "rating") -> DataFrame:
+    """As `nearest_model`, for a table of bands (low, high, name) of any size."""
+    return joins.nearest_interval(requests, rating, registry, "low", "high", "name", "model", "distance")
+
+
+def registry_table(names: DataFrame, name: str = "name") -> DataFrame:
+    """(low, high, name) of a table of folder names such as `1200_1400`; other names are passed over."""
+    bounds = F.regexp_extract(name, r"^(\d+)_(\d+)$", 1), F.regexp_extract(name, r"^(\d+)_(\d+)$", 2)
+    return names.filter(F.col(name).rlike(r"^\d+_\d+$")).select(bounds[0].cast("long").alias("low"), bounds[1].cast("long").alias("high"), F.col(name).alias("name"))
+
+
 def registry_bands(names: list[str]) -> list[tuple[int, int, str]]:
     """(low, high, name) of folder names such as `1200_1400`; other names are passed over."""
     parts = [(n, n.split("_")) for n in names]
@@ -118,8 +129,6 @@ def history_page(history: DataFrame, user: str, offset: int, limit: int, *, user
     return seq.page(own, [F.desc(played_at), F.desc("game_no")], offset, limit), own.agg(F.count(F.lit(1)).alias("total_count"))
 
 
-def clocks_at(moves: DataFrame, game_id: str = "game_id") -> DataFrame:
+def clocks_at(moves: DataFrame, game_id: str = "game_id", **options) -> DataFrame:
     """Both clocks after each move of a review: the last known of either side."""
-    upto = Window.partitionBy(game_id).orderBy("ply").rowsBetween(Window.unboundedPreceding, 0)
-    side = lambda s: F.last(F.when(F.col("side") == s, F.col("clk")), ignorenulls=True).over(upto)
-    return moves.withColumn("white_clock", side("w")).withColumn("black_clock", side("b"))
+    return joins.clocks_upto(moves, game_id, "ply", "side", "clk", **options)
