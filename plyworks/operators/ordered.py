@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +27,43 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read from there, so that it is the same for all that use it, and a lost executor costs one stage."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    file = kept._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remember(file.get())
+    return kept
+
+
+#: Paths of tables that are not the result of anything, by scope; the first scope ends with the process.
+_SCOPES: list[list[str]] = [[]]
+
+
+def remember(path: str) -> None:
+    """Has a table removed when the scope ends in which it was written."""
+    _SCOPES[-1].append(path)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go when it is left; write what you need of them before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        _remove(spark, _SCOPES.pop())
+
+
+@atexit.register
+def _last_scope() -> None:
+    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context is not None else None
+    if spark is not None:
+        _remove(spark, _SCOPES[0])
 
 
 def by_ranges(df: DataFrame, order: list) -> DataFrame:
