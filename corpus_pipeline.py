@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyworks.llm import linededup, mixing, packing, simhash, toxicity
-from plyworks.llm.common import shared_folder, table
+from plyworks.llm.common import remember, scope, shared_folder, table, text_tags
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies: words a shingle, and the similarity that the shingles must have.
@@ -41,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     all stay."""
     groups = simhash.near_copies(docs, width=NEAR_WIDTH, least=NEAR_SIMILARITY)
     gone = groups.filter("doc_id <> kept").select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), F.col("tag2").alias("__tag2")).distinct()
-    tag, tag2 = simhash.text_tags("text")
+    tag, tag2 = text_tags("text")
     return docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (tag == F.col("__tag")) & (tag2 == F.col("__tag2")), "left_anti").select(*COLUMNS)
 
 
@@ -52,8 +52,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins of the training sequences: a row per piece of a document. A text without words is a piece of size 0 outside all bins."""
-    return packing.pack_documents(docs)
+    """The bins of the training sequences with their texts: a row per piece of a document, with lang and source. A text without words is a piece of size 0 outside all bins.
+
+    Rows that repeat an id are told apart by two hashes of their texts, tag and tag2, and equal ones by their copy; the pieces of a copy, joined in order, are its text."""
+    return packing.packed_texts(docs, keep=("lang", "source"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("simhash near-dedup", drop_near_copies), ("mixing sources", mix_sources), ("best-fit packing", pack_bins)]
@@ -63,14 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`. Each stage's table lies in the shared folder; it is removed once the next one is written."""
-    docs, last = table(spark, sf_dir, "documents"), None
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for n, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
-        docs = spark.read.parquet(f"{folder}/{n}")
-        if last is not None:
-            done = spark._jvm.org.apache.hadoop.fs.Path(last)
-            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
-        last = f"{folder}/{n}"
+    """All stages over `documents`. Each stage's table lies in the shared folder and goes once the next one is written; the last one is the result and stays."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    with scope(spark):
+        for n, (_, stage) in enumerate(STAGES):
+            with scope(spark):  # tables of the stage's own
+                stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+            docs = spark.read.parquet(f"{folder}/{n}")
+            if n < len(STAGES) - 1:
+                remember(f"{folder}/{n}")
     return docs

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import remember as remember
+from ..operators.ordered import scope as scope
 from ..operators.ordered import shared_folder as shared_folder
 from ..operators.ordered import written as cut
 
@@ -42,10 +44,16 @@ def may_learn(doc_id: Column) -> Column:
 def stored(df: DataFrame) -> DataFrame:
     """As `cut`, in columns and compressed: for tables that are large and read in parts."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    remember(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def text_tags(text: str) -> list[Column]:
+    """Two hashes that tell texts apart; null is a text of its own."""
+    return [F.xxhash64(text).alias("tag"), F.xxhash64(F.lit(7), text).alias("tag2")]
+
+
 def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """`df` marked to be broadcast if it is counted to have that many rows at most, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

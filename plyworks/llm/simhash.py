@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, if_small
+from .common import cut, if_small, text_tags
 from .graph import components
 from .similar import LINK, MAX_BYTES, MAX_TEXTS, band_keys, set_column, shingle_hashes, verified_roots, with_roots
 from .similar import shingles as shingles
@@ -260,8 +260,3 @@ def near_copies(
     smallest = rooted.groupBy("root").agg(F.min("least").alias("kept"))
     merged = rooted.join(smallest, "root").select(*tags, "kept")
     return prints.filter("doc_id is not null").select("doc_id", *tags).distinct().join(merged, tags).select("doc_id", *tags, "kept")
-
-
-def text_tags(text: str) -> list:
-    """Two hashes that tell texts apart; null is a text of its own."""
-    return [F.xxhash64(text).alias("tag"), F.xxhash64(F.lit(7), text).alias("tag2")]

@@ -775,7 +775,45 @@ def test_pipeline_stages(spark, tmp_path):
         got[r.source] += len((r.text or "").split())
     assert all(abs(got[s] - t) <= 0.1 * t + 200 for s, t in plain_targets(had).items())
     assert sum(r["size"] for r in seen["best-fit packing"].collect()) == sum(got.values())
-    assert c.run(spark, str(tmp_path)).count() == seen["best-fit packing"].count()
+    texts = Counter((r.doc_id, r.text) for r in seen["mixing sources"].collect())
+    assert rebuilt(seen["best-fit packing"]) == texts and set(texts) <= lines
+    before = set(shared_files(spark))
+    done = c.run(spark, str(tmp_path))
+    left = {f.rsplit("/", 1)[0] for f in set(shared_files(spark)) - before}
+    assert rebuilt(done) == texts and len(left) == 1 and left.pop().endswith("/4")  # the result, and no other table
+
+
+def shared_files(spark):
+    import glob
+
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return [f for f in glob.glob(f"{top}/**/*", recursive=True) if "/part-" in f or "/rdd-" in f]
+
+
+def rebuilt(packed):
+    """(id, text) of all copies, from their pieces; every bin's pieces follow each other and fit."""
+    parts, bins = defaultdict(dict), defaultdict(list)
+    for r in packed.collect():
+        parts[r.doc_id, r.tag, r.tag2, r["copy"]][r.piece] = r.text
+        assert len((r.text or "").split()) == r["size"]
+        if r.bin >= 0:
+            bins[r.shard, r.bin].append((r.offset, r["size"], r.bin_size, r.bin_used))
+    for held in bins.values():
+        upto = 0
+        for offset, size, capacity, used in sorted(held):
+            assert offset == upto and used <= capacity
+            upto += size
+        assert upto == held[0][3]
+    return Counter((k[0], None if p[0] is None else "".join(p[i] for i in range(len(p)))) for k, p in parts.items())
+
+
+def test_packed_texts_are_rebuilt(spark, empty):
+    """Texts over the largest bin, an id with several texts, copies, null and empty texts, no id."""
+    long = "  " + " \n".join(f"w{k}" for k in range(95)) + "\t"
+    rows = [(1, long), (1, long), (1, "other text"), (2, long.upper()), (None, "a b"), (None, "c d"), (3, None), (4, ""), (5, " \n"), (6, "x " * 30), (7, "y " * 31)]
+    got = packing.packed_texts(docs_of(spark, [(d, t, "en", "s") for d, t in rows]), capacities=(10, 30), keep=("lang", "rank"))
+    assert rebuilt(got) == Counter(rows) and {r["rank"] for r in got.collect()} == {"r"}
+    assert packing.packed_texts(empty).collect() == []
 
 
 def test_near_copies_of_an_id_with_several_texts(spark):
