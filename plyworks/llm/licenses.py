@@ -167,7 +167,21 @@ class Template:
         return out
 
     def window(self, words: list[str], at: list[int], a: int, b: int) -> tuple[int, int] | None:
-        """The first-ending range in a..b that holds enough words of the template in order within two lengths; of those the shortest."""
+        """The first-ending range in a..b that holds enough words of the template in order within two lengths; of those the shortest.
+
+        What starts in a quarter of a length lies in the two lengths and a quarter from there, so these are searched one after the other, and the
+        work is in proportion to the text."""
+        step = max(1, self.size // 4)
+        while a < b:
+            stop = bisect_left(at, at[a] + 2 * self.size + step, a, b)
+            if found := self._window_in(words, at, a, stop):
+                return found
+            if stop >= b:
+                return None
+            a = bisect_left(at, at[a] + step, a, b)
+        return None
+
+    def _window_in(self, words: list[str], at: list[int], a: int, b: int) -> tuple[int, int] | None:
         while True:
             end = next((a + k for k, n in enumerate(self.lengths(words[a:b], self.forward)) if n >= self.need), None)
             if end is None:
