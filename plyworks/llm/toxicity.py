@@ -5,18 +5,17 @@ contexts a word comes, and the lowest order is shared: the continuations that bo
 word's count is lowered by an absolute discount, n1 / (n1 + 2 n2) of its order, and what is freed goes to the order
 below. A place counts once for all copies: of equal runs of five words in a class one is counted, so copied texts,
 passages and lines weigh as one. Words that are rarer than `min_count` and a share of the documents become the longest
-beginning that rare words share often enough, or one rare word that both models give the same chance; rarer bigrams are
-left to the lower order. So rare expressions are smoothed by counts they share.
+beginning that rare words share often enough, or one rare word that both models give the same chance; bigrams of
+less than `min_pair` places are left to the lower order. So rare expressions are smoothed by counts they share.
 
-A text's log-likelihoods are compared per word, over the whole text and over its most toxic passage of PASSAGE words,
-as a few words make a long text toxic; a logistic curve, fitted on texts that the counts have not seen, turns both into
-a score.
+A text's log-likelihoods are compared per word, over the whole text and over its STANDING most toxic words that are not
+the same, as a few words make a long text toxic; a logistic curve turns both into a score. It is fitted by folds: every
+text of the sample is scored by counts of the other folds, and the model then counts all of them.
 
 The models are fitted on a bounded sample: `sample_docs` documents of either class, those with the smallest hash of
-their id, one row of each. Counting happens in one task over that sample alone.
+their id, one row of each, as far as they have `sample_bytes` bytes in all. Counting happens in one task over that sample alone.
 
-Defined results: a null or empty text, or one without words, scores as a text whose words say nothing; a text shorter
-than a passage is one; very long texts are scored whole; labels that contradict each other count as toxic; null labels
+Defined results: a null or empty text, or one without words, scores as a text whose words say nothing; very long texts are scored whole; labels that contradict each other count as toxic; null labels
 and null ids are not learned from; of rows that repeat an id, one is learned from and all are scored; without labels of
 both classes every score is 0; an empty table gives an empty result; other columns are ignored.
 """
@@ -33,14 +32,14 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import may_learn, smallest_hashes
 
 _WORD = re.compile(r"[^\W_]+")
-PASSAGE = 5
+STANDING = 3
 #: Scores from here on mean toxic.
 THRESHOLD = 0.3
 #: Lengths of the beginnings that stand for rare words, longest first.
@@ -93,20 +92,23 @@ class ToxicModel:
         return ratio
 
     def features(self, text: str | None) -> tuple[float, float]:
-        """Log ratio per word of the most toxic passage, and of the whole text."""
+        """Log ratio per word of the most toxic words that are not the same (where it is above 0), and of the whole text."""
         found = words(text)
         if not found:
             return 0.0, 0.0
-        total = np.concatenate([[0.0], np.cumsum(self.ratios(found))])
-        n = min(PASSAGE, len(found))
-        return float((total[n:] - total[:-n]).max()) / PASSAGE, float(total[-1]) / len(found)
+        ratio, best = self.ratios(found), {}
+        for k in np.argsort(-ratio, kind="stable").tolist():
+            if len(best) == STANDING or ratio[k] <= 0:
+                break
+            best.setdefault(found[k], float(ratio[k]))
+        return sum(best.values()) / STANDING, float(ratio.mean())
 
     def score(self, text: str | None) -> float:
         if self.curve is None:
             return 0.0
-        passage, whole = self.features(text)
+        standing, whole = self.features(text)
         a, b, c = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * passage + b * whole + c, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(a * (standing - whole) + b * whole + c, -30, 30))))
 
 
 def places(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,22 +161,8 @@ def _name_ids(number: dict[str, int], often: np.ndarray, least: float) -> tuple[
     return known, new, size
 
 
-def fit_models(texts: list[str], toxic: list[bool], min_count: float = 12, min_share: float = 0.02, hold_every: int = 4) -> ToxicModel:
-    """Counts from most texts; the curve from every `hold_every`-th one of either class."""
-    number: dict[str, int] = {}
-    coded: list[list[np.ndarray]] = [[], []]
-    rest: list[tuple[str, int]] = []
-    seen = [0, 0]
-    for t, x in zip(texts, map(int, toxic)):
-        if seen[x] % hold_every == hold_every - 1:
-            rest.append((t, x))
-        else:
-            coded[x].append(np.array([number.setdefault(w, len(number) + 1) for w in words(t)], np.int64))
-        seen[x] += 1
-    if not all(coded):
-        return ToxicModel()
-    if {x for _, x in rest} != {0, 1}:
-        rest = list(zip(texts, map(int, toxic)))
+def _counted(coded: tuple[list[np.ndarray], list[np.ndarray]], number: dict[str, int], min_count: float, min_share: float, min_pair: int) -> ToxicModel:
+    """The two models of texts given as old ids of words, without a curve."""
     least = max(min_count, min_share * min(map(len, coded)))
     raw = [places(rows) for rows in coded]
     often = sum(np.bincount(w, minlength=len(number) + 1) for _, w in raw)
@@ -194,30 +182,51 @@ def fit_models(texts: list[str], toxic: list[bool], min_count: float = 12, min_s
         own = np.maximum(contexts[x] - discount(contexts[x]), 0) / max(contexts[x].sum(), 1)
         word[x] = own + (1 - own.sum()) * shared
     word[:, START] = word[:, RARE] = 1.0  # nothing is asked of the one, and both models know as little of the other
-    kept = np.flatnonzero(count.sum(axis=0) >= least)
     total = np.stack([np.bincount(pairs // m, weights=c, minlength=m) for c in count])
-    kept = kept[pairs[kept] % m != RARE]
+    kept = np.flatnonzero((count.sum(axis=0) >= min_pair) & (pairs % m != RARE))
     v, w = pairs[kept] // m, pairs[kept] % m
     own = np.stack([np.maximum(c[kept] - discount(c), 0) / np.maximum(total[x][v], 1) for x, c in enumerate(count)])
     freed = np.maximum(1 - np.stack([np.bincount(v, weights=o, minlength=m) for o in own]), 1e-9)
     both = own + freed[:, v] * word[:, w]
-    model = ToxicModel(known, m, np.log(word[1] / word[0]), np.log(freed[1] / freed[0]), pairs[kept], np.log(both[1] / both[0]))
+    return ToxicModel(known, m, np.log(word[1] / word[0]), np.log(freed[1] / freed[0]), pairs[kept], np.log(both[1] / both[0]))
+
 
-    z = np.array([[*model.features(t), 1.0] for t, _ in rest])
-    y = np.array([c for _, c in rest], float)
-    weight = np.where(y == 1, THRESHOLD / max(y.sum(), 1), (1 - THRESHOLD) / max((1 - y).sum(), 1))  # even odds score THRESHOLD
+def _curve(features: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
+    """A logistic curve over how far the most toxic words stand out, and over the whole text; even odds score THRESHOLD."""
+    z, y = np.column_stack([features[:, 0] - features[:, 1], features[:, 1], np.ones(len(features))]), toxic.astype(float)
+    weight = np.where(y == 1, THRESHOLD / max(y.sum(), 1), (1 - THRESHOLD) / max((1 - y).sum(), 1))
     scale = np.maximum(np.abs(z).max(axis=0), 1e-6)
     z, beta = z / scale, np.zeros(3)
     for _ in range(40):  # Newton steps with a little shrinkage
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         grad = z.T @ (weight * (p - y)) + 1e-5 * beta
         beta -= np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-5 * np.eye(3), grad)
-    model.curve = tuple((beta / scale).tolist())
+    return tuple((beta / scale).tolist())
+
+
+def fit_models(texts: list[str], toxic: list[bool], min_count: float = 12, min_share: float = 0.02, min_pair: int = 12, folds: int = 4) -> ToxicModel:
+    """Counts from all texts, with a ratio of their own for bigrams that come `min_pair` times; the curve from texts that are scored by the counts of the other folds."""
+    number: dict[str, int] = {}
+    coded = [np.array([number.setdefault(w, len(number) + 1) for w in words(t)], np.int64) for t in texts]
+    side, fold, seen = np.array(list(map(int, toxic)), np.int64), np.zeros(len(texts), np.int64), [0, 0]
+    for i, x in enumerate(side.tolist()):
+        fold[i], seen[x] = seen[x] % folds, seen[x] + 1
+    if not all(seen):
+        return ToxicModel()
+    counted = lambda at: _counted(tuple([coded[i] for i in np.flatnonzero(at & (side == x))] for x in (0, 1)), number, min_count, min_share, min_pair)
+    model, found = counted(side >= 0), np.zeros((len(texts), 2))
+    for k in range(folds):
+        held, rest = fold == k, fold != k
+        judge = counted(rest) if {*side[rest].tolist()} == {0, 1} else model  # a class of one text
+        for i in np.flatnonzero(held).tolist():
+            found[i] = judge.features(texts[i])
+    model.curve = _curve(found, side)
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample_docs: int = 4096, **options) -> ToxicModel:
-    """A model from labelled documents that are not held out; at most `sample_docs` of either class are used, one row of each."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample_docs: int = 4096, sample_bytes: int = 1 << 28, **options) -> ToxicModel:
+    """A model from labelled documents that are not held out; at most `sample_docs` of either class are used, one row of each, and half of
+    `sample_bytes` of either (of a class, the first text in any case)."""
     marked = labels.filter(F.col(label).isNotNull() & may_learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("__toxic"))
     marked = marked.filter(F.col("__toxic").isin(0, 1))
     there = docs.select(F.col(doc_id).alias("doc_id"))
@@ -231,6 +240,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # The sample is bounded, so one task can take it; only the model comes to the driver.
+    order = Window.partitionBy("__toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    upto = F.sum(F.octet_length("row.text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__nth", F.row_number().over(order)).withColumn("__upto", upto).filter((F.col("__upto") <= sample_bytes // 2) | (F.col("__nth") == 1))
     fitted = rows.select("doc_id", F.col("row.text").alias("text"), "__toxic").repartition(1).mapInArrow(fit, "model binary").first()
     return pickle.loads(fitted["model"]) if fitted else ToxicModel()
 
