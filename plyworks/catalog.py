@@ -864,3 +864,24 @@ def q88_merged_records(spark, d):
     record_files.merge_files(spark, [path], merged)
     rows = records.parsed_records(record_files.read_files(spark, merged).select("global_idx", "record"), "event_id long")
     return rows.groupBy(F.lit("all").alias("source")).agg(F.count("event_id").alias("n"), F.sum("event_id").alias("ids"), F.min("global_idx").alias("first"))
+
+
+@query("""with e as (select 'p' || (case when event_id % 2 = 0 then 0 else event_id % 50 end) as fen, value from events where value is not null), n as (select *, row_number() over (partition by fen order by value) as n from e)
+select fen, ((n - 1) // 1000)::int as part, count(*) as count, string_agg(floor(value)::bigint::varchar, ',' order by value) as times from n group by 1, 2""")
+def q89_position_parts(spark, d):
+    """Observations of positions, one on half of all rows, in parts of 1,000."""
+    from .sources import reports
+
+    fen = F.concat(F.lit("p"), F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("event_id") % 50).cast("string"))
+    zero = F.lit(0.0)
+    records = _t(spark, d, "events").filter("value is not null").select(fen.alias("fen"), F.col("value").alias("thinking_time"), zero.alias("player_clock"), zero.alias("opponent_clock"), zero.alias("increment"), F.lit(0).alias("rating"))
+    parts = reports.position_parts(records, with_history=False, part_rows=1000, max_group=1000)
+    return parts.select("fen", "part", "count", F.array_join(F.transform("thinking_times", lambda x: F.floor(x).cast("string")), ",").alias("times"))
+
+
+@query("select event_id, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"value\":' || printf('%.6f', value) || '}' as record from events where value is not null")
+def q90_fixed_decimals(spark, d):
+    from .sources import records
+
+    rows = records.fixed_json_records(_t(spark, d, "events").filter("value is not null").select("event_id", "event_type", "value"), {"value": 6})
+    return rows.select("event_id", F.decode("record", "UTF-8").alias("record"))

@@ -277,6 +277,29 @@ class RecordFiles(ds.DataSource):
     def writer(self, schema, overwrite):
         return _Writer(self.options, overwrite)
 
+    def streamReader(self, schema):
+        from .arrivals import Arrivals
+
+        class Stream(Arrivals):
+            """Record files that arrive; global_idx is that of a record in its file, as files are in no order."""
+
+            suffixes = (".bag", ".bagz")
+
+            def __init__(self, options):
+                super().__init__(options)
+                self.reader = _Reader(options | {"path": ""})
+
+            def parts(self, name):
+                if name.rsplit("/", 1)[-1].startswith("limits."):
+                    return []
+                self.reader.names = [name]
+                return [p for p in self.reader.partitions() if p.name]
+
+            def rows(self, partition):
+                return self.reader.read(partition)
+
+        return Stream(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     """Makes the format known to the session, and lets Spark push filters on idx and global_idx into it."""
@@ -294,6 +317,12 @@ def read_files(spark: SparkSession, *paths: str, **options) -> DataFrame:
     return spark.read.format(FORMAT).options(**_options(spark, options)).load(",".join(paths))
 
 
+def stream_files(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Records of files that arrive in a folder."""
+    register(spark)
+    return spark.readStream.format(FORMAT).options(**_options(spark, options)).load(folder)
+
+
 def write_files(df: DataFrame, path: str, *, record: str = "record", order: list | None = None, shards: int | None = None, overwrite: bool = False, **options) -> None:
     """One file a partition, or `shards` files by ranges of `order`; `path` has a `@` for the shards in its last part.
 

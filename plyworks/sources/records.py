@@ -135,6 +135,7 @@ def write_records(df: DataFrame, record: str, order: str, path: str, shards: int
     A task writes under a name of its own and then renames, so one that runs twice leaves one file. A shard is held in
     memory by its task: choose `shards` by the size of the data. A shard without rows is an empty file.
     """
+    _shared(df.sparkSession, path)
     names = shard_names(f"{path}" if "@" in path else f"{path}@{shards}")
     if len(names) != shards:
         raise ValueError("the path names another number of shards")
@@ -159,9 +160,33 @@ def write_records(df: DataFrame, record: str, order: str, path: str, shards: int
     return sorted(r["name"] for r in packed.mapInPandas(store, "name string").collect())
 
 
+def moves_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A row per line: fen, moves (map), `reason` (null, or what is wrong with the line) and `line`, the text of one that is no JSON. Spark reads .gz itself."""
+    rows = spark.read.schema("fen string, moves map<string,bigint>, line string").option("columnNameOfCorruptRecord", "line").json(path)
+    return rows.withColumn("reason", F.when(F.col("line").isNotNull(), "no JSON of this kind").when(F.col("fen").isNull(), "no position").when(F.col("moves").isNull(), "no moves"))
+
+
 def read_moves_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """fen, moves (map), malformed lines dropped; Spark reads .gz itself."""
-    return spark.read.schema("fen string, moves map<string,bigint>").option("mode", "DROPMALFORMED").json(path).filter("fen is not null")
+    """fen, moves (map); malformed lines are left out (`moves_errors` counts them)."""
+    return moves_lines(spark, path).filter("line is null and fen is not null").select("fen", "moves")
+
+
+def moves_errors(spark: SparkSession, path: str, examples: int = 3) -> DataFrame:
+    """reason, lines (how many) and the first few of them by their text."""
+    bad = moves_lines(spark, path).filter("reason is not null").select("reason", F.coalesce("line", "fen", F.lit("")).alias("line"))
+    first = bad.withColumn("__n", F.row_number().over(Window.partitionBy("reason").orderBy("line"))).filter(F.col("__n") <= examples)
+    shown = first.groupBy("reason").agg(F.array_sort(F.collect_list("line")).alias("examples"))
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("lines")).join(shown, "reason")
+
+
+def fixed_json_records(df: DataFrame, decimals: dict[str, int], out: str = "record") -> DataFrame:
+    """Each row as compact JSON, where the numbers of `decimals` have so many places after the point, as files of records have them. Nulls are left out."""
+    def field(name: str) -> Column:
+        plain = F.to_json(F.struct(F.col(name).alias("v")))
+        value = F.format_string(f"%.{decimals[name]}f", F.col(name).cast("double")) if name in decimals else F.substr(plain, F.lit(6), F.length(plain) - 6)
+        return F.when(F.col(name).isNotNull(), F.concat(F.to_json(F.array(F.lit(name))).substr(F.lit(2), F.lit(len(name) + 2)), F.lit(":"), value))
+
+    return df.withColumn(out, F.encode(F.concat(F.lit("{"), F.concat_ws(",", *[field(c) for c in df.columns]), F.lit("}")), "UTF-8"))
 
 
 #: What a bucket file holds, in JSON.
@@ -200,6 +225,7 @@ def read_record_ranges(spark: SparkSession, path: str, *, rows_per_task: int = 1
     For files with their offsets at the end, at a path or URI that all executors reach. `wanted` names the first index and the one
     after the last, within each file, so a single record can be looked up.
     """
+    _shared(spark, path)
     names = spark.createDataFrame([(n,) for n in shard_names(path)], "source_file string").repartition(len(shard_names(path)))
 
     def sizes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,6 +247,11 @@ def read_record_ranges(spark: SparkSession, path: str, *, rows_per_task: int = 1
     return ranges.repartition("source_file", "first").mapInPandas(rows, "source_file string, idx long, record binary")
 
 
+def _shared(spark: SparkSession, path: str) -> None:
+    if "://" not in path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{path} is a local path, which other machines don't see; name a store, or see record_files")
+
+
 def _open(name: str):
     from pyarrow import fs
 

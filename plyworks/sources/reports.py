@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.ordered import Scan, scan
 
 
 def json_lines(df: DataFrame) -> DataFrame:
@@ -49,6 +50,28 @@ def grouped_clock_records(records: DataFrame, *, with_history: bool) -> DataFram
     return per.select(name, F.col("i.thinking_time").alias("thinking_times"), clocks.alias("clock_states"), F.col("i.rating").alias("ratings"), "count")
 
 
+def position_parts(records: DataFrame, *, with_history: bool, part_rows: int = 100_000, **options) -> DataFrame:
+    """As `grouped_clock_records`, but a position with many observations has several rows: `part` (from 0) of `part_rows` observations each.
+
+    Observations of a position are numbered in their order, by ranges where there are many (`ordered.scan`), so neither a task nor a row has
+    more than a part of a position. Rows of a position, put one after the other by part, are its one row: see `merged_parts`."""
+    key = tx.pipe_key(F.col("recent_moves"), F.col("fen")).alias("position_key") if with_history else tx.strip_counters(F.col("fen")).alias("fen")
+    name, item = "position_key" if with_history else "fen", ["thinking_time", "player_clock", "opponent_clock", "increment", "rating"]
+    numbered = scan(records.select(key, *item), [name], item, Scan("__n", "sum", F.lit(1)), **options)
+    parts = numbered.withColumn("part", F.floor((F.col("__n") - 1) / part_rows).cast("int")).groupBy(name, "part")
+    per = parts.agg(F.array_sort(F.collect_list(F.struct(*item))).alias("i"), F.count(F.lit(1)).alias("count"))
+    clocks = F.transform("i", lambda i: F.struct(i["player_clock"].alias("player_clock"), i["opponent_clock"].alias("opponent_clock"), i["increment"].alias("increment")))
+    return per.select(name, "part", F.col("i.thinking_time").alias("thinking_times"), clocks.alias("clock_states"), F.col("i.rating").alias("ratings"), "count")
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """The one row of each position, from its parts in their order."""
+    name = parts.columns[0]
+    columns = ["thinking_times", "clock_states", "ratings"]
+    per = parts.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("part", *columns))).alias("p"), F.sum("count").alias("count"))
+    return per.select(name, *[F.flatten(F.col(f"p.{c}")).alias(c) for c in columns], "count")
+
+
 def markdown_lines(df: DataFrame) -> DataFrame:
     """(line, value): a Markdown table of the rows, in order of the frame's columns; null is an empty cell."""
     cells = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", r"\\|"), F.lit("")) for c in df.columns]
