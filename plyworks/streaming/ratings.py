@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.glicko2 import START, shown, update
 from ..functions.numeric import GROWTH_PER_DAY, LEAST_RATING, LEAST_RD, MOST_RATING, MOST_RD, START_RD, game_step
+from .late_games import Replay, replayed
 
 _OUT = "player string, game_no long, rating double, rd double, volatility double, listed long"
 _STATE = "rating double, rd double, volatility double, played long, last long"
@@ -132,3 +134,19 @@ def rate_matches(games: DataFrame) -> DataFrame:
     from match to match.
     """
     return _in_order(games, "match_id", _match_fold, {}, _MATCH_OUT)
+
+
+def rate_late_stream(games: DataFrame, *, rated: DataFrame | None = None, event_time: str = "played_at", delay: str = "1 hour") -> DataFrame:
+    """As `rate_games` over a stream in which games arrive in any order: the rows of the batch, and `late`, the player's games so far that came too late.
+
+    games: player, game_no, played_at (timestamp), opponent_rating, opponent_rd, score. A game waits until no game before it can come any more,
+    `delay` after it was played; see `late_games`. rated: rows of `rate_games`, from which the ratings go on."""
+    first = None if rated is None else rated.groupBy("player").agg(F.max_by(F.struct("rating", "rd", "volatility"), "game_no").alias("s"), F.count(F.lit(1)).alias("played"), F.max("game_no").alias("last")).select("player", "s.*", "played", "last")
+    columns = "opponent_rating double, opponent_rd double, score double"
+    return replayed(games, "player", event_time, delay, Replay(_fold, (*START, 0), columns, _OUT, _STATE), first)
+
+
+def user_history_late_stream(games: DataFrame, *, event_time: str = "moment", delay: str = "1 hour") -> DataFrame:
+    """As `user_history` over a stream in which games arrive in any order; moment is played_at as a timestamp."""
+    columns = "played_at long, opponent_rating double, opponent_rd double, score double"
+    return replayed(games, "user_id", event_time, delay, Replay(_user_fold, USER_START, columns, _USER_OUT, _USER_STATE))
