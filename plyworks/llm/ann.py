@@ -9,7 +9,8 @@ that, or its windows hold all. So how much is verified follows from the data: li
 
 Spark deals the vectors and the queries into blocks; a task searches one block for one block of queries, and each
 query's answers from all blocks are merged. Every vector is indexed, and a window grows until it is wide enough, so
-there is no cap on what a line may hold. Blocks have the same number of rows at any size of the table.
+there is no cap on what a line may hold. Blocks have the same number of rows at any size of the table, fewer where vectors
+are so long that a block would have over `block_bytes`.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do rows
 without an id, nor vectors of another length than the query's; vectors of any length are projected whole; rows that
@@ -117,14 +118,15 @@ def _search(**options):
 
 def nearest(
     vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, n_lines: int = 64,
-    threshold: int = 44, growth: float = 1.08, block_rows: int = 1 << 14, query_rows: int = 256,
+    threshold: int = 44, growth: float = 1.08, block_rows: int = 1 << 14, query_rows: int = 256, block_bytes: int = 1 << 23,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for ids divisible by `every`, the k nearest vectors found (Euclidean)."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("vector")).filter("id is not null and vector is not null")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(~bad & F.exists("vector", lambda x: x != 0)).withColumn("dims", F.size("vector"))
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).first()
+    n, n_queries, widest = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0), F.max("dims")).first()
+    block_rows = max(1, min(block_rows, block_bytes // (8 * (widest or 1))))  # so a task's memory has a bound at any number of dimensions
     # Few queries are dealt in small blocks, for more tasks; this changes no answer. Many are dealt in blocks as large as the vectors'.
     blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // min(max(query_rows, n_queries // 64), block_rows)))
     key = F.xxhash64("id", "vector")

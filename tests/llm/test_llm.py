@@ -81,6 +81,18 @@ def test_ann_recall_on_clusters_and_verified_share():
     assert np.allclose(ann.directions(48, 48).T @ ann.directions(48, 48), np.eye(48))
 
 
+def test_ann_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    """Long vectors lie in smaller blocks, and nothing of them is lost."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 400)).astype(np.float32)
+    df = vectors(spark, [(i, x[i].tolist(), 0, "") for i in range(300)])
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, block_bytes=400 * 8 * 50).collect()}
+    seen = {(r.query_id, r["rank"]) for r in ann.nearest(df, block_bytes=400 * 8 * 50).collect()}
+    assert seen == {(q, k) for q in (0, 100, 200) for k in range(1, 11)}
+    near = lambda q: np.argsort(np.where(np.arange(300) == q, np.inf, ((x.astype(float) - x[q]) ** 2).sum(axis=1)))[:10]
+    assert sum((q, int(v)) in got for q in (0, 100, 200) for v in near(q)) >= 27
+
+
 def test_ann_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     df = vectors(spark, [(0, [1.0, 0.0], 1, "a"), (1, [1.0, 0.0], 1, "a"), (2, [0.0, 2.0], 1, "a"), (3, None, 1, "a"), (4, [nan, 1.0], 1, "a"), (5, [inf, 1.0], 1, "a"), (6, [0.0, 0.0], 1, "a"), (7, [1.0, None], 1, "a"), (None, [1.0, 1.0], 1, "a"), (8, [1.0], 1, "a"), (100, [1.0, 0.0], 1, "a")])
