@@ -70,11 +70,12 @@ def _beside(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, *,
     both = by_ranges(points.unionByName(begins), order)
     edges = both.filter("__kind = 0").groupBy("__range").agg(F.min_by("__band", "__at").alias("__first"), F.max_by("__band", "__at").alias("__last"))
     edges = both.select("__range").distinct().join(edges, "__range", "left")  # a row a range
-    ranges, inside = Window.orderBy("__range"), Window.partitionBy("__range").orderBy(*order)
-    behind, ahead = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
-    carried = edges.select("__range", F.last("__last", ignorenulls=True).over(ranges.rowsBetween(*behind)).alias("__before"), F.first("__first", ignorenulls=True).over(ranges.rowsBetween(*ahead)).alias("__after"))
-    known = both.withColumn("__low", F.last("__band", ignorenulls=True).over(inside.rowsBetween(*behind)))
-    known = known.withColumn("__high", F.first("__band", ignorenulls=True).over(inside.rowsBetween(*ahead))) if after else known
+    # Both ways a row looks back, in rising or falling order: a frame that grows as rows come, which is one pass.
+    back, part = (Window.unboundedPreceding, -1), Window.partitionBy("__range")
+    last = lambda c, window: F.last(c, ignorenulls=True).over(window.rowsBetween(*back))
+    carried = edges.select("__range", last("__last", Window.orderBy("__range")).alias("__before"), last("__first", Window.orderBy(F.desc("__range"))).alias("__after"))
+    known = both.withColumn("__low", last("__band", part.orderBy(*order)))
+    known = known.withColumn("__high", last("__band", part.orderBy(*[F.desc(c) for c in order]))) if after else known
     known = known.filter("__kind = 1").join(F.broadcast(carried), "__range")
     beside = [F.coalesce("__low", "__before").alias("__low"), *[F.coalesce("__high", "__after").alias("__high")] * after]
     return known.select("__row.*", *beside)
