@@ -173,16 +173,17 @@ class Scan:
         return F.transform(F.filter(found, lambda r: r["v"].isNotNull()), lambda r: r["v"]) if self.kind == "rows" else found
 
 
-def scan(df: DataFrame, group: list[str], order: list, *scans: Scan, max_group: int = MAX_GROUP) -> DataFrame:
+def scan(df: DataFrame, group: list[str], order: list, *scans: Scan, max_group: int = MAX_GROUP, largest: int | None = None) -> DataFrame:
     """Adds what `scans` ask for, over the rows of each group in `order`, which should be a total order inside it.
 
-    Groups are counted first. If none has over `max_group` rows, that is a window by group. Else rows are dealt by ranges of
+    Groups are counted first, unless `largest` says how many rows one has at most by its nature. If none has over `max_group` rows, that is a window by group. Else rows are dealt by ranges of
     (group, order), each range is scanned by itself, and the first group of a range takes over what earlier ranges have of it:
     one row a range. So a group that holds a third of all rows is scanned by as many tasks as it has ranges.
     """
     if not group:
         raise ValueError("a scan over all rows is not one by groups; see running_total")
-    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest is None:
+        largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= max_group:
         window = Window.partitionBy(*group).orderBy(*order)
         for s in scans:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import seeded_unit
-from .ordered import Scan, row_numbers, scan
+from .ordered import MAX_GROUP, Scan, row_numbers, scan
 
 
 def history(df: DataFrame, group: str, order: str, value: str, n: int, out: str, *, with_current: bool, **options) -> DataFrame:
@@ -21,8 +21,13 @@ def thinking_time(df: DataFrame, group: list[str], order: str, clock: str, incre
     return rows.withColumn(out, F.greatest(before + increment - F.col(clock), F.lit(0.0))).drop("__before")
 
 
-def drop_groups_with(df: DataFrame, group: str, bad: Column) -> DataFrame:
-    """Groups in which `bad` holds for no row; a null group is one, too. Bad groups are found by an aggregate, so no group meets in one task."""
+def drop_groups_with(df: DataFrame, group: str, bad: Column, *, largest: int | None = None) -> DataFrame:
+    """Groups in which `bad` holds for no row; a null group is one, too.
+
+    Bad groups are found by an aggregate and a join, so no group meets in one task; where `largest` says that groups are small by their
+    nature, by a window, which reads `df` once."""
+    if largest is not None and largest <= MAX_GROUP:
+        return df.withColumn("__bad", F.max(F.coalesce(bad, F.lit(False))).over(Window.partitionBy(group))).filter(~F.col("__bad")).drop("__bad")
     gone = df.filter(F.coalesce(bad, F.lit(False))).select(F.col(group).alias("__gone")).distinct()
     return df.join(gone, F.col(group).eqNullSafe(F.col("__gone")), "left_anti")
 

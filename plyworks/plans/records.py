@@ -15,6 +15,9 @@ from ..operators import filters, joins
 from ..operators import sequences as seq
 from ..operators.ordered import Scan, scan
 
+#: Plies that a game has at most by the rules (it is drawn before); so windows by game are bounded and games are not counted, which would replay them.
+GAME_PLIES = 20_000
+
 _PLY = T.StructType([T.StructField("ply", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("side", "san", "uci", "fen_before", "fen_after", "comment")]])
 
 
@@ -51,7 +54,7 @@ def move_observations(p: DataFrame, *, low: int = 0, high: int = 10_000, min_ply
     """Histogram rows by position key: history before the move, move, clock and rating as text, count."""
     p = filters.both_in_band(p, "white_elo", "black_elo", low, high)
     p = filters.one_of(p, "termination", ["Normal", "Time forfeit"])
-    p = seq.history(p, "game_id", "ply", "uci", recent, "recent_moves", with_current=False)
+    p = seq.history(p, "game_id", "ply", "uci", recent, "recent_moves", with_current=False, largest=GAME_PLIES)
     p = p.withColumn("clock", F.coalesce("clk", F.lit(0.0))).filter((F.col("ply") > min_ply) & (F.col("clock") >= min_clock))
     rating = F.when(F.col("side") == "w", F.col("white_elo")).otherwise(F.col("black_elo"))
     p = p.select(tx.position_key(F.col("recent_moves"), F.col("fen_before")).alias("pos_key"), F.col("uci").alias("move"), F.format_string("%.1f", "clock").alias("clock"), rating.alias("rating"))
@@ -61,11 +64,11 @@ def move_observations(p: DataFrame, *, low: int = 0, high: int = 10_000, min_ply
 def clock_records(p: DataFrame) -> DataFrame:
     """Thinking-time records; a game with an impossible clock goes as a whole."""
     p = p.filter("initial_time > 0 and white_elo is not null and black_elo is not null")
-    p = seq.history(p, "game_id", "ply", "uci", 12, "recent_moves", with_current=True)
-    p = joins.last_known_of_other(p.withColumn("known", F.col("clk")), "game_id", "ply", "side", "known", None, "opponent_clock")
+    p = seq.history(p, "game_id", "ply", "uci", 12, "recent_moves", with_current=True, largest=GAME_PLIES)
+    p = joins.last_known_of_other(p.withColumn("known", F.col("clk")), "game_id", "ply", "side", "known", None, "opponent_clock", largest=GAME_PLIES)
     p = p.filter("clk is not null").withColumn("opponent_clock", F.coalesce("opponent_clock", "initial_time"))
-    p = scan(p, ["game_id", "side"], ["ply"], Scan("before", "last", F.col("clk"), with_current=False))  # rows without a clock are gone
-    p = seq.drop_groups_with(p, "game_id", seq.clock_jump(F.col("clk"), F.col("before"), F.col("increment")))
+    p = scan(p, ["game_id", "side"], ["ply"], Scan("before", "last", F.col("clk"), with_current=False), largest=GAME_PLIES)  # rows without a clock are gone
+    p = seq.drop_groups_with(p, "game_id", seq.clock_jump(F.col("clk"), F.col("before"), F.col("increment")), largest=GAME_PLIES)
     own = F.coalesce("before", "initial_time")
     rating = F.when(F.col("side") == "w", F.col("white_elo")).otherwise(F.col("black_elo"))
     return p.select("game_id", "ply", F.col("fen_before").alias("fen"), "recent_moves", rating.alias("rating"), own.alias("player_clock"), "opponent_clock", "increment", F.greatest(own + F.col("increment") - F.col("clk"), F.lit(0.0)).alias("thinking_time"))
@@ -76,8 +79,8 @@ def winner_records(p: DataFrame, *, low: int = 0, high: int = 10_000, with_draws
     p = p.withColumn("winner", tx.result_label(F.col("result"))).filter("initial_time > 0 and white_elo is not null and black_elo is not null and winner is not null")
     p = filters.average_in_band(p, "white_elo", "black_elo", low, high)
     p = p if with_draws else p.filter("winner <> 0")
-    p = seq.history(p, "game_id", "ply", "uci", 12, "recent_moves", with_current=True)
-    p = joins.clocks_upto(p, "game_id", "ply", "side", "clk").filter("clk is not null")
+    p = seq.history(p, "game_id", "ply", "uci", 12, "recent_moves", with_current=True, largest=GAME_PLIES)
+    p = joins.clocks_upto(p, "game_id", "ply", "side", "clk", largest=GAME_PLIES).filter("clk is not null")
     p = p.withColumn("white_clock", F.coalesce("white_clock", "initial_time")).withColumn("black_clock", F.coalesce("black_clock", "initial_time"))
     return p.select("game_id", "ply", F.col("fen_after").alias("fen"), "recent_moves", "winner", "white_elo", "black_elo", "white_clock", "black_clock", "increment")
 

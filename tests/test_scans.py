@@ -56,6 +56,7 @@ def test_operators_on_hot_groups(spark):
 def test_groups_with_a_bad_row_go(spark):
     df = spark.createDataFrame([(1, True), (1, False), (2, False), (None, False), (None, True), (3, None)], "g int, bad boolean")
     assert sorted(r.g for r in seq.drop_groups_with(df, "g", F.col("bad")).collect()) == [2, 3]
+    assert sorted(r.g for r in seq.drop_groups_with(df, "g", F.col("bad"), largest=10).collect()) == [2, 3]
 
 
 # intervals
