@@ -151,6 +151,13 @@ class Scan:
             return F.last(self.value, ignorenulls=True).over(upto)
         return F.collect_list(F.struct(self.value.alias("v"))).over(window.rowsBetween(end - self.n + 1, end))
 
+    def whole(self, window: Window) -> Column:
+        """Over a window that sees the whole group."""
+        if self.kind == "rows":
+            end = 0 if self.with_current else -1
+            return F.collect_list(self.value).over(window.rowsBetween(end - self.n + 1, end))
+        return self.over(window, self.with_current)
+
     def over_ranges(self, part: Column, window: Window) -> Column:
         """What ranges up to one make together."""
         if self.kind == "rows":
@@ -187,7 +194,7 @@ def scan(df: DataFrame, group: list[str], order: list, *scans: Scan, max_group:
     if largest <= max_group:
         window = Window.partitionBy(*group).orderBy(*order)
         for s in scans:
-            df = df.withColumn(s.out, s.shown(s.over(window, s.with_current)))
+            df = df.withColumn(s.out, s.whole(window))
         return df
     columns = df.columns
     inside, whole = Window.partitionBy("__range", *group).orderBy(*order), Window.partitionBy("__range").orderBy(*group, *order)
