@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .catalog_ratings import rating_fold
 from .functions import numeric as num
 from .functions import text as tx
 from .operators import aggregates as agg
@@ -652,7 +653,10 @@ def g09_replayed_games(spark, d):
     return records.plies(games.select(F.col("c_custkey").alias("game_id"), text.alias("movetext"))).select(F.col("game_id").alias("c_custkey"), "ply", "side", "uci", "clk")
 
 
-@query()
+_SCORED = "select o_custkey::varchar as key, o_orderkey as game_no, row_number() over (partition by o_custkey order by o_orderkey) as n, 1200.0::double + o_orderkey % 800 as o, (o_orderkey % 3) / 2.0::double as s from orders"
+
+
+@query(rating_fold(_SCORED, {"w_": ("g.o", "80.0", "g.s")}) + " select key as player, game_no, w_r as rating, w_rd as rd, w_vol as volatility, greatest(round_even(w_r, 0), 600)::bigint as listed from h where done and n > 0")
 def g05_rated_games(spark, d):
     from .streaming.ratings import rate_games
 
@@ -673,7 +677,7 @@ def g06_user_history(spark, d):
     return user_history(o.select(F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderkey").alias("game_no"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("played_at"), (1200 + F.col("o_orderkey") % 800).cast("double").alias("opponent_rating"), F.lit(50.0).alias("opponent_rd"), ((F.col("o_orderkey") % 3) / 2.0).alias("score")))
 
 
-@query()
+@query(rating_fold(_SCORED, {"w_": ("h.b_r", "h.b_rd", "g.s"), "b_": ("h.w_r", "h.w_rd", "1 - g.s")}) + " select key as match_id, game_no, 'a' as white, 'b' as black, w_r as white_rating, w_rd as white_rd, b_r as black_rating, b_rd as black_rd from h where done and n > 0")
 def g07_match_ratings(spark, d):
     from .streaming.ratings import rate_matches
 
