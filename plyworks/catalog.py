@@ -889,3 +889,6 @@ def q90_fixed_decimals(spark, d):
 
     rows = records.fixed_json_records(_t(spark, d, "events").filter("value is not null").select("event_id", "event_type", "value"), {"value": 6})
     return rows.select("event_id", F.decode("record", "UTF-8").alias("record"))
+
+
+from . import catalog_games  # noqa: E402, F401  its queries use the decorator above

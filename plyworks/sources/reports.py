@@ -88,7 +88,8 @@ def game_text(moves: DataFrame, headers: list[str], game_id: str = "game_id") ->
     clock = F.when(F.col("clk").isNotNull(), F.concat(F.lit(" {[%clk "), tx.hms(F.col("clk")), F.lit("]}"))).otherwise("")
     number = F.when(F.col("ply") % 2 == 1, F.concat(F.floor((F.col("ply") + 1) / 2).cast("string"), F.lit(". "))).otherwise("")
     word = F.struct("ply", F.concat(number, "san", clock).alias("t"))
-    first = [F.first(h).alias(h) for h in dict.fromkeys([*headers, "result"])]
+    names = {h.lower(): h for h in ["result", *headers]}  # the result may be a header too
+    first = [F.first(h).alias(h) for h in names.values()]
     per = moves.groupBy(game_id).agg(F.array_sort(F.collect_list(word)).alias("w"), *first)
     lines = [F.concat(F.lit(f'[{h} "'), F.coalesce(F.regexp_replace(F.col(h).cast("string"), '(["\\\\])', r"\\$1"), F.lit("?")), F.lit('"]\n')) for h in headers]
     end = F.coalesce("result", F.lit("*"))
