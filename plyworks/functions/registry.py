@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from .board import Position, replay, uci
-from .text import FEN_ALPHABET, move_vocabulary
+from .text import FEN_ALPHABET, by_square, move_vocabulary
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -54,11 +54,25 @@ class GamePlies:
         yield from replay(movetext)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def history_tokens(moves: pd.Series) -> pd.Series:
-    """Ids of the last twelve moves, filled up in front; for SQL, as `text.history_tokens`."""
-    ids = move_vocabulary()
-    return moves.map(lambda m: None if m is None else [len(ids)] * (12 - len(m[-12:])) + [ids.get(x) for x in m[-12:]])
+def _characters() -> str:
+    """`text.fen_characters` as SQL."""
+    board = "replace(split(fen, ' ')[0], '/', '')"
+    for n in range(1, 9):
+        board = f"replace({board}, '{n}', '{'.' * n}')"
+    padded = [f"rpad(if(split(fen, ' ')[{k}] = '-', '', split(fen, ' ')[{k}]), {width}, '.')" for k, width in ((2, 4), (3, 2), (4, 3), (5, 3))]
+    return f"concat(split(fen, ' ')[1], {board}, {', '.join(padded)})"
+
+
+def token_expressions() -> dict[str, tuple[str, str]]:
+    """Tokens of histories and positions for SQL, as `text.history_tokens` and `text.fen_tokens` give them. The vocabulary is a folded constant of the plan."""
+    words = move_vocabulary()
+    rest = lambda ids: ", ".join(f"'{m}', {i}" for m, i in ids.items())
+    moves = f"map({', '.join(f"'{square}', map({rest(ids)})" for square, ids in by_square(words).items())})"
+    letters = f"map_from_arrays(split('{','.join(FEN_ALPHABET)}', ','), sequence(0, {len(FEN_ALPHABET) - 1}))"
+    return {
+        "history_tokens(moves array<string>)": ("array<int>", f"concat(array_repeat({len(words)}, 12 - least(size(moves), 12)), transform(slice(moves, greatest(size(moves) - 11, 1), 12), m -> try_element_at(try_element_at({moves}, substr(m, 1, 2)), substr(m, 3))))"),
+        "fen_tokens(fen string)": ("array<int>", f"concat(transform(split({_characters()}, ''), c -> try_element_at({letters}, c)), array({len(FEN_ALPHABET)}))"),
+    }
 
 
 #: Functions that are SQL expressions: name and arguments, type, expression.
@@ -77,26 +91,9 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     """Functions on positions, moves and histories under their names, game_plies as a table function, the vocabulary as view `moves_vocabulary`."""
-    for name, f in (("legal_moves", legal_moves), ("legal_move_ids", legal_move_ids), ("game_outcome", game_outcome), ("san_to_uci", san_to_uci), ("history_tokens", history_tokens)):
+    for name, f in (("legal_moves", legal_moves), ("legal_move_ids", legal_move_ids), ("game_outcome", game_outcome), ("san_to_uci", san_to_uci)):
         spark.udf.register(name, f)
     spark.udtf.register("game_plies", GamePlies)
-    for head, (kind, expression) in EXPRESSIONS.items():
+    for head, (kind, expression) in (EXPRESSIONS | token_expressions()).items():
         spark.sql(f"create or replace temporary function {head} returns {kind} return {expression}")
     vocabulary(spark).createOrReplaceTempView("moves_vocabulary")
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def fen_tokens(fen: pd.Series) -> pd.Series:
-        """For SQL; DataFrames have the same as an expression of built-in functions."""
-        ids = {c: i for i, c in enumerate(FEN_ALPHABET)}
-
-        def one(f):
-            if f is None:
-                return None
-            board, side, castling, passant, half, full = f.split(" ")
-            board = "".join("." * int(c) if c.isdigit() else c for c in board.replace("/", ""))
-            text = side + board + castling.replace("-", "").ljust(4, ".") + passant.replace("-", "").ljust(2, ".") + half.ljust(3, ".") + full.ljust(3, ".")
-            return [*(ids[c] for c in text), len(ids)]
-
-        return fen.map(one)
-
-    spark.udf.register("fen_tokens", fen_tokens)

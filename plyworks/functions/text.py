@@ -116,11 +116,25 @@ def fen_tokens(fen: Column) -> Column:
     return F.concat(F.transform(F.split(fen_characters(fen), ""), lambda c: F.try_element_at(ids, c)), F.array(F.lit(len(FEN_ALPHABET))))
 
 
+def by_square(vocabulary: dict[str, int]) -> dict[str, dict[str, int]]:
+    """Ids by the square that a move begins on and the rest of its name: maps are searched entry by entry, so two short ones take less than a long one."""
+    squares: dict[str, dict[str, int]] = {}
+    for m, i in vocabulary.items():
+        squares.setdefault(m[:2], {})[m[2:]] = i
+    return squares
+
+
+def move_id(move: Column, vocabulary: dict[str, int]) -> Column:
+    """The id of a move; null if the vocabulary lacks it."""
+    pairs = lambda d, value: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), value(v))])
+    ids = pairs(by_square(vocabulary), lambda rest: pairs(rest, F.lit))
+    return F.try_element_at(F.try_element_at(ids, F.substring(move, 1, 2)), F.substr(move, F.lit(3)))
+
+
 def history_tokens(moves: Column, vocabulary: dict[str, int], pad: int, n: int = 12) -> Column:
     """Ids of the last n moves, filled up with `pad` in front."""
-    ids = F.create_map(*[x for m, i in vocabulary.items() for x in (F.lit(m), F.lit(i))])
     last = F.slice(moves, F.greatest(F.size(moves) - n + 1, F.lit(1)), n)
-    return F.concat(F.array_repeat(F.lit(pad), n - F.size(last)), F.transform(last, lambda m: F.try_element_at(ids, m)))
+    return F.concat(F.array_repeat(F.lit(pad), n - F.size(last)), F.transform(last, lambda m: move_id(m, vocabulary)))
 
 
 def move_vocabulary() -> dict[str, int]:

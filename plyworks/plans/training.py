@@ -54,9 +54,8 @@ def move_samples(records: DataFrame, record_id: str, scales: Scales, seed: int)
 
     records: recent_moves, fen and moves (move -> clock -> rating -> count). scales: of rating and time, the latter of log1p.
     """
-    ids = F.create_map(*[F.lit(x) for m, i in tx.move_vocabulary().items() for x in (m, i)])
     drawn = draw_pair(records, record_id, seed)
     return _inputs(drawn).select(
-        record_id, "input_ids", "attention_mask", "legal_ids", F.col("move"), F.try_element_at(ids, F.col("move")).alias("move_id"),
+        record_id, "input_ids", "attention_mask", "legal_ids", F.col("move"), tx.move_id(F.col("move"), tx.move_vocabulary()).alias("move_id"),
         _scaled(scales, "rating").alias("rating"), _scaled(scales, "time", "clock").alias("log_time"),
     )

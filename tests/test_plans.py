@@ -279,3 +279,44 @@ def test_match_ratings_use_what_was_before(spark):
     one, two = ratings.rate_matches(df).orderBy("game_no").collect()
     assert one.white_rating - 1500 == pytest.approx(1500 - one.black_rating) and one.white_rd == pytest.approx(one.black_rd)
     assert two.white_rating > one.black_rating and two.black_rating < one.white_rating
+
+
+def test_result_may_be_a_header_of_game_text(spark):
+    from plyworks.sources import games, reports
+
+    moves = spark.createDataFrame([(1, 1, "e4", 60.0, "1-0"), (1, 2, "e5", None, "1-0"), (2, 1, "d4", 5.0, None)], "game_id int, ply int, san string, clk double, result string")
+    text = {r.game_id: r.pgn for r in reports.game_text(moves.withColumn("Event", F.lit('a "b"')), ["Event", "Result"]).collect()}
+    assert text[1] == '[Event "a \\"b\\""]\n[Result "1-0"]\n\n1. e4 {[%clk 0:01:00]} e5 1-0\n'
+    assert text[2].endswith('[Result "?"]\n\n1. d4 {[%clk 0:00:05]} *\n')
+    plain = spark.createDataFrame([(text[1].replace('a \\"b\\"', "a"),)], "pgn string")
+    assert games.with_headers(plain).first().result == "1-0"
+
+
+def test_seeded_buckets_hold_all_rows_in_seeded_order(spark, data):
+    from plyworks.operators import sequences as seq
+
+    events = spark.read.parquet(f"{data}/events.parquet").select("event_id")
+    bucketed = lambda parts: seq.seeded_buckets(events.repartition(parts), 8, 5, "event_id").select(F.spark_partition_id().alias("part"), "event_id", seq.seeded_place(5, "event_id").alias("h")).collect()
+    rows = bucketed(3)
+    per = {}
+    for r in rows:
+        per.setdefault(r.part, []).append((r.h, r.event_id))
+    assert sorted(r.event_id for r in rows) == sorted(r.event_id for r in events.collect()) and len(per) == 8
+    assert all(p == sorted(p) for p in per.values())
+    assert rows == bucketed(7)
+
+
+def test_move_ids_are_those_of_the_vocabulary(spark):
+    from plyworks.functions import text as tx
+
+    words = tx.move_vocabulary()
+    df = spark.createDataFrame([(m,) for m in [*words, "a1a1", "e", "", "e7e8", None]], "m string")
+    got = {r.m: r.i for r in df.select("m", tx.move_id(F.col("m"), words).alias("i")).collect()}
+    assert got == {**words, "a1a1": None, "e": None, "": None, "e7e8": words["e7e8"], None: None}
+
+
+def test_partition_sizes(spark):
+    from plyworks.plans import evaluation as ev
+
+    df = spark.range(10, numPartitions=1).union(spark.range(3, numPartitions=1)).union(spark.range(0, numPartitions=1))
+    assert ev.partition_sizes(df).first().asDict() == {"maximum": 10, "minimum": 3, "filled": 2}
