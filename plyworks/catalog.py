@@ -833,8 +833,7 @@ def _event_files(spark, d, **options) -> str:
     from .sources import record_files, records
 
     path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}/events@.{'bag' if options.pop('plain', False) else 'bagz'}"
-    record_files.write_files(records.json_records(_t(spark, d, "events").select("event_id", "user_id", "event_type")), path, order=["event_id"], shards=8, **options)
-    return path.replace("@", "@8")
+    return record_files.write_files(records.json_records(_t(spark, d, "events").select("event_id", "user_id", "event_type")), path, order=["event_id"], shards=8, **options)
 
 
 @query("select global_idx, event_id, user_id, event_type from (select *, row_number() over (order by event_id) - 1 as global_idx, count(*) over () as n from events) where global_idx >= n // 3 and global_idx < n // 2")
@@ -864,7 +863,7 @@ def q88_merged_records(spark, d):
     from .sources import record_files, records
 
     path = _event_files(spark, d)
-    merged = path.replace("events@8", "merged@3")
+    merged = path.rsplit("/", 1)[0] + "/merged@3.bagz"
     record_files.merge_files(spark, [path], merged)
     rows = records.parsed_records(record_files.read_files(spark, merged).select("global_idx", "record"), "event_id long")
     return rows.groupBy(F.lit("all").alias("source")).agg(F.count("event_id").alias("n"), F.sum("event_id").alias("ids"), F.min("global_idx").alias("first"))

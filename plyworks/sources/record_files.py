@@ -197,12 +197,16 @@ class _Written(ds.WriterCommitMessage):
     name: str
 
 
+def _count_name(path: str, run: str) -> str:
+    return f"{path.rsplit('/', 1)[0]}/_count-{run}"
+
+
 class _Writer(ds.DataSourceArrowWriter):
     """A task streams its records into a file of its own; offsets are all that it holds. Files get their names when all tasks are done."""
 
     def __init__(self, options, overwrite: bool):
         self.place, self.separate, self.overwrite = Place(_true(options, "shared_path")), options.get("limits", "inside") == "separate", overwrite
-        self.path, self.run = options["path"], uuid.uuid4().hex
+        self.path, self.run, self.told = options["path"], options.get("run") or uuid.uuid4().hex, options.get("run") is not None
         self.plain = self.path.endswith(".bag")
         if "@" not in self.path.rsplit("/", 1)[-1]:
             raise ValueError("the last part of the path names the shards: name@.bagz")
@@ -255,6 +259,9 @@ class _Writer(ds.DataSourceArrowWriter):
                 self.place.move(limits_name(m.name), limits_name(name))
             self.place.move(m.name, name)
         self._clear()
+        if self.told:
+            with self.place.create(_count_name(self.path, self.run)) as out:
+                out.write(str(len(done)).encode())
 
     def abort(self, messages):
         for m in messages:
@@ -323,14 +330,21 @@ def stream_files(spark: SparkSession, folder: str, **options) -> DataFrame:
     return spark.readStream.format(FORMAT).options(**_options(spark, options)).load(folder)
 
 
-def write_files(df: DataFrame, path: str, *, record: str = "record", order: list | None = None, shards: int | None = None, overwrite: bool = False, **options) -> None:
-    """One file a partition, or `shards` files by ranges of `order`; `path` has a `@` for the shards in its last part.
+def write_files(df: DataFrame, path: str, *, record: str = "record", order: list | None = None, shards: int | None = None, overwrite: bool = False, **options) -> str:
+    """One file a partition, or `shards` files by ranges of `order`; `path` has a `@` for the shards in its last part. Gives the path with their number.
 
+    Ask for files by the path that is given: few rows or equal ones make fewer ranges than asked for.
     No task holds more than a batch of records and its offsets, and files appear only once all tasks are done."""
     register(df.sparkSession)
     rows = df.repartitionByRange(shards, *order).sortWithinPartitions(*order) if order and shards else df.repartition(shards) if shards else df
     rows = rows.select(F.col(record).cast("binary").alias("record"))
-    rows.write.format(FORMAT).mode("overwrite" if overwrite else "append").options(**_options(df.sparkSession, options)).save(path)
+    given = _options(df.sparkSession, options | {"run": uuid.uuid4().hex})
+    rows.write.format(FORMAT).mode("overwrite" if overwrite else "append").options(**given).save(path)
+    place, count = Place(_true(given, "shared_path")), _count_name(path, given["run"])
+    with place.open(count) as f:
+        n = int(f.read())
+    place.remove(count)
+    return re.sub(r"@\d*", f"@{n}", path)
 
 
 def file_index(spark: SparkSession, *paths: str, limits: str = "inside", shared_path: bool | None = None) -> DataFrame:

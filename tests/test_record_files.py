@@ -163,3 +163,11 @@ def test_merge_decodes_nothing(spark, tmp_path):
     assert f.stored(0, 6, f.layout()[0]) == raw + raw
     with pytest.raises(ValueError, match="plain and compressed"):
         rf.merge_files(spark, [str(tmp_path / "0.bagz"), str(tmp_path / "1.bag")], str(tmp_path / "all.bagz"))
+
+
+def test_path_names_the_files_that_were_written(spark, tmp_path):
+    """Two distinct keys make two ranges at most, whatever is asked for."""
+    df = spark.createDataFrame([(k % 2, f"r{k % 2}".encode()) for k in range(6)], "k int, record binary")
+    path = rf.write_files(df, str(tmp_path / "a@.bagz"), order=["k"], shards=8)
+    assert path.endswith(f"a@{len(list(tmp_path.glob('a-*')))}.bagz") and not list(tmp_path.glob("_*"))
+    assert [bytes(r.record) for r in rf.read_files(spark, path).orderBy("global_idx").collect()] == [b"r0"] * 3 + [b"r1"] * 3
