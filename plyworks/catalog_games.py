@@ -18,6 +18,7 @@ from .plans import evaluation as ev
 from .plans import records, serving, training
 from .sources import games, lz4_games, reports
 from .sources import records as rec
+from .sources.record_files import session_path
 
 _HEADERS = ["Event", "GameId", "WhiteElo", "BlackElo", "TimeControl", "Termination"]
 
@@ -110,7 +111,7 @@ def g12_arriving_games(spark, d):
     return spark.read.parquet(f"{folder}/out")
 
 
-def _store_lz4(folder: str, shared_path: bool):
+def _store_lz4(folder: str, shared_path: bool | str):
     """Stores a task's games as frames of one LZ4 file, a batch a frame; it is renamed when whole, so a lost task leaves no half file."""
 
     def store(parts):
@@ -132,7 +133,7 @@ def _store_lz4(folder: str, shared_path: bool):
 def _lz4_files(spark, d) -> str:
     """A folder of LZ4 files; which of them count is what tasks reported, so a task that ran twice leaves nothing that is read."""
     folder = _folder(spark)
-    made = _texts(spark, d).repartition(4, "game_id").mapInPandas(_store_lz4(f"{folder}/made", spark.sparkContext.master.startswith("local")), "name string")
+    made = _texts(spark, d).repartition(4, "game_id").mapInPandas(_store_lz4(f"{folder}/made", session_path(spark)), "name string")
     reports.write_lines(made.withColumnRenamed("name", "value"), f"{folder}/names", compress=False)
     return f"{folder}/names"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import datasource as ds
 
-from .record_files import Place
+from .record_files import Place, told_path
 
 
 class Arrivals(ds.DataSourceStreamReader):
@@ -16,7 +16,7 @@ class Arrivals(ds.DataSourceStreamReader):
     suffixes: tuple[str, ...] = ()
 
     def __init__(self, options):
-        self.place, self.folder = Place(str(options.get("shared_path", "false")).lower() == "true"), options["path"]
+        self.place, self.folder = Place(told_path(options)), options["path"]
 
     def _files(self) -> list[tuple[int, str]]:
         from pyarrow import fs

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 
 from .arrivals import Arrivals
-from .record_files import Place
+from .record_files import Place, session_path, told_path
 
 FORMAT = "lz4_games"
 SCHEMA = "source_file string, at long, no long, pgn string"
@@ -136,7 +136,7 @@ class _Files:
 
 class _Reader(ds.DataSourceReader):
     def __init__(self, options):
-        place = Place(str(options.get("shared_path", "false")).lower() == "true")
+        place = Place(told_path(options))
         first = options.get("first_games")
         self.files, self.folder = _Files(place, int(options.get("bytes_per_task", 64 << 20)), None if first is None else int(first)), options["path"]
 
@@ -185,7 +185,8 @@ class Lz4Games(ds.DataSource):
 
 def _options(spark: SparkSession, options: dict) -> dict:
     spark.dataSource.register(Lz4Games)
-    return {"shared_path": str(spark.sparkContext.master.startswith("local")).lower()} | {k: str(v) for k, v in options.items() if v is not None}
+    options = {"shared_path": session_path(spark)} | options
+    return {k: str(v) for k, v in options.items() if v is not None}
 
 
 def read_games(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -9,11 +9,13 @@ records: files are counted by their sizes, and only bytes of records that are as
 
 Options: `limits` ("inside", or "separate" files), `rows_per_task`, `threads` (for looking at many files), and
 `shared_path`: paths without a scheme, and `file:` ones, are local to each machine, so on a cluster they are refused
-unless this says that all machines mount them. `read_files` and `write_files` set it for a local session.
+unless this says that all machines mount them ("true"), or names a folder that they mount. `read_files` and `write_files`
+set it: to "true" for a local session, else to the folder that spark.checkpoint.dir names.
 """
 
 from __future__ import annotations
 
+import posixpath
 import re
 import struct
 import uuid
@@ -38,20 +40,45 @@ _CHUNK = 8 << 20
 _MERGED = "target string, files int, records long, bytes long"
 
 
+def _local(name: str) -> str:
+    return re.sub(r"^file:(//)?(?=/)", "", name)
+
+
+def told_path(options) -> bool | str:
+    """The option `shared_path`."""
+    told = str(options.get("shared_path", "false"))
+    return told.lower() == "true" if told.lower() in ("true", "false") else told
+
+
+def session_path(spark: SparkSession) -> bool | str:
+    """What a session's machines share: all paths if it is local, else the folder that spark.checkpoint.dir names."""
+    if spark.sparkContext.master.startswith("local"):
+        return True
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder if folder and re.match(r"/|file:/", folder) else False
+
+
 class Place:
     """Files of a store: whatever Arrow reaches by URI, and paths that all machines share."""
 
-    def __init__(self, shared_path: bool):
+    def __init__(self, shared_path: bool | str):
+        """shared_path: whether all machines share local paths, or the folder below which they do."""
         self.shared_path = shared_path
 
+    def shared(self, path: str) -> bool:
+        if isinstance(self.shared_path, bool):
+            return self.shared_path
+        folder = posixpath.normpath(_local(self.shared_path))
+        return f"{posixpath.normpath(path)}/".startswith(f"{folder.rstrip('/')}/")
+
     def at(self, name: str):
         from pyarrow import fs
 
         scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/", name)
         if scheme is None or scheme[1] == "file":
-            if not self.shared_path:
+            if not self.shared(path := _local(name)):
                 raise ValueError(f"{name} is a local path, which other machines don't see; set shared_path if all of them mount it")
-            return fs.LocalFileSystem(), re.sub(r"^file:(//)?(?=/)", "", name)
+            return fs.LocalFileSystem(), path
         return fs.FileSystem.from_uri(name)
 
     def open(self, name: str):
@@ -142,13 +169,9 @@ class Range(ds.InputPartition):
     body: int
 
 
-def _true(options, key: str) -> bool:
-    return str(options.get(key, "false")).lower() == "true"
-
-
 class _Reader(ds.DataSourceReader):
     def __init__(self, options):
-        self.place, self.separate = Place(_true(options, "shared_path")), options.get("limits", "inside") == "separate"
+        self.place, self.separate = Place(told_path(options)), options.get("limits", "inside") == "separate"
         self.names = [n for p in options["path"].split(",") for n in shard_names(p)]
         self.step, self.threads = int(options.get("rows_per_task", 100_000)), int(options.get("threads", 16))
         self.bounds = {"idx": (0, 1 << 62), "global_idx": (0, 1 << 62)}
@@ -205,7 +228,7 @@ class _Writer(ds.DataSourceArrowWriter):
     """A task streams its records into a file of its own; offsets are all that it holds. Files get their names when all tasks are done."""
 
     def __init__(self, options, overwrite: bool):
-        self.place, self.separate, self.overwrite = Place(_true(options, "shared_path")), options.get("limits", "inside") == "separate", overwrite
+        self.place, self.separate, self.overwrite = Place(told_path(options)), options.get("limits", "inside") == "separate", overwrite
         self.path, self.run, self.told = options["path"], options.get("run") or uuid.uuid4().hex, options.get("run") is not None
         self.plain = self.path.endswith(".bag")
         if "@" not in self.path.rsplit("/", 1)[-1]:
@@ -315,7 +338,8 @@ def register(spark: SparkSession) -> None:
 
 
 def _options(spark: SparkSession, options: dict) -> dict:
-    return {"shared_path": str(spark.sparkContext.master.startswith("local")).lower()} | {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
+    options = {"shared_path": session_path(spark)} | options
+    return {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
 
 
 def read_files(spark: SparkSession, *paths: str, **options) -> DataFrame:
@@ -340,16 +364,16 @@ def write_files(df: DataFrame, path: str, *, record: str = "record", order: list
     rows = rows.select(F.col(record).cast("binary").alias("record"))
     given = _options(df.sparkSession, options | {"run": uuid.uuid4().hex})
     rows.write.format(FORMAT).mode("overwrite" if overwrite else "append").options(**given).save(path)
-    place, count = Place(_true(given, "shared_path")), _count_name(path, given["run"])
+    place, count = Place(told_path(given)), _count_name(path, given["run"])
     with place.open(count) as f:
         n = int(f.read())
     place.remove(count)
     return re.sub(r"@\d*", f"@{n}", path)
 
 
-def file_index(spark: SparkSession, *paths: str, limits: str = "inside", shared_path: bool | None = None) -> DataFrame:
+def file_index(spark: SparkSession, *paths: str, limits: str = "inside", shared_path: bool | str | None = None) -> DataFrame:
     """source_file, n, body (bytes of its records), first and last (of its global indices, the last one excluded). No record is read."""
-    place = Place(spark.sparkContext.master.startswith("local") if shared_path is None else shared_path)
+    place = Place(session_path(spark) if shared_path is None else shared_path)
     names = [n for p in paths for n in shard_names(p)]
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,12 +388,12 @@ def file_index(spark: SparkSession, *paths: str, limits: str = "inside", shared_
     return counted.select("source_file", "n", "body", "first", (F.col("first") + F.col("n")).alias("last"))
 
 
-def look_up(wanted: DataFrame, index: DataFrame, *, column: str = "global_idx", limits: str = "inside", shared_path: bool | None = None) -> DataFrame:
+def look_up(wanted: DataFrame, index: DataFrame, *, column: str = "global_idx", limits: str = "inside", shared_path: bool | str | None = None) -> DataFrame:
     """`wanted` with source_file, idx and record: each index meets its file in an interval join, and a task reads the records of a file in order.
 
     Indices that no file holds have no row. Neighbouring records are read together."""
     spark = wanted.sparkSession
-    place = Place(spark.sparkContext.master.startswith("local") if shared_path is None else shared_path)
+    place = Place(session_path(spark) if shared_path is None else shared_path)
     placed = in_intervals(wanted, column, index.filter("n > 0").select("first", "last", "source_file", "body"), "first", "last").filter("source_file is not null")
     rows = placed.select(*wanted.columns, "source_file", (F.col(column) - F.col("first")).alias("idx"), "body")
     dealt = rows.repartition("source_file", F.floor(F.col("idx") / 100_000)).sortWithinPartitions("source_file", "idx")
@@ -391,12 +415,12 @@ def look_up(wanted: DataFrame, index: DataFrame, *, column: str = "global_idx",
     return dealt.mapInArrow(read, f"{schema}, record binary")
 
 
-def merge_files(spark: SparkSession, sources: list[str], target: str, *, limits: str = "inside", shared_path: bool | None = None) -> DataFrame:
+def merge_files(spark: SparkSession, sources: list[str], target: str, *, limits: str = "inside", shared_path: bool | str | None = None) -> DataFrame:
     """Joins files to `target` (one file, or `name@N`: runs of whole files, as many each), and tells what each new file holds.
 
     Nothing is decoded: bodies are copied in pieces and offsets are raised by the bytes that lie before. A task writes one new file
     under a name of its own and renames it when it is whole. Sources and targets are all plain or all compressed."""
-    place, separate = Place(spark.sparkContext.master.startswith("local") if shared_path is None else shared_path), limits == "separate"
+    place, separate = Place(session_path(spark) if shared_path is None else shared_path), limits == "separate"
     names, targets = [n for s in sources for n in shard_names(s)], shard_names(target)
     if len({n.endswith(".bag") for n in [*names, *targets]}) != 1:
         raise ValueError("plain and compressed files can't be joined without decoding them")

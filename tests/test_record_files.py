@@ -2,11 +2,13 @@
 
 import os
 import struct
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plyworks.sources import lz4_games
 from plyworks.sources import record_files as rf
 from plyworks.sources import records as rec
 
@@ -105,6 +107,21 @@ def test_local_paths_are_refused_where_machines_do_not_share_them(tmp_path):
         rf._Reader({"path": str(tmp_path / "a.bagz")}).partitions()
 
 
+def test_local_paths_below_the_folder_that_a_cluster_shares(spark, tmp_path):
+    path = written(spark, tmp_path / "shared", 20, 2)
+    for kind in (rf._Reader, lambda o: lz4_games._Reader(o)):
+        for told in (str(tmp_path / "shared"), f"file://{tmp_path}/shared/"):
+            place = getattr(r := kind({"path": path, "shared_path": told}), "place", None) or r.files.place
+            assert place.at(f"file:{tmp_path}/shared/x/y.bagz")[1] == f"{tmp_path}/shared/x/y.bagz"
+            for outside in (f"{tmp_path}/shared-not/y.bagz", f"{tmp_path}/shared/../y.bagz", "/y.bagz"):
+                with pytest.raises(ValueError, match="shared_path"):
+                    place.at(outside)
+    assert rf.read_files(spark, path, shared_path=str(tmp_path / "shared")).count() == 20
+    session = lambda master, folder: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None), conf={"spark.checkpoint.dir": folder} if folder else {})
+    told = [rf.session_path(session(*x)) for x in (("local[2]", "/c"), ("spark://m:7077", "file:///c"), ("spark://m:7077", None), ("spark://m:7077", "hdfs://n/c"))]
+    assert told == [True, "file:///c", False, False]
+
+
 def test_index_reads_no_record_and_numbers_all(spark, tmp_path):
     path = written(spark, tmp_path)
     with open(tmp_path / "empty.bagz", "wb"):
