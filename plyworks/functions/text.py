@@ -14,14 +14,23 @@ def try_int(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def clock_seconds(clock: Column) -> Column:
-    """Seconds of `S`, `M:SS(.s)` or `H:MM:SS`, white space ignored; -1 if it is none of them."""
-    parts = F.split(F.regexp_replace(clock, r"\s+", ""), ":")
+def clock_parts(clock: Column) -> Column:
+    """Parts of a clock between colons, white space ignored."""
+    return F.split(F.regexp_replace(clock, r"\s+", ""), ":")
+
+
+def parts_seconds(parts: Column) -> Column:
+    """Seconds of the parts of a clock; -1 if they are none."""
     at = lambda k: try_double(F.try_element_at(parts, F.lit(k)))
     value = F.when(F.size(parts) == 1, at(1)).when(F.size(parts) == 2, at(1) * 60 + at(2)).when(F.size(parts) == 3, at(1) * 3600 + at(2) * 60 + at(3))
     return F.coalesce(value, F.lit(-1.0))
 
 
+def clock_seconds(clock: Column) -> Column:
+    """Seconds of `S`, `M:SS(.s)` or `H:MM:SS`, white space ignored; -1 if it is none of them."""
+    return parts_seconds(clock_parts(clock))
+
+
 def strict_clock_seconds(clock: Column) -> Column:
     """Seconds of `H:MM:SS`; 0 for anything else."""
     parts = F.split(clock, ":")
@@ -29,9 +38,13 @@ def strict_clock_seconds(clock: Column) -> Column:
     return F.coalesce(F.when(F.size(parts) == 3, at(1) * 3600 + at(2) * 60 + at(3)), F.lit(0.0))
 
 
+#: The clock of a comment.
+CLOCK = r"\[%clk\s*([^\]]+)\]"
+
+
 def comment_clock(comment: Column) -> Column:
     """The clock of a `[%clk ...]` annotation, or null."""
-    found = F.regexp_extract(comment, r"\[%clk\s*([^\]]+)\]", 1)
+    found = F.regexp_extract(comment, CLOCK, 1)
     return F.when(found != "", F.trim(found))
 
 
@@ -131,10 +144,17 @@ def move_id(move: Column, vocabulary: dict[str, int]) -> Column:
     return F.try_element_at(F.try_element_at(ids, F.substring(move, 1, 2)), F.substr(move, F.lit(3)))
 
 
+def filled(tokens: Column, pad: int, n: int = 12) -> Column:
+    """At most n tokens, filled up with `pad` in front."""
+    return F.concat(F.array_repeat(F.lit(pad), n - F.size(tokens)), tokens)
+
+
 def history_tokens(moves: Column, vocabulary: dict[str, int], pad: int, n: int = 12) -> Column:
-    """Ids of the last n moves, filled up with `pad` in front."""
+    """Ids of the last n moves, filled up with `pad` in front.
+
+    Where histories are taken from plies, look up each ply's id once and `filled` does the rest."""
     last = F.slice(moves, F.greatest(F.size(moves) - n + 1, F.lit(1)), n)
-    return F.concat(F.array_repeat(F.lit(pad), n - F.size(last)), F.transform(last, lambda m: move_id(m, vocabulary)))
+    return filled(F.transform(last, lambda m: move_id(m, vocabulary)), pad, n)
 
 
 def move_vocabulary() -> dict[str, int]:

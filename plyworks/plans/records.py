@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,18 +24,29 @@ GAME_PLIES = 20_000
 _PLY = T.StructType([T.StructField("ply", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("side", "san", "uci", "fen_before", "fen_after", "comment")]])
 
 
-@F.pandas_udf(T.ArrayType(_PLY))
-def _replayed(movetext: pd.Series) -> pd.Series:
-    names = _PLY.fieldNames()
-    return movetext.map(lambda m: [dict(zip(names, p)) for p in replay(m)])
+#: Games whose plies a task holds in Python at a time, however many games Spark hands over at once.
+_AT_ONCE = 256
+
+
+@F.arrow_udf(T.ArrayType(_PLY))
+def _replayed(movetexts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kinds = [pa.int32()] + [pa.string()] * (len(_PLY) - 1)
+    for texts in movetexts:
+        for at in range(0, len(texts), _AT_ONCE):
+            games = [replay(m) for m in texts[at : at + _AT_ONCE].to_pylist()]
+            columns = list(zip(*(p for g in games for p in g))) or [[]] * len(kinds)
+            moves = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_PLY.fieldNames())
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, games)]), pa.int32()), moves)
 
 
 def plies(games: DataFrame, game_id: str = "game_id") -> DataFrame:
     """A row per move, with `clk` seconds (null if not annotated) and the game's typed headers."""
     heads = [c for c in (game_id, "white_elo", "black_elo", "result", "termination", "initial_time", "increment") if c in games.columns]
     moves = games.select(*heads, F.inline(_replayed("movetext")))
-    clock = tx.clock_seconds(tx.comment_clock(F.col("comment")))
-    return moves.withColumn("clk", F.when(clock >= 0, clock))
+    # Step by step: an expression that names its parts several times is worked out as often.
+    clock = moves.withColumn("__clock", F.regexp_extract("comment", tx.CLOCK, 1)).withColumn("__clock", tx.clock_parts(F.when(F.col("__clock") != "", F.trim("__clock"))))
+    clock = clock.withColumn("__clock", tx.parts_seconds(F.col("__clock")))
+    return clock.withColumn("clk", F.when(F.col("__clock") >= 0, F.col("__clock"))).drop("__clock")
 
 
 def counted(df: DataFrame, name: str, **kept: Column) -> tuple[DataFrame, Observation]:
