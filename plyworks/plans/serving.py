@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as num
@@ -35,14 +35,27 @@ def edited_ratings(ratings: DataFrame, edits: DataFrame) -> DataFrame:
     return held.withColumn("rating", F.coalesce("__new", "rating")).withColumn("rd", F.when(done, num.edited_rd(rd)).otherwise(rd)).drop("__new")
 
 
+#: Slots that the unit interval is cut into, so that a draw meets the few values of its slot and not all of its bucket.
+_SLOTS = 1024
+
+
 def draw_seconds(requests: DataFrame, request_id: str, bucket: str, distributions: DataFrame, seed: int) -> DataFrame:
-    """Adds `seconds`, drawn from the distribution that the request's bucket has: bucket and a map of values (as text) and weights."""
-    items = F.array_sort(F.transform(F.map_entries("distribution"), lambda e: F.struct(e["key"].cast("double").alias("value"), e["value"].alias("weight"))))
-    upto = F.transform(F.col("__i"), lambda e, k: F.struct(F.aggregate(F.slice("__i", 1, k + 1), F.lit(0.0), lambda s, x: s + x["weight"]).alias("upto"), e["value"].alias("value")))
-    held = distributions.select(F.col("bucket").alias("__b"), items.alias("__i")).select("__b", upto.alias("__d"))  # sums once a bucket, not once a request
-    df = requests.join(held, F.col(bucket) == F.col("__b"), "left")
-    mark = num.seeded_unit(seed, F.col(request_id)) * F.element_at("__d", -1)["upto"]
-    return df.withColumn("__mark", mark).withColumn("seconds", F.get(F.filter("__d", lambda e: e["upto"] > F.col("__mark")), 0)["value"]).drop("__b", "__d", "__mark")
+    """Adds `seconds`, drawn from the distribution that the request's bucket has: bucket and a map of values (as text) and weights.
+
+    Values lie in a row by their running weights; a value is kept in each slot that its weights touch (one more on either side, for
+    rounding), and a request joins its slot and keeps the value on which its mark falls."""
+    entries = distributions.select(F.col("bucket").alias("__b"), F.explode("distribution").alias("__key", "__weight")).withColumn("__value", F.col("__key").cast("double"))
+    inside = Window.partitionBy("__b").orderBy("__value", "__weight")
+    summed = entries.withColumn("__upto", F.sum("__weight").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    summed = summed.withColumn("__before", F.coalesce(F.lag("__upto").over(inside), F.lit(0.0)))
+    summed = summed.withColumn("__total", F.last("__upto").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("__upto > __before")
+    slot = lambda upto: F.floor(upto / F.col("__total") * _SLOTS)
+    slots = F.sequence(F.greatest(slot(F.col("__before")) - 1, F.lit(0)), F.least(slot(F.col("__upto")) + 1, F.lit(_SLOTS - 1)))
+    held = summed.select("__b", F.explode(slots).alias("__s"), "__before", "__upto", "__total", F.col("__value").alias("seconds"))
+    df = requests.withColumn("__unit", num.seeded_unit(seed, F.col(request_id)))
+    mark = F.col("__unit") * F.col("__total")
+    met = (F.col(bucket) == F.col("__b")) & (F.floor(F.col("__unit") * _SLOTS) == F.col("__s")) & (mark >= F.col("__before")) & (mark < F.col("__upto"))
+    return df.join(held, met, "left").drop("__b", "__s", "__before", "__upto", "__total", "__unit")
 
 
 def draw_move(requests: DataFrame, request_id: str, seed: int, *, counts: str = "moves") -> DataFrame:

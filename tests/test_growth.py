@@ -34,3 +34,24 @@ def test_clocks_are_read_once_a_ply(spark):
     found = records.plies(spark.createDataFrame([(1, "1. e4 {[%clk 0:01:02]} e5 {[%clk x]} 2. d4 {[%clk 7]}")], "game_id long, movetext string"))
     assert [r.clk for r in found.orderBy("ply").collect()] == [62.0, None, 7.0]
     assert plan(found).count("regexp_extract") == 1
+
+
+def test_a_draw_meets_the_values_of_its_slot(spark):
+    """As a search through all values, also where many share a slot, one has many, or none has a weight."""
+    maps = {0: {str(k): float(k % 7) for k in range(3000)}, 1: {"5": 1e9, "6": 1.0}, 2: {"1": 0.0}, 3: {"4": 3.0}}
+    per = spark.createDataFrame(list(maps.items()), "bucket int, distribution map<string,double>")
+    asked = spark.range(2000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 9 < 5, F.col("id") % 5).cast("int").alias("bucket"))
+    drawn = serving.draw_seconds(asked, "event_id", "bucket", per, 5)
+    assert "filter(" not in plan(drawn)
+    units = {r.event_id: r.u for r in asked.select("event_id", serving.num.seeded_unit(5, F.col("event_id")).alias("u")).collect()}
+    rows = drawn.collect()
+    assert len(rows) == 2000
+    for r in rows:
+        items, upto, wanted = sorted((float(k), w) for k, w in maps.get(r.bucket, {}).items()), 0.0, None
+        mark = units[r.event_id] * sum(w for _, w in items)
+        for value, w in items:
+            upto += w
+            if upto > mark:
+                wanted = value
+                break
+        assert r.seconds == wanted
