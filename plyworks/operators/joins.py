@@ -22,22 +22,17 @@ def cascade(df: DataFrame, steps: list[tuple[str, DataFrame, str, str]], out: st
     """The first table that knows a row's key gives `out`, and its name `strategy`.
 
     steps: (name, table, key column in df, value column); each table has the key under the name `key`, once; values are of one type.
-    A row asks with all its keys at once, in one join with all tables, and keeps what the first of them knows; so rows are
-    dealt by their keys once, however many tables there are. Null values and null keys are not known.
+    Each table is a left join of its own, which Spark broadcasts or splits where keys are frequent, so rows stream by, none is
+    multiplied and none waits for the others of its key. Null values and null keys are not known.
     """
-    tables, keys = None, []
-    for n, (_, table, key, value) in enumerate(steps):
+    hit = []
+    for n, (name, table, key, value) in enumerate(steps):
         kind = table.schema["key"].dataType
-        known = table.filter(F.col("key").isNotNull() & F.col(value).isNotNull()).select(F.lit(n).alias("__step"), F.col("key").cast("string").alias("__key"), F.col(value).alias("__value"))
-        tables = known if tables is None else tables.unionByName(known)
-        keys.append(F.col(key).cast(kind).cast("string"))
-    numbered = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(c) for c in df.columns]).alias("__own"), F.array(*keys).alias("__keys"))
-    asked = numbered.select("__row", "__own", F.posexplode("__keys").alias("__step", "__key"))
-    found = asked.join(tables, ["__step", "__key"], "left")
-    hit = F.when(F.col("__value").isNotNull(), F.col("__step"))
-    first = found.groupBy("__row").agg(F.first("__own").alias("__own"), F.min(hit).alias("__hit"), F.min_by("__value", hit).alias(out))
-    why = F.coalesce(F.get(F.array(*[F.lit(name) for name, *_ in steps]), F.col("__hit")), F.lit("not found"))
-    return first.select("__own.*", F.col(out), why.alias(strategy))
+        known = table.filter(F.col("key").isNotNull() & F.col(value).isNotNull()).select(F.col("key").cast("string").alias(f"__key{n}"), F.col(value).alias(f"__value{n}"), F.lit(name).alias(f"__name{n}"))
+        df = df.join(known, F.col(key).cast(kind).cast("string") == F.col(f"__key{n}"), "left").drop(f"__key{n}")
+        hit += [f"__value{n}", f"__name{n}"]
+    found = df.withColumn(out, F.coalesce(*hit[::2])).withColumn(strategy, F.coalesce(*hit[1::2], F.lit("not found")))
+    return found.drop(*hit)
 
 
 def in_band(df: DataFrame, value: str, bands: list[tuple[float, float, str]], out: str) -> DataFrame:

@@ -36,6 +36,15 @@ def test_clocks_are_read_once_a_ply(spark):
     assert plan(found).count("regexp_extract") == 1
 
 
+def test_a_cascade_multiplies_no_row(spark):
+    asked = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (2, "b", 2), (3, None, 3), (4, "c", None)], "id int, k string, n int")
+    by_k = spark.createDataFrame([("a", 10), ("b", None), (None, 99)], "key string, v int")
+    by_n = spark.createDataFrame([(1, 20), (2, 21), (None, 98)], "key int, v int")
+    found = joins.cascade(asked, [("first", by_k, "k", "v"), ("second", by_n, "n", "v")], "v", "why")
+    assert sorted(tuple(r)[0:1] + tuple(r)[3:] for r in found.collect()) == [(1, 10, "first"), (2, 21, "second"), (2, 21, "second"), (3, None, "not found"), (4, None, "not found")]
+    assert found.columns == ["id", "k", "n", "v", "why"] and not [x for x in ("Generate", "Aggregate") if x in plan(found)]
+
+
 def test_a_draw_meets_the_values_of_its_slot(spark):
     """As a search through all values, also where many share a slot, one has many, or none has a weight."""
     maps = {0: {str(k): float(k % 7) for k in range(3000)}, 1: {"5": 1e9, "6": 1.0}, 2: {"1": 0.0}, 3: {"4": 3.0}}
