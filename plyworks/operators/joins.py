@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .ordered import Scan, by_ranges, scan
 
+#: Rows of a range of values and intervals, which a task sorts.
+RANGE_ROWS = 200_000
+
 
 def without_common(df: DataFrame, common: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in `common`."""
@@ -62,14 +65,18 @@ def _beside(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, *,
     points = df.select(F.col(value).alias("__at"), F.lit(1).alias("__kind"), F.monotonically_increasing_id().alias("__salt"), row.alias("__row"), F.lit(None).cast(band_type).alias("__band"))
     begins = bands.filter(F.col(low) < F.col(high)).select(F.col(low).alias("__at"), F.lit(0).alias("__kind"), F.lit(0).cast("long").alias("__salt"), F.lit(None).cast(row_type).alias("__row"), band.alias("__band"))
     order = ["__at", "__kind", "__salt"]  # the salt lets rows of one value fall in several ranges
-    both = by_ranges(points.unionByName(begins), order)
+    # As many ranges as the rows need, whatever the session's number of partitions, and as many tasks for them.
+    ranges = -(-(df.count() + bands.count()) // RANGE_ROWS)
+    spread = ranges > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = by_ranges(points.unionByName(begins), order, ranges if spread else None)
     edges = both.filter("__kind = 0").groupBy("__range").agg(F.min_by("__band", "__at").alias("__first"), F.max_by("__band", "__at").alias("__last"))
     edges = both.select("__range").distinct().join(edges, "__range", "left")  # a row a range
     # Both ways a row looks back, in rising or falling order: a frame that grows as rows come, which is one pass.
     back, part = (Window.unboundedPreceding, -1), Window.partitionBy("__range")
     last = lambda c, window: F.last(c, ignorenulls=True).over(window.rowsBetween(*back))
     carried = edges.select("__range", last("__last", Window.orderBy("__range")).alias("__before"), last("__first", Window.orderBy(F.desc("__range"))).alias("__after"))
-    known = both.withColumn("__low", last("__band", part.orderBy(*order)))
+    dealt = both.repartition(ranges, "__range") if spread else both
+    known = dealt.withColumn("__low", last("__band", part.orderBy(*order)))
     known = known.withColumn("__high", last("__band", part.orderBy(*[F.desc(c) for c in order]))) if after else known
     known = known.filter("__kind = 1").join(F.broadcast(carried), "__range")
     beside = [F.coalesce("__low", "__before").alias("__low"), *[F.coalesce("__high", "__after").alias("__high")] * after]

@@ -66,9 +66,9 @@ def _last_scope() -> None:
         _remove(spark, _SCOPES[0])
 
 
-def by_ranges(df: DataFrame, order: list) -> DataFrame:
-    """Rows dealt by ranges of `order`; __range rises with it. Ranges are drawn by sampling, so they are kept in a written table."""
-    return written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+def by_ranges(df: DataFrame, order: list, ranges: int | None = None) -> DataFrame:
+    """Rows dealt by ranges of `order` (so many, or as the session has it); __range rises with it. Ranges are drawn by sampling, so they are kept in a written table."""
+    return written(df.repartitionByRange(*[ranges] * (ranges is not None), *order).withColumn("__range", F.spark_partition_id()))
 
 
 def _running(ranged: DataFrame, order: list, value: Column, out: str, kind: str) -> DataFrame:

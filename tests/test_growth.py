@@ -64,3 +64,16 @@ def test_a_draw_meets_the_values_of_its_slot(spark):
                 wanted = value
                 break
         assert r.seconds == wanted
+
+
+def test_ranges_of_intervals_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "RANGE_ROWS", 100)
+    points = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, 700).otherwise(F.col("id")).alias("v"))
+    bands = spark.range(300).select((F.col("id") * 10).alias("lo"), (F.col("id") * 10 + 4).alias("hi"), F.col("id").alias("name"))
+    asked = []
+    plain = joins.by_ranges
+    monkeypatch.setattr(joins, "by_ranges", lambda df, order, ranges=None: asked.append(ranges) or plain(df, order, ranges))
+    found = joins.in_intervals(points, "v", bands, "lo", "hi").collect()
+    assert asked == [33] and len(found) == 3000 and all(r.name == (r.v // 10 if r.v % 10 < 4 else None) for r in found)
+    near = joins.nearest_interval(points, "v", bands, "lo", "hi", "name", "near", "far").collect()
+    assert asked == [33, 33] and len(near) == 3000 and all(r.far == 0 and r.near == r.v // 10 for r in near if r.v % 10 < 4)
