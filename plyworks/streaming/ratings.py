@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -18,37 +19,57 @@ _OUT = "player string, game_no long, rating double, rd double, volatility double
 _STATE = "rating double, rd double, volatility double, played long, last long"
 
 
-def _in_order(df: DataFrame, key: str, fold, start: tuple, schema: str) -> DataFrame:
-    """A fold over each key's games in order of game_no. Rows stream by, so a task holds one batch and one state, however many games a key has."""
+def _in_order(df: DataFrame, key: str, columns: str, step, start, schema: str) -> DataFrame:
+    """A fold over each key's games in order of game_no. Rows stream by, so a task holds one batch and one state, however many games a key has.
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), start
-        for part in batches:
+    columns: what a game has besides its key. step(key, game, state) gives a row and the next state, start() the first state.
+    Games are plain values: a table of its own for each key costs far more than the step where keys have few games."""
+    fields = [c.split() for c in schema.split(", ")]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+        current, state = object(), None
+        for batch in batches:
             out = []
-            for k, rows in part.groupby(key, sort=False, dropna=False):
-                k = None if pd.isna(k) else k
+            for k, *game in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns)):
                 if k != current:
-                    current, state = k, start
-                found, state = fold(k, rows, state)
-                out.append(found)
+                    current, state = k, start()
+                row, state = step(k, game, state)
+                out.append(row)
             if out:
-                yield pd.concat(out)
+                arrays = [pa.array(c, kinds[kind], from_pandas=True) for c, (_, kind) in zip(zip(*out), fields)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
-    return df.repartition(key).sortWithinPartitions(key, "game_no").mapInPandas(task, schema)
+    games = df.select(key, *[F.col(name).cast(kind) for name, kind in (c.split() for c in columns.split(", "))])
+    return games.repartition(key).sortWithinPartitions(key, "game_no").mapInArrow(task, schema)
 
 
-def _fold(player, rows: pd.DataFrame, state: tuple[float, float, float, int]):
+def _rows(key, rows: pd.DataFrame, state, columns: str, step, schema: str):
+    """The same fold over some games of one key."""
     out = []
-    for r in rows.sort_values("game_no").itertuples():
-        *now, played = state
-        state = (*update(*now, [(r.opponent_rating, r.opponent_rd, r.score)], played=played), played + 1)
-        out.append((None if player is None else str(player), int(r.game_no), *state[:3], shown(state[0])))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")]), state
+    for game in rows.sort_values("game_no")[[c.split()[0] for c in columns.split(", ")]].itertuples(index=False, name=None):
+        row, state = step(key, game, state)
+        out.append(row)
+    return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]), state
+
+
+_GAME = "game_no long, opponent_rating double, opponent_rd double, score double"
+
+
+def _step(player, game: Sequence, state: tuple[float, float, float, int]):
+    no, opponent, opponent_rd, score = game
+    *now, played = state
+    state = (*update(*now, [(opponent, opponent_rd, score)], played=played), played + 1)
+    return (None if player is None else str(player), int(no), *state[:3], shown(state[0])), state
+
+
+def _fold(player, rows: pd.DataFrame, state: tuple[float, float, float, int]):
+    return _rows(player, rows, state, _GAME, _step, _OUT)
 
 
 def rate_games(games: DataFrame) -> DataFrame:
     """games: player, game_no, opponent_rating, opponent_rd, score. Each needs the last one's result, so a player's games are taken in order."""
-    return _in_order(games, "player", _fold, (*START, 0), _OUT)
+    return _in_order(games, "player", _GAME, _step, lambda: (*START, 0), _OUT)
 
 
 def rate_stream(games: DataFrame) -> DataFrame:
@@ -78,25 +99,29 @@ def after_game(rating: float, rd: float, opponent: float, opponent_rd: float, sc
     return clamp(rating + change, LEAST_RATING, MOST_RATING), clamp(new_rd, LEAST_RD, MOST_RD), round(change, 1)
 
 
-def _user_fold(user, rows: pd.DataFrame, state: tuple):
+_USER_GAME = "game_no long, played_at long, opponent_rating double, opponent_rd double, score double"
+
+
+def _user_step(user, game: Sequence, state: tuple):
+    no, now, opponent, opponent_rd, score = game
     rating, rd, played, games, wins, losses, draws = state
-    out = []
-    for r in rows.sort_values("game_no").itertuples():
-        now = int(r.played_at)
-        days = (now - played) // 86400 if played is not None else 0
-        if days > 0:  # idle time makes a rating less certain
-            rd = min(MOST_RD, round(math.sqrt(rd * rd + GROWTH_PER_DAY * days), 1))
-        before, rd_before = rating, rd
-        rating, rd, change = after_game(rating, rd, r.opponent_rating, r.opponent_rd, r.score)
-        games, wins, losses, draws, played = games + 1, wins + (r.score == 1), losses + (r.score == 0), draws + (r.score == 0.5), now
-        out.append((str(user), int(r.game_no), before, rd_before, rating, rd, change, games, wins, losses, draws))
-    names = [c.split()[0] for c in _USER_OUT.split(", ")]
-    return pd.DataFrame(out, columns=names), (rating, rd, played, games, wins, losses, draws)
+    now = int(now)
+    days = (now - played) // 86400 if played is not None else 0
+    if days > 0:  # idle time makes a rating less certain
+        rd = min(MOST_RD, round(math.sqrt(rd * rd + GROWTH_PER_DAY * days), 1))
+    before, rd_before = rating, rd
+    rating, rd, change = after_game(rating, rd, opponent, opponent_rd, score)
+    games, wins, losses, draws = games + 1, wins + (score == 1), losses + (score == 0), draws + (score == 0.5)
+    return (str(user), int(no), before, rd_before, rating, rd, change, games, wins, losses, draws), (rating, rd, now, games, wins, losses, draws)
+
+
+def _user_fold(user, rows: pd.DataFrame, state: tuple):
+    return _rows(user, rows, state, _USER_GAME, _user_step, _USER_OUT)
 
 
 def user_history(games: DataFrame) -> DataFrame:
     """The history rows of service users. games: user_id, game_no, played_at (epoch seconds), opponent_rating, opponent_rd, score."""
-    return _in_order(games, "user_id", _user_fold, USER_START, _USER_OUT)
+    return _in_order(games, "user_id", _USER_GAME, _user_step, lambda: USER_START, _USER_OUT)
 
 
 def user_history_stream(games: DataFrame) -> DataFrame:
@@ -117,14 +142,15 @@ def user_history_stream(games: DataFrame) -> DataFrame:
 _MATCH_OUT = "match_id string, game_no long, white string, black string, white_rating double, white_rd double, black_rating double, black_rd double"
 
 
-def _match_fold(match, rows: pd.DataFrame, state: dict):
-    state, out = dict(state), []
-    for r in rows.sort_values("game_no").itertuples():
-        w, b = state.get(r.white, (*START, 0)), state.get(r.black, (*START, 0))
-        state[r.white] = (*update(*w[:3], [(b[0], b[1], r.score)], played=w[3]), w[3] + 1)
-        state[r.black] = (*update(*b[:3], [(w[0], w[1], 1 - r.score)], played=b[3]), b[3] + 1)
-        out.append((None if match is None else str(match), int(r.game_no), r.white, r.black, *state[r.white][:2], *state[r.black][:2]))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _MATCH_OUT.split(", ")]), state
+_MATCH_GAME = "game_no long, white string, black string, score double"
+
+
+def _match_step(match, game: Sequence, state: dict):
+    no, white, black, score = game
+    w, b = state.get(white, (*START, 0)), state.get(black, (*START, 0))
+    state[white] = (*update(*w[:3], [(b[0], b[1], score)], played=w[3]), w[3] + 1)
+    state[black] = (*update(*b[:3], [(w[0], w[1], 1 - score)], played=b[3]), b[3] + 1)
+    return (None if match is None else str(match), int(no), white, black, *state[white][:2], *state[black][:2]), state
 
 
 def rate_matches(games: DataFrame) -> DataFrame:
@@ -133,7 +159,7 @@ def rate_matches(games: DataFrame) -> DataFrame:
     games: match_id, game_no, white, black, score (of white). Each game needs the last one's ratings; they do not pass
     from match to match.
     """
-    return _in_order(games, "match_id", _match_fold, {}, _MATCH_OUT)
+    return _in_order(games, "match_id", _MATCH_GAME, _match_step, dict, _MATCH_OUT)
 
 
 def rate_late_stream(games: DataFrame, *, rated: DataFrame | None = None, event_time: str = "played_at", delay: str = "1 hour") -> DataFrame:

@@ -36,6 +36,24 @@ def test_clocks_are_read_once_a_ply(spark):
     assert plan(found).count("regexp_extract") == 1
 
 
+def test_folds_make_no_table_of_a_key(spark, monkeypatch):
+    rows = [(f"u{k % 50}", k, 86_400 * k, 1500.0 + k, 50.0, (k % 3) / 2) for k in range(300)] + [(None, 1, 0, 1500.0, 50.0, 1.0)]
+    games = spark.createDataFrame(rows, "user_id string, game_no long, played_at long, opponent_rating double, opponent_rd double, score double")
+    rated = games.withColumnRenamed("user_id", "player")
+    matches = games.select(F.col("user_id").alias("match_id"), "game_no", F.lit("a").alias("white"), F.lit("b").alias("black"), "score")
+    frame = lambda key: games.filter(f"user_id = '{key}'").toPandas()
+    with_games = {"u7": frame("u7"), "u8": frame("u8")}
+    for made, key, fold, start in ((ratings.rate_games(rated), "player", ratings._fold, (*ratings.START, 0)), (ratings.user_history(games), "user_id", ratings._user_fold, ratings.USER_START)):
+        assert "MapInArrow" in plan(made) and made.count() == 301
+        for k, part in with_games.items():
+            wanted = fold(k, part.sample(frac=1, random_state=1), start)[0]
+            pd.testing.assert_frame_equal(made.filter(F.col(key) == k).orderBy("game_no").toPandas(), wanted, check_dtype=False)
+    found = ratings.rate_matches(matches)
+    assert "MapInArrow" in plan(found) and found.count() == 301
+    first = found.groupBy("match_id").agg(F.min_by("white_rating", "game_no").alias("r"), F.min_by("black_rating", "game_no").alias("b")).collect()
+    assert len(first) == 51 and all(abs(r.r + r.b - 3000) < 1e-6 for r in first)  # each match begins anew
+
+
 def test_a_cascade_multiplies_no_row(spark):
     asked = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (2, "b", 2), (3, None, 3), (4, "c", None)], "id int, k string, n int")
     by_k = spark.createDataFrame([("a", 10), ("b", None), (None, 99)], "key string, v int")
