@@ -171,8 +171,9 @@ select c_custkey as game_id, ply, repeat('1968,', greatest(11 - ply, 0)::int) ||
 def g15_history_tokens(spark, d):
     """Tokens of the last twelve moves after each ply, filled up in front."""
     words = tx.move_vocabulary()
-    p = seq.history(_plies(spark, d), "game_id", "ply", "uci", 12, "h", with_current=True, largest=records.GAME_PLIES)
-    return p.select("game_id", "ply", F.array_join(tx.history_tokens(F.col("h"), words, len(words)).cast("array<string>"), ",").alias("tokens"))
+    ids = _plies(spark, d).select("game_id", "ply", tx.move_id(F.col("uci"), words).alias("id"))  # once a ply, not once for each history that it is in
+    p = seq.history(ids, "game_id", "ply", "id", 12, "h", with_current=True, largest=records.GAME_PLIES)
+    return p.select("game_id", "ply", F.array_join(tx.filled(F.col("h"), len(words)).cast("array<string>"), ",").alias("tokens"))
 
 
 _SCALES = {"white_elo": (1500.0, 400.0), "black_elo": (1600.0, 300.0), "white_clock": (5.0, 1.5), "black_clock": (5.25, 1.25), "increment": (1.0, 0.5)}
