@@ -200,10 +200,10 @@ def g17_sql_functions(spark, d):
     view = f"games_{uuid.uuid4().hex}"
     _headed(_texts(spark, d).select("pgn")).select("game_id", "movetext", "result").createOrReplaceTempView(view)
     return spark.sql(f"""
-        with p as (select g.game_id, g.result, m.* from {view} g, lateral game_plies(g.movetext) m),
+        with p as (select g.game_id, g.result, m.* from {view} g, lateral game_plies(g.movetext) m where m.ply <= 12),
         h as (select *, coalesce(collect_list(uci) over (partition by game_id order by ply rows between unbounded preceding and 1 preceding), array()) as moves from p)
         select game_id, ply, substring_index(pipe_key(moves, fen_before), '|', -1) as history, fullmove(fen_before) as fullmove, split(strip_counters(fen_before), ' ')[1] as side, result_class(result) as class
-        from h where ply <= 12""")
+        from h""")
 
 
 @query(f"select count(*) as rows, count(*) filter (where event = 'Rated Blitz game') as blitz, count(white_elo) as rated, count(*) filter (where result = '*') as unfinished from {_GAMES}")

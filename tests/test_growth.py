@@ -41,6 +41,11 @@ def test_ids_of_moves_are_looked_up_before_histories(spark, data):
     assert "e2" not in above and "e2" in below
 
 
+def test_plies_that_no_row_needs_are_gone_before_the_window(spark, data):
+    above, below = plan(catalog_games.g17_sql_functions(spark, data)).split("Window [", 1)
+    assert "<= 12" not in above and "<= 12" in below
+
+
 def test_folds_make_no_table_of_a_key(spark, monkeypatch):
     rows = [(f"u{k % 50}", k, 86_400 * k, 1500.0 + k, 50.0, (k % 3) / 2) for k in range(300)] + [(None, 1, 0, 1500.0, 50.0, 1.0)]
     games = spark.createDataFrame(rows, "user_id string, game_no long, played_at long, opponent_rating double, opponent_rd double, score double")
