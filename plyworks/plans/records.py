@@ -24,16 +24,28 @@ GAME_PLIES = 20_000
 _PLY = T.StructType([T.StructField("ply", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("side", "san", "uci", "fen_before", "fen_after", "comment")]])
 
 
-#: Games whose plies a task holds in Python at a time, however many games Spark hands over at once.
-_AT_ONCE = 256
+#: Games whose plies a task holds in Python at a time, however many games Spark hands over at once, and plies with which no further game is taken.
+_AT_ONCE, _PLIES_AT_ONCE = 256, 8_192
+
+
+def _parts(texts: pa.Array) -> Iterator[list[list[tuple]]]:
+    """The plies of the games, by parts of few games or, where games are long, of few plies."""
+    part, held = [], 0
+    for text in texts:
+        part.append(replay(text.as_py()))
+        held += len(part[-1])
+        if len(part) == _AT_ONCE or held >= _PLIES_AT_ONCE:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 @F.arrow_udf(T.ArrayType(_PLY))
 def _replayed(movetexts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kinds = [pa.int32()] + [pa.string()] * (len(_PLY) - 1)
     for texts in movetexts:
-        for at in range(0, len(texts), _AT_ONCE):
-            games = [replay(m) for m in texts[at : at + _AT_ONCE].to_pylist()]
+        for games in _parts(texts):
             columns = list(zip(*(p for g in games for p in g))) or [[]] * len(kinds)
             moves = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_PLY.fieldNames())
             yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, games)]), pa.int32()), moves)

@@ -23,6 +23,14 @@ def test_a_task_holds_the_plies_of_few_games_at_a_time():
     assert games == [[dict(zip(records._PLY.fieldNames(), p)) for p in board.replay(t)] for t in texts]
 
 
+def test_a_task_holds_few_plies_at_a_time_of_long_games():
+    texts = [" ".join(["Nf3 Nf6 Ng1 Ng8"] * n) for n in (600, 0, 1, 700, 500, 300, 2500, 2, 600)]
+    parts = list(records._replayed.func(iter([pa.array(texts), pa.array(texts[:2])])))
+    held = [[len(g) for g in p.to_pylist()] for p in parts]
+    assert [n for p in held for n in p] == [len(t.split()) for t in texts + texts[:2]]
+    assert len(held) > 2 and all(sum(p[:-1]) < 8_192 for p in held)  # but for the game that ends a part
+
+
 def test_a_ply_is_played_once_and_looks_at_no_other_piece(monkeypatch):
     seen, plain = [], board.Position.after
     monkeypatch.setattr(board.Position, "after", lambda self, move: seen.append(move) or plain(self, move))
