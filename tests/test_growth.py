@@ -1,10 +1,12 @@
 """What a task holds and how often a step is worked out, where tables grow."""
 
+import tracemalloc
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plyworks import catalog_games
+from plyworks import catalog, catalog_games
 from plyworks.functions import board
 from plyworks.operators import joins
 from plyworks.plans import records, serving
@@ -31,6 +33,25 @@ def test_a_task_holds_few_plies_at_a_time_of_long_games():
     assert len(held) > 2 and all(sum(p[:-1]) < 8_192 for p in held)  # but for the game that ends a part
 
 
+def test_what_replaying_holds_does_not_grow_with_the_games(spark, data, monkeypatch):
+    seen, plain = [], records.plies
+    monkeypatch.setattr(records, "plies", lambda games: seen.append(games) or plain(games))
+    catalog.g09_replayed_games(spark, data)
+    texts = [r.movetext for r in seen[0].collect()]
+
+    def most(n):
+        tracemalloc.start()
+        try:
+            found = sum(len(part) for part in records._replayed.func(iter([pa.array((texts * (n // len(texts) + 1))[:n])])))
+            return found, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    most(500)  # what is looked up by text is kept once
+    (few, at_first), (many, later) = most(500), most(4_000)
+    assert (few, many) == (500, 4_000) and later < 1.5 * at_first
+
+
 def test_a_ply_is_played_once_and_looks_at_no_other_piece(monkeypatch):
     seen, plain = [], board.Position.after
     monkeypatch.setattr(board.Position, "after", lambda self, move: seen.append(move) or plain(self, move))
