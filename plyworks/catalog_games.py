@@ -18,7 +18,7 @@ from .plans import evaluation as ev
 from .plans import records, serving, training
 from .sources import games, lz4_games, reports
 from .sources import records as rec
-from .sources.record_files import session_path
+from .sources.record_files import read_files, session_path
 
 _HEADERS = ["Event", "GameId", "WhiteElo", "BlackElo", "TimeControl", "Termination"]
 
@@ -220,8 +220,8 @@ _EVENT_JSON = "'{\"event_id\":' || event_id || ',\"user_id\":' || user_id || ',\
 
 @query(f"select global_idx, hex({_EVENT_JSON}) as record from (select *, row_number() over (order by event_id) - 1 as global_idx from events) where global_idx >= 100 and global_idx < 600")
 def q91_record_dump(spark, d):
-    rows = rec.with_global_index(rec.read_records(spark, _event_files(spark, d)))
-    return rec.dump_records(rows, 100, 500, as_hex=True)
+    """Records by their index over eight files, found by the files' offsets."""
+    return rec.dump_records(read_files(spark, _event_files(spark, d)), 100, 500, as_hex=True)
 
 
 @query("select dataset, row_number() over (order by dataset, event_id) - 1 as global_idx, event_id from (select 0 as dataset, event_id from events union all select 1, event_id from events union all select 2, event_id from events) order by 1, 2")

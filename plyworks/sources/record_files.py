@@ -32,7 +32,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from ..operators.joins import in_intervals
-from .records import shard_names
+from .records import BATCH, shard_names
 
 FORMAT = "record_files"
 SCHEMA = "source_file string, idx long, global_idx long, record binary"
@@ -207,8 +207,8 @@ class _Reader(ds.DataSourceReader):
 
     def read(self, partition):
         file = RecordFile(self.place, partition.name, self.separate)
-        for a in range(partition.first, partition.last, 4096):
-            b = min(a + 4096, partition.last)
+        for a in range(partition.first, partition.last, BATCH):
+            b = min(a + BATCH, partition.last)
             idx = np.arange(a, b)
             arrays = [pa.array([partition.name] * (b - a)), pa.array(idx), pa.array(idx + partition.start), pa.array(file.records(a, b, partition.body), pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["source_file", "idx", "global_idx", "record"])
@@ -342,6 +342,16 @@ def _options(spark: SparkSession, options: dict) -> dict:
     return {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
 
 
+def reached(spark: SparkSession, names: list[str], threads: int = 16) -> bool:
+    """Whether all these are files that can be read by ranges: of a store that Arrow reaches, or below a path that all machines share."""
+    place = Place(session_path(spark))
+    try:
+        with ThreadPoolExecutor(threads) as pool:
+            return all(pool.map(lambda n: "," not in n and place.exists(n), names))
+    except (ValueError, OSError, NotImplementedError):  # what Arrow says of other stores, and Place of other paths
+        return False
+
+
 def read_files(spark: SparkSession, *paths: str, **options) -> DataFrame:
     """source_file, idx, global_idx (over all files, in the order named) and record. A path may name shards as `name@N`."""
     register(spark)

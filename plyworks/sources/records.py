@@ -1,6 +1,6 @@
 """Indexed record files (zstd records, then little-endian end offsets) and JSON-lines tables.
 
-A file is the unit of work, so large sets are kept in shards (`name@N`), which are read and written side by side.
+Files are read by ranges of their records; a file is the unit of work where it is written, so large sets are kept in shards (`name@N`).
 """
 
 from __future__ import annotations
@@ -12,20 +12,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+#: Records that a task decodes at a time.
+BATCH = 4096
+
+
+def _ends(data: bytes, limits: bytes | None = None) -> np.ndarray:
+    """Where the records of a file end. Its last 8 bytes name where these offsets start, unless `limits` holds them."""
+    if limits is None:
+        limits = data[struct.unpack("<q", data[-8:])[0] :] if len(data) else b""
+    return np.frombuffer(limits, "<i8")
 
 
 def decode_records(data: bytes, limits: bytes | None = None, compressed: bool = True) -> list[bytes]:
     """Records of one file. The last 8 bytes name where the offsets start, unless `limits` holds them."""
-    if limits is None:
-        if not data:
-            return []
-        start = struct.unpack("<q", data[-8:])[0]
-        limits = data[start:]
-    ends = np.frombuffer(limits, "<i8").tolist()
+    ends = _ends(data, limits).tolist()
     unpack = zstandard.ZstdDecompressor()
     one = (lambda r: unpack.decompressobj().decompress(r)) if compressed else bytes
     return [one(data[a:b]) if b > a else b"" for a, b in zip([0, *ends], ends)]
@@ -40,9 +45,16 @@ def encode_records(records: list[bytes], compressed: bool = True) -> bytes:
     return bytes(body) + struct.pack(f"<{len(ends)}q", *ends)
 
 
-@F.pandas_udf(T.ArrayType(T.BinaryType()))
-def _records(content: pd.Series, limits: pd.Series, compressed: pd.Series) -> pd.Series:
-    return pd.Series([decode_records(c, x, z) for c, x, z in zip(content, limits, compressed)], dtype=object)
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """source_file, idx and record of files that came whole (source_file, content, limits), some records at a time."""
+    for batch in batches:
+        for name, content, limits in zip(*batch.columns):
+            name, data = name.as_py(), memoryview(content.as_buffer())
+            ends = _ends(data, memoryview(limits.as_buffer()) if limits.is_valid else None)
+            for a in range(0, len(ends), BATCH):
+                some, begin = ends[a : a + BATCH], ends[a - 1] if a else 0
+                records = decode_records(data[begin : some[-1]], (some - begin).tobytes(), not name.endswith(".bag"))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(np.arange(a, a + len(some))), pa.array(records, pa.binary())], names=["source_file", "idx", "record"])
 
 
 def shard_names(path: str) -> list[str]:
@@ -57,9 +69,14 @@ def read_records(spark: SparkSession, path: str, *, separate_limits: bool = Fals
     """source_file, idx (within the file), record. `path` may name shards as `name@N`.
 
     With `separate_limits` the offsets are read from a file of the same name with `limits.` in front. Files that end in
-    .bag hold plain records, all others compressed ones.
+    .bag hold plain records, all others compressed ones. A task reads a range of a file's records (`record_files`); only files
+    that Arrow doesn't reach, or that a folder or a pattern names, come whole, by Spark, each in one task.
     """
+    from . import record_files
+
     names = shard_names(path)
+    if record_files.reached(spark, names):
+        return record_files.read_files(spark, path, limits="separate" if separate_limits else "inside").select("source_file", "idx", "record")
     name = F.element_at(F.split("path", "/"), -1)
     load = lambda paths: spark.read.format("binaryFile").load(paths).select(F.col("path").alias("source_file"), name.alias("__name"), "content")
     files = load(names)
@@ -69,28 +86,28 @@ def read_records(spark: SparkSession, path: str, *, separate_limits: bool = Fals
         files = files.join(limits, "__name")
     else:
         files = files.withColumn("__limits", F.lit(None).cast("binary"))
-    rows = _records("content", "__limits", ~F.col("__name").endswith(".bag"))
-    return files.select("source_file", F.posexplode(rows).alias("idx", "record"))
+    return files.select("source_file", "content", "__limits").mapInArrow(_unpacked, "source_file string, idx long, record binary")
+
+
+def _numbered(records: DataFrame, out: str, *keys: str) -> DataFrame:
+    """Adds the index over all files, which follow each other by `keys`. One row per file is ordered in a single task and sent to all; records stay where they are."""
+    sizes = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return records.join(F.broadcast(starts), [*keys]).withColumn(out, F.col("__start") + F.col("idx")).drop("__start")
 
 
 def with_global_index(records: DataFrame, *, out: str = "global_idx") -> DataFrame:
-    """Adds the index over all files, which follow each other by name. One row per file is ordered in a single task."""
-    sizes = records.groupBy("source_file").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("source_file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return records.join(starts, "source_file").withColumn(out, F.col("__start") + F.col("idx")).drop("__start")
+    """Adds the index over all files, which follow each other by name. This reads all records once more to count them; `record_files` counts by offsets."""
+    return _numbered(records, out, "source_file")
 
 
 def concat_records(*parts: DataFrame) -> DataFrame:
     """One set of several: dataset (from 0), source_file, idx and an index over all of them, data set by data set."""
-    tagged = [with_global_index(p).withColumn("dataset", F.lit(k)) for k, p in enumerate(parts)]
-    rows = tagged[0]
-    for t in tagged[1:]:
-        rows = rows.unionByName(t)
-    sizes = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("dataset").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("dataset", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return rows.join(starts, "dataset").withColumn("global_idx", F.col("__start") + F.col("global_idx")).drop("__start")
+    rows = parts[0].withColumn("dataset", F.lit(0))
+    for k, p in enumerate(parts[1:], 1):
+        rows = rows.unionByName(p.withColumn("dataset", F.lit(k)))
+    return _numbered(rows, "global_idx", "dataset", "source_file")
 
 
 def record_at(records: DataFrame, index: int, column: str = "global_idx") -> DataFrame:

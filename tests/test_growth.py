@@ -10,6 +10,8 @@ from plyworks import catalog, catalog_games
 from plyworks.functions import board
 from plyworks.operators import joins
 from plyworks.plans import records, serving
+from plyworks.sources import record_files as rf
+from plyworks.sources import records as rec
 from plyworks.streaming import ratings
 
 
@@ -134,3 +136,45 @@ def test_ranges_of_intervals_grow_in_number_with_the_rows(spark, monkeypatch):
     assert asked == [33] and len(found) == 3000 and all(r.name == (r.v // 10 if r.v % 10 < 4 else None) for r in found)
     near = joins.nearest_interval(points, "v", bands, "lo", "hi", "name", "near", "far").collect()
     assert asked == [33, 33] and len(near) == 3000 and all(r.far == 0 and r.near == r.v // 10 for r in near if r.v % 10 < 4)
+
+
+def test_a_dump_reads_its_range_and_takes_no_file_whole(spark, data):
+    df = catalog_games.q91_record_dump(spark, data)
+    explained = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PushedFilters: [GreaterThanOrEqual(global_idx,100), LessThan(global_idx,600)]" in explained
+    assert not [x for x in ("binaryFile", "Generate", "Aggregate", "Join", "Exchange") if x in explained]
+
+
+def test_records_are_read_by_ranges_and_numbered_where_they_are(spark, tmp_path):
+    rows = spark.range(300).select("id", F.encode(F.concat(F.lit("record "), F.col("id").cast("string")), "UTF-8").alias("record"))
+    path = rf.write_files(rows, f"{tmp_path}/x@.bagz", order=["id"], shards=3)
+    want = [(k, f"record {k}".encode()) for k in range(300)]
+    for named in (path, str(tmp_path), f"{tmp_path}/x-*.bagz"):  # a folder's files and those of a pattern come whole, and are unpacked bit by bit
+        df = rec.with_global_index(rec.read_records(spark, named))
+        assert [(r.global_idx, bytes(r.record)) for r in df.orderBy("global_idx").collect()] == want
+        executed = df._jdf.queryExecution().executedPlan().toString()
+        assert ("binaryFile" in executed) == (named != path) and "Generate" not in executed and "SortMergeJoin" not in executed
+
+
+def test_what_unpacking_holds_does_not_grow_with_the_file(tmp_path):
+    def most(n):
+        content = rec.encode_records([f"record {k}".encode() for k in range(n)])
+        (tmp_path / f"{n}.bagz").write_bytes(content)
+        reader = rf._Reader({"path": str(tmp_path / f"{n}.bagz"), "shared_path": "true"})
+        whole = pa.RecordBatch.from_arrays([pa.array(["a.bagz"]), pa.array([content]), pa.array([None], pa.binary())], names=["source_file", "content", "limits"])
+        out = []
+        for batches in (lambda: rec._unpacked(iter([whole])), lambda: (b for p in reader.partitions() for b in reader.read(p))):
+            before = pa.total_allocated_bytes()
+            tracemalloc.start()
+            try:
+                found = held = 0
+                for b in batches():
+                    found, held = found + b.num_rows, max(held, pa.total_allocated_bytes() - before)
+                out.append((found, held + tracemalloc.get_traced_memory()[1]))
+            finally:
+                tracemalloc.stop()
+        return out
+
+    most(500)
+    for (few, at_first), (many, later) in zip(most(10_000), most(60_000)):
+        assert (few, many) == (10_000, 60_000) and later < 1.5 * at_first
