@@ -18,7 +18,7 @@ from .plans import evaluation as ev
 from .plans import records, serving, training
 from .sources import games, lz4_games, reports
 from .sources import records as rec
-from .sources.record_files import read_files, session_path
+from .sources.record_files import read_files, read_sets, session_path
 
 _HEADERS = ["Event", "GameId", "WhiteElo", "BlackElo", "TimeControl", "Termination"]
 
@@ -227,8 +227,8 @@ def q91_record_dump(spark, d):
 @query("select dataset, row_number() over (order by dataset, event_id) - 1 as global_idx, event_id from (select 0 as dataset, event_id from events union all select 1, event_id from events union all select 2, event_id from events) order by 1, 2")
 def q92_record_sets(spark, d):
     """Three sets of record files under one index."""
-    sets = [rec.read_records(spark, _event_files(spark, d)), rec.read_records(spark, _event_files(spark, d, plain=True, limits="separate"), separate_limits=True), rec.read_records(spark, _event_files(spark, d))]
-    return rec.parsed_records(rec.concat_records(*sets).select("dataset", "global_idx", "record"), "event_id long")
+    sets = [(_event_files(spark, d), "inside"), (_event_files(spark, d, plain=True, limits="separate"), "separate"), (_event_files(spark, d), "inside")]
+    return rec.parsed_records(read_sets(spark, sets).select("dataset", "global_idx", "record"), "event_id long")
 
 
 @query("""select 'line' as kind, user_id::varchar as fen, event_type as move, count(*) as n from events group by 2, 3

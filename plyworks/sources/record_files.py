@@ -7,7 +7,8 @@ records: files are counted by their sizes, and only bytes of records that are as
     records.register(spark)
     spark.read.format("record_files").load("/data/games@64.bagz").filter("global_idx = 123456")
 
-Options: `limits` ("inside", or "separate" files), `rows_per_task`, `threads` (for looking at many files), and
+Options: `limits` ("inside", or "separate" files), `rows_per_task`, `threads` (for looking at many files), `first` (the
+global index of the first record, 0 if not given), and
 `shared_path`: paths without a scheme, and `file:` ones, are local to each machine, so on a cluster they are refused
 unless this says that all machines mount them ("true"), or names a folder that they mount. `read_files` and `write_files`
 set it: to "true" for a local session, else to the folder that spark.checkpoint.dir names.
@@ -174,7 +175,7 @@ class _Reader(ds.DataSourceReader):
         self.place, self.separate = Place(told_path(options)), options.get("limits", "inside") == "separate"
         self.names = [n for p in options["path"].split(",") for n in shard_names(p)]
         self.step, self.threads = int(options.get("rows_per_task", 100_000)), int(options.get("threads", 16))
-        self.bounds = {"idx": (0, 1 << 62), "global_idx": (0, 1 << 62)}
+        self.bounds, self.first = {"idx": (0, 1 << 62), "global_idx": (0, 1 << 62)}, int(options.get("first", 0))
 
     def pushFilters(self, filters):
         """Bounds of idx and global_idx are taken; what is only partly met by a range is left to Spark, too."""
@@ -194,11 +195,13 @@ class _Reader(ds.DataSourceReader):
                     self.bounds[column] = max(low, min(f.value)), min(high, max(f.value) + 1)
                 yield f
 
-    def partitions(self):
+    def layouts(self) -> list[tuple[int, int]]:
         with ThreadPoolExecutor(self.threads) as pool:
-            layouts = list(pool.map(lambda n: RecordFile(self.place, n, self.separate).layout(), self.names))
-        out, start = [], 0
-        for name, (body, n) in zip(self.names, layouts):
+            return list(pool.map(lambda n: RecordFile(self.place, n, self.separate).layout(), self.names))
+
+    def partitions(self):
+        out, start = [], self.first
+        for name, (body, n) in zip(self.names, self.layouts()):
             (low, high), (glow, ghigh) = self.bounds["idx"], self.bounds["global_idx"]
             first, last = max(low, glow - start), min(n, high, ghigh - start)
             out += [Range(name, a, min(a + self.step, last), start, body) for a in range(first, last, self.step)]
@@ -358,6 +361,21 @@ def read_files(spark: SparkSession, *paths: str, **options) -> DataFrame:
     return spark.read.format(FORMAT).options(**_options(spark, options)).load(",".join(paths))
 
 
+def read_sets(spark: SparkSession, sets: list[tuple[str, str]], **options) -> DataFrame:
+    """Several sets of files, (path, limits) each, under one index: dataset (from 0), source_file, idx, global_idx (over all sets, one after the other) and record.
+
+    Sets are counted by their files' sizes, so each record is read once, and neither joined nor moved to be numbered."""
+    parts, first = [], 0
+    for k, (path, limits) in enumerate(sets):
+        own = options | {"limits": limits, "first": first}
+        parts.append(read_files(spark, path, **own).select(F.lit(k).alias("dataset"), "*"))
+        first += sum(n for _, n in _Reader({"path": path} | _options(spark, own)).layouts())
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def stream_files(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Records of files that arrive in a folder."""
     register(spark)

@@ -103,7 +103,7 @@ def with_global_index(records: DataFrame, *, out: str = "global_idx") -> DataFra
 
 
 def concat_records(*parts: DataFrame) -> DataFrame:
-    """One set of several: dataset (from 0), source_file, idx and an index over all of them, data set by data set."""
+    """One set of several: dataset (from 0), source_file, idx and an index over all of them, data set by data set. See `record_files.read_sets`, too."""
     rows = parts[0].withColumn("dataset", F.lit(0))
     for k, p in enumerate(parts[1:], 1):
         rows = rows.unionByName(p.withColumn("dataset", F.lit(k)))
