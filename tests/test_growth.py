@@ -178,3 +178,25 @@ def test_what_unpacking_holds_does_not_grow_with_the_file(tmp_path):
     most(500)
     for (few, at_first), (many, later) in zip(most(10_000), most(60_000)):
         assert (few, many) == (10_000, 60_000) and later < 1.5 * at_first
+
+
+def test_sets_are_numbered_by_their_files_sizes(spark, data):
+    df = catalog_games.q92_record_sets(spark, data)
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("BatchScan record_files") == 3 and not [x for x in ("binaryFile", "Generate", "Aggregate", "Join", "Exchange", "Window") if x in executed]
+    n = spark.read.parquet(f"{data}/events.parquet").count()
+    assert sorted(map(tuple, df.select("dataset", "global_idx").collect())) == [(k // n, k) for k in range(3 * n)]
+
+
+def test_a_set_goes_on_where_the_one_before_ends(spark, tmp_path):
+    rows = lambda n: spark.range(n).select("id", F.when(F.col("id") % 7 == 3, F.lit(b"")).otherwise(F.encode(F.concat(F.lit("record "), F.col("id").cast("string")), "UTF-8")).alias("record"))
+    text = lambda k: b"" if k % 7 == 3 else f"record {k}".encode()
+    (tmp_path / "none.bagz").write_bytes(b"")
+    apart = rf.write_files(rows(30), f"{tmp_path}/b@.bag", order=["id"], shards=2, limits="separate")
+    sets = [(rf.write_files(rows(50), f"{tmp_path}/a@.bagz", order=["id"], shards=3), "inside"), (f"{tmp_path}/none.bagz", "inside"), (apart, "separate"), (apart, "separate")]
+    df = rf.read_sets(spark, sets, rows_per_task=11)
+    want = [(s, g, text(k)) for g, (s, k) in enumerate([(0, k) for k in range(50)] + [(s, k) for s in (2, 3) for k in range(30)])]
+    got = lambda d: [(r.dataset, r.global_idx, bytes(r.record)) for r in d.orderBy("global_idx").collect()]
+    assert got(df) == want and df.columns == ["dataset", "source_file", "idx", "global_idx", "record"]
+    assert got(df.filter("global_idx >= 48 and global_idx < 82")) == want[48:82] and got(df.filter("global_idx = 110")) == []
+    assert got(df.filter("dataset = 3 and global_idx < 82")) == want[80:82]
